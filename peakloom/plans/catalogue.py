@@ -1,0 +1,24 @@
+"""Every registered query over the driver's tables, and its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "scan_project_filter"
+
+
+def scan_project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where("l_extendedprice > 15000").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def queries() -> dict[str, Query]:
+    return {"scan_project_filter": scan_project_filter}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"scan_project_filter": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 15000"}
