@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of long texts: smaller batches to Python than the defaults, where the session sets none.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -34,6 +36,10 @@ def ready(spark: SparkSession) -> SparkSession:
     known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # freed batches go back to the system
+    for key, value in ARROW.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
