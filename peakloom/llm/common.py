@@ -53,7 +53,7 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of ``column`` (a longer value stands alone)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
@@ -66,17 +66,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         yield batch.slice(start)
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Chunks between ASCII white space: offsets by text, code of each chunk, and the distinct chunks by code.
-
-    Empty chunks (leading, trailing white space, empty texts) keep a code of their own; null texts count as empty.
-    """
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    coded = lists.flatten().dictionary_encode()
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-
-
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate ``values[s:s+n]`` for each start and length without a loop."""
     ends = np.cumsum(lengths)

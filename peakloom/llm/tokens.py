@@ -1,8 +1,9 @@
-"""Batched encoding with the tokenizers library, one call for each distinct chunk of a batch.
+"""Batched encoding with the tokenizers library, one call for each distinct unit of a Python worker's texts.
 
-The library's ids of a text are those of its chunks between ASCII white space, one after the other: its
-normaliser composes nothing across a space, its pre-tokeniser drops white space, and no special string holds
-any. ``Encoder.checked`` tells whether a tokenizer file is of that kind; others are encoded text by text.
+The library's ids of a text are those of its units (see ``units``), one after the other: its normaliser composes
+nothing across a space or between ASCII characters, its pre-tokeniser drops white space and cuts between letters,
+digits and punctuation, and no special string is cut. ``Encoder.checked`` tells whether a tokenizer file is of that
+kind; others are encoded text by text.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ragged, slices, words_of
+from .common import ragged, slices
+from .units import UnitMemo
 
-#: Chunks that a Python worker remembers before it starts anew: bounds its memory, whatever the corpus holds.
-MEMO = 1_000_000
+#: The cutting rule and the steps before it that make units safe.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,18 +30,19 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def whitespace_free(spec: dict) -> bool:
-    """True if a tokenizer drops white space before merging, so that chunks can be encoded on their own."""
+def unit_safe(spec: dict) -> bool:
+    """True if a tokenizer file normalises and cuts by the rules that units are made for."""
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
-    first = steps[0] if steps else {}
-    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first.get("pattern", {}).get("Regex", "")
-    plain = all(set(x["content"]).isdisjoint(" \t\n\v\f\r") and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in spec.get("added_tokens", []))
-    return bool(dropped and plain and not any(s.get("add_prefix_space") for s in steps))
+    first, rest = (steps[0], steps[1:]) if steps else ({}, [])
+    rule = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": RULE}
+    bytes_only = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in rest)
+    plain = all(x["content"].startswith("<") and not set(x["content"]) & set(" \t\n\v\f\r") and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec.get("added_tokens", []))
+    return bool(rule and bytes_only and plain and (spec.get("normalizer") or {}).get("normalizers") == STEPS)
 
 
 class Encoder:
-    """Ids of texts, with a memo of chunks as flat arrays."""
+    """Ids of texts, with a memo of units as flat arrays."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,28 +52,26 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.checked = whitespace_free(json.load(f))
+            self.checked = unit_safe(json.load(f))
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.forget()
+        self.memo = UnitMemo(self._add, self._forget)
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
+    def _forget(self) -> None:
         self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 12, np.int64)  # ends[i + 1]: where chunk i's ids end
+        self.ends = np.zeros(1 << 12, np.int64)  # ends[i + 1]: where unit i's ids end
         self.known = 0
 
-    def _add(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _add(self, units: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        at, n = int(self.ends[self.known]), self.known + len(chunks)
+        at, n = int(self.ends[self.known]), self.known + len(units)
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.flat[at : at + len(ids)] = ids
         self.ends[self.known + 1 : n + 1] = at + np.cumsum(lengths)
-        self.place.update(zip(chunks, range(self.known, n), strict=True))
         self.known = n
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,16 +80,12 @@ class Encoder:
             found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum())), counts
-        offsets, codes, distinct = words_of(texts)
-        if self.known + len(distinct) > MEMO:
-            self.forget()
-        if fresh := [w for w in distinct if w not in self.place]:
-            self._add(fresh)
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[codes]
+        place, units = self.memo.numbers(texts)
         starts = self.ends[place]
         lengths = self.ends[place + 1] - starts
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return ragged(self.flat, starts, lengths), total[offsets[1:]] - total[offsets[:-1]]
+        ends = np.cumsum(units)
+        return ragged(self.flat, starts, lengths), total[ends] - total[ends - units]
 
 
 _ENCODERS: dict[str, Encoder] = {}
