@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from .bpe import bpe_digests
+from .common import shared_dir
+from .multi_index import search, usable
+from .packing import pack
+from .token_counts import count_tokens
 from .token_files import token_file_query
 from .tokens import tokenizer_path
+from .url_filters import QUERY_RULES, QUERY_SQL, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +24,40 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_query(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(table(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels of the documents of the same number: bad if toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge(table(spark, sf_dir, "pages"), labels, QUERY_RULES).drop("bound")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its cache is a new folder, so that a run counts every distinct text and its figures hold for a first run."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), shared_dir(spark, "count-cache"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_multi_index": op7_multi_index,
+        "op8_url_filters": op8_url_filters,
+        "op9_bpe": op9_bpe,
+        "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": QUERY_SQL}
