@@ -156,34 +156,53 @@ def fit(docs: DataFrame, per_lang: int = 600, seed: int = 5) -> ByteCnn | None:
     return train(texts, labels, seed=seed) if texts else None
 
 
+def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text; ``und`` and 0 for null texts and those without a letter."""
+    known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if own and len(texts):
+        x, owner, size = windows_of(texts)
+        logs, probs = np.zeros((len(texts), len(own.langs))), np.zeros((len(texts), len(own.langs)))
+        for at in range(0, len(x), 64):
+            p = own.log_probabilities(x[at : at + 64], tables)
+            np.add.at(logs, owner[at : at + 64], p * size[at : at + 64, None])
+            np.add.at(probs, owner[at : at + 64], np.exp(p) * size[at : at + 64, None])
+        best = logs.argmax(1)
+        total = np.maximum(np.bincount(owner, size, len(texts)), 1)
+        names[known] = np.array(own.langs, object)[best[known]]
+        scores[known] = np.clip(probs[np.arange(len(texts)), best] / total, 0, 1)[known]
+    return names, scores
+
+
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; ``und`` and 0 for null texts and those without a letter.
+    """doc_id, lang_pred, score of every whole text.
 
-    The score is the mean probability of the class over the text's windows, weighted by their bytes.
+    The score is the mean probability of the class over the text's windows, weighted by their bytes. Without a model
+    (no labelled text to learn from) every text is ``und``.
     """
     packed = pickle.dumps(model)
-    letter = r"\p{L}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: ByteCnn | None = pickle.loads(packed)
         tables = own.tables() if own else []
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text")
-                known = pc.fill_null(pc.match_substring_regex(texts, letter), False).to_numpy(zero_copy_only=False)
-                names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-                if own:
-                    x, owner, size = windows_of(texts)
-                    logs, probs = np.zeros((len(texts), len(own.langs))), np.zeros((len(texts), len(own.langs)))
-                    for at in range(0, len(x), 64):
-                        p = own.log_probabilities(x[at : at + 64], tables)
-                        np.add.at(logs, owner[at : at + 64], p * size[at : at + 64, None])
-                        np.add.at(probs, owner[at : at + 64], np.exp(p) * size[at : at + 64, None])
-                    best = logs.argmax(1)
-                    total = np.maximum(np.bincount(owner, size, len(texts)), 1)
-                    names[known] = np.array(own.langs, object)[best[known]]
-                    scores[known] = np.clip(probs[np.arange(len(texts)), best] / total, 0, 1)[known]
+                names, scores = classify(part.column("text"), own, tables)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     two = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return two.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language."""
+    packed = pickle.dumps(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: ByteCnn | None = pickle.loads(packed)
+        tables = own.tables() if own else []
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(classify(part.column("text"), own, tables)[0] != UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import language_id, quality, toxicity
 from .bpe import bpe_digests
-from .common import shared_dir
+from .common import fold, shared_dir
 from .multi_index import search, usable
+from .order_minhash import near_duplicates
 from .packing import pack
 from .token_counts import count_tokens
 from .token_files import token_file_query
@@ -28,6 +30,27 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs.where(~fold())))
+    return found.select("doc_id", fold().alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").where(~fold())))
+    return found.select("doc_id", fold().alias("held_out"), "score", "predicted")
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = usable(table(spark, sf_dir, "embeddings"))
     return search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -52,6 +75,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_order_minhash": op3_order_minhash,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_multi_index": op7_multi_index,
         "op8_url_filters": op8_url_filters,
         "op9_bpe": op9_bpe,
