@@ -5,20 +5,521 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions import proforma as P
+from ..functions.numeric import cosine_warmup, finite
+from ..operators import associations as A
+from ..operators import causal as C
+from ..operators import concepts as K
+from ..operators import crosscheck as X
+from ..operators import dictionary as D
+from ..operators import fragments as G
+from ..operators import interpretation as I
+from ..operators import statistics as S
+from ..operators import tokens as T
+from ..operators import training as R
 from ..session import table
+from ..streaming.chunks import event_windows
+from . import fixtures as fx
+from .fixtures import KEY, LABELS, N, PAIRS, sql
+from .registry import FAMILY_OF, PTMS, RESIDUES, concept_table
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "scan_project_filter"
+FLAGSHIP = "bh_fdr"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def scan_project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_extendedprice > 15000").select("l_orderkey", "l_linenumber", "l_extendedprice")
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r6(name: str, alias: str | None = None):
+    return F.round(name, 6).alias(alias or name)
+
+
+# sources, tokens ---------------------------------------------------------------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 15000")
+def scan_project_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_extendedprice > 15000").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(sql("peaks", "tokens") + "SELECT spectrum_idx, position, round(mz, 6) AS mz, round(intensity, 6) AS intensity FROM tokens")
+def tokens_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return fx.fx_tokens(spark, d).select(*KEY, r6("mz"), r6("intensity"))
+
+
+@query("SELECT o_orderkey, CAST(p AS INTEGER) AS position FROM orders, range(0, 13) r(p) WHERE p = 0 OR p <= o_orderkey % 12")
+def valid_positions(spark: SparkSession, d: str) -> DataFrame:
+    padding = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda p: p > F.col("o_orderkey") % 12)
+    return T.flatten(table(spark, d, "orders").select("o_orderkey", T.valid_mask(padding).alias("valid")), "valid", ["o_orderkey"])
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY 1")
+def layer_mean(spark: SparkSession, d: str) -> DataFrame:
+    return D.layer_mean(fx.fx_activations(spark, d)).select("dim", r6("mean"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS global_spectrum FROM orders")
+def global_row_index(spark: SparkSession, d: str) -> DataFrame:
+    return T.global_index(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "global_spectrum")
+
+
+@query("SELECT chunk_idx, CAST(coalesce(sum(n) OVER (ORDER BY chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT CAST(floor(o_orderkey / 1024) AS INTEGER) AS chunk_idx, count(*) AS n FROM orders GROUP BY 1)")
+def running_offset(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 1024).cast("int").alias("chunk_idx")).agg(F.count("*").alias("n"))
+    return T.running_offset(counts, "chunk_idx", "n").select("chunk_idx", "offset")
+
+
+# notation ----------------------------------------------------------------------------------------------------------
+_PEP = "peptides AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(fx.PEPTIDES)) + ") v(peptide_id, modified_sequence))"
+_PRO = r"pro AS (SELECT *, regexp_replace(regexp_replace(modified_sequence, '\(([+-])\.(\d+)\)', '[\10.\2]', 'g'), '\(([+-])(\d*\.?\d+)\)', '[\1\2]', 'g') AS proforma FROM peptides)"
+_BARE = r"bare AS (SELECT *, regexp_replace(regexp_replace(proforma, '\[[^\]]*\]', '', 'g'), '[^A-Za-z]', '', 'g') AS peptide FROM pro)"
+
+
+@query(f"WITH {_PEP}, {_PRO}, {_BARE} SELECT o_orderkey AS spectrum_idx, proforma, peptide FROM orders JOIN bare ON peptide_id = o_orderkey % 12")
+def proforma_normalise(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.fx_spectra(spark, d).withColumn("proforma", P.to_proforma(F.col("modified_sequence")))
+    return rows.select("spectrum_idx", "proforma", P.bare_sequence(F.col("proforma")).alias("peptide"))
+
+
+_MODS = r"""mods AS (SELECT peptide_id, proforma, i, regexp_extract_all(proforma, '([^\[]*)\[([^\]]+)\]', 2)[i] AS mod_name,
+  length(regexp_replace(array_to_string(list_slice(regexp_extract_all(proforma, '([^\[]*)\[([^\]]+)\]', 1), 1, i), ''), '[^A-Za-z]', '', 'g')) AS position FROM bare, range(1, 5) r(i) WHERE i <= len(regexp_extract_all(proforma, '([^\[]*)\[([^\]]+)\]', 2))),
+  known AS (SELECT *, CASE WHEN abs(abs(CAST(mod_name AS DOUBLE)) - 15.994915) <= 0.02 THEN 35 WHEN abs(abs(CAST(mod_name AS DOUBLE)) - 57.021464) <= 0.02 THEN 4 WHEN abs(abs(CAST(mod_name AS DOUBLE)) - 0.984016) <= 0.02 THEN 7 ELSE -1 END AS unimod_id FROM mods)"""
+
+
+@query(f"WITH {_PEP}, {_PRO}, {_BARE}, {_MODS} SELECT o_orderkey AS spectrum_idx, CAST(position AS INTEGER) AS position, mod_name, CAST(unimod_id AS INTEGER) AS unimod_id FROM orders JOIN known ON peptide_id = o_orderkey % 12")
+def ptm_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.fx_spectra(spark, d).withColumn("proforma", P.to_proforma(F.col("modified_sequence")))
+    mods = rows.select("spectrum_idx", P.bare_sequence(F.col("proforma")).alias("peptide"), F.explode(P.modifications(F.col("proforma"))).alias("m"))
+    return mods.select("spectrum_idx", "m.position", "m.mod_name", P.unimod_id(F.col("m"), F.col("peptide")).alias("unimod_id"))
+
+
+@query(f"WITH {_PEP}, {_PRO} SELECT o_orderkey AS spectrum_idx, replace(replace(replace(proforma, '[+15.99]', '[+15.994915]'), '[+57.02]', '[+57.021464]'), '[+0.98]', '[+0.984016]') AS exact FROM orders JOIN pro ON peptide_id = o_orderkey % 12")
+def exact_mass_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    return fx.fx_spectra(spark, d).select("spectrum_idx", P.exact_mass(P.to_proforma(F.col("modified_sequence"))).alias("exact"))
+
+
+# concepts ----------------------------------------------------------------------------------------------------------
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks with a made-up annotation that reaches every kind of ion, on the peptides of their spectra."""
+    ion = F.element_at(F.array(*[F.lit(x) for x in ("b", "y", "I", "internal", "precursor", "noise")]), (F.col("l_partkey") % 6 + 1).cast("int"))
+    spectra = fx.fx_spectra(spark, d).withColumn("proforma", P.to_proforma(F.col("modified_sequence"))).withColumn("peptide", P.bare_sequence(F.col("proforma")))
+    spectra = spectra.select("spectrum_idx", "peptide", "precursor_charge", K.tracked_mods(P.modifications(F.col("proforma")), F.col("peptide")).alias("mods"))
+    rows = fx.fx_peaks(spark, d).join(spectra, "spectrum_idx").withColumn("ion", ion)
+    index = F.when(F.col("ion").isin("b", "y", "internal"), 1 + F.col("l_suppkey") % (F.length("peptide") - 1))
+    return rows.withColumns({"k": index.cast("int"), "residue": F.when(F.col("ion") == "I", F.substring(F.col("peptide"), (1 + F.col("l_suppkey") % F.length("peptide")).cast("int"), F.lit(1))), "z": (1 + F.col("l_linenumber") % 2).cast("int"), "loss": F.element_at(F.array(F.lit(""), F.lit("H2O"), F.lit("NH3")), (F.col("l_linenumber") % 3 + 1).cast("int"))})
+
+
+_ANN = f"""{fx.SQL["peaks"]}, {_PEP}, {_PRO}, {_BARE}, {_MODS},
+ann AS (SELECT p.*, b.peptide_id, b.peptide, 2 + o_orderkey % 4 AS charge, ['b', 'y', 'I', 'internal', 'precursor', 'noise'][l_partkey % 6 + 1] AS ion, 1 + l_suppkey % (length(b.peptide) - 1) AS k0, substr(b.peptide, CAST(1 + l_suppkey % length(b.peptide) AS INTEGER), 1) AS res0,
+  1 + l_linenumber % 2 AS z, ['', 'H2O', 'NH3'][l_linenumber % 3 + 1] AS loss, length(b.peptide) AS n FROM peaks p JOIN orders ON o_orderkey = spectrum_idx JOIN bare b ON b.peptide_id = o_orderkey % 12),
+geo AS (SELECT *, CASE WHEN ion IN ('b', 'y', 'internal') THEN k0 END AS k, CASE WHEN ion = 'b' THEN k0 WHEN ion = 'y' THEN n - k0 END AS c, CASE ion WHEN 'b' THEN 1 WHEN 'y' THEN n - k0 + 1 WHEN 'internal' THEN k0 WHEN 'precursor' THEN 1 END AS lo,
+  CASE ion WHEN 'b' THEN k0 WHEN 'y' THEN n WHEN 'internal' THEN least(k0 + 2, n) WHEN 'precursor' THEN n END AS hi FROM ann)"""
+
+
+@query(f"""WITH {_ANN} SELECT spectrum_idx, position, ion = 'b' AS is_b_ion, ion <> 'noise' AS is_matched_peak, ion = 'noise' AS is_noise_peak, loss <> '' AS has_neutral_loss, z = 1 AS is_fragment_charge_1,
+  coalesce(3 * c < n, false) AS position_nterm, coalesce(3 * c >= n AND 3 * c < 2 * n, false) AS position_middle, coalesce(3 * c >= 2 * n, false) AS position_cterm, mz < 300 AS mz_low, coalesce(ion IN ('b', 'y') AND k = n - 1, false) AS is_last_ion,
+  coalesce(substr(peptide, CAST(c AS INTEGER), 1) = 'K' AND c > 0, false) AS cleaves_c_to_lys, coalesce(c < n AND c > 0 AND substr(peptide, CAST(c AS INTEGER) + 1, 1) = 'P', false) AS cleaves_n_to_pro,
+  CASE WHEN ion = 'I' THEN res0 = 'K' ELSE coalesce(contains(substr(peptide, CAST(lo AS INTEGER), CAST(hi - lo + 1 AS INTEGER)), 'K'), false) END AS covers_k,
+  EXISTS (SELECT 1 FROM known m WHERE m.peptide_id = geo.peptide_id AND m.unimod_id = 35 AND m.position BETWEEN geo.lo AND geo.hi) AS ion_contains_oxidation FROM geo""")
+def peak_concepts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _annotated(spark, d).withColumn("end", F.least(F.col("k") + 2, F.length("peptide")))
+    flags = K.peak_flags(*[F.col(c) for c in ("peptide", "mods", "ion", "k", "end", "residue", "z", "loss", "mz", "intensity")], F.lit(0.0))
+    names = ("is_b_ion", "is_matched_peak", "is_noise_peak", "has_neutral_loss", "is_fragment_charge_1", "position_Nterm", "position_middle", "position_Cterm", "mz_low", "is_last_ion", "cleaves_C_to_Lys", "cleaves_N_to_Pro", "covers_K", "ion_contains_oxidation")
+    return rows.select(*KEY, *[F.coalesce(flags[c], F.lit(False)).alias(c.lower()) for c in names])
+
+
+@query(f"""WITH {_PEP}, {_PRO}, {_BARE}, {_MODS} SELECT o_orderkey AS spectrum_idx, 2 + o_orderkey % 4 = 2 AS precursor_charge_2, length(peptide) < 7 AS peptide_length_short, length(peptide) >= 7 AND length(peptide) < 16 AS peptide_length_medium,
+  EXISTS (SELECT 1 FROM known m WHERE m.peptide_id = bare.peptide_id AND m.unimod_id = 4) AS spectrum_contains_cam_cys FROM orders JOIN bare ON peptide_id = o_orderkey % 12""")
+def spectrum_concepts(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.fx_spectra(spark, d).withColumn("proforma", P.to_proforma(F.col("modified_sequence"))).withColumn("peptide", P.bare_sequence(F.col("proforma")))
+    ptms = F.transform(K.tracked_mods(P.modifications(F.col("proforma")), F.col("peptide")), lambda m: m["ptm"])
+    flags = K.spectrum_flags(F.col("peptide"), F.filter(ptms, lambda p: p.isNotNull()), F.col("precursor_charge"))
+    return rows.select("spectrum_idx", *[flags[c].alias(c) for c in ("precursor_charge_2", "peptide_length_short", "peptide_length_medium", "spectrum_contains_cam_cys")])
+
+
+@query(sql("peaks") + "SELECT spectrum_idx, round(quantile_cont(intensity, 0.9), 6) AS threshold FROM peaks GROUP BY 1")
+def top_decile_intensity(spark: SparkSession, d: str) -> DataFrame:
+    return K.decile_threshold(fx.fx_peaks(spark, d), ["spectrum_idx"]).select("spectrum_idx", r6("threshold"))
+
+
+@query(sql("peaks") + ", j AS (SELECT a.spectrum_idx, a.position, b.position AS other FROM peaks a JOIN peaks b ON a.spectrum_idx = b.spectrum_idx WHERE abs(a.mz - b.mz) / b.mz * 1e6 <= 20000) SELECT spectrum_idx, position, other FROM j")
+def band_join_ppm(spark: SparkSession, d: str) -> DataFrame:
+    peaks = fx.fx_peaks(spark, d).select(*KEY, "mz")
+    theory = peaks.select("spectrum_idx", F.col("position").alias("other"), F.col("mz").alias("theory_mz"))
+    return G.band_join(peaks, theory, ["spectrum_idx"], "mz", "theory_mz", 20000.0).select(*KEY, "other")
+
+
+@query(sql("peaks") + ", j AS (SELECT a.spectrum_idx, a.position, b.position AS other FROM peaks a JOIN peaks b ON a.spectrum_idx = b.spectrum_idx WHERE abs(a.mz - b.mz) <= 25) SELECT spectrum_idx, position, other FROM j")
+def band_join_da(spark: SparkSession, d: str) -> DataFrame:
+    peaks = fx.fx_peaks(spark, d).select(*KEY, "mz")
+    theory = peaks.select("spectrum_idx", F.col("position").alias("other"), F.col("mz").alias("theory_mz"))
+    return G.band_join(peaks, theory, ["spectrum_idx"], "mz", "theory_mz", 25.0, "Da").select(*KEY, "other")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS token, ['b', 'y', 'I', 'internal'][l_partkey % 4 + 1] AS ion_type, CAST(l_suppkey AS INTEGER) AS ion_index, CAST(l_linenumber % 3 + 1 AS INTEGER) AS fragment_charge, CASE WHEN l_returnflag = 'R' THEN 'H2O' ELSE '' END AS neutral_loss, l_extendedprice AS mz, l_extendedprice + l_quantity AS theory_mz FROM lineitem),
+ o AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY neutral_loss <> '', CASE ion_type WHEN 'I' THEN 2 WHEN 'internal' THEN 3 ELSE 0 END, fragment_charge, round(abs(mz - theory_mz), 9), ion_type, ion_index) AS r FROM c)
+ SELECT token, ion_type, ion_index, fragment_charge, neutral_loss, round(theory_mz, 6) AS theory_mz FROM o WHERE r = 1""")
+def best_annotation(spark: SparkSession, d: str) -> DataFrame:
+    ion = F.element_at(F.array(*[F.lit(x) for x in ("b", "y", "I", "internal")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("token"), ion.alias("ion_type"), F.col("l_suppkey").cast("int").alias("ion_index"), F.lit(None).cast("int").alias("internal_end"), F.lit(None).cast("string").alias("residue"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("fragment_charge"),
+        F.when(F.col("l_returnflag") == "R", "H2O").otherwise("").alias("neutral_loss"), F.col("l_extendedprice").alias("mz"), (F.col("l_extendedprice") + F.col("l_quantity")).alias("theory_mz"),
+    )
+    return G.best_candidates(rows, ["token"]).select("token", "ion_type", "ion_index", "fragment_charge", "neutral_loss", r6("theory_mz"))
+
+
+_MASS = ", ".join(f"('{r}', {m})" for r, m in RESIDUES.items())
+
+
+@query(f"""WITH {_PEP}, {_PRO}, {_BARE}, {_MODS}, w(r, m) AS (VALUES {_MASS}),
+ res AS (SELECT peptide_id, length(peptide) AS n, i, CAST(m AS DOUBLE) + coalesce((SELECT sum(CASE unimod_id WHEN 35 THEN 15.994915 WHEN 4 THEN 57.021464 WHEN 7 THEN 0.984016 END) FROM known k WHERE k.peptide_id = bare.peptide_id AND k.position = x.i), 0) AS m FROM bare, range(1, 30) x(i) JOIN w ON r = substr(peptide, CAST(i AS INTEGER), 1) WHERE i <= length(peptide)),
+ cum AS (SELECT *, sum(m) OVER (PARTITION BY peptide_id ORDER BY i) AS c, sum(m) OVER (PARTITION BY peptide_id) AS t FROM res)
+ SELECT peptide_id, 'b' AS ion_type, CAST(i AS INTEGER) AS ion_index, CAST(1 AS INTEGER) AS fragment_charge, round(c + 1.007276, 6) AS theory_mz FROM cum WHERE i < n
+ UNION ALL SELECT peptide_id, 'y', CAST(n - i AS INTEGER), CAST(1 AS INTEGER), round(t - c + 18.010565 + 1.007276, 6) FROM cum WHERE i < n""")
+def theoretical_ions(spark: SparkSession, d: str) -> DataFrame:
+    mass = F.element_at(F.create_map(*[F.lit(x) for k, (_, m) in PTMS.items() for x in (k, m)]), F.lit(0))
+    rows = spark.createDataFrame(list(enumerate(fx.PEPTIDES)), "peptide_id int, modified_sequence string").withColumn("proforma", P.to_proforma(F.col("modified_sequence")))
+    exact = F.transform(P.modifications(P.exact_mass(F.col("proforma"))), lambda m: F.struct(m["position"].alias("position"), F.coalesce(P.delta_mass(m["mod_name"]), mass).alias("mass")))
+    spectra = rows.select("peptide_id", P.bare_sequence(F.col("proforma")).alias("peptide"), F.lit(2).alias("precursor_charge"), exact.alias("mods"))
+    return G.theoretical_ions(spectra, ["peptide_id"], "by", internal=False).where("neutral_loss = ''").select("peptide_id", "ion_type", "ion_index", "fragment_charge", r6("theory_mz"))
+
+
+@query(sql(*LABELS) + "SELECT concept_idx, CAST(sum(v) AS BIGINT) AS marginal, count(*) AS total, round(avg(v), 6) AS base_rate FROM long_labels GROUP BY 1")
+def concept_base_rates(spark: SparkSession, d: str) -> DataFrame:
+    return S.base_rates(fx.fx_labels(spark, d), N).select("concept_idx", "marginal", "total", r6("base_rate"))
+
+
+_PHI = sql(*LABELS) + """, m AS (SELECT concept_idx, sum(v) AS s, count(*) AS n FROM long_labels GROUP BY 1), j AS (SELECT a.concept_idx AS ci, b.concept_idx AS cj, sum(a.v * b.v) AS n11 FROM long_labels a JOIN long_labels b USING (spectrum_idx, position) GROUP BY 1, 2),
+ phi AS (SELECT ci, cj, CAST(n11 AS BIGINT) AS n11, round(CASE WHEN ci = cj THEN 1 ELSE (CAST(n11 AS DOUBLE) * (a.n - a.s - b.s + n11) - CAST(a.s - n11 AS DOUBLE) * (b.s - n11)) / sqrt(greatest(CAST(a.s AS DOUBLE) * (a.n - a.s) * b.s * (a.n - b.s), 1e-12)) END, 6) AS phi FROM j JOIN m a ON a.concept_idx = ci JOIN m b ON b.concept_idx = cj)"""
+
+
+@query(_PHI + "SELECT ci, cj, n11, phi FROM phi")
+def concept_phi(spark: SparkSession, d: str) -> DataFrame:
+    return S.phi_matrix(fx.fx_labels(spark, d), N).select("ci", "cj", F.col("n11").cast("long").alias("n11"), r6("phi"))
+
+
+@query(_PHI + "SELECT ci, cj FROM phi WHERE ci <> cj AND abs(phi) > 0.3")
+def correlated_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return S.correlated(S.phi_matrix(fx.fx_labels(spark, d), N)).select("ci", "cj")
+
+
+# dictionary --------------------------------------------------------------------------------------------------------
+@query(sql("dictionary") + "SELECT token_id, feature_idx, round(h, 6) AS activation FROM pre WHERE h > 0.15")
+def encode_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return D.encode_sparse(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[1], ["token_id"]).select("token_id", "feature_idx", r6("activation"))
+
+
+@query(_SQL["encode_sparse"])
+def encode_columns(spark: SparkSession, d: str) -> DataFrame:
+    return D.encode_exact(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[0], 0.15, ["token_id"]).select("token_id", "feature_idx", r6("activation"))
+
+
+_RECON = """, s(multiplier) AS (VALUES (0.5), (0.75), (1.0), (1.25), (1.5), (2.0)), f AS (SELECT CAST(multiplier AS DOUBLE) AS multiplier, token_id, feature_idx, h FROM pre, s WHERE h > CAST(0.15 AS DOUBLE) * CAST(multiplier AS DOUBLE)),
+ hat AS (SELECT multiplier, token_id, i, sum(h * w) AS y FROM f JOIN dictionary USING (feature_idx) GROUP BY ALL), tot AS (SELECT count(*) / 64 AS n, sum(x * x) AS total FROM acts), sq AS (SELECT sum(q) AS c FROM (SELECT sum(x) * sum(x) AS q FROM acts GROUP BY i)),
+ res AS (SELECT CAST(s.multiplier AS DOUBLE) AS multiplier, sum(pow(x - coalesce(y, 0), 2)) AS r FROM acts CROSS JOIN s LEFT JOIN hat ON hat.multiplier = CAST(s.multiplier AS DOUBLE) AND hat.token_id = acts.token_id AND hat.i = acts.i GROUP BY 1),
+ act AS (SELECT CAST(s.multiplier AS DOUBLE) AS multiplier, count(h) AS a, count(DISTINCT f.feature_idx) AS live FROM s LEFT JOIN f ON f.multiplier = CAST(s.multiplier AS DOUBLE) GROUP BY 1)"""
+
+
+@query(sql("dictionary") + _RECON + " SELECT multiplier, round(1 - r / greatest(total - c / n, 1e-12), 6) AS fve, round(a / CAST(n AS DOUBLE), 6) AS l0_mean, round((10 - live) * 100.0 / 10, 6) AS dead_pct FROM res JOIN act USING (multiplier), tot, sq")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return D.threshold_sweep(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[1]).select("multiplier", r6("fve"), r6("l0_mean"), r6("dead_pct"))
+
+
+@query(sql("dictionary") + _RECON + " SELECT CAST(n AS BIGINT) AS n_tokens, round(1 - r / greatest(total - c / n, 1e-12), 6) AS fve_overall, round(1 - r / total, 6) AS fve_uncentered, round(r / (n * 64), 6) AS mse_total, round(r / n, 6) AS sse_per_token, round(a / CAST(n AS DOUBLE), 6) AS l0_mean FROM res JOIN act USING (multiplier), tot, sq WHERE multiplier = 1")
+def recon_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = D.reconstruction(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[1])
+    return rows.select("n_tokens", *[r6(c) for c in ("fve_overall", "fve_uncentered", "mse_total", "sse_per_token", "l0_mean")])
+
+
+@query(sql("dictionary") + "SELECT CAST(feature_idx AS INTEGER) AS feature_idx, count(CASE WHEN h > 0.15 THEN 1 END) AS firing_count FROM pre GROUP BY 1")
+def firing_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows, model = fx.fx_dictionary(spark, d)
+    return D.firing_counts(D.encode_sparse(fx.fx_activations(spark, d), model, ["token_id"]), rows)
+
+
+@query(sql("peaks") + ", x AS (SELECT l_quantity AS x, row_number() OVER (ORDER BY l_quantity) AS i FROM peaks) SELECT round((2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * sum(x)), 6) AS gini FROM x")
+def firing_gini(spark: SparkSession, d: str) -> DataFrame:
+    return S.gini(fx.fx_peaks(spark, d), "l_quantity").select(r6("gini"))
+
+
+@query(sql("dictionary") + "SELECT round(avg(abs(c)), 6) AS encoder_decoder_alignment FROM (SELECT feature_idx, sum(w * w) AS c FROM dictionary GROUP BY 1)")
+def enc_dec_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return D.encoder_decoder_alignment(fx.fx_dictionary(spark, d)[0]).select(r6("encoder_decoder_alignment"))
+
+
+@query("WITH a AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM a GROUP BY 1), p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM a JOIN a b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2) SELECT p.a, p.b, round(d / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.vec_id = p.a JOIN n y ON y.vec_id = p.b WHERE d / (x.n * y.n) > 0.95")
+def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of 2000 rows: all of them at the sizes tested, so its SQL compares all pairs."""
+    return D.near_duplicate_directions(table(spark, d, "embeddings"), key="vec_id", vector="embedding").select("a", "b", r6("cosine"))
+
+
+@query(sql("peaks", "features") + ", r AS (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY activation DESC, spectrum_idx, position) - 1 AS rank FROM features) SELECT feature_idx, CAST(rank AS INTEGER) AS rank, round(activation, 6) AS activation, spectrum_idx, position FROM r WHERE rank < 20")
+def feature_topk(spark: SparkSession, d: str) -> DataFrame:
+    return A.top_tokens(fx.fx_features(spark, d), 20, KEY).select("feature_idx", "rank", r6("activation"), *KEY)
+
+
+# associations ------------------------------------------------------------------------------------------------------
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return A.associations(fx.fx_features(spark, d), fx.fx_labels(spark, d), N, KEY)
+
+
+_CONCEPTS = "concepts(concept_idx, concept, family) AS (VALUES " + ", ".join(f"({i}, '{c}', '{'mass' if i < 3 else 'other'}')" for i, c in enumerate(fx.FX_CONCEPTS)) + ")"
+
+
+@query(sql(*PAIRS) + "SELECT feature_idx, concept_idx, CAST(n11 AS BIGINT) AS n11, CAST(mf AS BIGINT) AS mf, CAST(mc AS BIGINT) AS mc, CAST(n AS BIGINT) AS n FROM pairs")
+def contingency(spark: SparkSession, d: str) -> DataFrame:
+    return A.contingency(fx.fx_features(spark, d), fx.fx_labels(spark, d), N, KEY)
+
+
+@query(sql(*PAIRS) + "SELECT feature_idx, concept_idx, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(f1_dom, 6) AS f1_dom, round(lift, 6) AS lift, round(chi2, 3) AS chi2 FROM pairs")
+def contingency_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("feature_idx", "concept_idx", *[r6(c) for c in ("precision", "recall", "f1", "f1_dom", "lift")], F.round("chi2", 3).alias("chi2"))
+
+
+@query(sql(*PAIRS) + "SELECT feature_idx, concept_idx, round(p_value, 6) AS p_value, rejected FROM pairs")
+def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("feature_idx", "concept_idx", r6("p_value"), "rejected")
+
+
+@query(sql(*PAIRS) + ", s AS (SELECT *, row_number() OVER (PARTITION BY concept_idx ORDER BY f1_dom * ln(1 + lift) DESC, feature_idx) AS rank FROM pairs WHERE rejected) SELECT concept_idx, CAST(rank AS INTEGER) AS rank, feature_idx, round(f1_dom, 6) AS f1_dom, round(f1_dom * ln(1 + lift), 6) AS score FROM s WHERE rank <= 20")
+def per_concept_top(spark: SparkSession, d: str) -> DataFrame:
+    return A.per_concept_top(_pairs(spark, d)).select("concept_idx", "rank", "feature_idx", r6("f1_dom"), r6("score"))
+
+
+@query(sql(*PAIRS) + f", {_CONCEPTS}, b AS (SELECT family, feature_idx, max(f1_dom) AS f1_dom, bool_or(rejected) AS any_of, arg_max(concept, f1_dom) AS best FROM pairs JOIN concepts USING (concept_idx) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY f1_dom DESC, feature_idx) AS rank FROM b WHERE any_of) SELECT family, CAST(rank AS INTEGER) AS rank, feature_idx, CASE WHEN f1_dom > 0 THEN best END AS best_concept_name, round(f1_dom, 6) AS f1_dom FROM r WHERE rank <= 20")
+def per_family_top(spark: SparkSession, d: str) -> DataFrame:
+    top = A.per_family_top(_pairs(spark, d), fx.fx_concepts(spark))
+    return top.select("family", "rank", "feature_idx", F.when(F.col("f1_dom") > 0, F.col("best_concept_name")).alias("best_concept_name"), r6("f1_dom"))
+
+
+@query(sql(*PAIRS) + f", {_CONCEPTS} SELECT feature_idx, round(max(mf) / max(n), 6) AS firing_rate, round(max(f1_dom), 6) AS max_f1_dom, arg_max(concept, f1_dom) AS best_concept, count(CASE WHEN rejected THEN 1 END) AS n_significant_concepts FROM pairs JOIN concepts USING (concept_idx) GROUP BY 1")
+def per_feature_stats(spark: SparkSession, d: str) -> DataFrame:
+    return A.per_feature_stats(_pairs(spark, d), fx.fx_concepts(spark)).select("feature_idx", r6("firing_rate"), r6("max_f1_dom"), "best_concept", "n_significant_concepts")
+
+
+@query(sql(*PAIRS) + "SELECT count(*) AS n_significant_pairs, count(DISTINCT feature_idx) AS n_features_with_concept FROM pairs WHERE rejected")
+def significant_totals(spark: SparkSession, d: str) -> DataFrame:
+    return A.significant_totals(_pairs(spark, d))
+
+
+@query(sql(*PAIRS) + "SELECT feature_idx, round(max(f1_dom), 6) AS f1_dom FROM pairs WHERE rejected GROUP BY 1 HAVING max(f1_dom) > 0 ORDER BY max(f1_dom) DESC, 1 LIMIT 100")
+def top_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return A.anchors(_pairs(spark, d)).select("feature_idx", r6("f1_dom"))
+
+
+# causal ------------------------------------------------------------------------------------------------------------
+def _moved(spark: SparkSession, d: str) -> DataFrame:
+    shares = C.prevalence(fx.fx_labels(spark, d).withColumnRenamed("spectrum_idx", "global_spectrum"), N)
+    ce = fx.fx_ce(spark, d)
+    moved = C.deltas(ce.select("global_spectrum", F.col("ce_sae").alias("mean_ce")), ce.select("global_spectrum", F.col("ce_clean").alias("mean_ce")))
+    return moved.join(shares, "global_spectrum")
+
+
+_MOVED = sql(*LABELS, "ce") + """, prev AS (SELECT spectrum_idx AS global_spectrum, avg(c3) AS p3, avg(c4) AS p4, avg(c8) AS p8 FROM labels_ GROUP BY 1), moved AS (SELECT ce.global_spectrum, ce_sae - ce_clean AS delta, p3, p4, p8 FROM ce JOIN prev USING (global_spectrum)) """
+
+
+@query(_MOVED + "SELECT global_spectrum, round(p3, 6) AS p3, round(p4, 6) AS p4, round(p8, 6) AS p8 FROM prev")
+def prevalence(spark: SparkSession, d: str) -> DataFrame:
+    return C.prevalence(fx.fx_labels(spark, d).withColumnRenamed("spectrum_idx", "global_spectrum"), N).select("global_spectrum", r6("p3"), r6("p4"), r6("p8"))
+
+
+_SEL = "SELECT count(*) AS n, round(CASE WHEN count(*) >= 6 AND any_value(lo) <> any_value(hi) THEN avg(CASE WHEN p4 >= hi THEN delta END) - avg(CASE WHEN p4 <= lo THEN delta END) END, 6) AS selectivity FROM "
+
+
+@query(_MOVED + _SEL + "moved, (SELECT quantile_cont(p4, 1.0/3.0) AS lo, quantile_cont(p4, 2.0/3.0) AS hi FROM moved)")
+def selectivity(spark: SparkSession, d: str) -> DataFrame:
+    return C.selectivity(_moved(spark, d), [], p="p4").select("n", r6("selectivity"))
+
+
+@query(_MOVED + ", kept AS (SELECT * FROM moved WHERE p8 <= 0) " + _SEL + "kept, (SELECT quantile_cont(p4, 1.0/3.0) AS lo, quantile_cont(p4, 2.0/3.0) AS hi FROM kept)")
+def orthogonal_selectivity(spark: SparkSession, d: str) -> DataFrame:
+    return C.orthogonal_selectivity(_moved(spark, d), [], ["p8"], p="p4").select("n", r6("selectivity"))
+
+
+@query(sql("ce") + "SELECT CAST(global_spectrum % 5 AS INTEGER) AS k, count(*) AS n, round((any_value(2.0) - avg(ce_sae)) / stddev_samp(ce_sae), 6) AS z FROM ce GROUP BY 1")
+def control_zscore(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.fx_ce(spark, d).select((F.col("global_spectrum") % 5).cast("int").alias("k"), F.lit(2.0).alias("v"), "ce_sae")
+    return S.zscore(rows, ["k"], "v", "ce_sae").select("k", "n", r6("z"))
+
+
+@query(sql("ce") + "SELECT round(sum(ce_clean * valid) / sum(valid), 6) AS ce_clean, round(sum(ce_sae * valid) / sum(valid), 6) AS ce_sae, round((2 + sum(ce_clean * valid) / sum(valid) - sum(ce_sae * valid) / sum(valid)) / 2, 6) AS loss_recovered_vs_zero, CAST(sum(valid) AS BIGINT) AS n_tokens, count(*) AS n_spectra FROM ce")
+def loss_recovered(spark: SparkSession, d: str) -> DataFrame:
+    return C.loss_recovered(fx.fx_losses(spark, d)).select(r6("ce_clean"), r6("ce_sae"), r6("loss_recovered_vs_zero"), "n_tokens", "n_spectra")
+
+
+@query(sql("ce") + "SELECT count(*) AS n, round(avg(ce_clean), 6) AS cached_mean, round(avg(ce_sae), 6) AS fresh_mean, round(avg(abs(ce_clean - ce_sae)), 6) AS mean_abs_diff, round(max(abs(ce_clean - ce_sae)), 6) AS max_abs_diff, avg(abs(ce_clean - ce_sae)) <= greatest(0.01, 0.01 * abs(avg(ce_clean))) AS aligned FROM ce")
+def ce_alignment(spark: SparkSession, d: str) -> DataFrame:
+    ce = fx.fx_ce(spark, d)
+    rows = C.ce_alignment(ce.select("global_spectrum", F.col("ce_clean").alias("mean_ce")), ce.select("global_spectrum", F.col("ce_sae").alias("mean_ce")))
+    return rows.select("n", *[r6(c) for c in ("cached_mean", "fresh_mean", "mean_abs_diff", "max_abs_diff")], "aligned")
+
+
+@query(sql(*PAIRS) + ", f AS (SELECT feature_idx, log10(max(mf) / max(n)) AS x FROM pairs GROUP BY 1), e AS (SELECT quantile_cont(x, 0.0) AS e0, quantile_cont(x, 0.2) AS e1, quantile_cont(x, 0.4) AS e2, quantile_cont(x, 0.6) AS e3, quantile_cont(x, 0.8) AS e4, quantile_cont(x, 1.0) AS e5 FROM f) SELECT feature_idx, CAST(b AS INTEGER) AS bin FROM f, e, range(5) r(b) WHERE x >= [e0, e1, e2, e3, e4, e5][b + 1] AND x < [e0, e1, e2, e3, e4, e5][b + 2] + 1e-9")
+def rate_bins(spark: SparkSession, d: str) -> DataFrame:
+    rates = _pairs(spark, d).groupBy("feature_idx").agg((F.max("mf") / F.max("n")).alias("firing_rate"))
+    return C.rate_bins(rates).select("feature_idx", F.col("bin").cast("int").alias("bin"))
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).groupBy("feature_idx").agg((F.max("mf") / F.max("n")).alias("firing_rate"), F.max("f1_dom").alias("f1_dom"), F.bool_or("rejected").alias("rejected"))
+
+
+@query()
+def weighted_strata(spark: SparkSession, d: str) -> DataFrame:
+    return C.stratified_features(_rated(spark, d), 10)
+
+
+@query()
+def matched_controls(spark: SparkSession, d: str) -> DataFrame:
+    rates = _rated(spark, d)
+    return C.matched_controls(rates.where("feature_idx < 3").select("feature_idx"), rates)
+
+
+@query()
+def hypergeom_null(spark: SparkSession, d: str) -> DataFrame:
+    return C.null_test(_pairs(spark, d))
+
+
+# layers, seeds -----------------------------------------------------------------------------------------------------
+_TWO = sql("peaks", "features") + """, a AS (SELECT spectrum_idx, position, feature_idx AS anchor, activation AS x FROM features WHERE feature_idx IN (1, 2, 21)), b AS (SELECT spectrum_idx, position, CAST(4 AS INTEGER) AS layer, feature_idx, activation AS y FROM features),
+ n AS (SELECT CAST(count(DISTINCT (spectrum_idx, position)) AS DOUBLE) AS n FROM features), sa AS (SELECT anchor, sum(x) AS sx, sum(x * x) AS sxx FROM a GROUP BY 1), sb AS (SELECT layer, feature_idx, sum(y) AS sy, sum(y * y) AS syy FROM b GROUP BY 1, 2),
+ xy AS (SELECT anchor, layer, feature_idx, sum(x * y) AS sxy FROM a JOIN b USING (spectrum_idx, position) GROUP BY 1, 2, 3), r AS (SELECT sa.anchor, sb.layer, sb.feature_idx, (n * coalesce(sxy, 0) - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM sa CROSS JOIN sb CROSS JOIN n LEFT JOIN xy ON xy.anchor = sa.anchor AND xy.layer = sb.layer AND xy.feature_idx = sb.feature_idx)"""
+
+
+@query(_TWO + ", t AS (SELECT *, row_number() OVER (PARTITION BY anchor, layer ORDER BY r DESC, feature_idx) AS rank FROM r) SELECT anchor, layer, feature_idx, round(r, 6) AS r, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 5")
+def anchor_correlation(spark: SparkSession, d: str) -> DataFrame:
+    f = fx.fx_features(spark, d)
+    r = X.feature_correlation(f.where("feature_idx IN (1, 2, 21)"), f.withColumn("layer", F.lit(4)), table(spark, d, "lineitem").count(), KEY)
+    return X.top_matches(r).select("anchor", "layer", "feature_idx", r6("r"), "rank")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS concept, CAST(o_orderkey % 3 AS INTEGER) AS seed, CAST(o_custkey % 40 AS INTEGER) AS feature_idx, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY concept, seed ORDER BY n DESC, feature_idx) AS rank FROM t), k AS (SELECT * FROM r WHERE rank <= 10)
+ SELECT a.concept, b.seed, CAST(count(*) AS INTEGER) AS intersection, CAST(20 - count(*) AS INTEGER) AS "union", round(count(*) / CAST(20 - count(*) AS DOUBLE), 6) AS jaccard FROM k a JOIN k b ON a.concept = b.concept AND a.feature_idx = b.feature_idx WHERE a.seed = 0 AND b.seed > 0 GROUP BY 1, 2""")
+def seed_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("concept"), (F.col("o_orderkey") % 3).cast("int").alias("seed"), (F.col("o_custkey") % 40).cast("int").alias("feature_idx")).agg(F.count("*").alias("n"))
+    ranked = t.withColumn("rank", F.row_number().over(W.partitionBy("concept", "seed").orderBy(F.col("n").desc(), "feature_idx")))
+    return X.seed_overlap(ranked.where("seed = 0").drop("seed"), ranked.where("seed > 0")).select("concept", "seed", "intersection", "union", r6("jaccard"))
+
+
+@query("SELECT CAST(x AS INTEGER) AS layer FROM (VALUES (2), (4), (6), (8), (9), (10), (11), (12), (13)) v(x) WHERE x NOT IN (SELECT label FROM embeddings)")
+def missing_layers(spark: SparkSession, d: str) -> DataFrame:
+    return X.missing_layers((2, 4, 6, 8, 9, 10, 11, 12, 13), table(spark, d, "embeddings"), "label")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def semi_anti(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("SELECT o_orderkey, o_totalprice, 'a' AS split FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice, 'b' FROM orders WHERE o_orderstatus <> 'F'")
+def split_union(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.spectra import merge_splits
+
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum_id"), "o_totalprice", "o_orderstatus")
+    parts = [o.where("o_orderstatus = 'F'").withColumn("split", F.lit("a")), o.where("o_orderstatus != 'F'").withColumn("split", F.lit("b"))]
+    return merge_splits(parts).select(F.col("spectrum_id").alias("o_orderkey"), "o_totalprice", "split")
+
+
+# interpretation ----------------------------------------------------------------------------------------------------
+@query(sql("peaks") + "SELECT spectrum_idx, position, CAST(row_number() OVER (PARTITION BY spectrum_idx ORDER BY intensity DESC, position) AS INTEGER) AS peak_rank, count(*) OVER (PARTITION BY spectrum_idx) AS n_peaks, round(intensity / max(intensity) OVER (PARTITION BY spectrum_idx), 6) AS rel_intensity FROM peaks")
+def peak_rank(spark: SparkSession, d: str) -> DataFrame:
+    return I.intensity_rank(fx.fx_peaks(spark, d), ["spectrum_idx"]).select(*KEY, "peak_rank", "n_peaks", r6("rel_intensity"))
+
+
+@query(sql("peaks") + ", j AS (SELECT a.spectrum_idx, a.position, b.position AS p, b.mz, row_number() OVER (PARTITION BY a.spectrum_idx, a.position ORDER BY abs(a.mz - b.mz), b.position) AS r FROM peaks a JOIN peaks b ON a.spectrum_idx = b.spectrum_idx AND a.position <> b.position) SELECT spectrum_idx, position, string_agg(printf('%.4f', mz), ' ' ORDER BY p) AS nearby FROM j WHERE r <= 6 GROUP BY 1, 2")
+def nearest_peaks(spark: SparkSession, d: str) -> DataFrame:
+    peaks = fx.fx_peaks(spark, d)
+    near = I.nearest_peaks(peaks, peaks, ["spectrum_idx"])
+    return near.select(*KEY, F.array_join(F.transform("neighbour_mzs", lambda m: F.format_string("%.4f", m)), " ").alias("nearby"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 AND l_quantity <= 50 THEN CAST(ceil(l_quantity / 5) - 1 AS INTEGER) END AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def example_bins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", I.activation_bin(F.col("l_quantity") / 50).alias("bin"))
+    return rows.groupBy("l_orderkey", "l_linenumber", "bin").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT event_id AS feature_idx, user_id % 10 AS id, value FROM events) SELECT CAST(feature_idx AS INTEGER) AS feature_idx, CAST(id AS INTEGER) AS example_id, round(least(greatest(value, 0), 1), 6) AS predicted FROM x WHERE id < 5
+ UNION ALL SELECT CAST(feature_idx AS INTEGER), CAST(9 AS INTEGER), CAST(0.25 AS DOUBLE) FROM x""")
+def prediction_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("event_id").cast("int").alias("feature_idx"), (F.col("user_id") % 10).alias("id"), "value")
+    reply = F.concat(F.lit("example_id,activation\nHere they are, as asked\n9,0.5\n"), F.col("id").cast("string"), F.lit(", "), F.col("value").cast("string"), F.lit("\n9,0.25\n77,1"))
+    valid = e.select("feature_idx", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("example_id")).where("example_id < 5 OR example_id = 9")
+    return I.parse_predictions(e.select("feature_idx", F.when(F.col("id") == 9, F.lit("9,0.25")).otherwise(reply).alias("reply")), valid).select("feature_idx", "example_id", r6("predicted"))
+
+
+@query("SELECT o_orderkey, 'About ' || o_orderpriority AS description, 'Status ' || o_orderstatus AS summary FROM orders")
+def description_parse(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit("DESCRIPTION:  About "), F.col("o_orderpriority"), F.lit("\n SUMMARY: Status "), F.col("o_orderstatus"), F.lit("\nmore"))
+    text, summary = I.parse_description(reply)
+    return table(spark, d, "orders").select("o_orderkey", text.alias("description"), summary.alias("summary"))
+
+
+@query("SELECT l_returnflag AS feature, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def pearson_score(spark: SparkSession, d: str) -> DataFrame:
+    return S.pearson(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "feature"), ["feature"], "l_quantity", "l_extendedprice").select("feature", "n", r6("r"))
+
+
+@query("SELECT o_orderpriority AS stratum, round(median(o_totalprice), 6) AS median_r, count(*) AS n FROM orders GROUP BY 1")
+def median_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("stratum"), F.col("o_totalprice").alias("pearson_r"))
+    return I.median_by_stratum(rows).select("stratum", r6("median_r"), "n")
+
+
+@query("SELECT o_custkey AS feature_idx, arg_max(o_orderkey, (abs(o_totalprice), o_orderkey)) AS concept FROM orders GROUP BY 1")
+def best_causal_record(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("feature_idx"), F.col("o_orderkey").alias("concept"), F.col("o_totalprice").alias("selectivity"))
+    return C.best_causal_record(rows).select("feature_idx", "concept")
+
+
+@query("SELECT p_partkey, translate(p_name || ',x' || chr(10) || p_type, ',' || chr(10) || chr(13), ';  ') AS cell, TRY_CAST(p_size || 'x' AS DOUBLE) AS bad, CAST(p_size AS DOUBLE) AS good FROM part")
+def text_cells(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", I.csv_safe(F.concat("p_name", F.lit(",x\n"), "p_type")).alias("cell"), finite(F.concat(F.col("p_size").cast("string"), F.lit("x"))).alias("bad"), finite(F.col("p_size").cast("string")).alias("good"))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_orderkey < 1000 THEN 2e-4 * (o_orderkey + 1) / 1000 ELSE 2e-5 + 0.5 * 1.8e-4 * (1 + cos(pi() * least(1, (o_orderkey - 1000) / CAST(9000 AS DOUBLE)))) END, 9) AS lr FROM orders")
+def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", F.round(cosine_warmup(F.col("o_orderkey"), 2e-4, 1000, 10000), 9).alias("lr"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_hours(spark: SparkSession, d: str) -> DataFrame:
+    return event_windows(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT concept_idx, concept, family, diagnostic FROM (VALUES " + ", ".join(f"({i}, '{c}', '{f}', {str(f == 'spectrum_ptm_diagnostic').lower()})" for i, (c, f) in enumerate(FAMILY_OF.items())) + ") v(concept_idx, concept, family, diagnostic)")
+def concept_registry(spark: SparkSession, d: str) -> DataFrame:
+    return concept_table(spark)
+
+
+# iterative ---------------------------------------------------------------------------------------------------------
+@query()
+def effective_rank(spark: SparkSession, d: str) -> DataFrame:
+    model = fx.fx_dictionary(spark, d)[1]
+    return spark.createDataFrame([(D.effective_rank(model.w_dec),)], "effective_rank double")
+
+
+@query()
+def train_step(spark: SparkSession, d: str) -> DataFrame:
+    config = R.TrainConfig(d_dict=16, k=4, k_aux=4, epochs=1, batch=256, warmup=2, lr=1e-2)
+    _, log = R.train(fx.fx_activations(spark, d), config)
+    return spark.createDataFrame([(x["epoch"], x["step"], x["recon_loss"], x["dead"]) for x in log if "epoch" in x], "epoch int, step int, recon_loss double, dead int")
 
 
 def queries() -> dict[str, Query]:
-    return {"scan_project_filter": scan_project_filter}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_project_filter": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 15000"}
+    return dict(_SQL)
