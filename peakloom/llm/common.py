@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,34 +10,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
+from ..staging import delete_path, shared_dir
+from ..staging import staged as _staged
 
+__all__ = ["drop_staged", "fold", "partitions", "ragged", "shared_dir", "slices", "staged", "tasks_for"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder of ours."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="peakloom-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        base = "file://" + _OWN[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def staged(df: DataFrame, name: str, codec: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in at most ``files`` files if given."""
+    return _staged(df.coalesce(files) if files and files < partitions(df.sparkSession) else df, name, codec)
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def tasks_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
+    """Tasks for a table of known size: 32 MB each, but four for each core, so that small tables are no more files than that."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows * row_bytes // (32 << 20)))
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files that ``staged`` wrote, once nothing will read them again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, folder)
 
 
 def partitions(spark: SparkSession) -> int:
