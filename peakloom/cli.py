@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None, model: object = None, client: object = N
     if args.stage in ("extract", "all"):
         if not args.source:
             parser().error("extract needs --source")
-        stages.extract(spark, args.source, out, model, layers, args.chunk_size, args.max_spectra)
+        stages.extract(spark, args.source, out, model, layers, args.chunk_size, most=args.max_spectra)
     if args.stage in ("annotate", "all"):
         stages.label(out, args.tolerance, args.tolerance_mode)
     for layer in layers:

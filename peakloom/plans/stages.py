@@ -26,8 +26,10 @@ KEYS = ["chunk_idx", "spectrum_idx"]
 TOKEN = ["chunk_idx", "token_in_chunk"]
 
 
-def extract(spark: SparkSession, source: str, out: Artefacts, model: ModelAdapter, layers: Sequence[int], chunk: int = 1024, most: int | None = None) -> dict:
+def extract(spark: SparkSession, source: str, out: Artefacts, model: ModelAdapter, layers: Sequence[int], chunk: int = 1024, batch: int = 32, most: int | None = None) -> dict:
     """Spectra, tokens and activations. Chunks that are there already are left as they are."""
+    if chunk < 1 or batch < 1 or chunk % batch and chunk > batch:
+        raise ValueError("chunks must hold whole batches")
     if most is not None and most <= 0:
         raise ValueError("the cap on spectra must be positive")
     raw = read_spectra(spark, source)
@@ -44,7 +46,7 @@ def extract(spark: SparkSession, source: str, out: Artefacts, model: ModelAdapte
     tokens = out.read("tokens")
     if out.missing_chunks(spectra, "activations").limit(1).count():
         todo = out.missing_chunks(spectra, "activations")
-        vectors = capture_activations(todo.select("global_spectrum", F.col("mz_array").alias("mz")), model, layers)
+        vectors = capture_activations(todo.select("global_spectrum", F.col("mz_array").alias("mz")), model, layers, batch)
         out.write_chunks(vectors.join(tokens.select("global_spectrum", "position", *TOKEN), ["global_spectrum", "position"]), "activations", layer=True)
     check_alignment(out.layer(layers[0]).select("chunk_idx"), tokens.select("chunk_idx"))
     return out.extraction_manifest(spectra, tokens, {"chunk": chunk, "layers": list(layers)})
