@@ -88,18 +88,30 @@ def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place.reshape(-1, WINDOW), owner, np.minimum(sizes[owner] - number * WINDOW, WINDOW)
 
 
-def train(texts: list[str], labels: list[str], filters: int = 16, width: int = 8, epochs: int = 6, per_text: int = 6, rate: float = 0.01, seed: int = 5) -> ByteCnn:
-    """Adam on cross-entropy over at most ``per_text`` windows of each labelled text, drawn over its whole length."""
+def drawn(texts: pa.Array, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` windows of each text, drawn over its whole length, and the text of each; very short ends are left out."""
+    x, owner, size = windows_of(texts)
+    if not len(x):
+        return x, owner
+    order = np.random.default_rng(seed).permutation(len(x))
+    order = order[np.argsort(owner[order], kind="stable")]
+    own = owner[order]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(own)), 0))
+    keep = order[(np.arange(len(own)) - first < most) & (size[order] >= 16)]
+    return x[keep], owner[keep]
+
+
+def train(texts: list[str], labels: list[str], per_text: int = 6, seed: int = 5, **options) -> ByteCnn:
+    """Train on windows of labelled texts."""
+    x, owner = drawn(pa.array(texts, pa.string()), per_text, seed)
+    return train_windows(x, [labels[i] for i in owner], seed=seed, **options)
+
+
+def train_windows(x: np.ndarray, labels: list[str], filters: int = 16, width: int = 8, epochs: int = 6, rate: float = 0.01, seed: int = 5) -> ByteCnn:
+    """Adam on cross-entropy over windows of symbols."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
-    x, owner, size = windows_of(pa.array(texts, pa.string()))
-    order = rng.permutation(len(x))
-    _, first = np.unique(owner[order], return_index=True)
-    turn = np.empty(len(order), np.int64)  # the how-many-eth drawn window of its text
-    by = np.argsort(owner[order], kind="stable")
-    turn[by] = np.arange(len(by)) - np.repeat(np.flatnonzero(np.concatenate([[True], np.diff(owner[order][by]) > 0])), np.bincount(owner, minlength=1)[np.unique(owner)])
-    keep = order[(turn < per_text) & (size[order] >= 16)]
-    x, y = x[keep], np.array([langs.index(labels[i]) for i in owner[keep]])
+    y = np.array([langs.index(v) for v in labels])
     parts = [rng.normal(0, 0.5, (N_SYMBOLS, width))] + [rng.normal(0, 1 / np.sqrt(w * width), (w, width, filters)) for w in WIDTHS] + [np.zeros(filters) for _ in WIDTHS] + [rng.normal(0, 0.1, (filters * len(WIDTHS), len(langs))), np.zeros(len(langs))]
     moment, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     k = len(WIDTHS)
@@ -140,10 +152,12 @@ def train(texts: list[str], labels: list[str], filters: int = 16, width: int = 8
     return ByteCnn(langs, parts[0], parts[1 : 1 + k], parts[1 + k : 1 + 2 * k], parts[-2], parts[-1])
 
 
-def fit(docs: DataFrame, per_lang: int = 600, seed: int = 5) -> ByteCnn | None:
-    """Train on about ``per_lang`` texts of each language, drawn by a hash of the id; None without labelled texts.
+def fit(docs: DataFrame, per_lang: int = 600, per_text: int = 6, seed: int = 5) -> ByteCnn | None:
+    """Train on windows of about ``per_lang`` texts of each language, drawn by a hash of the id; None without labelled texts.
 
-    ``docs``: doc_id, text, lang, with the training rows only. The bound on the sample does not hang on the table's size.
+    ``docs``: doc_id, text, lang, with the training rows only. The tasks draw ``per_text`` windows of each text, so
+    what comes to the driver hangs neither on the table's size nor on the texts' lengths. Rows come in any order and
+    are put into a fixed one before training.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -151,9 +165,20 @@ def fit(docs: DataFrame, per_lang: int = 600, seed: int = 5) -> ByteCnn | None:
         return None
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     share = F.element_at(F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, per_lang / n))]), F.col("lang"))
-    drawn = rows.where(unit < share).select("lang", "text").limit(2 * per_lang * len(counts)).toArrow()
-    texts, labels = drawn.column("text").to_pylist(), drawn.column("lang").to_pylist()
-    return train(texts, labels, seed=seed) if texts else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x, owner = drawn(part.column("text"), per_text, seed)
+                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(owner)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "window"])
+
+    some = rows.where(unit < share).select("lang", F.col("text").cast("string"))
+    got = some.mapInArrow(run, "lang string, window binary").limit(2 * per_text * per_lang * len(counts)).toArrow()
+    windows = sorted(zip(got.column("window").to_pylist(), got.column("lang").to_pylist(), strict=True))
+    if not windows:
+        return None
+    x = np.frombuffer(b"".join(w for w, _ in windows), np.uint8).reshape(-1, WINDOW)
+    return train_windows(x, [c for _, c in windows], seed=seed)
 
 
 def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.ndarray, np.ndarray]:
