@@ -7,11 +7,11 @@ texts are similar if m / (n1 + n2 - m) >= 0.8, with m the longest common subsequ
 found by an alignment within the band that this allows. At 0.8 a key is shared with probability of about 0.51, none
 of 20 with less than 1e-6.
 
-Texts of equal words are one node. In each bucket of a key every text is verified against one text, never all pairs.
-First that is the text that shares most buckets with others, as an original does with its copies. Buckets that still
-hold several components then take another text by hash, different in each bucket, so that a text meets as many
-others in a round as it has keys; the later rounds do so in buckets of two keys, which close texts share more often.
-This ends when a round finds no link, after ``ROUNDS`` rounds at most.
+Texts of equal words are one node. First every text of a bucket is verified against one leader, the text that shares
+most buckets with others, as an original does with its copies. Then every pair of texts that share a bucket and are
+still in different components is settled, with no bound on partners: the mixed buckets are cut into blocks, and each
+pair of blocks is a group that counts the shingles common to its texts and aligns those pairs that have enough. So a
+pair that shares a key is either in one component or found not to be similar.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from .components import components
 from .units import _VALUES, LOWER, _powers
 
 WORDS, HASHES, TAKE, SIMILARITY = 5, 20, 3, 0.8
-ROUNDS = 6
+#: Shingles in a block of a mixed bucket; a pair of blocks is held in memory at once.
+BLOCK = 1 << 18
 _RNG = np.random.default_rng(33)
 _ODD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +192,75 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def linked(sequences: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (places of two texts) that join the components ``roots`` as all similar pairs of different components do.
+
+    With two ``sides`` only pairs across them count. Lengths and the number of common labelled shingles rule out pairs
+    that no alignment could link; a pair already joined by links found here needs none.
+    """
+    lengths = np.array([len(s) for s in sequences])
+    by = np.argsort(lengths, kind="stable")
+    lengths, root, side = lengths[by], roots[by].copy(), sides[by]
+    values, flat = np.unique(np.concatenate([labelled(sequences[i]) for i in by]), return_inverse=True)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    has = np.zeros(len(values), np.int32)
+    two = side.min() != side.max()
+    out = []
+    for t in range(len(by) - 1):
+        last = int(np.searchsorted(lengths, lengths[t] / similarity + 1e-6, "right"))
+        open_ = root[t + 1 : last] != root[t]
+        if two:
+            open_ &= side[t + 1 : last] != side[t]
+        if not open_.any():
+            continue
+        has[flat[starts[t] : ends[t]]] = 1
+        common = np.add.reduceat(has[flat[ends[t] : ends[last - 1]]], starts[t + 1 : last] - ends[t])
+        has[flat[starts[t] : ends[t]]] = 0
+        need = np.ceil((lengths[t] + lengths[t + 1 : last]) * similarity / (1 + similarity) - 1e-9)
+        for u in (np.flatnonzero(open_ & (common >= need)) + t + 1).tolist():
+            if root[u] != root[t] and aligned(sequences[by[t]], sequences[by[u]], similarity):
+                out.append((int(by[t]), int(by[u])))
+                root[root == root[u]] = root[t]
+    return out
+
+
+def across(own: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b of roots for the similar pairs that share a bucket in ``own`` (bucket, digest, n, root) and differ in root."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                names, found = digests(part.column("text"))
+                keep = [i for i, (name, d) in enumerate(zip(names, part.column("digest").to_pylist(), strict=True)) if name == d and len(found[i])]
+                sizes = np.cumsum([0] + [len(found[i]) for i in keep])
+                flat = np.concatenate([found[i] for i in keep]) if keep else np.empty(0, np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(keep, pa.int64())), lists], names=["digest", "s"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        roots, sides = group.column("root").to_pylist(), group.column("side").to_numpy()
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        links = []
+        if len(number) > 1:
+            lists = group.column("s").combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            sequences = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            links = linked(sequences, np.array([number[r] for r in roots]), sides, similarity)
+        return pa.table([pa.array([roots[x] for x, _ in links], pa.binary()), pa.array([roots[y] for _, y in links], pa.binary())], names=["a", "b"])
+
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("all")).where("r0 != r1")
+    blocks = mixed.select("bucket", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    placed = own.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    placed = staged(placed.select("bucket", "digest", "root", "blocks", "side"), "placed")
+    wanted = placed.select("digest").distinct()
+    known = bodies.join(wanted.hint("merge"), "digest").select("digest", "text").mapInArrow(cut, "digest binary, s array<long>")
+    each = placed.join(known.hint("merge"), "digest").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "s")
+    return each.groupBy("bucket", "i", "j").applyInArrow(settle, "a binary, b binary")
+
+
 def sieve(ids: DataFrame, column: str, rows: int) -> np.ndarray:
     """A Bloom filter of a column of longs: about ten bits for each row, but never more than 2 ** 26 bits.
 
@@ -232,10 +302,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     spark = docs.sparkSession
     sketches = staged(sketch(docs), "sketches")
     files = tasks_for(spark, sketches.count(), 200)
-    texts = staged(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "texts", files=files)
-    entries = texts.select("digest", F.explode("keys").alias("bucket"))
+    texts = staged(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("n").alias("n")), "texts", files=files)
+    entries = texts.select("digest", "n", F.explode("keys").alias("bucket"))
     buckets = staged(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets", files=files)
-    members = staged(entries.join(buckets, "bucket").select("bucket", "digest", "size"), "members", files=files)
+    members = staged(entries.join(buckets, "bucket").select("bucket", "digest", "n", "size"), "members", files=files)
     weights = staged(members.groupBy("digest").agg(F.sum("size").alias("weight")), "weights", files=files)
     heavy = members.join(weights, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("x"))
     leaders = staged(heavy.select("bucket", F.col("x.digest").alias("leader")), "leaders", files=files)
@@ -247,30 +317,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     tried = staged(members.join(leaders, "bucket").where("digest != leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), "pairs", files=files)
     labels = components(staged(verified(tried, bodies, similarity), "links", files=files), files)
-    for turn in range(1, ROUNDS):
-        of = labels.select(F.col("node").alias("digest"), "root")
-        own = staged(members.join(of, "digest", "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root")), "own", files=files)
-        mixed = own.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-        if turn > 1:  # finer buckets of two keys: the closer two texts are, the more of them they share
-            rest = own.join(staged(mixed, "mixed", files=files), "bucket").groupBy("digest").agg(F.first("root").alias("root"))
-            place = F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1)))
-            pair = F.xxhash64(F.col("keys")[F.col("i")], F.col("keys")[(F.col("i") + turn - 1) % HASHES], F.lit(turn), F.col("i"))
-            fine = rest.join(texts.select("digest", "keys"), "digest").withColumn("i", place)
-            own = staged(fine.select(pair.alias("bucket"), "digest", "root"), "own", files=files)
-        pick = F.min_by(F.struct("digest", "root"), F.xxhash64("digest", "bucket", F.lit(turn)))
-        again = own.groupBy("bucket").agg(pick.alias("x"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        again = staged(again.select("bucket", F.col("x.digest").alias("leader"), F.col("x.root").alias("leader_root")), "leaders", files=files)
-        fresh = own.join(again, "bucket").where("root != leader_root").select(F.col("digest").alias("a"), F.col("leader").alias("b"), F.col("root").alias("ra"), F.col("leader_root").alias("rb")).distinct()
-        fresh = staged(fresh.join(tried, ["a", "b"], "left_anti"), "pairs", files=files)
-        more = staged(verified(fresh.select("a", "b"), bodies, similarity), "links", files=files)
-        if turn > 1 and not more.limit(1).count():
-            break
-        tried = tried.unionByName(fresh.select("a", "b"))
-        # Only the components' roots are linked anew, so the old links are not walked again.
-        up = components(more.join(fresh, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), files)
-        single = up.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti")
-        above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = staged(labels.unionByName(single).join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", files=files)
+    of = labels.select(F.col("node").alias("digest"), "root")
+    own = staged(members.join(of, "digest", "left").select("bucket", "digest", "n", F.coalesce("root", "digest").alias("root")), "own", files=files)
+    more = staged(across(own, bodies, similarity).distinct(), "links", files=files)
+    # Only the components' roots are linked anew, so the old links are not walked again.
+    up = components(more, files)
+    single = up.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti")
+    above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    labels = staged(labels.unionByName(single).join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", files=files)
     classes = texts.select("digest", "first_id").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     classes = staged(classes, "classes", files=files)
     least = staged(classes.groupBy("root").agg(F.min("first_id").alias("class_id")), "least", files=files)

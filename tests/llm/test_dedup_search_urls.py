@@ -69,6 +69,21 @@ def test_classes_equal_brute_force(make_docs):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows)
 
 
+@pytest.mark.parametrize("block", [1 << 18, 20000])
+def test_no_link_of_a_large_group_is_lost(make_docs, monkeypatch, block):
+    """Each text is close to the one it was copied from, but to few others of one class."""
+    rng = np.random.default_rng(3)
+    copies = [[f"v{i}" for i in range(160)]]
+    for c in range(1, 600):
+        copy = copies[int(rng.integers(0, c))].copy()
+        for at in rng.choice(32, 3, replace=False) * 5:
+            copy[at] = f"c{c}e{at}"
+        copies.append(copy)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rows = order_minhash.near_duplicates(make_docs([" ".join(c) for c in copies])).collect()
+    assert len(rows) == 600 and {r["class_id"] for r in rows} == {0}
+
+
 def test_near_duplicates_of_edge_cases(edge, make_docs):
     rows = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(edge).collect()}
     assert rows[3] == rows[4] == 3 and rows[5] == rows[6] == 5 and rows[0] == 0 and rows[1] == 1 and len(rows) == edge.count()
