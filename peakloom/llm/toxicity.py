@@ -2,13 +2,14 @@
 
 Features are the distinct units (words, without case) of a text and the beginnings of longer ones, hashed; those that tell the classes apart on a
 bounded labelled sample are kept, with the identity terms. The loss is logistic with an L2 term and, for every labelled
-sentence that names a group, the squared change of its score when the term is swapped for others of its language: so
-the model cannot lean on the mention of a group.
+sentence that names a group, the squared change of its score when the term is swapped for others of its language, with
+all features that go and come by it: so the model cannot lean on the mention of a group, nor on its beginning.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -37,21 +38,47 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low, starts, ends, keys, counts = cut(texts)
     owner = np.repeat(np.arange(len(counts)), counts)
     hashed, owners = [keys], [owner]
+    for own, value in _beginnings(low, starts, ends):
+        hashed.append(value)
+        owners.append(owner[own])
+    return (np.concatenate(hashed) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
+
+
+def _beginnings(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: places of the longer units, and the hashes of their beginnings."""
     for n in STEMS:
         own = np.flatnonzero(ends - starts > n)
         value = np.full(len(own), n, np.uint64)
         for i in range(n):
             value = (value + low[starts[own] + i]) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-        hashed.append(value * np.uint64(0xBF58476D1CE4E5B9))
-        owners.append(owner[own])
-    return (np.concatenate(hashed) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
+        yield own, value * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def feature_of(word: str) -> int:
     return int(features(pa.array([word]))[0][0])
 
 
+def stems_of(words: Sequence[str]) -> dict[int, list[int]]:
+    """The feature of each word, with those of its beginnings."""
+    return {int(f[0]): f[1:].tolist() for f in (features(pa.array([w]))[0] for w in words)}
+
+
+def shared(texts: pa.Array, stems: np.ndarray) -> list[np.ndarray]:
+    """Those of ``stems`` that two or more distinct units of a text begin with: they stay when one of the units goes."""
+    low, starts, ends, keys, counts = cut(texts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    found = [np.empty((0, 2), np.int64)]
+    for own, value in _beginnings(low, starts, ends):
+        stem = (value >> np.uint64(64 - BITS)).astype(np.int64)
+        hit = np.isin(stem, stems)
+        units = np.unique(np.stack([owner[own][hit], stem[hit], keys[own][hit].view(np.int64)], 1), axis=0)
+        pairs, n = np.unique(units[:, :2], axis=0, return_counts=True)
+        found.append(pairs[n > 1])
+    rows = np.concatenate(found)
+    return [rows[rows[:, 0] == i, 1] for i in range(len(texts))]
+
+
 @dataclass
 class Classifier:
     index: np.ndarray  # sorted feature hashes
@@ -82,8 +109,13 @@ def _select(sets: list[np.ndarray], y: np.ndarray, most: int, least: int) -> np.
     return np.sort(values[good[np.argsort(-chi[good], kind="stable")[:most]]])
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, swaps: Sequence[Sequence[int]], most: int = 4096, least: int = 3, l2: float = 1e-4, fair: float = 1.0, rounds: int = 600, rate: float = 0.1) -> Classifier:
-    """Full-batch Adam. ``sets``: distinct feature hashes of each text; ``swaps``: hashes of the terms of each language."""
+def train(sets: list[np.ndarray], y: np.ndarray, swaps: Sequence[Sequence[int]], most: int = 4096, least: int = 3, l2: float = 1e-4, fair: float = 1.0, rounds: int = 600, rate: float = 0.1, stems: dict[int, list[int]] | None = None, kept: Sequence[np.ndarray] | None = None) -> Classifier:
+    """Full-batch Adam. ``sets``: distinct feature hashes of each text; ``swaps``: hashes of the terms of each language.
+
+    ``stems``: for each term the features of its beginnings, those of ``IDENTITY`` if not given; ``kept``: for each text
+    the stems that do not go with a term, as other units have them (see ``shared``).
+    """
+    stems = stems_of([t for group in IDENTITY for t in group]) if stems is None else stems
     terms = sorted({t for group in swaps for t in group})
     index = np.unique(np.concatenate([_select(sets, y, most, least), np.array(terms, np.int64)]))
     rows, cols = [], []
@@ -93,22 +125,29 @@ def train(sets: list[np.ndarray], y: np.ndarray, swaps: Sequence[Sequence[int]],
         rows.append(np.full(len(at), i))
         cols.append(at)
     row, col = np.concatenate(rows), np.concatenate(cols)
-    place = {int(t): int(np.searchsorted(index, t)) for t in terms}
-    change: list[tuple[int, int]] = []  # feature that goes, feature that comes, for each counterfactual
-    for s in sets:
+    place = {int(f): i for i, f in enumerate(index.tolist())}
+    parts = {t: {t, *stems.get(t, ())} & place.keys() for t in terms}
+    change: Counter[tuple[frozenset[int], frozenset[int]]] = Counter()  # features that go and that come, for each counterfactual
+    for i, s in enumerate(sets):
         own = set(s.tolist())
+        stay = set(kept[i].tolist()) if kept is not None else set()
         for group in swaps:
-            change += [(place[t], place[o]) for t in group if t in own for o in group if o not in own]
-    gone, come = (np.array(x, np.int64) for x in zip(*change, strict=True)) if change else (np.empty(0, np.int64),) * 2
+            for t in own.intersection(group):
+                rest = own - (parts[t] - stay)
+                change.update((frozenset(parts[t] - stay - parts[o]), frozenset(parts[o] - rest - parts[t])) for o in group if o != t)
+    total = change.total()
+    times = np.array(list(change.values()), float)
+    moved = [(c, place[f], sign) for c, pair in enumerate(change) for side, sign in zip(pair, (-1.0, 1.0), strict=True) for f in side]
+    which, feature, sign = (np.array(x, kind) for x, kind in zip(zip(*moved, strict=True), (np.int64, np.int64, float), strict=True)) if moved else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     w, bias = np.zeros(len(index)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
         z = np.bincount(row, w[col], len(y)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
         grad = np.bincount(col, g[row], len(w)) + l2 * w
-        if len(gone):
-            d = 2 * fair * (w[come] - w[gone]) / len(gone)
-            grad += np.bincount(come, d, len(w)) - np.bincount(gone, d, len(w))
+        if len(which):
+            d = 2 * fair * times * np.bincount(which, sign * w[feature], len(times)) / total
+            grad += np.bincount(feature, sign * d[which], len(w))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -131,6 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, identity: Seq
     share = F.when(F.col("toxic") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     drawn = known.where(unit < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(4 * per_class)
 
+    stems = stems_of([t for group in identity for t in group])
+    among = np.unique(np.array([f for own in stems.values() for f in own], np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -138,18 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, identity: Seq
                 pair = np.unique((owner << BITS) | hashed)
                 ends = np.searchsorted(pair, np.arange(1, part.num_rows + 1) << BITS)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pair & ((1 << BITS) - 1)))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], names=["toxic", "features"])
+                kept = pa.array([x.tolist() for x in shared(part.column("text"), among)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), lists, kept], names=["toxic", "features", "kept"])
 
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    got = rows.mapInArrow(run, "toxic int, features array<long>").toArrow()
+    got = rows.mapInArrow(run, "toxic int, features array<long>, kept array<long>").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return empty
-    lists = got.column("features").combine_chunks()
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy().astype(np.int64)
-    sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return train(sets, y, [[feature_of(t) for t in group] for group in identity])
+    sets, kept = (_lists(got.column(name)) for name in ("features", "kept"))
+    return train(sets, y, [[feature_of(t) for t in group] for group in identity], stems=stems, kept=kept)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def score(docs: DataFrame, model: Classifier, limit: float = 0.3) -> DataFrame:

@@ -120,6 +120,27 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert len(toxicity.swapped("the women went home")) == len(toxicity.IDENTITY[0]) - 1
 
 
+def test_counterfactual_penalty_covers_the_beginnings_of_long_terms():
+    texts = [f"the immigrants are idiot and bad {i}" for i in range(40)] + [f"the men went home today {i}" for i in range(75)] + [f"the immigrants went home today {i}" for i in range(5)]
+    y = np.array([1.0] * 40 + [0.0] * 80)
+    hashed, owner = toxicity.features(pa.array(texts))
+    sets = [np.unique(hashed[owner == i]) for i in range(len(texts))]
+    swaps = [[toxicity.feature_of(t) for t in toxicity.IDENTITY[0]]]
+    gap = {}
+    for fair in (0.0, 5.0):
+        a, b = toxicity.train(sets, y, swaps, fair=fair).scores(pa.array(["the immigrants", "the men"]))
+        gap[fair] = abs(a - b)
+    assert gap[0.0] > 0.3 and gap[5.0] < 0.2 * gap[0.0]
+
+
+def test_stems_of_other_words_stay():
+    stems = toxicity.stems_of(["christians", "men"])
+    (word, both), (_, none) = stems.items()
+    assert word == toxicity.feature_of("Christians") and len(both) == 2 and none == []
+    found = toxicity.shared(pa.array(["christians, Christians", "christians at christmas", "Chris and christians", None]), np.array(both))
+    assert [sorted(x.tolist()) for x in found] == [[], sorted(both), [both[0]], []]
+
+
 def test_toxicity_of_edge_cases(spark, edge):
     none = toxicity.fit(edge, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     rows = toxicity.score(edge, none).collect()
