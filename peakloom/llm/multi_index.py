@@ -2,7 +2,8 @@
 
 Both halves of the vectors are quantised by k-means fitted on a bounded sample; a cell is a pair of centroids. A
 query visits cells in order of the summed squared distances of its halves, found with a heap, until they hold
-``share`` of all rows, and their entries are reranked by the exact distance. All rows are indexed. Cells that share
+``share`` of all distinct vectors and enough rows for its neighbours, and their entries are reranked by the exact
+distance. Copies do not use up the share, so a hot cell takes no other from a query. All rows are indexed. Cells that share
 their first centroid lie together, dealt into blocks of bounded size by their counts, so that equal vectors that hold
 a third of all rows fill many blocks; queries meet the blocks in blocks of their own and send their ten best of each.
 """
@@ -57,19 +58,21 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None], 0)
 
 
-def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, need: int) -> list[tuple[int, int]]:
-    """Cells by summed distance until they hold ``need`` rows (multi-sequence algorithm with a heap)."""
+def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, need: int, rows: np.ndarray | None = None, least: int = 0) -> list[tuple[int, int]]:
+    """Cells by summed distance until they hold ``need`` of ``counts`` and ``least`` of ``rows`` (multi-sequence algorithm with a heap)."""
+    rows = counts if rows is None else rows
     by1, by2 = first.argsort(kind="stable"), second.argsort(kind="stable")
     heap = [(first[by1[0]] + second[by2[0]], 0, 0)]
     reached = np.zeros(len(by1), np.int64)  # cells pushed so far in each row
     reached[0] = 1
-    held, out = 0, []
-    while heap and held < need:
+    held, held_rows, out = 0, 0, []
+    while heap and (held < need or held_rows < least):
         _, i, j = heapq.heappop(heap)
         cell = (int(by1[i]), int(by2[j]))
         if counts[cell]:
             out.append(cell)
             held += int(counts[cell])
+            held_rows += int(rows[cell])
         if j + 1 < len(by2) and reached[i] == j + 1 and (i == 0 or reached[i - 1] > j + 1):
             reached[i] = j + 2
             heapq.heappush(heap, (first[by1[i]] + second[by2[j + 1]], i, j + 1))
@@ -118,13 +121,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
                 yield pa.RecordBatch.from_arrays([*b.columns, *cells], names=["vec_id", "vector", "c1", "c2"])
 
     index = staged(vectors.mapInArrow(assign, "vec_id long, vector array<double>, c1 int, c2 int"), "multi-index")
-    counts = np.zeros((len(c1), len(c2)), np.int64)
-    for r in index.groupBy("c1", "c2").agg(F.count("*").alias("n")).collect():  # at most centroids ** 2 rows
-        counts[r["c1"], r["c2"]] = r["n"]
+    counts, distinct = np.zeros((2, len(c1), len(c2)), np.int64)
+    each = index.groupBy("c1", "c2", F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"))
+    for r in each.groupBy("c1", "c2").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():  # at most centroids ** 2 rows
+        counts[r["c1"], r["c2"]], distinct[r["c1"], r["c2"]] = r["n"], r["d"]
     size = int(min(max(total // (4 * partitions(spark)), 256), 16384))
     blocks = -(-counts.sum(1) // size)
     base = np.concatenate([[0], np.cumsum(blocks)])
-    need, n_queries = int(np.ceil(share * total)), queries.count()
+    need, n_queries = int(np.ceil(share * distinct.sum())), queries.count()
+    # A query leaves out all rows of its own id, so it needs as many beside its neighbours.
+    least = k + int(index.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0])
     sides = max(1, -(-n_queries // QUERY_BLOCK))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int =
             rows, blocks_of, cells_of = [], [], []
             for i in range(len(v)):
                 seen: dict[int, list[int]] = {}
-                for a, c in traverse(d1[i], d2[i], counts, need):
+                for a, c in traverse(d1[i], d2[i], distinct, need, counts, least):
                     seen.setdefault(a, []).append(c)
                 for a, cs in seen.items():
                     for block in range(base[a], base[a + 1]):

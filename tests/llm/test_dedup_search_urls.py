@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
@@ -114,6 +115,29 @@ def test_search_recall_and_ties(spark):
     assert multi_index.search(few, few, centroids=2, share=1.0).count() == 12
 
 
+def test_search_of_few_rows_finds_all_that_are_asked_for(spark):
+    x = np.random.default_rng(5).normal(size=(15, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for n in (4, 15):
+        few = spark.createDataFrame(rows[:n], "vec_id long, vector array<double>")
+        assert multi_index.search(few, few).count() == n * min(10, n - 1)
+    repeated = spark.createDataFrame(rows + [(0, rows[0][1])] * 9, "vec_id long, vector array<double>")
+    assert multi_index.search(repeated, repeated.where("vec_id = 0").limit(1)).count() == 10
+
+
+def test_copies_do_not_use_up_the_share(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = multi_index.usable(table)
+    copies = vectors.where("vec_id = 7").crossJoin(spark.range(vectors.count() // 2)).select((F.col("id") + 1000000).alias("vec_id"), "vector")
+    all_ = vectors.unionByName(copies)
+    got = multi_index.search(all_, vectors.where("vec_id % 100 = 0")).toPandas()
+    frame = all_.toPandas().sort_values("vec_id")
+    x, ids = np.array(frame.vector.tolist()), frame.vec_id.to_numpy()
+    asked = (ids % 100 == 0) & (ids < 1000000)
+    want = multi_index.brute(x, ids, x[asked], ids[asked], 10)
+    assert len(got.merge(want, on=["query_id", "vec_id"])) / len(want) >= 0.93
+
+
 def test_heap_visits_cells_in_order():
     rng = np.random.default_rng(3)
     a, b = rng.random(9), rng.random(7)
