@@ -117,7 +117,7 @@ def digests(texts: pa.Array) -> tuple[list[bytes | None], list[np.ndarray]]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n (shingles), keys of every whole text; no keys for texts without words."""
+    """doc_id, digest, n (shingles), keys, mark (md5 of the text itself) of every whole text; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +126,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sizes = [HASHES if len(s) else 0 for s in found]
                 flat = np.concatenate([keys_of(s) for s in found if len(s)]) if any(sizes) else np.empty(0, np.uint64)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array([len(s) for s in found], pa.int64()), keys], names=["doc_id", "digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.binary()), pa.array([len(s) for s in found], pa.int64()), keys, part.column("mark")], names=["doc_id", "digest", "n", "keys", "mark"])
 
-    two = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return two.mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>")
+    two = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), mark_of().alias("mark"))
+    return two.mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>, mark binary")
+
+
+def mark_of():
+    return F.unhex(F.md5(F.col("text").cast("string")))
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -299,6 +303,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     doc_id and text fall together. Repeated doc_ids with other texts are compared if their text is the one
     that Spark finds for the id.
     """
+    sketches, known = _classes(docs, similarity)
+    out = sketches.select("doc_id", "digest").join(known.select("digest", "class_id"), "digest", "left")
+    own_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return out.select("doc_id", own_class.alias("class_id"), F.coalesce(own_class == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, mark, n (rows that have both) of one row for each class: the least doc_id, null ids last, then the least mark.
+
+    Empty and null texts are left out.
+    """
+    sketches, known = _classes(docs, similarity)
+    rows = sketches.where("digest IS NOT NULL").groupBy("digest", "doc_id", "mark").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")
+    return rows.join(known.select("digest", "root"), "digest").groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.mark", "x.n")
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and digest, root and class_id of each distinct text."""
     spark = docs.sparkSession
     sketches = staged(sketch(docs), "sketches")
     files = tasks_for(spark, sketches.count(), 200)
@@ -328,7 +351,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = texts.select("digest", "first_id").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     classes = staged(classes, "classes", files=files)
     least = staged(classes.groupBy("root").agg(F.min("first_id").alias("class_id")), "least", files=files)
-    known = staged(classes.join(least, "root").select("digest", "class_id"), "classes", files=files)
-    out = sketches.select("doc_id", "digest").join(known, "digest", "left")
-    own_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", own_class.alias("class_id"), F.coalesce(own_class == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return sketches, staged(classes.join(least, "root").select("digest", "root", "class_id"), "classes", files=files)

@@ -181,6 +181,15 @@ def test_queries_give_a_row_for_each_document(spark, name):
     assert rows.count() == docs.count() and rows.select("doc_id").distinct().count() == docs.count()
 
 
+def test_rows_are_kept_by_id_and_text(spark, make_docs):
+    text = " ".join(f"w{i}" for i in range(150))
+    near, other, third = text.replace("w9 ", "new "), "quite another text of some words here", "and one more that no other row has"
+    docs = make_docs([text, other, near, third, third, text, text], [1, 2, 2, None, None, 2, 1])
+    rows = corpus_pipeline.distinct(spark, docs, SF)
+    assert rows.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows.collect()) == sorted([(1, text), (2, other), (0, third)])
+
+
 def test_pipeline_stages(spark, make_docs):
     docs = make_docs(["One two three four five six seven eight."] * 3 + ["Another text of quite other words here today.", None, "123 !!!", ""], [0, 1, 1, 3, 4, 5, 6])
     known = docs
