@@ -181,9 +181,13 @@ def fit(docs: DataFrame, per_lang: int = 600, per_text: int = 6, seed: int = 5)
     return train_windows(x, [c for _, c in windows], seed=seed)
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text; ``und`` and 0 for null texts and those without a letter."""
-    known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    known = lettered(texts)
     names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     if own and len(texts):
         x, owner, size = windows_of(texts)
@@ -220,7 +224,10 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language."""
+    """The rows of ``docs``, with all their columns, whose text has a language: any text with a letter, at any score.
+
+    Without a model those are kept too, as nothing speaks against them.
+    """
     packed = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +235,7 @@ def keep_known(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
         tables = own.tables() if own else []
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.filter(pa.array(classify(part.column("text"), own, tables)[0] != UNKNOWN))
+                text = part.column("text")
+                yield part.filter(pa.array(classify(text, own, tables)[0] != UNKNOWN if own else lettered(text)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -98,6 +98,11 @@ def test_language_of_edge_cases(edge, edge_texts):
     assert kept.columns == edge.columns and kept.count() == sum(r["lang_pred"] != "und" for r in rows.values())
 
 
+def test_texts_with_letters_are_kept_without_a_model(edge, edge_texts):
+    kept = [r["doc_id"] for r in language_id.keep_known(edge, None).collect()]
+    assert sorted(kept) == [i for i, t in enumerate(edge_texts) if any(c.isalpha() for c in t or "")]
+
+
 def test_toxicity_on_held_out(docs, labels):
     model = toxicity.fit(docs, labels.where(~fold()))
     rows = toxicity.score(docs, model).join(labels, "doc_id").where(fold()).collect()
