@@ -166,8 +166,8 @@ def id_counts(tokens: DataFrame, dtype: str = "<u2") -> DataFrame:
 def write_tokens(tokens: DataFrame, path: str, dtype: str = "<u2", block: int = BLOCK, limit: int = LIMIT) -> None:
     """Write doc_id, ids rows (as ``tokenize`` gives them) to token files below ``path`` in ascending doc_id order.
 
-    Null ids come first; rows of the same id stand in the order of their tokens. ``tokens`` is read twice, so it
-    should be a written table. Only the counts by id, at most as many as the vocabulary, come to the driver.
+    Null ids come first; rows of the same id stand in the order of a hash of their tokens, equal rows in any, so that an id
+    or a row that is there very often fills several tasks. ``tokens`` is read twice, so it should be a written table. Only the counts by id, at most as many as the vocabulary, come to the driver.
     """
     spark = tokens.sparkSession
     rows = id_counts(tokens, dtype).collect()
@@ -216,7 +216,8 @@ def write_tokens(tokens: DataFrame, path: str, dtype: str = "<u2", block: int =
         if docs:
             yield closed()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "ids")
     blocks = ordered.mapInArrow(run, "part int, block long, start_in_part long, n_docs long, n_tokens long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
