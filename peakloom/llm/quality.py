@@ -168,25 +168,30 @@ def train(x: np.ndarray, y: np.ndarray, monotone: Sequence[int] = MONOTONE, tree
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 4) -> Trees | None:
-    """Train on the statistics of about ``sample`` labelled texts, drawn by a hash of the id; None without labels.
+    """Train on the statistics of about ``sample`` labelled texts, drawn by a hash of the id; None without two classes.
 
-    The ids drawn are bounded by ``sample`` and sent to the tasks that read the texts.
+    A doc_id labelled both ways counts as good; of the texts of one doc_id the one with the least hash is taken. The
+    ids drawn are bounded by ``sample`` and sent to the tasks that read the texts, and one row of numbers for each id
+    comes back, however many rows carry it.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     total = known.count()
     if not total:
         return None
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.where(unit < min(1.0, sample / total)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).limit(2 * sample)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    drawn = known.where(unit < min(1.0, sample / total)).limit(2 * sample)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = statistics(part.column("text"))[1]
-                yield pa.RecordBatch.from_arrays([part.column("quality"), *(pa.array(c) for c in x.T)], names=["quality", *FEATURES])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c) for c in x.T)], names=["doc_id", "quality", "hash", *FEATURES])
 
-    got = rows.mapInArrow(run, "quality int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    found = rows.mapInArrow(run, "doc_id long, quality int, hash long, " + ", ".join(f"{f} double" for f in FEATURES))
+    one = found.groupBy("doc_id", "quality").agg(F.min_by(F.struct(*FEATURES), "hash").alias("x"))
+    got = one.orderBy("doc_id").select("quality", "x.*").toArrow()
     y = got.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -197,6 +202,8 @@ def judge(docs: DataFrame, model: Trees | None, limit: float = 0.5) -> DataFrame
     """doc_id, the base counts, base_failed, score (probability of quality 1; 1 without a model) and kept of every whole text.
 
     Null texts have no words and fail the base rules. ``kept``: the base rules hold and the score is at least ``limit``.
+    A row for each row of ``docs``: null and repeated doc_ids stay as they are. Words and lines are told apart by 64-bit
+    hashes: among the w words of a text two that differ fall together with odds of about w ** 2 / 2 ** 65.
     """
     packed = pickle.dumps(model)
 
