@@ -89,7 +89,10 @@ def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def drawn(texts: pa.Array, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` windows of each text, drawn over its whole length, and the text of each; very short ends are left out."""
+    """At most ``most`` windows of each text, drawn over its whole length, and the text of each.
+
+    Ends of under 16 bytes are left out, unless they are all of their text.
+    """
     x, owner, size = windows_of(texts)
     if not len(x):
         return x, owner
@@ -97,7 +100,7 @@ def drawn(texts: pa.Array, most: int, seed: int) -> tuple[np.ndarray, np.ndarray
     order = order[np.argsort(owner[order], kind="stable")]
     own = owner[order]
     first = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(own)), 0))
-    keep = order[(np.arange(len(own)) - first < most) & (size[order] >= 16)]
+    keep = order[(np.arange(len(own)) - first < most) & ((size[order] >= 16) | (np.bincount(owner)[own] == 1))]
     return x[keep], owner[keep]
 
 
@@ -152,18 +155,20 @@ def train_windows(x: np.ndarray, labels: list[str], filters: int = 16, width: in
     return ByteCnn(langs, parts[0], parts[1 : 1 + k], parts[1 + k : 1 + 2 * k], parts[-2], parts[-1])
 
 
-def fit(docs: DataFrame, per_lang: int = 600, per_text: int = 6, seed: int = 5) -> ByteCnn | None:
-    """Train on windows of about ``per_lang`` texts of each language, drawn by a hash of the id; None without labelled texts.
+def fit(docs: DataFrame, per_lang: int = 600, per_text: int = 6, most_langs: int = 1000, seed: int = 5) -> ByteCnn | None:
+    """Train on windows of about ``per_lang`` texts of each language, drawn by a hash of the row; None without labelled texts.
 
-    ``docs``: doc_id, text, lang, with the training rows only. The tasks draw ``per_text`` windows of each text, so
-    what comes to the driver hangs neither on the table's size nor on the texts' lengths. Rows come in any order and
-    are put into a fixed one before training.
+    ``docs``: doc_id, text, lang, with the training rows only. The ``most_langs`` most frequent languages are learned.
+    The tasks draw ``per_text`` windows of each text, so what comes to the driver hangs neither on the table's size nor
+    on the texts' lengths. Equal rows are drawn together, but what is trained on is bounded by ``per_lang`` all the
+    same. Rows come in any order and are put into a fixed one before training.
     """
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("doc_id", "lang", F.col("text").cast("string"))
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_langs)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return None
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     share = F.element_at(F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, per_lang / n))]), F.col("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, per_lang: int = 600, per_text: int = 6, seed: int = 5)
                 x, owner = drawn(part.column("text"), per_text, seed)
                 yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(owner)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "window"])
 
-    some = rows.where(unit < share).select("lang", F.col("text").cast("string"))
+    some = rows.where(F.coalesce(unit < share, F.lit(False))).select("lang", "text")
     got = some.mapInArrow(run, "lang string, window binary").limit(2 * per_text * per_lang * len(counts)).toArrow()
     windows = sorted(zip(got.column("window").to_pylist(), got.column("lang").to_pylist(), strict=True))
     if not windows:
@@ -207,7 +212,8 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """doc_id, lang_pred, score of every whole text.
 
     The score is the mean probability of the class over the text's windows, weighted by their bytes. Without a model
-    (no labelled text to learn from) every text is ``und``.
+    (no labelled text to learn from) every text is ``und``. A row for each row of ``docs``: null and repeated doc_ids
+    stay as they are.
     """
     packed = pickle.dumps(model)
 
