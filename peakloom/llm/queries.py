@@ -17,7 +17,7 @@ from .packing import pack
 from .token_counts import count_tokens
 from .token_files import token_file_query
 from .tokens import tokenizer_path
-from .url_filters import QUERY_RULES, QUERY_SQL, judge
+from .url_filters import QUERY_RULES, QUERY_SQL, SEEDS, counted, judge, path_of, reputation, seeded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +57,13 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the labels of the documents of the same number: bad if toxic or of low quality."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return judge(table(spark, sf_dir, "pages"), labels, QUERY_RULES).drop("bound")
+    """Outcomes: the labels of the document that a page carries (the number in its path), bad if toxic or of low
+    quality; and a bad one for each page whose host's name holds a term of ``SEEDS``."""
+    number = F.regexp_extract(path_of(F.col("url")), "^/[a-z]+/([0-9]+)", 1)
+    pages = table(spark, sf_dir, "pages").withColumn("carried", F.nullif(number, F.lit("")))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("carried"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    counts = counted(pages, labels, "carried", seeded(F.col("host"), SEEDS))
+    return judge(pages, reputation(counts), QUERY_RULES).drop("bound")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

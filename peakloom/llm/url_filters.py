@@ -5,10 +5,14 @@ node has its parent's posterior mean and a strength fitted by moments to the spr
 parents, so a host with few pages stays near its domain. A page is blocked if the lower posterior bound of its host's
 bad rate is over a limit. Hosts without outcomes take their domain's posterior, unknown domains their suffix's, and
 unknown suffixes the overall rate.
+
+Outcomes come from a table by any key that pages carry, and from a condition on the page itself, such as a host name
+that holds a term of a seed list.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -21,6 +25,9 @@ from .common import staged
 #: Suffixes of two labels under which domains are registered; a parameter, as the public list is long and changes.
 TWO_LABEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Terms of host names that count as a bad outcome of each page; a parameter of the query.
+SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
+SEED_HEAD, SEED_TAIL = r"(^|[.-])(", r")([.-]|$)"
 
 
 @dataclass(frozen=True)
@@ -79,18 +86,33 @@ def _strength(nodes: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, domain, suffix, n, k, mean and bound (lower, ``z`` deviations below) of the bad rate of every host in ``pages``.
+def seeded(host: Column, terms: Sequence[str]) -> Column:
+    """True for hosts with one of ``terms`` between dots and hyphens of their name."""
+    return host.rlike(SEED_HEAD + "|".join(re.escape(t) for t in terms) + SEED_TAIL) if terms else F.lit(False)
+
+
+def counted(pages: DataFrame, outcomes: DataFrame, on: str = "page_id", bad: Column | None = None) -> DataFrame:
+    """host, n, k: labelled outcomes of every host's pages, and those of them that are bad.
 
-    ``outcomes``: page_id, bad (0 or 1; null: none); several outcomes of a page count each. Counts are partial sums
-    before any shuffle, so a host with a third of all pages sends one row for each task.
+    ``outcomes``: ``on``, bad (0 or 1; null: none); several outcomes of a key count each, for every page that has the
+    key. A page for which ``bad`` holds (a column over the pages' own columns and ``host``) has one bad outcome more.
+    Equal pages of a host and key are added up in the tasks before any shuffle; pages without a key are spread over
+    keys that no outcome has.
     """
-    seen = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"))
-    bad = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).select("page_id", F.col("bad").cast("long").alias("bad"))
-    bad = bad.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
-    counted = seen.join(bad, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    key = F.coalesce(F.col(on).cast("string"), F.concat(F.lit("?"), F.pmod(F.xxhash64("url"), F.lit(1 << 20)).cast("string")))
+    host = host_of(F.col("url"))
+    seen = pages.withColumn("host", host).select(key.alias("_key"), "host", F.coalesce(bad, F.lit(False)).cast("long").alias("_seed") if bad is not None else F.lit(0).cast("long").alias("_seed"))
+    seen = seen.groupBy("_key", "host", "_seed").agg(F.count("*").alias("c"))
+    known = outcomes.where(F.col("bad").isNotNull() & F.col(on).isNotNull()).select(F.col(on).cast("string").alias("_key"), F.col("bad").cast("long").alias("bad"))
+    known = known.groupBy("_key").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    total = lambda c: F.sum(F.col("c") * (F.coalesce(F.col(c), F.lit(0)) + F.col("_seed"))).alias(c)
+    return seen.join(known, "_key", "left").groupBy("host").agg(total("n"), total("k"))
+
+
+def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
+    """host, domain, suffix, n, k, mean and bound (lower, ``z`` deviations below) of the bad rate of every host of ``counted``."""
     domain, suffix = site_of(F.col("host"))
-    hosts = staged(counted.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    hosts = staged(counts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
 
     def summed(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -110,13 +132,14 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     return low.select("host", "domain", "suffix", "n", "k", "mean", (F.col("mean") - z * deviation).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, known: DataFrame, rules: Sequence[Rule], limit: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and the bound of the host's bad rate for every row of ``pages``.
 
-    Repeated rows are judged each; null urls have an empty host, judged as any other. The reputations are staged, so
-    that the join with the pages can split the rows of a host that holds a third of them.
+    ``known``: ``reputation`` of the hosts. Repeated rows are judged each; null urls have an empty host, judged as any
+    other. The reputations are staged, so that the join with the pages can split the rows of a host that holds a third
+    of them.
     """
-    known = staged(reputation(pages, outcomes, z).select("host", "bound"), "reputation")
+    known = staged(known.select("host", "bound"), "reputation")
     cut = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > limit, "block").otherwise("allow")
@@ -138,12 +161,16 @@ WITH p AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages
 ), o AS (
-  SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS k
+  SELECT CAST(doc_id AS VARCHAR) AS carried, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS k
   FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id
+), c AS (
+  SELECT host, regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS carried,
+         CASE WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|porn|spam|warez)([.-]|$)') THEN 1 ELSE 0 END AS seed
+  FROM p
 ), h AS (
-  SELECT host, coalesce(sum(o.n), 0)::DOUBLE AS n, coalesce(sum(o.k), 0)::DOUBLE AS k,
+  SELECT host, sum(coalesce(o.n, 0) + seed)::DOUBLE AS n, sum(coalesce(o.k, 0) + seed)::DOUBLE AS k,
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name
-  FROM p LEFT JOIN o USING (page_id) GROUP BY host
+  FROM c LEFT JOIN o USING (carried) GROUP BY host
 ), hs AS (
   SELECT host, n, k, string_split(name, '.') AS l, name,
          array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS domain,
