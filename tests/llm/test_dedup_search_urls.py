@@ -98,44 +98,109 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["root"]) for r in components(links, 4).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def nearest(x, ids, asked, k=10):
+    """query_id, vec_id of the true neighbours, from the differences of all pairs."""
+    out = []
+    for q in np.flatnonzero(asked):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        other = np.flatnonzero(ids != ids[q])
+        out += [(int(ids[q]), int(ids[j])) for j in other[np.lexsort((ids[other], d[other]))][:k]]
+    return out
+
+
+def recall(rows, want):
+    got = {(r["query_id"], r["vec_id"]) for r in rows}
+    return len(got & set(want)) / len(want)
+
+
 def test_search_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(900, 8)), np.ones((40, 8))])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 7 + [None]), (None, [1.0] * 8)]
-    vectors = multi_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0] * 7 + [None]), (None, [1.0] * 8), (2004, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"vector": F.lit("clash"), "cell": F.lit(1), "query": F.lit("clash")})
+    vectors = multi_index.usable(table)
     assert vectors.count() == len(x)
-    got = multi_index.search(vectors, vectors.where("vec_id % 20 = 0 OR vec_id = 905"), centroids=8).toPandas()
-    q = np.array([i for i in range(len(x)) if i % 20 == 0 or i == 905])
-    want = multi_index.brute(x, np.arange(len(x)), x[q], q, 10)
-    assert len(got.merge(want, on=["query_id", "vec_id"])) / len(want) >= 0.9
-    same = got[got.query_id == 905].sort_values("rank")
-    assert same.vec_id.tolist() == [i for i in range(900, 912) if i != 905][:10] and (same.score == 0).all()
+    got = multi_index.search(vectors, vectors.where("vec_id % 20 = 0 OR vec_id = 905"), centroids=8).collect()
+    ids = np.arange(len(x))
+    assert recall(got, nearest(x, ids, (ids % 20 == 0) | (ids == 905))) >= 0.9
+    same = sorted((r for r in got if r["query_id"] == 905), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in same] == [i for i in range(900, 912) if i != 905][:10] and all(r["score"] == 0 for r in same)
     assert multi_index.search(vectors.where("false"), vectors.where("false")).count() == 0
     few = vectors.where("vec_id < 4")
     assert multi_index.search(few, few, centroids=2, share=1.0).count() == 12
+    for r in got[:50]:
+        assert r["score"] == np.sqrt(((x[r["vec_id"]] - x[r["query_id"]]) ** 2).sum())
 
 
 def test_search_of_few_rows_finds_all_that_are_asked_for(spark):
-    x = np.random.default_rng(5).normal(size=(15, 8))
+    x = np.random.default_rng(5).normal(size=(16, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    for n in (4, 15):
+    for n in (1, 4, 15, 16):
         few = spark.createDataFrame(rows[:n], "vec_id long, vector array<double>")
         assert multi_index.search(few, few).count() == n * min(10, n - 1)
+        assert multi_index.search(few, few, share=0.01).count() == n * min(10, n - 1)
     repeated = spark.createDataFrame(rows + [(0, rows[0][1])] * 9, "vec_id long, vector array<double>")
     assert multi_index.search(repeated, repeated.where("vec_id = 0").limit(1)).count() == 10
 
 
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 6)))]
+    odd = [(100, [1.0, 2.0]), (101, [1.0] * 5), (102, [1.0] * 7), (103, [2.0])]
+    vectors = multi_index.usable(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"))
+    got = multi_index.search(vectors, vectors.where("vec_id % 10 = 0"), share=1.0).collect()
+    assert {r["query_id"] for r in got} == {0, 10, 20, 30} and max(r["vec_id"] for r in got) < 100 and len(got) == 40
+
+
+@pytest.mark.parametrize(("offset", "factor"), [(1e7, 1.0), (0.0, 1e200), (0.0, 1e-200), (-3e9, 1.0)])
+def test_neighbours_far_from_the_origin_and_at_any_scale(spark, offset, factor):
+    x = (np.random.default_rng(7).normal(size=(120, 8)) + offset) * factor
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got = multi_index.search(vectors, vectors.where("vec_id % 10 = 0"), centroids=4, share=1.0).collect()
+    scaled, ids = x / factor, np.arange(len(x))
+    assert len(got) == 120 and recall(got, nearest(scaled, ids, ids % 10 == 0)) == 1
+    assert all(np.isclose(r["score"] / factor, np.sqrt(((scaled[r["vec_id"]] - scaled[r["query_id"]]) ** 2).sum()), rtol=1e-12) for r in got)
+
+
+def test_each_row_of_a_repeated_query_id_has_its_list(spark):
+    x = np.random.default_rng(8).normal(size=(60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, (x[0] + 5).tolist()), (0, x[0].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = multi_index.search(vectors, vectors.where("vec_id = 0"), share=1.0).collect()
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 11)] * 2) and all(r["vec_id"] != 0 for r in got)
+    want = set()
+    for q in (x[0], x[0] + 5):
+        d = np.sqrt(((x - q) ** 2).sum(1))
+        d[0] = np.inf
+        want |= {(int(j), float(d[j])) for j in np.argsort(d)[:10]}
+    assert {(r["vec_id"], r["score"]) for r in got} == want
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_search_recall_on_the_query_itself(spark, folder):
+    frame = multi_index.usable(spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")).toPandas()
+    x, ids = np.array(frame.vector.tolist()), frame.vec_id.to_numpy()
+    got = queries.queries()["op7_multi_index"](spark, f"/root/testdata/{folder}").collect()
+    assert len(got) == 10 * (ids % 100 == 0).sum() and recall(got, nearest(x, ids, ids % 100 == 0)) >= 0.9
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 16))
+    x = centres[rng.integers(0, 100, 4000)] + 0.1 * rng.normal(size=(4000, 16))
+    c1, c2 = multi_index.kmeans(x[:, :8], 64), multi_index.kmeans(x[:, 8:], 64)
+    assert multi_index.fitted_share(x, c1, c2, 10, 0.97) < 0.05
+
+
 def test_copies_do_not_use_up_the_share(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     vectors = multi_index.usable(table)
     copies = vectors.where("vec_id = 7").crossJoin(spark.range(vectors.count() // 2)).select((F.col("id") + 1000000).alias("vec_id"), "vector")
     all_ = vectors.unionByName(copies)
-    got = multi_index.search(all_, vectors.where("vec_id % 100 = 0")).toPandas()
+    got = multi_index.search(all_, vectors.where("vec_id % 100 = 0")).collect()
     frame = all_.toPandas().sort_values("vec_id")
     x, ids = np.array(frame.vector.tolist()), frame.vec_id.to_numpy()
-    asked = (ids % 100 == 0) & (ids < 1000000)
-    want = multi_index.brute(x, ids, x[asked], ids[asked], 10)
-    assert len(got.merge(want, on=["query_id", "vec_id"])) / len(want) >= 0.93
+    assert recall(got, nearest(x, ids, (ids % 100 == 0) & (ids < 1000000))) >= 0.93
 
 
 def test_heap_visits_cells_in_order():
@@ -151,25 +216,41 @@ def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.COM/en/7?x=1", "https://example.com/en/5#t", "ftp://x.net/de/1", "example.net/de", None, "", "http://example.net/de/81", "http://org", "x://y.notcom/en/", "http://a.org/es/://b"]
     pages = spark.createDataFrame([(i, u, "h", "z") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
     none = spark.createDataFrame([], "page_id long, bad boolean")
-    rows = {r["page_id"]: tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in url_filters.judge(pages, none, url_filters.QUERY_RULES).collect()}
+    rows = {r["page_id"]: tuple(r[c] for c in ("host", "path", "rule", "verdict")) for r in url_filters.judge(pages, url_filters.reputation(url_filters.counted(pages, none)), url_filters.QUERY_RULES).collect()}
     assert rows == {
         0: ("a.example.com", "/en/7", "example.com/en/7", "allow"), 1: ("example.com", "/en/5", "com/en/", "block"), 2: ("x.net", "/de/1", "net/de/", "allow"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"),
         6: ("example.net", "/de/81", "example.net/de/8", "block"), 7: ("org", "", None, "allow"), 8: ("y.notcom", "/en/", None, "allow"), 9: ("a.org", "/es/://b", "org/es/", "block"),
     }
-    assert url_filters.judge(pages.where("false"), none, ()).count() == 0
+    nothing = pages.where("false")
+    assert url_filters.judge(nothing, url_filters.reputation(url_filters.counted(nothing, none)), ()).count() == 0
 
 
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     pages = [(i, f"http://bad.a.com/{i}") for i in range(60)] + [(100 + i, f"http://good{i % 5}.b.com/{i}") for i in range(100)] + [(300, "http://tiny.c.org/")]
     bad = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(100)] + [(300, 1)]
     p, o = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
-    rows = {r["host"]: r for r in url_filters.reputation(p, o).collect()}
+    known = url_filters.reputation(url_filters.counted(p, o))
+    rows = {r["host"]: r for r in known.collect()}
     assert rows["bad.a.com"]["bound"] > 0.5 > rows["good1.b.com"]["bound"]
     assert rows["tiny.c.org"]["mean"] < 1
-    verdicts = {r["host"]: r["verdict"] for r in url_filters.judge(p, o, ()).collect()}
+    verdicts = {r["host"]: r["verdict"] for r in url_filters.judge(p, known, ()).collect()}
     assert verdicts["bad.a.com"] == "block" and verdicts["good0.b.com"] == "allow"
 
 
+def test_outcomes_by_key_and_by_seed(spark):
+    """Repeated pages, keys and labels count each; null keys and urls have no outcome."""
+    pages = [(1, "http://x.com/", "a"), (1, "http://x.com/", "a"), (2, "http://x.com/", "b"), (None, "http://my-spam.x.com/", None), (3, None, "a"), (4, "http://spammy.com/", None)]
+    p = spark.createDataFrame(pages, "page_id long, url string, k string").withColumn("n", F.lit("clash"))
+    o = spark.createDataFrame([("a", 1), ("a", 0), ("b", None), (None, 1)], "k string, bad int")
+    rows = {r["host"]: (r["n"], r["k"]) for r in url_filters.counted(p, o, "k", url_filters.seeded(F.col("host"), ("spam",))).collect()}
+    assert rows == {"x.com": (4, 2), "my-spam.x.com": (1, 1), "": (2, 1), "spammy.com": (0, 0)}
+
+
+def test_reputation_decides_pages_of_the_query(spark):
+    rows = queries.queries()["op8_url_filters"](spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in rows} == {"allow", "block"}
+
+
 def test_url_query_equals_its_sql(spark):
     assert compare(spark, connect(SF), queries.queries()["op8_url_filters"], queries.oracle_sql()["op8_url_filters"], SF) == ""
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from peakloom.llm import bpe, packing, token_counts, token_files
+from peakloom.llm import bpe, packing, queries, token_counts, token_files
 from peakloom.llm.tokens import Encoder, tokenizer_path
 from peakloom.llm.common import shared_dir
 
@@ -79,6 +79,8 @@ def test_token_files_of_null_ids_repeats_and_nothing(spark, make_docs, word_bpe)
     docs = make_docs(["b", "a", "a", "c"], [None, 5, 5, None])
     got = token_files.token_file_query(spark, docs, word_bpe).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, None, 5, 5] and [r["start"] for r in got] == [0, 2, 4, 6]
+    hot = token_files.token_file_query(spark, make_docs(["b a"] * 300 + ["c"] * 300, [7] * 300 + [None] * 300), word_bpe).orderBy("start").collect()
+    assert [r["doc_id"] for r in hot] == [None] * 300 + [7] * 300 and [r["start"] for r in hot] == np.cumsum([0, *(r["n_tokens"] for r in hot)])[:-1].tolist()
     assert token_files.token_file_query(spark, docs.where("false"), word_bpe).count() == 0
 
 
@@ -160,6 +162,50 @@ def test_packing_pieces(spark, edge, word_bpe, expected):
     assert packing.pack(edge.where("false"), word_bpe).count() == 0
 
 
+def test_digests_and_counts_of_null_and_repeated_ids_and_nothing(spark, make_docs, edge, word_bpe, library):
+    docs = make_docs(["b", "b", None, "c d"], [None, 5, 5, None])
+    rows = bpe.bpe_digests(docs, word_bpe).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted([("None", 1), ("5", 1), ("5", 0), ("None", len(library.encode("c d", add_special_tokens=False).ids))])
+    path = tokenizer_path("piece_bpe_32k.model")
+    found = token_counts.count_tokens(docs, path, shared_dir(spark, "cache")).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["5", "5", "None", "None"] and sum(r["n_bytes"] for r in found) == 5
+    nothing = edge.where("false")
+    assert bpe.bpe_digests(nothing, word_bpe).count() == 0 and token_counts.count_tokens(nothing, path, shared_dir(spark, "cache")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_token_files", "op9_bpe", "op10_token_counts", "op2_best_fit_packing"])
+def test_queries_on_a_whole_table(spark, library, word_bpe, name):
+    """Every document of a table against the libraries, one text at a time."""
+    import sentencepiece
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.queries()[name](spark, folder).collect()
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    crc = lambda part: zlib.crc32(np.array(part, "<u4").tobytes())
+    if name == "op1_token_files":
+        start = 0
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            own = [*ids[r["doc_id"]], 1]
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(own), crc(own))
+            start += len(own)
+    elif name == "op2_best_fit_packing":
+        assert sum(r["length"] for r in rows) == sum(len(x) + 1 for x in ids.values())
+        assert all(r["ids_crc32"] == crc([*ids[r["doc_id"]], 1][r["start"] : r["start"] + r["length"]]) for r in rows)
+        lengths = [n for x in ids.values() for n in [4096] * ((len(x) + 1) // 4096) + [(len(x) + 1) % 4096] if n]
+        assert len({r["sequence_id"] for r in rows}) == len(sequential(lengths, 4096))
+    elif name == "op9_bpe":
+        for r in rows:
+            own = ids[r["doc_id"]]
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(library.decode(own, skip_special_tokens=False).encode()).hexdigest())
+    else:
+        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+        for r in rows:
+            n = len(model.encode(texts[r["doc_id"]]))
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 4096)
+    assert {r["doc_id"] for r in rows} == texts.keys()
+
+
 def test_token_counts_use_and_fill_the_cache(spark, make_docs, edge, edge_texts):
     import sentencepiece
 
