@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.registry import RESIDUES
+from .dictionary import Dictionary
+
 MODES = ("clean", "sae", "zero", "mean", "ablate")
 
 
@@ -22,16 +25,79 @@ class ModelAdapter(Protocol):
         """For each spectrum and layer, vectors of its latent token and peaks (tokens x d_model)."""
         ...
 
+    def patched(self, layer: int, dictionary: Dictionary | None, mean: np.ndarray | None) -> ModelAdapter:
+        """The same model with what a substitution at ``layer`` needs (see ``substituted``)."""
+        ...
+
     def losses(self, spectra: list[dict], mode: str, ablated: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each spectrum, cross-entropy and top-1 hits of its real output tokens under a substitution."""
         ...
 
 
+def substituted(x: np.ndarray, mode: str, dictionary: Dictionary | None = None, mean: np.ndarray | None = None, ablated: Sequence[int] = ()) -> np.ndarray:
+    """What a layer hands on instead of its output ``x`` (tokens x d_model).
+
+    clean: itself; sae: its reconstruction; ablate: that without the features ``ablated``; zero; mean: the layer's mean.
+    """
+    if mode == "clean":
+        return x
+    if mode == "zero":
+        return np.zeros_like(x)
+    if mode == "mean":
+        if mean is None:
+            raise ValueError("the mean of the layer is not known")
+        return np.broadcast_to(mean, x.shape).astype(x.dtype)
+    if mode not in MODES:
+        raise ValueError(mode)
+    if dictionary is None:
+        raise ValueError("no dictionary to reconstruct with")
+    f = dictionary.encode(x)
+    if len(ablated):
+        f[:, list(ablated)] = 0
+    return dictionary.decode(f).astype(x.dtype)
+
+
+def token_losses(logits: np.ndarray, targets: np.ndarray, pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy and top-1 hits of the real target tokens of one spectrum.
+
+    ``logits`` (positions x vocabulary) have one position more than the targets, which is dropped; both sides are cut to
+    the shorter one, and targets that are ``pad`` are left out.
+    """
+    n = min(max(len(logits) - 1, 0), len(targets))
+    z, y = np.asarray(logits, float)[:n], np.asarray(targets)[:n].astype(np.int64)
+    z = z - z.max(1, keepdims=True, initial=-np.inf) if n else z.reshape(0, 1)
+    ce = np.log(np.exp(z).sum(1)) - z[np.arange(n), y] if n else np.empty(0)
+    hit = z.argmax(1) == y if n else np.empty(0, bool)
+    return ce[y != pad], hit[y != pad]
+
+
+def usable_model(model: object) -> object:
+    """The model, if its layers can be read and replaced: fused attention skips them, so nothing would be captured or patched.
+
+    The packed fast path of its encoder is switched off, as it drops the padding that positions are counted by.
+    """
+    if getattr(model, "use_flash_attention", False):
+        raise ValueError("the model uses fused attention, which bypasses the layers to capture and to patch")
+    encoder = getattr(model, "encoder", None)
+    for name in ("enable_nested_tensor", "use_nested_tensor"):
+        if hasattr(encoder, name):
+            setattr(encoder, name, False)
+    return model
+
+
+def residue_names(table: dict[str, str], known: dict[str, str] | None = None) -> dict[str, str]:
+    """Notations of the data set to the names of the model's vocabulary; what the model brings itself comes last."""
+    return {**table, **(known or {})}
+
+
 class HashModel:
-    """Vectors and losses from hashes of the peaks: stable, cheap, and moved by ablation."""
+    """A small model with random weights: vectors from hashes of the peaks, a read-out of their sum, and losses by ``token_losses``.
+
+    What a substitution changes at its layer is carried on to the read-out, so losses hang on which features are ablated.
+    """
 
-    def __init__(self, d_model: int = 16) -> None:
-        self.d_model = d_model
+    def __init__(self, d_model: int = 16, layer: int = 0, dictionary: Dictionary | None = None, mean: np.ndarray | None = None) -> None:
+        self.d_model, self.layer, self.dictionary, self.mean = d_model, layer, dictionary, mean
 
     def _rng(self, *parts: object) -> np.random.Generator:
         return np.random.default_rng(int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little"))
@@ -39,20 +105,20 @@ class HashModel:
     def capture(self, spectra: list[dict], layers: Sequence[int]) -> list[dict[int, np.ndarray]]:
         return [{layer: np.stack([self._rng(layer, round(float(m), 4)).normal(size=self.d_model) for m in [0.0, *s["mz"]]]) for layer in layers} for s in spectra]
 
+    def patched(self, layer: int, dictionary: Dictionary | None, mean: np.ndarray | None) -> HashModel:
+        return HashModel(self.d_model, layer, dictionary, mean)
+
     def losses(self, spectra: list[dict], mode: str, ablated: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        shift = {"clean": 0.0, "sae": 0.1, "zero": 2.0, "mean": 1.5, "ablate": 0.1 + 0.01 * len(ablated)}[mode]
-        out = []
-        for s in spectra:
-            rng = self._rng(s["global_spectrum"])
-            ce = 1 + rng.random(max(1, len(s.get("peptide") or "x"))) + shift
-            out.append((ce, ce < 1.6))
+        out, head = [], self._rng("head").normal(size=(self.d_model, len(RESIDUES) + 1))
+        for s, found in zip(spectra, self.capture(spectra, [0, self.layer]), strict=True):
+            x = found[self.layer].astype(np.float32)
+            state = found[0].sum(0) + (substituted(x, mode, self.dictionary, self.mean, ablated) - x).sum(0)
+            targets = [1 + sorted(RESIDUES).index(c) if c in RESIDUES else 0 for c in s.get("peptide") or ""]
+            places = np.stack([self._rng("place", i).normal(size=self.d_model) for i in range(len(targets) + 1)])
+            out.append(token_losses(np.tanh(state + places) @ head, np.array(targets)))
         return out
 
 
-def spectra_rows(batch: pa.RecordBatch) -> list[dict]:
-    return batch.to_pylist()
-
-
 def capture_activations(spectra: DataFrame, model: ModelAdapter, layers: Sequence[int], batch: int = 32) -> DataFrame:
     """global_spectrum, layer, position, activation of every token, by batches of ``batch`` spectra in the workers.
 
@@ -61,7 +127,7 @@ def capture_activations(spectra: DataFrame, model: ModelAdapter, layers: Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = spectra_rows(b)
+            rows = b.to_pylist()
             for at in range(0, len(rows), batch):
                 part = rows[at : at + batch]
                 out: list[list] = [[], [], [], []]
@@ -78,24 +144,47 @@ def capture_activations(spectra: DataFrame, model: ModelAdapter, layers: Sequenc
     return spectra.select("global_spectrum", "mz").mapInArrow(run, "global_spectrum long, layer int, position int, activation array<float>")
 
 
-def spectrum_losses(spectra: DataFrame, model: ModelAdapter, mode: str, sets: Sequence[Sequence[int]] = ((),), batch: int = 32) -> DataFrame:
-    """mode, set_idx, global_spectrum, mean_ce, correct, valid: one forward for each spectrum and set of ablated features."""
-    if mode not in MODES:
-        raise ValueError(mode)
+def capture_baseline(spectra: DataFrame, model: ModelAdapter, batch: int = 32) -> DataFrame:
+    """chunk_idx, global_spectrum, target (place of the output token), ce, hit of the unpatched model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                out: list[list] = [[], [], [], [], []]
+                for s, (ce, hit) in zip(part, model.losses(part, "clean", ()), strict=True):
+                    for column, values in zip(out, ([s["chunk_idx"]] * len(ce), [s["global_spectrum"]] * len(ce), range(len(ce)), ce.tolist(), hit.tolist()), strict=True):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)], names=["chunk_idx", "global_spectrum", "target", "ce", "hit"])
+
+    return spectra.select("chunk_idx", "global_spectrum", "mz", "peptide").mapInArrow(run, "chunk_idx int, global_spectrum long, target int, ce double, hit boolean")
+
+
+def spectrum_losses(spectra: DataFrame, model: ModelAdapter, modes: Sequence[str] = MODES[:4], sets: Sequence[Sequence[int]] = (), batch: int = 32) -> DataFrame:
+    """mode, set_idx, global_spectrum, mean_ce, correct, valid: a forward for each spectrum and mode, and for each set of ablated features.
+
+    All sets go through the spectra in one pass, each under its number with mode ``ablate``. ``spectra``:
+    global_spectrum, mz, peptide, read from a table, as every run starts from it.
+    """
+    if odd := set(modes) - set(MODES[:4]):
+        raise ValueError(f"no such modes: {sorted(odd)}")
+    runs = [(m, 0, ()) for m in modes] + [("ablate", i, tuple(s)) for i, s in enumerate(sets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = spectra_rows(b)
-            out: list[list] = [[], [], [], [], []]
+            rows = b.to_pylist()
             for at in range(0, len(rows), batch):
                 part = rows[at : at + batch]
-                for i, ablated in enumerate(sets):
+                out: list[list] = [[], [], [], [], [], []]
+                for mode, i, ablated in runs:
                     for s, (ce, hit) in zip(part, model.losses(part, mode, ablated), strict=True):
-                        for column, value in zip(out, (i, s["global_spectrum"], float(ce.sum()) / max(len(ce), 1), float(hit.sum()), float(len(ce))), strict=True):
+                        for column, value in zip(out, (mode, i, s["global_spectrum"], float(ce.sum()) / max(len(ce), 1), float(hit.sum()), float(len(ce))), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array([mode] * len(out[0]), pa.string()), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.float64()) for c in out[2:])], names=["mode", "set_idx", "global_spectrum", "mean_ce", "correct", "valid"])
+                types = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["mode", "set_idx", "global_spectrum", "mean_ce", "correct", "valid"])
 
-    return spectra.select("global_spectrum", "peptide").mapInArrow(run, "mode string, set_idx int, global_spectrum long, mean_ce double, correct double, valid double")
+    return spectra.select("global_spectrum", "mz", "peptide").mapInArrow(run, "mode string, set_idx int, global_spectrum long, mean_ce double, correct double, valid double")
 
 
 class CompletionClient(Protocol):

@@ -93,14 +93,14 @@ def feature_targets(pairs: DataFrame, concept_idx: int, n: int) -> DataFrame:
 
 
 def restored(significant: DataFrame, features: DataFrame, concepts: DataFrame) -> DataFrame:
-    """All pairs from a report of the significant ones: others get p 1, metrics 0, not rejected.
+    """All pairs of ``features`` (with what else it holds) from a report of the significant ones: others get p 1, metrics 0, not rejected.
 
     Names in the report that the tables do not know are an error, as is a feature without marginal.
     """
     odd = significant.join(F.broadcast(concepts.select("concept")), "concept", "left_anti").limit(1).count() + significant.join(features.select("feature_idx"), "feature_idx", "left_anti").limit(1).count()
     if odd:
         raise ValueError("the association table names features or concepts that are not there")
-    grid = features.select("feature_idx").join(F.broadcast(concepts.select("concept_idx", "concept")))
+    grid = features.join(F.broadcast(concepts.select("concept_idx", "concept")))
     out = grid.join(significant, ["feature_idx", "concept"], "left")
     filled = {c: F.coalesce(c, d(0)) for c in ("f1", "f1_dom", "lift", "chi2")}
     return out.withColumns({**filled, "p_value": F.coalesce("p_value", d(1)), "n_co": F.coalesce("n_co", F.lit(0)), "rejected": F.coalesce("p_value_bh_significant", F.lit(False))}).drop("p_value_bh_significant")

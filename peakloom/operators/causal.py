@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import d
 from ..plans.registry import has
 
+Draw = Callable[..., Column]
 LEAST_SPECTRA = 6
 MATCH_DEX = 0.3
 
@@ -63,18 +64,24 @@ def deltas(ablated: DataFrame, full: DataFrame, keys: Sequence[str] = ("global_s
     return ablated.join(base, list(keys)).withColumn("delta_ce", F.col("mean_ce") - F.col("_full")).drop("_full")
 
 
-def selectivity(rows: DataFrame, keys: Sequence[str], delta: str = "delta_ce", p: str = "prevalence") -> DataFrame:
+def tercile_cuts(rows: DataFrame, keys: Sequence[str], p: str = "prevalence") -> DataFrame:
+    """keys, n, lo_cut, hi_cut: the exact terciles of prevalence, interpolated."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(p, F.lit(1.0 / 3.0)).alias("lo_cut"), F.percentile(p, F.lit(2.0 / 3.0)).alias("hi_cut"))
+
+
+def selectivity(rows: DataFrame, keys: Sequence[str], delta: str = "delta_ce", p: str = "prevalence", cuts: DataFrame | None = None, cut_keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, lo_cut, hi_cut, selectivity: mean delta on the top tercile of prevalence less that on the bottom one.
 
-    Both terciles hold their edge. Null for fewer than six spectra or equal edges.
+    Both terciles hold their edge. Null for fewer than six spectra or equal edges. Where groups share their spectra,
+    as ablations of one concept do, ``cuts`` by ``cut_keys`` (some of ``keys``) are taken once and for all.
     """
     by = list(keys)
-    cuts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(p, F.lit(1.0 / 3.0)).alias("lo_cut"), F.percentile(p, F.lit(2.0 / 3.0)).alias("hi_cut"))
-    joined = rows.join(cuts, by) if by else rows.join(F.broadcast(cuts))
+    cuts, on = (tercile_cuts(rows, by, p), by) if cuts is None else (cuts, list(cut_keys))
+    joined = rows.join(cuts, on) if on else rows.join(F.broadcast(cuts))
     mean = lambda cond: F.avg(F.when(cond, F.col(delta)))
-    out = joined.groupBy(*by, "n", "lo_cut", "hi_cut").agg(mean(F.col(p) >= F.col("hi_cut")).alias("hi"), mean(F.col(p) <= F.col("lo_cut")).alias("lo"))
+    out = joined.groupBy(*by, "n", "lo_cut", "hi_cut").agg(mean(F.col(p) >= F.col("hi_cut")).alias("hi"), mean(F.col(p) <= F.col("lo_cut")).alias("lo"), F.avg(delta).alias("mean_delta_ce"))
     fine = (F.col("n") >= LEAST_SPECTRA) & (F.col("lo_cut") != F.col("hi_cut"))
-    return out.select(*by, "n", "lo_cut", "hi_cut", F.when(fine, F.col("hi") - F.col("lo")).alias("selectivity"))
+    return out.select(*by, "n", "lo_cut", "hi_cut", F.when(fine, F.col("hi") - F.col("lo")).alias("selectivity"), "mean_delta_ce")
 
 
 def orthogonal_selectivity(rows: DataFrame, keys: Sequence[str], others: Sequence[str], delta: str = "delta_ce", p: str = "prevalence") -> DataFrame:
@@ -84,13 +91,12 @@ def orthogonal_selectivity(rows: DataFrame, keys: Sequence[str], others: Sequenc
     return selectivity(rows, keys, delta, p)
 
 
-def rate_bins(features: DataFrame, bins: int = 5) -> DataFrame:
-    """Adds bin by quantiles of log10 firing rate; a feature within 1e-9 of an upper edge is in both bins."""
-    log = F.log10(F.greatest("firing_rate", d(1e-12)))
-    rows = features.withColumn("log_rate", log)
-    edges = rows.agg(F.percentile("log_rate", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+def rate_bins(features: DataFrame, bins: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds bin by quantiles of log10 firing rate in each group; a feature within 1e-9 of an upper edge is in both bins."""
+    rows = features.withColumn("log_rate", F.log10(F.greatest("firing_rate", d(1e-12))))
+    edges = rows.groupBy(*keys).agg(F.percentile("log_rate", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
     every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.element_at("e", b + 1).alias("low"), F.element_at("e", b + 2).alias("high")))
-    binned = rows.join(F.broadcast(edges)).withColumn("x", F.explode(every))
+    binned = (rows.join(edges, list(keys)) if keys else rows.join(F.broadcast(edges))).withColumn("x", F.explode(every))
     return binned.where((F.col("log_rate") >= F.col("x.low")) & (F.col("log_rate") < F.col("x.high") + 1e-9)).withColumn("bin", F.col("x.bin")).drop("x", "e")
 
 
@@ -100,28 +106,113 @@ def unit_hash(*parts: Column | str | int) -> Column:
     return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def stratified_features(features: DataFrame, total: int, bins: int = 5, seed: int = 0) -> DataFrame:
-    """Weighted sample without replacement in each firing-rate bin: smallest -ln(u) / f1_dom first."""
-    per_bin = max(1, total // bins)
-    key = -F.log(unit_hash("feature_idx", "bin", seed)) / F.greatest("f1_dom", d(1e-6))
-    drawn = rate_bins(features.where("rejected"), bins).withColumn("key", key)
-    ranked = drawn.withColumn("place", F.row_number().over(W.partitionBy("bin").orderBy("key", "feature_idx")))
-    return ranked.where(F.col("place") <= per_bin).orderBy("bin", "place").limit(total).select("bin", "place", "feature_idx", "firing_rate", "f1_dom")
+def stratified_features(features: DataFrame, total: int, bins: int = 5, seed: int = 0, keys: Sequence[str] = (), draw: Draw = unit_hash) -> DataFrame:
+    """keys, bin, place, feature_idx, firing_rate, f1_dom: a weighted sample without replacement in each firing-rate bin of a group.
+
+    Smallest -ln(u) / f1_dom first; ``draw`` gives u, a number in (0, 1), from its parts.
+    """
+    per_bin, by = max(1, total // bins), list(keys)
+    key = -F.log(draw("feature_idx", "bin", seed)) / F.greatest("f1_dom", d(1e-6))
+    drawn = rate_bins(features.where("rejected"), bins, keys).withColumn("key", key)
+    ranked = drawn.withColumn("place", F.row_number().over(W.partitionBy(*by, "bin").orderBy("key", "feature_idx"))).where(F.col("place") <= per_bin)
+    first = ranked.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("bin", "place"))).where(F.col("_n") <= total)
+    return first.select(*by, "bin", "place", "feature_idx", "firing_rate", "f1_dom")
 
 
-def matched_controls(targets: DataFrame, features: DataFrame, replicates: int = 5, seed: int = 0, dex: float = MATCH_DEX) -> DataFrame:
-    """replicate, target_idx, feature_idx: for each target and replicate one feature of like firing rate, no target itself.
+def matched_controls(targets: DataFrame, features: DataFrame, replicates: int = 5, seed: int = 0, dex: float = MATCH_DEX, keys: Sequence[str] = (), draw: Draw = unit_hash) -> DataFrame:
+    """keys, replicate, target_idx, feature_idx: for each target and replicate one feature of like firing rate, no target of its group.
 
-    Targets are few (the ablated group), features at most the dictionary's size: a band join on log10 of the rate.
+    ``targets``: keys, feature_idx; ``features``: feature_idx, firing_rate of the whole dictionary. A band join on log10
+    of the rate; the one with the least ``draw`` is taken.
     """
-    log = lambda df: df.withColumn("log_rate", F.log10(F.greatest("firing_rate", d(1e-12))))
-    pool = log(features.join(targets.select("feature_idx"), "feature_idx", "left_anti")).withColumn("_bin", F.floor(F.col("log_rate") / dex))
-    wanted = log(targets.join(features.select("feature_idx", "firing_rate"), "feature_idx") if "firing_rate" not in targets.columns else targets)
-    wanted = wanted.select(F.col("feature_idx").alias("target_idx"), F.col("log_rate").alias("target_rate"), F.explode(F.array(*[F.floor(F.col("log_rate") / dex) + i for i in (-1, 0, 1)])).alias("_bin"))
-    near = wanted.join(pool, "_bin").where(F.abs(F.col("log_rate") - F.col("target_rate")) < dex)
+    by = list(keys)
+    log = features.select("feature_idx", "firing_rate").withColumn("log_rate", F.log10(F.greatest("firing_rate", d(1e-12))))
+    pool = log.withColumn("_bin", F.floor(F.col("log_rate") / dex))
+    own = targets.select(*by, "feature_idx").distinct()
+    wanted = own.join(log, "feature_idx").select(*by, F.col("feature_idx").alias("target_idx"), F.col("log_rate").alias("target_rate"), F.explode(F.array(*[F.floor(F.col("log_rate") / dex) + i for i in (-1, 0, 1)])).alias("_bin"))
+    near = wanted.join(pool, "_bin").where(F.abs(F.col("log_rate") - F.col("target_rate")) < dex).join(own, [*by, "feature_idx"], "left_anti")
     rows = near.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    best = rows.groupBy("replicate", "target_idx").agg(F.min_by("feature_idx", F.struct(F.xxhash64("feature_idx", "target_idx", "replicate", F.lit(seed)), F.col("feature_idx"))).alias("feature_idx"))
-    return best.select("replicate", "target_idx", "feature_idx")
+    best = rows.groupBy(*by, "replicate", "target_idx").agg(F.min_by("feature_idx", F.struct(draw("feature_idx", "target_idx", "replicate", seed).alias("u"), F.col("feature_idx"))).alias("feature_idx"))
+    return best.select(*by, "replicate", "target_idx", "feature_idx")
+
+
+def ablation_plan(pairs: DataFrame, rates: DataFrame, top_n: int = 10, singles: int = 100, replicates: int = 5, bins: int = 5, seed: int = 0) -> DataFrame:
+    """concept_idx, kind, replicate, features, f1_dom, lift: every set of features that is ablated for a concept.
+
+    ``group``: a stratified sample of its rejected features; ``control``: features of like firing rates, one set for each
+    replicate; ``single``: its ``singles`` rejected features with the highest f1_dom, replicate counting them from 1.
+    ``rates``: feature_idx, firing_rate. All concepts are planned together.
+    """
+    by, none = ["concept_idx"], F.lit(None).cast("double")
+    rejected = pairs.where("rejected").select("concept_idx", "feature_idx", "f1_dom", "lift", "rejected").join(rates, "feature_idx")
+    group = stratified_features(rejected, top_n, bins, seed, by)
+    control = matched_controls(group, rates, replicates, seed, keys=by)
+    listed = F.sort_array(F.collect_set("feature_idx")).alias("features")
+    single = rejected.withColumn("replicate", F.row_number().over(W.partitionBy(*by).orderBy(F.col("f1_dom").desc(), "feature_idx"))).where(F.col("replicate") <= singles)
+    parts = [
+        group.groupBy(*by).agg(listed).select(*by, F.lit("group").alias("kind"), F.lit(0).alias("replicate"), "features", none.alias("f1_dom"), none.alias("lift")),
+        control.groupBy(*by, "replicate").agg(listed).select(*by, F.lit("control").alias("kind"), "replicate", "features", none.alias("f1_dom"), none.alias("lift")),
+        single.select(*by, F.lit("single").alias("kind"), "replicate", F.array("feature_idx").alias("features"), "f1_dom", "lift"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def numbered_sets(plan: DataFrame) -> DataFrame:
+    """The plan with set_idx: equal sets of features have one number, so each is run once. A plan is small: its size is bounded by its options."""
+    sets = plan.select("features").distinct().withColumn("set_idx", F.row_number().over(W.orderBy("features")) - 1)
+    return plan.join(F.broadcast(sets), "features")
+
+
+def prevalence_rows(shares: DataFrame, n_concepts: int, key: str = "global_spectrum") -> DataFrame:
+    """key, concept_idx, prevalence, present (bits of all concepts that the spectrum has) from the wide shares."""
+    present = F.lit(0).cast("long")
+    for i in range(n_concepts):
+        present = present.bitwiseOR(F.when(F.col(f"p{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("concept_idx"), F.col(f"p{i}").alias("prevalence")) for i in range(n_concepts)]))
+    return shares.select(key, present.alias("present"), each.alias("x")).select(key, "present", "x.concept_idx", "x.prevalence")
+
+
+def correlated_masks(phis: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """concept_idx, mask, n_correlated: bits of the concepts whose |phi| with it is over a threshold."""
+    near = phis.where((F.col("ci") != F.col("cj")) & (F.abs("phi") > threshold))
+    return near.groupBy(F.col("ci").alias("concept_idx")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cj").cast("int"))).alias("mask"), F.count("*").alias("n_correlated"))
+
+
+def ablation_rows(plan: DataFrame, runs: DataFrame, prevalences: DataFrame, key: str = "global_spectrum") -> DataFrame:
+    """A row for each planned set and spectrum: concept_idx, kind, replicate, delta_ce against the full reconstruction, prevalence, present.
+
+    ``plan`` with set_idx; ``runs``: mode, set_idx, key, mean_ce, with modes sae and ablate. Spectra that any side lacks
+    take no part.
+    """
+    moved = deltas(runs.where("mode = 'ablate'").select("set_idx", key, "mean_ce"), runs.where("mode = 'sae'"), [key])
+    planned = F.broadcast(plan.select("concept_idx", "kind", "replicate", "set_idx"))
+    return moved.join(planned, "set_idx").join(prevalences, [key, "concept_idx"]).select("concept_idx", "kind", "replicate", key, "delta_ce", "prevalence", "present")
+
+
+def causal_reports(rows: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Causal metrics of every concept's group of features, and of its single features, from ``ablation_rows``.
+
+    All concepts come out of one aggregation: terciles of prevalence by concept, then the contrasts of every set;
+    correlated concepts are told from the bits of a spectrum's concepts.
+    """
+    by = ["concept_idx"]
+    group = rows.where("kind = 'group'")
+    found = selectivity(rows, [*by, "kind", "replicate"], cuts=tercile_cuts(group, by), cut_keys=by)
+    alone = group.join(F.broadcast(masks), "concept_idx", "left").where(F.col("present").bitwiseAND(F.coalesce("mask", F.lit(0).cast("long"))) == 0)
+    orthogonal = selectivity(alone, by).select("concept_idx", F.col("selectivity").alias("orthogonalised_selectivity"), F.col("n").alias("n_orthogonal_spectra"))
+    control = found.where("kind = 'control'").groupBy(*by).agg(
+        F.avg("selectivity").alias("control_mean_selectivity"), F.stddev_samp("selectivity").alias("ss"), F.count("selectivity").alias("ns"),
+        F.avg("mean_delta_ce").alias("control_mean_delta_ce"), F.stddev_samp("mean_delta_ce").alias("sm"), F.count("mean_delta_ce").alias("nm"),
+    )
+    z = lambda v, m, s, n: F.when((F.col(n) >= 2) & (F.col(s) > 1e-12), (F.col(v) - F.col(m)) / F.col(s))
+    own = found.where("kind = 'group'").join(control, "concept_idx", "left").join(orthogonal, "concept_idx", "left").join(F.broadcast(masks.select("concept_idx", "n_correlated")), "concept_idx", "left")
+    groups = own.select(
+        "concept_idx", "mean_delta_ce", "selectivity", "orthogonalised_selectivity", "control_mean_delta_ce", "control_mean_selectivity",
+        z("mean_delta_ce", "control_mean_delta_ce", "sm", "nm").alias("magnitude_z"), z("selectivity", "control_mean_selectivity", "ss", "ns").alias("selectivity_z"),
+        F.col("n").alias("n_spectra"), F.coalesce("n_orthogonal_spectra", F.lit(0)).alias("n_orthogonal_spectra"), F.coalesce("nm", F.lit(0)).alias("matched_random_count"),
+        F.coalesce("n_correlated", F.lit(0)).alias("n_correlated_controlled"),
+    )
+    return groups, found.where("kind = 'single'").select("concept_idx", "replicate", "mean_delta_ce", "selectivity")
 
 
 def hypergeometric_null(pairs: DataFrame, draws: int = 100, seed: int = 42) -> DataFrame:
@@ -157,19 +248,10 @@ def null_test(pairs: DataFrame, most: int = 120, draws: int = 100, seed: int = 4
     return hypergeometric_null(chosen, draws, seed)
 
 
-def causal_report(rows: DataFrame, controls: DataFrame, others: Sequence[str]) -> DataFrame:
-    """One row of causal metrics for a group: its deltas with prevalence, and those of control sets by set_idx."""
-    own = selectivity(rows, []).select("n", "selectivity").join(F.broadcast(rows.agg(F.avg("delta_ce").alias("mean_delta_ce"))))
-    orth = orthogonal_selectivity(rows, [], others).select(F.col("selectivity").alias("orthogonalised_selectivity"), F.col("n").alias("n_orthogonal_spectra"))
-    sel = selectivity(controls, ["set_idx"]).agg(F.avg("selectivity").alias("control_mean_selectivity"), F.stddev_samp("selectivity").alias("ss"), F.count("selectivity").alias("ns"))
-    mean = controls.groupBy("set_idx").agg(F.avg("delta_ce").alias("m")).agg(F.avg("m").alias("control_mean_delta_ce"), F.stddev_samp("m").alias("sm"), F.count("m").alias("nm"))
-    z = lambda v, m, s, n: F.when((F.col(n) >= 2) & (F.col(s) > 1e-12), (F.col(v) - F.col(m)) / F.col(s))
-    out = own.join(F.broadcast(orth), F.lit(True), "left").join(F.broadcast(sel)).join(F.broadcast(mean))
-    return out.select(
-        "mean_delta_ce", "selectivity", "orthogonalised_selectivity", "control_mean_delta_ce", "control_mean_selectivity",
-        z("mean_delta_ce", "control_mean_delta_ce", "sm", "nm").alias("magnitude_z"), z("selectivity", "control_mean_selectivity", "ss", "ns").alias("selectivity_z"),
-        F.col("n").alias("n_spectra"), F.coalesce("n_orthogonal_spectra", F.lit(0)).alias("n_orthogonal_spectra"),
-    )
+def mean_selectivity_z(groups: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Mean selectivity_z over the concepts that are not diagnostic; undefined ones are left out."""
+    known = F.nanvl(F.col("selectivity_z"), F.lit(None).cast("double"))
+    return groups.join(F.broadcast(concepts.where("NOT diagnostic").select("concept_idx")), "concept_idx").agg(F.avg(known).alias("mean_selectivity_z"))
 
 
 def best_causal_record(records: DataFrame) -> DataFrame:

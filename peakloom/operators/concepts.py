@@ -121,7 +121,7 @@ def label_tokens(tokens: DataFrame, spectra: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def annotate(spectra: DataFrame, peaks: DataFrame, keys: Sequence[str], tolerance: float = 20.0, mode: str = "ppm") -> DataFrame:
+def annotate(spectra: DataFrame, peaks: DataFrame, keys: Sequence[str], tolerance: float = 20.0, mode: str = "ppm", series: str = "byIp", internal: bool = True) -> DataFrame:
     """Tokens with their best fragment: the band join, the choice of a candidate, and noise for the rest.
 
     ``spectra``: keys, peptide, precursor_charge, mods with mass; ``peaks``: keys, position, mz, intensity.
@@ -129,7 +129,7 @@ def annotate(spectra: DataFrame, peaks: DataFrame, keys: Sequence[str], toleranc
     from .fragments import CANDIDATE, band_join, best_candidates, theoretical_ions
     from .tokens import with_latent
 
-    ions = theoretical_ions(spectra.select(*keys, "peptide", "precursor_charge", "mods"), keys)
+    ions = theoretical_ions(spectra.select(*keys, "peptide", "precursor_charge", "mods"), keys, series, internal)
     matches = band_join(peaks, ions, keys, "mz", "theory_mz", tolerance, mode)
     best = best_candidates(matches, [*keys, "position"])
     found = with_decile_threshold(peaks, keys).join(best, [*keys, "position"], "left")

@@ -55,6 +55,11 @@ def seed_overlap(mine: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     return a.join(b, "concept").select("concept", "seed", both.alias("intersection"), any_of.alias("union"), (both / F.greatest(any_of, F.lit(1))).alias("jaccard"))
 
 
+def shared_sample(features: DataFrame, tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Activations of the sampled tokens; the sample is bounded by its option, not by the data."""
+    return features.join(F.broadcast(tokens.select(*keys)), list(keys))
+
+
 def mean_jaccard(overlap: DataFrame) -> DataFrame:
     return overlap.groupBy("concept").agg(F.avg("jaccard").alias("mean_jaccard"), F.sort_array(F.collect_list(F.struct("seed", "intersection", "union", "jaccard"))).alias("per_seed"))
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import d, dot
 
 WEIGHT_BYTES = 1 << 30
+#: Groups in which the sums of tasks meet first.
+FAN = 64
 MULTIPLIERS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 
 
@@ -88,11 +90,15 @@ def reconstruction(activations: DataFrame, dictionary: Dictionary, scales: Seque
     """One row for each threshold scale with every reconstruction and sparsity metric, in a single pass.
 
     Each task sums squared residuals, squares, column sums, active features and firing counts of its rows; the sums
-    of tasks meet in one small aggregation by scale.
+    of tasks meet in two small aggregations by scale.
     """
-    schema = "scale double, n long, resid double, total double, active double, sums array<double>, firing array<long>"
+    schema = "scale double, salt int, n long, resid double, total double, active double, sums array<double>, firing array<long>"
+    types = [pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+    names = ["scale", "salt", "n", "resid", "total", "active", "sums", "firing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         d_dict, d_model = dictionary.w_dec.shape
         acc = {s: [0, 0.0, 0.0, 0.0, np.zeros(d_model), np.zeros(d_dict, np.int64)] for s in scales}
         for b in batches:
@@ -109,14 +115,21 @@ def reconstruction(activations: DataFrame, dictionary: Dictionary, scales: Seque
                 a[3] += float((f != 0).sum())
                 a[4] += x.sum(0)
                 a[5] += (f > 0).sum(0)
-        rows = [(s, *a[:4], a[4].tolist(), a[5].tolist()) for s, a in acc.items() if a[0]]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        types = [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["scale", "n", "resid", "total", "active", "sums", "firing"])
-
-    parts = activations.select(vector).mapInArrow(run, schema)
-    add = lambda name, kind: F.aggregate(F.collect_list(name), F.lit(None).cast(f"array<{kind}>"), lambda a, b: F.when(a.isNull(), b).otherwise(F.zip_with(a, b, lambda x, y: x + y))).alias(name)
-    summed = parts.groupBy("scale").agg(*[F.sum(c).alias(c) for c in ("n", "resid", "total", "active")], add("sums", "double"), add("firing", "long"))
+        salt = TaskContext.get().partitionId() % FAN
+        rows = [(s, salt, *a[:4], a[4].tolist(), a[5].tolist()) for s, a in acc.items() if a[0]]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def add(group: pa.Table) -> pa.Table:
+        """One row with the sums of all columns."""
+        head = [group.column(c)[0].as_py() for c in ("scale", "salt")]
+        sums = [np.asarray(group.column(c).to_numpy()).sum() for c in names[2:6]]
+        arrays = [matrix(group.column(c).combine_chunks()).sum(0) for c in ("sums", "firing")]
+        return pa.table([pa.array([v], t) for v, t in zip([*head, *sums, arrays[0].tolist(), arrays[1].astype(np.int64).tolist()], types, strict=True)], names=names)
+
+    # Tasks' sums meet in FAN groups of each scale, then in one, so that no task holds the arrays of all.
+    parts = activations.select(vector).mapInArrow(run, schema).groupBy("scale", "salt").applyInArrow(add, schema)
+    summed = parts.groupBy("scale").applyInArrow(add, schema)
     centred = F.greatest(F.col("total") - F.aggregate("sums", d(0), lambda a, x: a + x * x) / F.col("n"), d(1e-12))
     width, size = dictionary.w_dec.shape[1], dictionary.w_dec.shape[0]
     near = F.greatest(F.lit(1), F.floor(F.col("n") / 100000))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.registry import CARBONYL, LOSSES, PRIORITY, PROTON, RESIDUES, WATER, _map
+from ..plans.registry import CARBONYL, LOSSES, OTHER_SERIES, PRIORITY, PROTON, RESIDUES, WATER, _map
 
 
 def residue_masses(peptide: Column, mods: Column) -> Column:
@@ -21,7 +21,7 @@ def residue_masses(peptide: Column, mods: Column) -> Column:
 def theoretical_ions(spectra: DataFrame, keys: Sequence[str], series: str = "byIp", internal: bool = True, max_charge: Column | None = None) -> DataFrame:
     """Ions of each spectrum's peptide: keys, ion_type, ion_index, internal_end, residue, fragment_charge, neutral_loss, theory_mz.
 
-    ``spectra``: keys, peptide, precursor_charge, mods (position, mass). Backbone charges run to ``max_charge``, by
+    ``series``: letters of the ion types (a, b, c, x, y, z, I: immonium, p: precursor). ``spectra``: keys, peptide, precursor_charge, mods (position, mass). Backbone charges run to ``max_charge``, by
     default one less than the precursor's. Peptides with an unknown residue have no ions. Ions of one spectrum only
     depend on (peptide, mods, charge), so callers may pass distinct ones and join the result.
     """
@@ -52,6 +52,10 @@ def theoretical_ions(spectra: DataFrame, keys: Sequence[str], series: str = "byI
         emit(F.transform(inner, lambda k: fields("b", k, none_int, none_text, F.element_at("cum", k + 1))), backbone, True)
     if "y" in series:
         emit(F.transform(inner, lambda k: fields("y", k, none_int, none_text, total - F.element_at("cum", F.col("len") - k + 1) + WATER)), backbone, True)
+    for kind, (origin, shift) in OTHER_SERIES.items():
+        if kind in series:
+            neutral = (lambda k: F.element_at("cum", k + 1)) if origin == "b" else (lambda k: total - F.element_at("cum", F.col("len") - k + 1) + WATER)
+            emit(F.transform(inner, lambda k: fields(kind, k, none_int, none_text, neutral(k) + shift)), backbone, True)
     if "I" in series:
         places = F.sequence(F.lit(1), F.col("len"))
         emit(F.transform(places, lambda i: fields("I", none_int, none_int, F.substring("peptide", i, F.lit(1)), F.element_at("masses", i) - CARBONYL)), one, False)
@@ -89,7 +93,7 @@ CANDIDATE = ("ion_type", "ion_index", "internal_end", "residue", "fragment_charg
 
 
 def best_candidates(matches: DataFrame, token: Sequence[str], measured: str = "mz", isotope: str | None = None) -> DataFrame:
-    """One candidate for each token: no isotope, no loss, series, charge, mass error, then a fixed order.
+    """One candidate for each token: no isotope, no loss, series, charge, mass error, then all of its fields.
 
     A minimum over structs, so tasks keep one row for each token before the shuffle.
     """
@@ -97,7 +101,7 @@ def best_candidates(matches: DataFrame, token: Sequence[str], measured: str = "m
     error = F.round(F.abs(F.col(measured) - F.col("theory_mz")), 9)
     order = F.struct(
         (F.col(isotope) != 0 if isotope else F.lit(False)).alias("i"), (F.col("neutral_loss") != "").alias("l"), rank.alias("r"), F.col("fragment_charge").alias("z"), error.alias("e"),
-        *[F.coalesce(F.col(c), F.lit("" if c in ("ion_type", "residue", "neutral_loss") else -1)).alias(f"t{i}") for i, c in enumerate(CANDIDATE[:-1])],
+        *[F.coalesce(F.col(c), F.lit("" if c in ("ion_type", "residue", "neutral_loss") else -1)).alias(f"t{i}") for i, c in enumerate(CANDIDATE)],
     )
     best = matches.groupBy(*token).agg(F.min_by(F.struct(*CANDIDATE), order).alias("best"))
     return best.select(*token, "best.*")

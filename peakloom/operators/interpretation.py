@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import d, relative
 from ..plans.registry import CONCEPTS, has
-from .causal import unit_hash
+from ..staging import staged
+from .causal import Draw, unit_hash
 from .statistics import pearson
 
 BINS, PER_BIN, TOP_BIN, ZEROS, LEAST_ACTIVE, NEIGHBOURS, EXTRA = 10, 2, 6, 8, 12, 6, 4
 
 
-def select_strata(stats: DataFrame, causal: DataFrame, n: int = 40, seed: int = 0) -> DataFrame:
-    """feature_idx, stratum: causal by |selectivity|, then concept by f1_dom, then unlabelled by hash; one stratum each."""
+STRATA = ("causal", "concept", "unlabelled")
+
+
+def select_strata(stats: DataFrame, causal: DataFrame, n: int = 40, seed: int = 0, strata: Sequence[str] = STRATA, draw: Draw = unit_hash) -> DataFrame:
+    """feature_idx, stratum: causal by |selectivity|, then concept by f1_dom, then unlabelled by hash; one stratum each, and only ``strata``."""
+    if odd := set(strata) - set(STRATA):
+        raise ValueError(f"no such strata: {sorted(odd)}")
     c = causal.select("feature_idx", F.abs("selectivity").alias("s"))
-    first = c.orderBy(F.coalesce(F.nanvl(F.col("s"), F.lit(None).cast("double")), d(-1)).desc(), "feature_idx").limit(n).select("feature_idx", F.lit("causal").alias("stratum"))
+    first = c.where(F.lit("causal" in strata)).orderBy(F.coalesce(F.nanvl(F.col("s"), F.lit(None).cast("double")), d(-1)).desc(), "feature_idx").limit(n).select("feature_idx", F.lit("causal").alias("stratum"))
     open_1 = stats.join(first.select("feature_idx"), "feature_idx", "left_anti")
     second = open_1.where("n_significant_concepts > 0").orderBy(F.col("max_f1_dom").desc(), "feature_idx").limit(n).select("feature_idx", F.lit("concept").alias("stratum"))
-    third = open_1.where("n_significant_concepts = 0 AND firing_rate > 0").orderBy(unit_hash("feature_idx", seed), "feature_idx").limit(n).select("feature_idx", F.lit("unlabelled").alias("stratum"))
-    return first.unionByName(second).unionByName(third)
+    third = open_1.where("n_significant_concepts = 0 AND firing_rate > 0").orderBy(draw("feature_idx", seed), "feature_idx").limit(n).select("feature_idx", F.lit("unlabelled").alias("stratum"))
+    return first.unionByName(second).unionByName(third).where(F.col("stratum").isin(*strata))
 
 
 def feature_scale(activations: DataFrame, top: DataFrame) -> DataFrame:
@@ -39,24 +45,31 @@ def activation_bin(x: Column) -> Column:
     return F.when((x > 0) & (x <= 1), F.element_at(inside, 1))
 
 
-def sample_examples(activations: DataFrame, scale: DataFrame, tokens: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
+def sample_examples(activations: DataFrame, scale: DataFrame, tokens: DataFrame, keys: Sequence[str], seed: int = 0, draw: Draw = unit_hash) -> DataFrame:
     """Examples of each feature: two tokens of each bin, six of the top one, eight at zero, in hashed order.
 
     ``activations``: keys, feature_idx, activation (stored values); ``tokens``: keys of the sampled chunks. Features with
     fewer than twelve active tokens have none. Zeros are drawn from the few tokens with the least hash that the
-    feature is not active on, so no feature is joined with all tokens.
+    feature is not active on, so no feature is joined with all tokens but those that fire on nearly all of these; of
+    such ones there are no more than features are active on a token.
     """
     rows = activations.join(F.broadcast(scale.where("peak > 0")), "feature_idx").withColumn("x", F.col("activation") / F.col("peak")).where("x > 0")
     live = rows.groupBy("feature_idx").agg(F.count("*").alias("active")).where(F.col("active") >= LEAST_ACTIVE)
     rows = rows.join(F.broadcast(live.select("feature_idx")), "feature_idx").withColumn("bin", activation_bin(F.col("x")))
-    order = W.partitionBy("feature_idx", "bin").orderBy(unit_hash("feature_idx", *keys, seed), *keys)
+    order = W.partitionBy("feature_idx", "bin").orderBy(draw("feature_idx", *keys, seed), *keys)
     want = F.when(F.col("bin") == BINS - 1, TOP_BIN).otherwise(PER_BIN)
     active = rows.where("bin IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= want).select("feature_idx", *keys, F.col("x").alias("activation"))
-    pool = tokens.select(*keys).orderBy(unit_hash(*keys, seed), *keys).limit(64 * ZEROS)
-    zeros = live.select("feature_idx").join(F.broadcast(pool)).join(activations.where("activation != 0").select("feature_idx", *keys), ["feature_idx", *keys], "left_anti")
-    nearest = W.partitionBy("feature_idx").orderBy(unit_hash("feature_idx", *keys, seed), *keys)
-    zeros = zeros.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= ZEROS).select("feature_idx", *keys, d(0).alias("activation"))
-    shuffled = W.partitionBy("feature_idx").orderBy(unit_hash("feature_idx", *keys, seed + 1), *keys)
+    fired = activations.where("activation != 0").select("feature_idx", *keys)
+    nearest = W.partitionBy("feature_idx").orderBy(draw(*keys, seed), *keys)
+
+    def zeros_of(features: DataFrame, pool: DataFrame) -> DataFrame:
+        free = features.select("feature_idx").join(F.broadcast(pool) if pool is not tokens else pool.select(*keys)).join(fired, ["feature_idx", *keys], "left_anti")
+        return free.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= ZEROS).select("feature_idx", *keys, d(0).alias("activation"))
+
+    near = staged(zeros_of(live, tokens.select(*keys).orderBy(draw(*keys, seed), *keys).limit(64 * ZEROS)), "zeros")
+    short = live.join(near.groupBy("feature_idx").agg(F.count("*").alias("n")).where(F.col("n") == ZEROS), "feature_idx", "left_anti")
+    zeros = near.join(short.select("feature_idx"), "feature_idx", "left_anti").unionByName(zeros_of(F.broadcast(short), tokens))
+    shuffled = W.partitionBy("feature_idx").orderBy(draw("feature_idx", *keys, seed + 1), *keys)
     return active.unionByName(zeros).withColumn("example_id", F.row_number().over(shuffled) - 1)
 
 
@@ -112,24 +125,46 @@ def example_rows(examples: DataFrame, with_activation: bool, with_concepts: bool
     return examples.groupBy("feature_idx").agg(F.concat(F.lit(",".join(head) + "\n"), lines).alias("table_text"))
 
 
-DESCRIBE = "Below are tokens of mass spectra with the activation (0 to 1) of one learned feature. About 60 percent of peaks match no known fragment.\n\n"
-DESCRIBE_END = "\n\nSay what makes the feature fire. Answer as\nDESCRIPTION: a paragraph\nSUMMARY: one sentence"
-PREDICT = "A feature of a mass-spectrum model is described as follows.\n\n"
-PREDICT_END = "\n\nPredict its activation (0 to 1) on each token. Answer in lines of example_id,activation and nothing else."
+LEGEND = """The table lists tokens of tandem mass spectra as a sequencing model's encoder sees them. A token is one peak, or
+the summary token that stands before the peaks of each spectrum (LATENT_SUMMARY_TOKEN). What the columns hold:
+
+  peak_mz           m/z of the peak
+  rel_intensity     its intensity, 1 for the base peak of its spectrum
+  intensity_rank    its place by intensity, from 1
+  n_peaks           peaks of the spectrum
+  matched_ion       the fragment series that the peak fits (b, y, I, internal, precursor), or noise: about 60 percent
+                    of peaks fit none, and can matter all the same
+  peptide_proforma  the peptide, with the masses of modifications in brackets
+  precursor_mz, precursor_z   m/z and charge of the whole peptide
+  nearby_mz         m/z of the peaks next to it
+"""
+CONCEPTS_LEGEND = "  concepts          names of what is known to hold for the token\n"
+ACTIVATION_LEGEND = "  activation        how strongly one learned feature responds, 1 at its strongest, 0 where it is silent\n"
+DESCRIBE_END = """
+Find what tells the activations apart: the region of m/z, intensity and charge, a series or a loss, a residue or a
+modification, a distance between peaks (with its mass), the peak itself or its surroundings. Others will predict the
+activation of tokens they have not seen from your words and the other columns. If there is no pattern, say so. Answer as
+
+DESCRIPTION: a paragraph
+SUMMARY: one sentence
+"""
+PREDICT = "\nA feature is described below. Predict its activation, from 0 to 1, on each token of the table; many are 0.\n\n"
+PREDICT_END = "\nAnswer with lines of example_id,activation under that header and nothing else.\n"
 
 
-def description_prompt(table: Column) -> Column:
-    return F.concat(F.lit(DESCRIBE), table, F.lit(DESCRIBE_END))
+def description_prompt(table: Column, with_concepts: bool = False) -> Column:
+    """The legend of the columns, the task and the table."""
+    return F.concat(F.lit(LEGEND + (CONCEPTS_LEGEND if with_concepts else "") + ACTIVATION_LEGEND + DESCRIBE_END + "\n"), table)
 
 
-def prediction_prompt(description: Column, table: Column) -> Column:
-    return F.concat(F.lit(PREDICT), description, F.lit("\n\n"), table, F.lit(PREDICT_END))
+def prediction_prompt(description: Column, table: Column, with_concepts: bool = False) -> Column:
+    return F.concat(F.lit(LEGEND + (CONCEPTS_LEGEND if with_concepts else "") + PREDICT), description, F.lit("\n" + PREDICT_END + "\n"), table)
 
 
-def half(examples: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
+def half(examples: DataFrame, keys: Sequence[str], seed: int = 0, draw: Draw = unit_hash) -> DataFrame:
     """Adds ``describe``: true for the half of each feature's examples with the lower hashes."""
     own = W.partitionBy("feature_idx")
-    place = F.row_number().over(own.orderBy(unit_hash("feature_idx", *keys, seed + 2), *keys))
+    place = F.row_number().over(own.orderBy(draw("feature_idx", *keys, seed + 2), *keys))
     return examples.withColumn("describe", place <= F.floor(F.count("*").over(own) / 2))
 
 

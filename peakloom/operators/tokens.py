@@ -61,7 +61,7 @@ def flatten(spectra: DataFrame, mask: str = "valid", keys: Sequence[str] = ("spe
 
 
 def split_peaks(values: Column, mask: Column) -> Column:
-    """Kept (mz, intensity) pairs of a spectrum: ``values`` is an array of pairs."""
+    """Kept (mz, intensity) pairs of a spectrum: ``values`` is an array of pairs, as encoders take them."""
     return F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda x: x["m"]), lambda x: F.struct(x["v"][0].alias("mz"), x["v"][1].alias("intensity")))
 
 
@@ -95,6 +95,26 @@ def running_offset(counts: DataFrame, key: str, n: str) -> DataFrame:
     return counts.withColumn("offset", F.coalesce(before, F.lit(0)))
 
 
+def cap_peaks(spectra: DataFrame, most: int, mz: str = "mz_array", intensity: str = "intensity_array") -> DataFrame:
+    """Both arrays cut to the ``most`` most intense peaks of a spectrum (ties: the earlier one), in stored order."""
+    peaks = F.transform(F.arrays_zip(F.col(mz).alias("m"), F.col(intensity).alias("i")), lambda x, at: F.struct((-x["i"]).alias("k"), at.alias("at"), x["m"].alias("m"), x["i"].alias("i")))
+    kept = F.array_sort(F.transform(F.slice(F.array_sort(peaks), 1, most), lambda x: F.struct(x["at"].alias("at"), x["m"].alias("m"), x["i"].alias("i"))))
+    rows = spectra.withColumn("_kept", F.when(F.size(mz) > most, kept))
+    keep = lambda c, field: F.coalesce(F.transform("_kept", lambda x: x[field]), F.col(c)).alias(c)
+    return rows.withColumns({mz: keep(mz, "m"), intensity: keep(intensity, "i")}).drop("_kept")
+
+
+def first_tokens(tokens: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` tokens by (chunk_idx, token_in_chunk), with their number as token_id.
+
+    Offsets come from one row for each chunk, and chunks past the last one needed are not read.
+    """
+    offsets = running_offset(tokens.groupBy("chunk_idx").agg(F.count("*").alias("n")), "chunk_idx", "n")
+    wanted = capped(offsets, "offset", most).select("chunk_idx", "offset")
+    numbered = tokens.join(F.broadcast(wanted), "chunk_idx").withColumn("token_id", F.col("offset") + F.col("token_in_chunk"))
+    return capped(numbered, "token_id", most).drop("offset")
+
+
 def capped(tokens: DataFrame, key: str, most: int) -> DataFrame:
     """First ``most`` values of a number that starts at 0: a predicate that reaches the scan, unlike a limit."""
     return tokens.where(F.col(key) < most)

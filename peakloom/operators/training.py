@@ -1,14 +1,19 @@
 """Training a sparse dictionary: batch top-k with an auxiliary loss on dead features, in numpy.
 
-Batches stream from Spark in a hashed order; the weights live on the driver, whose size is the dictionary's and not the
-data's. Gradients are written out by hand. This is for dictionaries of moderate size; it does not rival a GPU.
+An epoch's order is a hash of token, epoch and seed, by which the activations are dealt to parts and sorted in the
+tasks and written. Each part is one task that takes its batches in that order, with the weights and the optimiser's
+state of the last round; at the round's end the parts' weights and moments are averaged (local steps with averaging),
+again in tasks. One part is plain sequential training. The driver holds the weights, whose size is the dictionary's,
+and never an activation. Gradients are written out by hand; this does not rival a GPU.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .dictionary import Dictionary, matrix
+from ..staging import delete_path, staged_parts
+from .dictionary import WEIGHT_BYTES, Dictionary, matrix
 
 
 @dataclass
@@ -38,11 +44,13 @@ class TrainConfig:
     calibration_batches: int = 50
     dead_after: int = 1
     tangent: bool = True
+    across_chunks: bool = True
+    parts: int = 1
     seed: int = 0
 
     def validate(self) -> None:
-        if self.k < 1 or self.batch < 1 or self.epochs < 1 or not 0 < self.val_fraction < 1:
-            raise ValueError("k, batch and epochs must be positive, val_fraction between 0 and 1")
+        if min(self.k, self.batch, self.epochs, self.parts) < 1 or not 0 < self.val_fraction < 1:
+            raise ValueError("k, batch, epochs and parts must be positive, val_fraction between 0 and 1")
 
 
 def init(d_model: int, config: TrainConfig) -> Dictionary:
@@ -130,17 +138,20 @@ def split_chunks(chunks: DataFrame, config: TrainConfig) -> DataFrame:
     return chunks.withColumn("val", place <= n_val)
 
 
-def epoch_batches(activations: DataFrame, config: TrainConfig, epoch: int, key: str = "token_id", vector: str = "activation") -> Iterator[np.ndarray]:
-    """Batches of one epoch in an order hashed from token, epoch and seed, streamed partition by partition."""
-    ordered = activations.orderBy(F.xxhash64(key, F.lit(epoch), F.lit(config.seed)), key).select(F.col(vector).cast("array<double>").alias("v"))
-    held: list[list[float]] = []
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        held.append(row["v"])
-        if len(held) == config.batch:
-            yield np.array(held)
-            held = []
-    if held:
-        yield np.array(held)
+def ordered_epoch(activations: DataFrame, config: TrainConfig, epoch: int, key: str = "token_id", vector: str = "activation") -> tuple[DataFrame, str]:
+    """part, activation in an order hashed from token, epoch and seed (of chunk first, where tokens stay in their chunks), written, with its path.
+
+    A file holds a range of that order, so files may follow each other in any order: hashed ranges are shuffled anyway.
+    """
+    order = [F.xxhash64(key, F.lit(epoch), F.lit(config.seed)), F.col(key)]
+    if not config.across_chunks:
+        order = [F.xxhash64("chunk_idx", F.lit(epoch), F.lit(config.seed)), F.col("chunk_idx"), *order]
+    names = [f"_o{i}" for i in range(len(order))]
+    deal = F.pmod(order[0], F.lit(config.parts)).cast("int").alias("part")
+    rows = activations.select(*[o.alias(n) for o, n in zip(order, names, strict=True)], F.col(vector).cast("array<float>").alias("activation"), deal)
+    spread = int(activations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(max(spread, config.parts), "part", *names).sortWithinPartitions("part", *names)
+    return staged_parts(ranged.select("activation", "part"), "epoch", "part")
 
 
 def steps_per_epoch(counts: Sequence[int], batch: int, across_chunks: bool = True) -> int:
@@ -148,42 +159,149 @@ def steps_per_epoch(counts: Sequence[int], batch: int, across_chunks: bool = Tru
     return math.ceil(sum(counts) / batch) if across_chunks else sum(math.ceil(n / batch) for n in counts)
 
 
-def calibrate(model: Dictionary, activations: DataFrame, config: TrainConfig) -> float:
-    """Threshold: mean over the first batches of the smallest kept preactivation."""
-    edges = []
-    for i, x in enumerate(epoch_batches(activations, config, -1)):
-        if i >= config.calibration_batches:
-            break
-        edge = batch_topk(np.maximum(model.preactivations(x), 0), config.k)[1]
-        if edge is not None:
-            edges.append(edge)
-    return float(np.mean(edges)) if edges else 0.0
+@dataclass
+class Trainer:
+    """Weights, the optimiser's state and what an epoch adds up."""
+
+    model: Dictionary
+    config: TrainConfig
+    total: int
+    optimiser: AdamW
+    losses: list[tuple[float, float]] = field(default_factory=list)
+    rate: float = 0.0
+
+    def step(self, x: np.ndarray) -> None:
+        step = self.optimiser.step
+        self.rate = learning_rate(step, self.config, self.total)
+        grads, seen = gradients(self.model, x, self.config)
+        self.optimiser.update(self.model, grads, self.rate)
+        self.model.firing_count = self.model.firing_count + seen["fired"]
+        if seen["edge"] is not None:
+            self.model.threshold = seen["edge"] if step == 0 else self.config.ema * self.model.threshold + (1 - self.config.ema) * seen["edge"]
+        self.losses.append((seen["recon_loss"], seen["aux_loss"]))
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All state that averages over parts."""
+        own = {name: getattr(self.model, name) for name in WEIGHTS}
+        for name, (m, v) in self.optimiser.state.items():
+            own |= {f"m:{name}": m, f"v:{name}": v}
+        return own
+
+
+#: In the order of the dictionary's fields.
+WEIGHTS = ("w_enc", "b_enc", "w_dec", "b_dec")
+#: Numbers of one array that travel in a row.
+PIECE = 1 << 18
+
+
+def batches_of(arrays: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """Rows of a stream of matrices in batches of ``size``; the last one may be shorter."""
+    held: list[np.ndarray] = []
+    n = 0
+    for x in arrays:
+        while len(x):
+            part = x[: size - n]
+            held.append(part)
+            n, x = n + len(part), x[len(part) :]
+            if n == size:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def run_round(epoch: DataFrame, trainer: Trainer) -> Trainer:
+    """One pass over an ordered epoch: a task for each part, then the mean of their states."""
+    config, spark = trainer.config, epoch.sparkSession
+    start = spark.sparkContext.broadcast(pickle.dumps(Trainer(trainer.model, config, trainer.total, trainer.optimiser)))
+
+    def train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Trainer = pickle.loads(start.value)
+        own.model.firing_count = np.zeros(config.d_dict, np.int64)
+        tokens = 0
+        for x in batches_of((matrix(b.column("activation")) for b in batches if b.num_rows), config.batch):
+            tokens += len(x)
+            own.step(x)
+        means = np.mean(own.losses, axis=0) if own.losses else np.zeros(2)
+        scalars = np.array([own.optimiser.step, own.model.threshold, *means, own.rate])
+        for name, values in {**own.arrays(), "fired": own.model.firing_count.astype(float), "scalars": scalars}.items():
+            flat = np.ascontiguousarray(values, "<f8").ravel()
+            for at in range(0, len(flat), PIECE):
+                row = [[name], [at], [tokens], [flat[at : at + PIECE].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["name", "at", "tokens", "piece"])
+
+    def average(group: pa.Table) -> pa.Table:
+        """Means weighted by tokens; firing counts are added up, and the step is the largest."""
+        name, weight = group.column("name")[0].as_py(), group.column("tokens").to_numpy().astype(float)
+        keep = weight > 0
+        stack = np.stack([np.frombuffer(p.as_buffer(), "<f8") for p in group.column("piece").combine_chunks()])[keep]
+        out = stack.sum(0) if name == "fired" else (weight[keep] / weight.sum()) @ stack
+        if name == "scalars":
+            out[0] = stack[:, 0].max()
+        return pa.table([pa.array([name]), group.column("at")[:1].combine_chunks(), pa.array([out.tobytes()], pa.binary())], names=["name", "at", "piece"])
+
+    one_each = [epoch.where(F.col("part") == p).select("activation").coalesce(1).mapInArrow(train_part, "name string, at long, tokens long, piece binary") for p in range(config.parts)]
+    merged = reduce(DataFrame.unionAll, one_each).groupBy("name", "at").applyInArrow(average, "name string, at long, piece binary").orderBy("name", "at").collect()
+    start.destroy()
+    whole = {name: np.concatenate([np.frombuffer(r["piece"], "<f8") for r in merged if r["name"] == name]) for name in dict.fromkeys(r["name"] for r in merged)}
+    shape = {n: getattr(trainer.model, n).shape for n in WEIGHTS}
+    step, threshold, recon, aux, rate = whole["scalars"]
+    model = Dictionary(*(whole[n].reshape(shape[n]) for n in WEIGHTS), float(threshold), whole["fired"].astype(np.int64), trainer.model.info)
+    model.w_dec = model.w_dec / np.maximum(np.linalg.norm(model.w_dec, axis=1, keepdims=True), 1e-12)
+    optimiser = AdamW(config)
+    optimiser.step, optimiser.state = int(step), {n: tuple(whole[f"{k}:{n}"].reshape(shape[n]) for k in "mv") for n in WEIGHTS}
+    return Trainer(model, config, trainer.total, optimiser, [(float(recon), float(aux))], float(rate))
+
+
+def calibrate(model: Dictionary, activations: DataFrame, config: TrainConfig, n: int, key: str = "token_id", vector: str = "activation") -> float:
+    """Threshold: mean over some batches of the smallest kept preactivation.
+
+    The batches are hashed groups of about ``config.batch`` tokens, at most ``calibration_batches`` of them; each is
+    one task's, so neither tokens nor preactivations leave the tasks.
+    """
+    groups = min(config.calibration_batches, max(1, round(n / config.batch)))
+    share = min(1.0, groups * config.batch / max(n, 1))
+    unit = F.pmod(F.xxhash64(key, F.lit(-1), F.lit(config.seed)), F.lit(1 << 30)) / (1 << 30)
+    some = activations.where(unit < share).select(F.pmod(F.xxhash64(key, F.lit(-2), F.lit(config.seed)), F.lit(groups)).cast("int").alias("g"), F.col(vector).cast("array<float>").alias("activation"))
+
+    def edge(group: pa.Table) -> pa.Table:
+        x = matrix(group.column("activation").combine_chunks())
+        return pa.table([pa.array([batch_topk(np.maximum(model.preactivations(x), 0), config.k)[1]], pa.float64())], names=["edge"])
+
+    return float(some.groupBy("g").applyInArrow(edge, "edge double").agg(F.avg("edge")).first()[0] or 0.0)
 
 
-def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = None) -> tuple[Dictionary, list[dict]]:
-    """Train on (token_id, activation) rows; returns the dictionary with its calibrated threshold, and the log."""
+def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = None, record: Callable[[dict], None] = lambda row: None) -> tuple[Dictionary, list[dict]]:
+    """Train on (token_id, activation) rows; returns the dictionary with its calibrated threshold, and the log.
+
+    ``record`` is called with each row of the log as soon as it is known, so a run that fails leaves what it did.
+    """
     config.validate()
     first = activations.select(F.size("activation")).first()
     if first is None:
         raise ValueError("no activations to train on")
-    n = activations.count()
-    total = steps_per_epoch([n], config.batch) * config.epochs
-    model, optimiser, log, step = init(first[0], config), AdamW(config), [], 0
+    if config.across_chunks:
+        counts = [activations.count()]
+    else:
+        counts = [r["n"] for r in activations.groupBy("chunk_idx").agg(F.count("*").alias("n")).collect()]
+    n, log = sum(counts), []
+    total = max(1, -(-steps_per_epoch(counts, config.batch, config.across_chunks) // config.parts)) * config.epochs
+    if 16 * first[0] * config.d_dict > WEIGHT_BYTES:
+        raise ValueError(f"the dictionary would take {16 * first[0] * config.d_dict} bytes")
+    trainer = Trainer(init(first[0], config), config, total, AdamW(config))
+
+    def say(row: dict) -> None:
+        log.append(row)
+        record(row)
+
     for epoch in range(config.epochs):
-        model.firing_count = np.zeros(config.d_dict, np.int64)
-        losses: list[tuple[float, float]] = []
-        for x in epoch_batches(activations, config, epoch):
-            rate = learning_rate(step, config, total)
-            grads, seen = gradients(model, x, config)
-            optimiser.update(model, grads, rate)
-            model.firing_count += seen["fired"]
-            if seen["edge"] is not None:
-                model.threshold = seen["edge"] if step == 0 else config.ema * model.threshold + (1 - config.ema) * seen["edge"]
-            losses.append((seen["recon_loss"], seen["aux_loss"]))
-            step += 1
-        mean = np.mean(losses, axis=0)
-        log.append({"epoch": epoch, "step": step, "lr": rate, "recon_loss": float(mean[0]), "aux_loss": float(mean[1]), "dead": int((model.firing_count < config.dead_after).sum())})
-    model.threshold = calibrate(model, activations, config)
+        rows, path = ordered_epoch(activations, config, epoch)
+        trainer = run_round(rows, trainer)
+        delete_path(activations.sparkSession, path)
+        recon, aux = trainer.losses[0]
+        say({"epoch": epoch, "step": trainer.optimiser.step, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "dead": int((trainer.model.firing_count < config.dead_after).sum())})
+    model = trainer.model
+    model.threshold = calibrate(model, activations, config, n)
     norms = np.linalg.norm(model.w_dec, axis=1)
     if np.abs(norms - 1).max() > 1e-3:
         raise ValueError("decoder rows lost their unit length")
@@ -191,33 +309,5 @@ def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = N
         from .dictionary import reconstruction
 
         row = reconstruction(val, model).drop("firing_count").first()
-        log.append({"validation": row.asDict() if row else None})
+        say({"validation": row.asDict() if row else None})
     return model, log
-
-
-def batch_gradients(activations: DataFrame, model: Dictionary, config: TrainConfig, vector: str = "activation") -> dict[str, np.ndarray]:
-    """Gradients summed over the rows of a table in its workers: each Arrow batch is one batch of the loss.
-
-    One row of weights' size leaves each task; they are added up in a tree of bounded width by ``reduce`` on the driver.
-    """
-    shapes = {"w_dec": model.w_dec.shape, "b_dec": model.b_dec.shape, "w_enc": model.w_enc.shape, "b_enc": model.b_enc.shape}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = {k: np.zeros(s) for k, s in shapes.items()}, 0
-        for b in batches:
-            if b.num_rows:
-                for k, g in gradients(model, matrix(b.column(vector)), config)[0].items():
-                    total[k] += g * b.num_rows
-                n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([total[k].ravel() for k in shapes]).astype("<f8").tobytes()], pa.binary())], names=["n", "sums"])
-
-    flat, n = None, 0
-    for row in activations.select(vector).mapInArrow(run, "n long, sums binary").toLocalIterator():
-        own = np.frombuffer(row["sums"], "<f8")
-        flat, n = own if flat is None else flat + own, n + row["n"]
-    out, at = {}, 0
-    for k, s in shapes.items():
-        size = int(np.prod(s))
-        out[k] = (flat[at : at + size] / max(n, 1)).reshape(s)
-        at += size
-    return out

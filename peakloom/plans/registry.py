@@ -39,6 +39,8 @@ RESIDUES = {
     "D": 115.026943, "Q": 128.058578, "K": 128.094963, "E": 129.042593, "M": 131.040485, "H": 137.058912, "F": 147.068414, "R": 156.101111, "Y": 163.063329, "W": 186.079313,
 }
 PROTON, WATER, CARBONYL = 1.007276, 18.010565, 27.994915
+# Other backbone series, as the series they start from and the mass added to it.
+OTHER_SERIES = {"a": ("b", -27.994915), "c": ("b", 17.026549), "x": ("y", 25.979265), "z": ("y", -17.026549)}
 
 CONCEPTS: tuple[str, ...] = tuple(c for family in FAMILIES.values() for c in family)
 FAMILY_OF = {c: family for family, concepts in FAMILIES.items() for c in concepts}

@@ -33,6 +33,10 @@ class Artefacts:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def sub(self, name: str) -> Artefacts:
+        """A folder of its own below this one."""
+        return Artefacts(self.spark, self.path(name))
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -87,14 +91,23 @@ class Artefacts:
         columns = CSV_COLUMNS.get(name, tuple(df.columns))
         df.select(*columns).write.mode("overwrite").option("header", True).csv(self.path(f"{name}.csv"))
 
+    def write_rows_json(self, df: DataFrame, name: str) -> None:
+        """A JSON object in a line for each row; nulls are written."""
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(self.path(name))
+
+    def append_log(self, row: dict, name: str) -> None:
+        """One more line of a log, kept whatever happens next."""
+        self.spark.createDataFrame([(json.dumps(row, default=str),)], "value string").coalesce(1).write.mode("append").text(self.path(name))
+
     def read_csv(self, name: str) -> DataFrame:
         schema = ", ".join(f"{c} {CSV_TYPES.get(c, 'double')}" for c in CSV_COLUMNS[name])
         return self.spark.read.schema(schema).option("header", True).csv(self.path(f"{name}.csv"))
 
     def extraction_manifest(self, spectra: DataFrame, tokens: DataFrame, config: dict) -> dict:
-        """Counts taken from the tables themselves, so that a resumed run lists every chunk."""
-        per_chunk = tokens.groupBy("chunk_idx").agg(F.count("*").alias("n"), F.countDistinct("spectrum_idx").alias("s"))
-        row = per_chunk.agg(F.count("*").alias("n_chunks"), F.sum("s").alias("n_spectra"), F.sum("n").alias("n_tokens")).first()
+        """Counts taken from the tables themselves, so that a resumed run lists every chunk; the chunks are a table."""
+        per_chunk = tokens.groupBy("chunk_idx").agg(F.count("*").alias("n_tokens"), F.countDistinct("spectrum_idx").alias("n_spectra"))
+        self.write(per_chunk.orderBy("chunk_idx"), "chunks")
+        row = self.read("chunks").agg(F.count("*").alias("n_chunks"), F.sum("n_spectra").alias("n_spectra"), F.sum("n_tokens").alias("n_tokens")).first()
         manifest = {"schema_version": VERSION, "config": config, "n_spectra_read": spectra.count(), **{k: int(row[k] or 0) for k in ("n_chunks", "n_spectra", "n_tokens")}}
         self.write_json(manifest, "extraction_manifest.json")
         return manifest
@@ -111,11 +124,9 @@ class Artefacts:
         """feature_idx, mf: firing counts from rates and the report's number of tokens."""
         return self.read_csv("per_feature_stats").select("feature_idx", F.round(F.col("firing_rate") * self.cached_tokens()).cast("long").alias("mf"))
 
-    def save_dictionary(self, model: Dictionary, name: str, log: Sequence[dict] = ()) -> None:
-        self.write(model.table(self.spark), f"{name}/weights")
+    def save_dictionary(self, model: Dictionary, name: str) -> None:
         self.write_json({"threshold": model.threshold, "b_dec": model.b_dec.tolist(), "firing_count": None if model.firing_count is None else model.firing_count.tolist(), "info": model.info}, f"{name}/params.json")
-        if log:
-            self.spark.createDataFrame([(json.dumps(x, default=str),) for x in log], "value string").coalesce(1).write.mode("overwrite").text(self.path(f"{name}/log.jsonl"))
+        self.write(model.table(self.spark), f"{name}/weights")  # last, as it tells that the dictionary is complete
 
     def load_dictionary(self, name: str) -> Dictionary:
         params = self.read_json(f"{name}/params.json")
@@ -124,11 +135,16 @@ class Artefacts:
         return model
 
     def causal_records(self) -> DataFrame:
-        """feature_idx, concept and metrics of every single-feature ablation in the report."""
+        """feature_idx, concept, metrics, source: what the report says of a feature alone, and of the groups that it was in."""
         per_concept = (self.read_json("report.json").get("phase_8") or {}).get("per_concept") or {}
-        keys = ("selectivity", "selectivity_z", "mean_delta_ce")
-        rows = [(int(f["feature_idx"]), c, *[None if f.get(k) is None or f[k] != f[k] else float(f[k]) for k in keys]) for c, x in per_concept.items() for f in (x or {}).get("per_feature") or []]
-        return self.spark.createDataFrame(rows, "feature_idx int, concept string, selectivity double, selectivity_z double, mean_delta_ce double")
+        number = lambda v: None if v is None or v != v else float(v)
+        metrics = ("selectivity", "selectivity_z", "mean_delta_ce")
+        rows = []
+        for concept, x in per_concept.items():
+            group = (x or {}).get("causal")
+            rows += [(int(f), concept, *[number(group.get(k)) for k in metrics], "group") for f in (x or {}).get("top_n_features") or [] if group]
+            rows += [(int(f["feature_idx"]), concept, number(f.get("selectivity")), None, number(f.get("mean_delta_ce")), "per_feature") for f in (x or {}).get("per_feature_ablation") or []]
+        return self.spark.createDataFrame(rows, "feature_idx int, concept string, selectivity double, selectivity_z double, mean_delta_ce double, source string")
 
     def clear(self, name: str) -> bool:
         return delete_path(self.spark, self.path(name))
@@ -142,12 +158,17 @@ class Artefacts:
 
 def check_alignment(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chunk_idx",)) -> None:
     """Token counts of both sides must agree in every chunk."""
-    n = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
-    odd = n(left, "a").join(n(right, "b"), list(keys), "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).limit(3).collect()
+    odd = misaligned(left, right, keys).limit(3).collect()
     if odd:
         raise ValueError(f"token counts differ, for example {[r.asDict() for r in odd]}")
 
 
+def misaligned(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chunk_idx",)) -> DataFrame:
+    """keys, n_left, n_right where the sides hold different numbers of rows; null for a side that has none."""
+    n = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(c))
+    return n(left, "n_left").join(n(right, "n_right"), list(keys), "full_outer").where(~F.col("n_left").eqNullSafe(F.col("n_right")))
+
+
 def load_dotenv(text: str, environment: dict[str, str]) -> dict[str, str]:
     """Settings of a ``.env`` text that the environment lacks: a BOM, ``export`` and quotes are dropped."""
     out = dict(environment)
@@ -164,7 +185,5 @@ def load_dotenv(text: str, environment: dict[str, str]) -> dict[str, str]:
 
 
 def is_model_id(source: str) -> bool:
-    """True for the id of a published model, false for a path."""
-    import os
-
-    return not (source.endswith((".ckpt", ".pt", ".pth")) or source.startswith((".", "/", "~")) or os.sep in source)
+    """True for the id of a published model, false for a path: a checkpoint's name, or anything with a separator."""
+    return not (source.endswith(".ckpt") or "/" in source or "\\" in source)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tokens import global_index
+from ..operators.tokens import global_index, running_offset
 
 SCHEMA = "spectrum_id string, sequence string, modified_sequence string, precursor_mz double, precursor_charge int, mz_array array<double>, intensity_array array<double>"
 
@@ -27,7 +27,24 @@ def read_spectra(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(source)
 
 
-def read_mgf(spark: SparkSession, path: str) -> DataFrame:
+def numbered_spectra(spark: SparkSession, source: str, name: str = "global_spectrum") -> DataFrame:
+    """Spectra with their number in the order of files and rows, which does not hang on how files are split for tasks.
+
+    Rows of Parquet files know their place, so only a count for each file is needed; others are sorted.
+    """
+    if source.lower().endswith(".mzml"):
+        return global_index(read_mzml(spark, source, ordered=True), ["_file", "_row"], name).drop("_file", "_row")
+    if source.lower().endswith(".mgf"):
+        # Rows of a task count up, so the low bits of their ids order those of one block of a file.
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
+        rows = read_mgf(spark, source, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place)
+        return global_index(rows, ["_file", "_block", "_row"], name).drop("_file", "_block", "_row")
+    rows = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = running_offset(rows.groupBy("_file").agg(F.count("*").alias("n")), "_file", "n").select("_file", "offset")
+    return rows.join(before, "_file").withColumn(name, F.col("offset") + F.col("_row")).drop("_file", "_row", "offset")
+
+
+def read_mgf(spark: SparkSession, path: str, *more: Column) -> DataFrame:
     """Blocks end at ``END IONS``, so large files are split; fields and peaks are cut out in column expressions."""
     blocks = spark.read.option("lineSep", "END IONS").text(path).where(F.col("value").contains("BEGIN IONS"))
     text = F.col("value")
@@ -36,7 +53,7 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     number = lambda i: F.transform(lines, lambda x: F.split(x, r"[ \t]+")[i].try_cast("double"))
     return blocks.select(
         field("TITLE").alias("spectrum_id"), field("SEQ").alias("sequence"), F.lit(None).cast("string").alias("modified_sequence"), F.split(field("PEPMASS"), r"[ \t]+")[0].try_cast("double").alias("precursor_mz"),
-        F.regexp_extract(field("CHARGE"), r"(\d+)", 1).try_cast("int").alias("precursor_charge"), number(0).alias("mz_array"), number(1).alias("intensity_array"),
+        F.regexp_extract(field("CHARGE"), r"(\d+)", 1).try_cast("int").alias("precursor_charge"), number(0).alias("mz_array"), number(1).alias("intensity_array"), *more,
     )
 
 
@@ -49,13 +66,16 @@ def _values(node: ElementTree.Element, ns: str) -> tuple[str, list[float]]:
     return what, list(struct.unpack(f"<{len(raw) // size}{kind}", raw))
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """MS2 spectra of mzML files, a file to a task; the files' bytes come through Spark's readers."""
+def read_mzml(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """MS2 spectra of mzML files, a file to a task; the files' bytes come through Spark's readers.
+
+    With ``ordered``, _file and _row (place in the file) as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column("content"):
-                rows = []
+            for content, file in zip(b.column("content"), b.column("path").to_pylist(), strict=True):
+                rows: list[dict] = []
                 for node in ElementTree.fromstring(content.as_py()).iter():
                     if not node.tag.endswith("}spectrum") and node.tag != "spectrum":
                         continue
@@ -65,11 +85,11 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     arrays = dict(_values(x, ns) for x in node.iter(f"{ns}binaryDataArray"))
                     charge = values.get("charge state")
-                    rows.append({"spectrum_id": node.get("id"), "sequence": None, "modified_sequence": None, "precursor_mz": float(values["selected ion m/z"]) if values.get("selected ion m/z") else None, "precursor_charge": int(charge) if charge else None, "mz_array": arrays.get("mz", []), "intensity_array": arrays.get("intensity", [])})
-                schema = pa.schema([("spectrum_id", pa.string()), ("sequence", pa.string()), ("modified_sequence", pa.string()), ("precursor_mz", pa.float64()), ("precursor_charge", pa.int32()), ("mz_array", pa.list_(pa.float64())), ("intensity_array", pa.list_(pa.float64()))])
+                    rows.append({"spectrum_id": node.get("id"), "sequence": None, "modified_sequence": None, "precursor_mz": float(values["selected ion m/z"]) if values.get("selected ion m/z") else None, "precursor_charge": int(charge) if charge else None, "mz_array": arrays.get("mz", []), "intensity_array": arrays.get("intensity", []), "_file": file, "_row": len(rows)})
+                schema = pa.schema([("spectrum_id", pa.string()), ("sequence", pa.string()), ("modified_sequence", pa.string()), ("precursor_mz", pa.float64()), ("precursor_charge", pa.int32()), ("mz_array", pa.list_(pa.float64())), ("intensity_array", pa.list_(pa.float64())), *([("_file", pa.string()), ("_row", pa.int64())] if ordered else [])])
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(run, SCHEMA + (", _file string, _row long" if ordered else ""))
 
 
 def merge_splits(parts: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +104,7 @@ def normalised(rows: DataFrame, index: str | None = None) -> DataFrame:
     """The spectra columns, whatever the input has.
 
     sequence, then peptide; modified_sequence, then proforma, then the bare sequence: each falls through where empty or
-    missing. spectrum_id (``row_<i>``), charge (0) and m/z (0.0) have defaults only where the column is missing.
+    missing. spectrum_id (``row_<i>``, i from the column ``index``), charge (0) and m/z (0.0) have defaults only where the column is missing.
     """
     has = set(rows.columns)
 
@@ -92,7 +112,9 @@ def normalised(rows: DataFrame, index: str | None = None) -> DataFrame:
         return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in has], last)
 
     sequence = first_of("sequence", "peptide", last=F.lit(""))
-    number = F.col(index) if index else F.monotonically_increasing_id()
+    if not index and "spectrum_id" not in has:
+        raise ValueError("rows without spectrum_id need a column that numbers them")
+    number = F.col(index) if index else F.lit("")
     keep = [c for c in ("mz_array", "intensity_array", index) if c and c in has]
     return rows.select(
         (F.col("spectrum_id").cast("string") if "spectrum_id" in has else F.concat(F.lit("row_"), number)).alias("spectrum_id"), sequence.alias("sequence"), first_of("modified_sequence", "proforma", last=sequence).alias("modified_sequence"),

@@ -30,6 +30,13 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_parts(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
+    """The same in folders by ``keys``, with the path, which the caller deletes."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.partitionBy(*keys).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)

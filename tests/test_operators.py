@@ -133,6 +133,124 @@ def test_training_lowers_the_loss(spark):
         training.split_chunks(spark.createDataFrame([(0,)], "chunk_idx int"), training.TrainConfig())
 
 
+@pytest.mark.parametrize("across", [True, False])
+def test_a_round_in_a_task_equals_the_same_steps_in_memory(spark, across):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, i // 50, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 6)).astype(np.float32))], "token_id long, chunk_idx int, activation array<float>")
+    config = training.TrainConfig(d_dict=9, k=2, k_aux=2, batch=48, warmup=2, lr=1e-2, across_chunks=across)
+    start = lambda: training.Trainer(training.init(6, config), config, 8, training.AdamW(config))
+    rows, _ = training.ordered_epoch(df, config, 0)
+    got = training.run_round(rows, start())
+    x = np.array([r["activation"] for r in rows.coalesce(1).collect()], float)
+    own = start()
+    own.model.firing_count = np.zeros(9, np.int64)
+    for at in range(0, 200, 48):
+        own.step(x[at : at + 48])
+    assert np.allclose(got.model.w_dec, own.model.w_dec) and np.allclose(got.model.b_enc, own.model.b_enc) and np.isclose(got.model.threshold, own.model.threshold)
+    assert got.model.firing_count.tolist() == own.model.firing_count.tolist() and got.optimiser.step == 5
+    assert np.allclose(got.optimiser.state["w_enc"][1], own.optimiser.state["w_enc"][1])
+    whole = {tuple(v) for v in x.tolist()}
+    assert len(whole) == 200 and not np.array_equal(x, np.array([r["activation"] for r in df.collect()]))
+
+
+def test_parts_are_averaged_and_train(spark):
+    rng = np.random.default_rng(6)
+    basis = rng.normal(size=(6, 8))
+    x = rng.random((900, 6)) * (rng.random((900, 6)) < 0.3) @ basis
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "token_id long, activation array<double>")
+    seen = []
+    config = training.TrainConfig(d_dict=12, k=3, k_aux=3, epochs=5, batch=64, warmup=4, lr=2e-2, parts=3)
+    model, log = training.train(df, config, record=seen.append)
+    assert seen == log and log[-1]["recon_loss"] < 0.7 * log[0]["recon_loss"]
+    h = np.maximum(model.preactivations(x.astype(np.float32).astype(float)), 0)
+    assert np.isclose(model.threshold, training.batch_topk(h, 3)[1], rtol=0.2)
+    rows, _ = training.ordered_epoch(df, config, 0)
+    assert rows.groupBy("part").count().count() == 3 and rows.count() == 900
+
+
+def test_batches_of_a_stream():
+    rng = np.random.default_rng(7)
+    parts = [rng.normal(size=(n, 2)) for n in (3, 0, 10, 1, 1)]
+    got = list(training.batches_of(iter(parts), 4))
+    assert [len(x) for x in got] == [4, 4, 4, 3] and np.array_equal(np.concatenate(got), np.concatenate(parts))
+
+
+def test_null_p_values_against_the_exact_distribution(spark):
+    """The share of the fixed-margin distribution that reaches the observed statistic, summed over all tables."""
+    cases = [(0, 0, 30, 40, 200, 3.0), (1, 2, 12, 9, 60, 1.0), (2, 1, 50, 100, 400, 6.0)]
+    rows = [(f, c, mf, mc, n, chi, 0.5) for f, c, mf, mc, n, chi in cases] + [(3, 0, 0, 5, 100, 0.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "feature_idx int, concept_idx int, mf long, mc long, n long, chi2 double, p_value double")
+    got = {r["feature_idx"]: r for r in causal.hypergeometric_null(pairs, draws=6000).collect()}
+    for f, _, mf, mc, n, chi in cases:
+        exact = 0.0
+        for n11 in range(max(0, mf + mc - n), min(mf, mc) + 1):
+            n10, n01, n00 = mf - n11, mc - n11, n - mf - mc + n11
+            stat = n * (n11 * n00 - n10 * n01) ** 2 / (mf * (n - mf) * mc * (n - mc))
+            exact += (stat >= chi) * math.comb(mc, n11) * math.comb(n - mc, n10) / math.comb(n, mf)
+        assert abs(got[f]["empirical_p"] - exact) < 0.02 and np.isclose(got[f]["discrepancy_ratio"], got[f]["empirical_p"] / 0.5)
+    assert got[3]["empirical_p"] is None
+    again = {r["feature_idx"]: r["empirical_p"] for r in causal.hypergeometric_null(pairs.repartition(3), draws=6000).collect()}
+    assert again == {k: r["empirical_p"] for k, r in got.items()}
+
+
+def test_token_losses_and_substitutions():
+    rng = np.random.default_rng(8)
+    logits, targets = rng.normal(size=(5, 6)), np.array([2, 0, 5, 1])
+    ce, hit = adapters.token_losses(logits, targets)
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    assert np.allclose(ce, [-np.log(p[i, t]) for i, t in enumerate(targets) if t]) and hit.tolist() == [logits[i].argmax() == t for i, t in enumerate(targets) if t]
+    assert len(adapters.token_losses(logits[:3], targets)[0]) == 1 and len(adapters.token_losses(logits[:1], targets)[0]) == 0
+    w = rng.normal(size=(5, 4))
+    model, x = Dictionary(w.T.copy(), np.zeros(5), w, np.zeros(4), 0.1), rng.normal(size=(7, 4))
+    f = model.encode(x)
+    f[:, [1, 3]] = 0
+    assert np.allclose(adapters.substituted(x, "ablate", model, ablated=[1, 3]), f @ w) and np.array_equal(adapters.substituted(x, "clean"), x)
+    assert not adapters.substituted(x, "zero").any() and np.allclose(adapters.substituted(x, "mean", mean=x.mean(0)), x.mean(0))
+    with pytest.raises(ValueError):
+        adapters.substituted(x, "other", model)
+    with pytest.raises(ValueError):
+        adapters.substituted(x, "sae")
+
+
+def test_models_that_cannot_be_patched_are_refused():
+    class Encoder:
+        enable_nested_tensor = True
+
+    class Model:
+        encoder, use_flash_attention = Encoder(), False
+
+    assert adapters.usable_model(Model()).encoder.enable_nested_tensor is False
+    Model.use_flash_attention = True
+    with pytest.raises(ValueError):
+        adapters.usable_model(Model())
+    assert adapters.residue_names({"M(+15.99)": "M[UNIMOD:35]", "x": "y"}, {"x": "z"}) == {"M(+15.99)": "M[UNIMOD:35]", "x": "z"}
+
+
+def test_full_ties_of_candidates_have_one_outcome(spark):
+    rows = [(1, "b", 3, None, None, 1, "", 500.0, 500.0 + d) for d in (0.5, -0.5)] * 3
+    df = spark.createDataFrame(rows, "token int, ion_type string, ion_index int, internal_end int, residue string, fragment_charge int, neutral_loss string, mz double, theory_mz double")
+    for n in (1, 2, 5):
+        assert fragments.best_candidates(df.repartition(n), ["token"]).first()["theory_mz"] == 499.5
+
+
+def test_other_series(spark):
+    df = spark.createDataFrame([(0, "GAS", 2)], "k int, peptide string, precursor_charge int").withColumn("mods", F.array().cast("array<struct<position:int,mass:double>>"))
+    got = {(r["ion_type"], r["ion_index"]): r["theory_mz"] for r in fragments.theoretical_ions(df, ["k"], "abcxyz", internal=False).where("neutral_loss = ''").collect()}
+    g, a, s = 57.021464, 71.037114, 87.032028
+    assert np.isclose(got["a", 2], g + a - 27.994915 + 1.007276) and np.isclose(got["c", 1], g + 17.026549 + 1.007276)
+    assert np.isclose(got["x", 1], s + 18.010565 + 25.979265 + 1.007276) and np.isclose(got["z", 2], a + s + 18.010565 - 17.026549 + 1.007276)
+
+
+def test_features_that_fire_nearly_everywhere_have_their_zeros(spark):
+    keys = ["chunk_idx", "token_in_chunk"]
+    toks = spark.createDataFrame([(0, t) for t in range(3000)], "chunk_idx int, token_in_chunk int")
+    acts = spark.createDataFrame([(0, t, 1, 1.0 + t / 3000) for t in range(2990)] + [(0, t, 2, 1.0) for t in range(20)], "chunk_idx int, token_in_chunk int, feature_idx int, activation double")
+    scale = interpretation.feature_scale(acts, acts.select("feature_idx", "activation").limit(0))
+    rows = interpretation.sample_examples(acts, scale, toks, keys).where("activation = 0").collect()
+    by = {f: [r["token_in_chunk"] for r in rows if r["feature_idx"] == f] for f in (1, 2)}
+    assert len(by[1]) == len(by[2]) == 8 and min(by[1]) >= 2990 and min(by[2]) >= 20
+
+
 def test_selectivity_guards(spark):
     rows = spark.createDataFrame([(i, float(i), 0.5) for i in range(9)], "g int, delta_ce double, prevalence double")
     assert causal.selectivity(rows, []).first()["selectivity"] is None
@@ -210,12 +328,28 @@ def test_sources(spark, tmp_path):
     row = spectra.read_spectra(spark, f"file://{tmp_path}/x.mzML").first()
     assert (row["spectrum_id"], row["precursor_mz"], row["precursor_charge"], row["mz_array"], row["intensity_array"]) == ("q", 321.5, 3, [1.5, 2.5], [9.0, 8.0])
     raw = spark.createDataFrame([("", "PEP", None), ("AB", "CD", "AB(+1)")], "sequence string, peptide string, modified_sequence string")
-    got = sorted(tuple(r)[1:] for r in spectra.normalised(raw).collect())
-    assert got == [("AB", "AB(+1)", 0, 0.0), ("PEP", "PEP", 0, 0.0)]
+    got = sorted(tuple(r)[:5] for r in spectra.normalised(raw.withColumn("i", F.when(F.col("sequence") == "", 4).otherwise(7)), "i").collect())
+    assert got == [("row_4", "PEP", "PEP", 0, 0.0), ("row_7", "AB", "AB(+1)", 0, 0.0)]
+    with pytest.raises(ValueError):
+        spectra.normalised(raw)
     merged = spectra.merge_splits([raw, raw], ["sequence"])
     assert sorted(int(r["spectrum_id"]) for r in merged.collect()) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("kind", ["parquet", "mgf", "mzml"])
+def test_spectra_are_numbered_by_files_and_rows(spark, tmp_path, kind):
+    for f in "ab":
+        ids = [f"{f}{i}" for i in range(40)]
+        if kind == "parquet":
+            spark.createDataFrame([(x,) for x in ids], "spectrum_id string").coalesce(1).write.parquet(f"file://{tmp_path}/{f}.parquet")
+        elif kind == "mgf":
+            (tmp_path / f"{f}.mgf").write_text("".join(f"BEGIN IONS\nTITLE={x}\nPEPMASS=1\n100 1\nEND IONS\n" for x in ids))
+        else:
+            (tmp_path / f"{f}.mzml").write_text("<mzML>" + "".join(f'<spectrum id="{x}"><cvParam name="ms level" value="2"/></spectrum>' for x in ids) + "</mzML>")
+    rows = spectra.numbered_spectra(spark, f"file://{tmp_path}/*.{kind}").select("global_spectrum", "spectrum_id").collect()
+    assert [r["spectrum_id"] for r in sorted(rows)] == [f"{f}{i}" for f in "ab" for i in range(40)] and sorted(r[0] for r in rows) == list(range(80))
+
+
 def test_loader_check(spark):
     a = spark.createDataFrame([(0, "x", 500.0), (1, "y", 400.0)], "global_spectrum long, spectrum_id string, precursor_mz double")
     b = spark.createDataFrame([(0, "x", 500.000001), (1, "z", 400.0), (2, "w", 1.0)], "global_spectrum long, spectrum_id string, precursor_mz double")
