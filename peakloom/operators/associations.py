@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import d
 from ..plans.registry import has
+from ..staging import staged
 from .statistics import bh_reject, contingency_metrics
 
 
@@ -40,8 +41,12 @@ def contingency(features: DataFrame, labels: DataFrame, n_concepts: int, keys: S
 
 
 def associations(features: DataFrame, labels: DataFrame, n_concepts: int, keys: Sequence[str], q: float = 0.05) -> DataFrame:
-    """Contingency counts with metrics, p-values and the rejection flag."""
-    return bh_reject(contingency_metrics(contingency(features, labels, n_concepts, keys)), q)
+    """Contingency counts with metrics, p-values and the rejection flag.
+
+    The pairs, at most one for each feature and concept, are written before they are ranked, as ranks and rows both
+    need them and the tokens should meet only once.
+    """
+    return bh_reject(staged(contingency_metrics(contingency(features, labels, n_concepts, keys)), "pairs"), q)
 
 
 def per_concept_top(pairs: DataFrame, k: int = 20) -> DataFrame:

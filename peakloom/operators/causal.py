@@ -136,7 +136,7 @@ def matched_controls(targets: DataFrame, features: DataFrame, replicates: int =
     return best.select(*by, "replicate", "target_idx", "feature_idx")
 
 
-def ablation_plan(pairs: DataFrame, rates: DataFrame, top_n: int = 10, singles: int = 100, replicates: int = 5, bins: int = 5, seed: int = 0) -> DataFrame:
+def ablation_plan(pairs: DataFrame, rates: DataFrame, top_n: int = 10, singles: int = 100, replicates: int = 5, bins: int = 5, seed: int = 0, draw: Draw = unit_hash) -> DataFrame:
     """concept_idx, kind, replicate, features, f1_dom, lift: every set of features that is ablated for a concept.
 
     ``group``: a stratified sample of its rejected features; ``control``: features of like firing rates, one set for each
@@ -145,8 +145,8 @@ def ablation_plan(pairs: DataFrame, rates: DataFrame, top_n: int = 10, singles:
     """
     by, none = ["concept_idx"], F.lit(None).cast("double")
     rejected = pairs.where("rejected").select("concept_idx", "feature_idx", "f1_dom", "lift", "rejected").join(rates, "feature_idx")
-    group = stratified_features(rejected, top_n, bins, seed, by)
-    control = matched_controls(group, rates, replicates, seed, keys=by)
+    group = stratified_features(rejected, top_n, bins, seed, by, draw)
+    control = matched_controls(group, rates, replicates, seed, keys=by, draw=draw)
     listed = F.sort_array(F.collect_set("feature_idx")).alias("features")
     single = rejected.withColumn("replicate", F.row_number().over(W.partitionBy(*by).orderBy(F.col("f1_dom").desc(), "feature_idx"))).where(F.col("replicate") <= singles)
     parts = [

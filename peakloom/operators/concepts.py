@@ -115,7 +115,7 @@ def label_tokens(tokens: DataFrame, spectra: DataFrame, keys: Sequence[str]) ->
     own = F.when(latent, bitmask(latent_flags(F.col("peptide"), F.col("mods")))).otherwise(bitmask(peak))
     return rows.select(
         *keys, "position", own.bitwiseOR(F.col("spectrum_mask")).alias("concepts"),
-        encode(F.col("ion"), ION_TYPES).cast("tinyint").alias("ion_type"), F.coalesce(F.least("ion_index", F.lit(INDEX_CAP)), F.lit(-1)).cast("smallint").alias("ion_index"),
+        encode(F.col("ion"), ION_TYPES).cast("tinyint").alias("ion_type"), F.least(F.coalesce("ion_index", F.lit(-1)), F.lit(INDEX_CAP)).cast("smallint").alias("ion_index"),
         F.least("charge", F.lit(CHARGE_CAP)).cast("tinyint").alias("fragment_charge"), encode(F.col("loss"), LOSS_TYPES).cast("tinyint").alias("neutral_loss"),
         F.col("mz").cast("float").alias("peak_mz"), F.col("intensity").cast("float").alias("peak_intensity"),
     )

@@ -7,12 +7,12 @@ grow with the data and are only ever streamed past them in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import d, dot
@@ -168,9 +168,9 @@ def encoder_decoder_alignment(dictionary: DataFrame) -> DataFrame:
     return dictionary.agg(F.avg(F.abs(dot(F.col("w_enc"), F.col("w_dec")) / F.greatest(norm, d(1e-12)))).alias("encoder_decoder_alignment"))
 
 
-def near_duplicate_directions(rows: DataFrame, cosine: float = 0.95, sample: int = 2000, seed: int = 0, key: str = "feature_idx", vector: str = "w_dec") -> DataFrame:
+def near_duplicate_directions(rows: DataFrame, cosine: float = 0.95, sample: int = 2000, seed: int = 0, key: str = "feature_idx", vector: str = "w_dec", draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """a, b, cosine of the pairs over ``cosine`` within a fixed-size hash sample; both of its sides are bounded by it."""
-    drawn = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample)
+    drawn = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).orderBy(draw(key, F.lit(seed)), key).limit(sample)
     unit = drawn.withColumn("v", F.transform("v", lambda x: x / F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), d(1e-12))))
     a, b = unit.select(F.col("k").alias("a"), F.col("v").alias("va")), unit.select(F.col("k").alias("b"), F.col("v").alias("vb"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > cosine)

@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,13 +128,13 @@ class AdamW:
         model.w_dec /= np.maximum(np.linalg.norm(model.w_dec, axis=1, keepdims=True), 1e-12)
 
 
-def split_chunks(chunks: DataFrame, config: TrainConfig) -> DataFrame:
+def split_chunks(chunks: DataFrame, config: TrainConfig, draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """Adds ``val``: max(1, round(fraction * n)) chunks with the least hash; an error if none is left to train on."""
     n = chunks.count()
     n_val = max(1, round(config.val_fraction * n))
     if n - n_val < 1:
         raise ValueError(f"{n} chunk(s) leave none for training")
-    place = F.row_number().over(W.orderBy(F.xxhash64("chunk_idx", F.lit(config.seed)), "chunk_idx"))
+    place = F.row_number().over(W.orderBy(draw("chunk_idx", F.lit(config.seed)), "chunk_idx"))
     return chunks.withColumn("val", place <= n_val)
 
 

@@ -1,9 +1,8 @@
-"""Every registered query over the driver's tables, and its SQL."""
+"""Queries over the driver's tables, and their SQL; more are in ``catalogue_tables`` and ``catalogue_plans``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,26 +23,10 @@ from ..session import table
 from ..streaming.chunks import event_windows
 from . import fixtures as fx
 from .fixtures import KEY, LABELS, N, PAIRS, sql
+from .registered import Query, oracle_sql, queries, query, r6
 from .registry import FAMILY_OF, PTMS, RESIDUES, concept_table
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "bh_fdr"
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def r6(name: str, alias: str | None = None):
-    return F.round(name, 6).alias(alias or name)
 
 
 # sources, tokens ---------------------------------------------------------------------------------------------------
@@ -167,7 +150,7 @@ def band_join_da(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT l_orderkey AS token, ['b', 'y', 'I', 'internal'][l_partkey % 4 + 1] AS ion_type, CAST(l_suppkey AS INTEGER) AS ion_index, CAST(l_linenumber % 3 + 1 AS INTEGER) AS fragment_charge, CASE WHEN l_returnflag = 'R' THEN 'H2O' ELSE '' END AS neutral_loss, l_extendedprice AS mz, l_extendedprice + l_quantity AS theory_mz FROM lineitem),
- o AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY neutral_loss <> '', CASE ion_type WHEN 'I' THEN 2 WHEN 'internal' THEN 3 ELSE 0 END, fragment_charge, round(abs(mz - theory_mz), 9), ion_type, ion_index) AS r FROM c)
+ o AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY neutral_loss <> '', CASE ion_type WHEN 'I' THEN 2 WHEN 'internal' THEN 3 ELSE 0 END, fragment_charge, round(abs(mz - theory_mz), 9), ion_type, ion_index, theory_mz) AS r FROM c)
  SELECT token, ion_type, ion_index, fragment_charge, neutral_loss, round(theory_mz, 6) AS theory_mz FROM o WHERE r = 1""")
 def best_annotation(spark: SparkSession, d: str) -> DataFrame:
     ion = F.element_at(F.array(*[F.lit(x) for x in ("b", "y", "I", "internal")]), (F.col("l_partkey") % 4 + 1).cast("int"))
@@ -219,7 +202,7 @@ def encode_sparse(spark: SparkSession, d: str) -> DataFrame:
     return D.encode_sparse(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[1], ["token_id"]).select("token_id", "feature_idx", r6("activation"))
 
 
-@query(_SQL["encode_sparse"])
+@query(oracle_sql()["encode_sparse"])
 def encode_columns(spark: SparkSession, d: str) -> DataFrame:
     return D.encode_exact(fx.fx_activations(spark, d), fx.fx_dictionary(spark, d)[0], 0.15, ["token_id"]).select("token_id", "feature_idx", r6("activation"))
 
@@ -257,10 +240,10 @@ def enc_dec_alignment(spark: SparkSession, d: str) -> DataFrame:
     return D.encoder_decoder_alignment(fx.fx_dictionary(spark, d)[0]).select(r6("encoder_decoder_alignment"))
 
 
-@query("WITH a AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM a GROUP BY 1), p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM a JOIN a b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2) SELECT p.a, p.b, round(d / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.vec_id = p.a JOIN n y ON y.vec_id = p.b WHERE d / (x.n * y.n) > 0.95")
+@query(f"WITH d AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY {fx.lcg_sql('vec_id', 0)}, vec_id) AS r FROM embeddings), a AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM d, range(1, 65) r(i) WHERE r <= 300), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM a GROUP BY 1), p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM a JOIN a b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY 1, 2) SELECT p.a, p.b, round(d / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.vec_id = p.a JOIN n y ON y.vec_id = p.b WHERE d / (x.n * y.n) > 0.3")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of 2000 rows: all of them at the sizes tested, so its SQL compares all pairs."""
-    return D.near_duplicate_directions(table(spark, d, "embeddings"), key="vec_id", vector="embedding").select("a", "b", r6("cosine"))
+    """Pairs within a drawn sample of directions, as the geometric phase takes one: the sample is the operator's own."""
+    return D.near_duplicate_directions(table(spark, d, "embeddings"), 0.3, 300, key="vec_id", vector="embedding", draw=fx.lcg).select("a", "b", r6("cosine"))
 
 
 @query(sql("peaks", "features") + ", r AS (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY activation DESC, spectrum_idx, position) - 1 AS rank FROM features) SELECT feature_idx, CAST(rank AS INTEGER) AS rank, round(activation, 6) AS activation, spectrum_idx, position FROM r WHERE rank < 20")
@@ -374,15 +357,25 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy("feature_idx").agg((F.max("mf") / F.max("n")).alias("firing_rate"), F.max("f1_dom").alias("f1_dom"), F.bool_or("rejected").alias("rejected"))
 
 
-@query()
+_RATED = sql(*PAIRS) + """, rated AS (SELECT feature_idx, max(mf) / max(n) AS firing_rate, max(f1_dom) AS f1_dom, bool_or(rejected) AS rejected FROM pairs GROUP BY 1),
+ lr AS (SELECT *, log10(firing_rate) AS x FROM rated), e AS (SELECT [quantile_cont(x, 0.0), quantile_cont(x, 0.2), quantile_cont(x, 0.4), quantile_cont(x, 0.6), quantile_cont(x, 0.8), quantile_cont(x, 1.0)] AS e FROM lr WHERE rejected),"""
+
+
+@query(_RATED + f""" b AS (SELECT feature_idx, firing_rate, f1_dom, bin FROM lr, e, range(5) r(bin) WHERE rejected AND x >= e[bin + 1] AND x < e[bin + 2] + 1e-9),
+ k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY -ln({fx.lcg_sql("feature_idx", "bin", 0)}) / greatest(f1_dom, 1e-6), feature_idx) AS place FROM b), o AS (SELECT *, row_number() OVER (ORDER BY bin, place) AS i FROM k WHERE place <= 2)
+ SELECT CAST(bin AS INTEGER) AS bin, CAST(place AS INTEGER) AS place, feature_idx, round(firing_rate, 6) AS firing_rate, round(f1_dom, 6) AS f1_dom FROM o WHERE i <= 10""")
 def weighted_strata(spark: SparkSession, d: str) -> DataFrame:
-    return C.stratified_features(_rated(spark, d), 10)
+    rows = C.stratified_features(_rated(spark, d), 10, draw=fx.lcg)
+    return rows.select(F.col("bin").cast("int").alias("bin"), "place", "feature_idx", r6("firing_rate"), r6("f1_dom"))
 
 
-@query()
+@query(_RATED + f""" t AS (SELECT feature_idx AS target_idx, x AS tx FROM lr WHERE rejected ORDER BY f1_dom DESC, feature_idx LIMIT 4),
+ c AS (SELECT CAST(rep AS INTEGER) AS replicate, target_idx, feature_idx, row_number() OVER (PARTITION BY rep, target_idx ORDER BY {fx.lcg_sql("feature_idx", "target_idx", "rep", 0)}, feature_idx) AS r FROM lr, t, range(5) q(rep) WHERE abs(x - tx) < 0.3 AND feature_idx NOT IN (SELECT target_idx FROM t))
+ SELECT replicate, target_idx, feature_idx FROM c WHERE r = 1""")
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
-    rates = _rated(spark, d)
-    return C.matched_controls(rates.where("feature_idx < 3").select("feature_idx"), rates)
+    """Controls of the four features with the highest f1_dom."""
+    rated = _rated(spark, d)
+    return C.matched_controls(rated.where("rejected").orderBy(F.col("f1_dom").desc(), "feature_idx").limit(4), rated, draw=fx.lcg)
 
 
 @query()
@@ -391,7 +384,7 @@ def hypergeom_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 # layers, seeds -----------------------------------------------------------------------------------------------------
-_TWO = sql("peaks", "features") + """, a AS (SELECT spectrum_idx, position, feature_idx AS anchor, activation AS x FROM features WHERE feature_idx IN (1, 2, 21)), b AS (SELECT spectrum_idx, position, CAST(4 AS INTEGER) AS layer, feature_idx, activation AS y FROM features),
+_TWO = sql(*PAIRS) + """, a AS (SELECT spectrum_idx, position, feature_idx AS anchor, activation AS x FROM features WHERE feature_idx IN (SELECT feature_idx FROM pairs WHERE rejected GROUP BY 1 HAVING max(f1_dom) > 0)), b AS (SELECT spectrum_idx, position, CAST(4 AS INTEGER) AS layer, feature_idx, activation AS y FROM features),
  n AS (SELECT CAST(count(DISTINCT (spectrum_idx, position)) AS DOUBLE) AS n FROM features), sa AS (SELECT anchor, sum(x) AS sx, sum(x * x) AS sxx FROM a GROUP BY 1), sb AS (SELECT layer, feature_idx, sum(y) AS sy, sum(y * y) AS syy FROM b GROUP BY 1, 2),
  xy AS (SELECT anchor, layer, feature_idx, sum(x * y) AS sxy FROM a JOIN b USING (spectrum_idx, position) GROUP BY 1, 2, 3), r AS (SELECT sa.anchor, sb.layer, sb.feature_idx, (n * coalesce(sxy, 0) - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM sa CROSS JOIN sb CROSS JOIN n LEFT JOIN xy ON xy.anchor = sa.anchor AND xy.layer = sb.layer AND xy.feature_idx = sb.feature_idx)"""
 
@@ -399,7 +392,8 @@ _TWO = sql("peaks", "features") + """, a AS (SELECT spectrum_idx, position, feat
 @query(_TWO + ", t AS (SELECT *, row_number() OVER (PARTITION BY anchor, layer ORDER BY r DESC, feature_idx) AS rank FROM r) SELECT anchor, layer, feature_idx, round(r, 6) AS r, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 5")
 def anchor_correlation(spark: SparkSession, d: str) -> DataFrame:
     f = fx.fx_features(spark, d)
-    r = X.feature_correlation(f.where("feature_idx IN (1, 2, 21)"), f.withColumn("layer", F.lit(4)), table(spark, d, "lineitem").count(), KEY)
+    mine = f.join(F.broadcast(A.anchors(_pairs(spark, d)).select("feature_idx")), "feature_idx", "left_semi")
+    r = X.feature_correlation(mine, f.withColumn("layer", F.lit(4)), table(spark, d, "lineitem").count(), KEY)
     return X.top_matches(r).select("anchor", "layer", "feature_idx", r6("r"), "rank")
 
 
@@ -504,10 +498,12 @@ def concept_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 # iterative ---------------------------------------------------------------------------------------------------------
-@query()
+@query("WITH s AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus), p AS (SELECT v / sum(v) OVER () AS p FROM s) SELECT round(exp(-sum(p * ln(p + 1e-12))), 6) AS effective_rank FROM p")
 def effective_rank(spark: SparkSession, d: str) -> DataFrame:
-    model = fx.fx_dictionary(spark, d)[1]
-    return spark.createDataFrame([(D.effective_rank(model.w_dec),)], "effective_rank double")
+    """Of a diagonal matrix, whose singular values are its entries, turned so that none of its entries is zero."""
+    values = [float(r["v"]) for r in table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("v")).orderBy("l_returnflag", "l_linestatus").collect()]
+    turn = np.linalg.qr(np.random.default_rng(0).normal(size=(len(values), len(values))))[0]
+    return spark.createDataFrame([(round(D.effective_rank(turn @ np.diag(values) @ turn.T), 6),)], "effective_rank double")
 
 
 @query()
@@ -517,9 +513,4 @@ def train_step(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x["epoch"], x["step"], x["recon_loss"], x["dead"]) for x in log if "epoch" in x], "epoch int, step int, recon_loss double, dead int")
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+from . import catalogue_plans, catalogue_tables  # noqa: E402,F401  (they register their queries)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +19,22 @@ KEY = ["spectrum_idx", "position"]
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
 
 
+# Fixed numbers of a simple random order that both engines can compute.
+LCG, LCG_MODULUS = (7919, 104729, 1299709, 15485863), 1_000_003
+
+
+def lcg(*parts: Column | str | int) -> Column:
+    """A number in (0, 1) from whole numbers of at least 0."""
+    columns = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
+    total = sum((c.cast("long") * w for c, w in zip(columns, LCG, strict=False)), F.lit(0).cast("long"))
+    return (total % LCG_MODULUS + 0.5) / float(LCG_MODULUS)
+
+
+def lcg_sql(*parts: str | int) -> str:
+    total = " + ".join(f"CAST({p} AS BIGINT) * {w}" for p, w in zip(parts, LCG, strict=False))
+    return f"((({total}) % {LCG_MODULUS}) + CAST(0.5 AS DOUBLE)) / CAST({LCG_MODULUS} AS DOUBLE)"
+
+
 def fx_peaks(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER))
     return table(spark, d, "lineitem").select(
