@@ -17,6 +17,7 @@ pair that shares a key is either in one component or found not to be similar.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, tasks_for
+from .common import drop_staged, slices, staged, tasks_for
 from .components import components
 from .units import _VALUES, LOWER, _powers
 
@@ -140,7 +141,8 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     """True if the alignment of two shingle sequences reaches ``similarity``.
 
     As many shingles may go unmatched as that leaves, so matches lie within that band of diagonals. Rows of the
-    alignment are bit vectors over the other text; the matched head and tail are cut off first.
+    alignment are bit vectors over the band's columns, no wider than twice the band; the matched head and tail are cut
+    off first.
     """
     n1, n2 = len(a), len(b)
     if not n1 or not n2:
@@ -159,18 +161,30 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     if head + tail >= need or not len(a) or not len(b):
         return head + tail >= need
     band = n1 + n2 - 2 * need
-    masks: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for j, c in enumerate(b.tolist()):
-        masks[c] = masks.get(c, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, window = full, (1 << (2 * band + 1)) - 1
+        places.setdefault(c, []).append(j)
+    # Columns in the window [low, high) of a row; those that fall out of it keep their count.
+    row = low = high = found = 0
     for i, c in enumerate(a.tolist()):
-        hit = masks.get(c, 0)
-        if hit:
-            hit &= window << (i - band) if i > band else window >> (band - i)
-            x = row & hit
-            row = ((row + x) | (row & ~hit)) & full
-    return head + tail + len(b) - row.bit_count() >= need
+        if i > band:
+            found += 1 - (row & 1)
+            row >>= 1
+            low += 1
+        end = min(len(b), i + band + 1)
+        row |= ((1 << (end - high)) - 1) << (high - low) if end > high else 0
+        high = max(high, end)
+        own = places.get(c)
+        if own:
+            hit = 0
+            for j in own[bisect_left(own, low) : bisect_left(own, high)]:
+                hit |= 1 << (j - low)
+            if hit:
+                x = row & hit
+                row = ((row + x) | (row & ~hit)) & ((1 << (high - low)) - 1)
+        if i > band and low >= high:
+            break
+    return head + tail + found + (high - low) - row.bit_count() >= need
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -229,8 +243,16 @@ def linked(sequences: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, si
     return out
 
 
-def across(own: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links a, b of roots for the similar pairs that share a bucket in ``own`` (bucket, digest, n, root) and differ in root."""
+def blocks_of(own: DataFrame) -> DataFrame:
+    """bucket, digest, root, blocks, side of the members of mixed buckets in ``own`` (bucket, digest, n, root): blocks of about BLOCK shingles."""
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("all")).where("r0 != r1")
+    blocks = mixed.select("bucket", F.ceil(F.col("all") / BLOCK).alias("blocks"))
+    placed = own.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    return staged(placed.select("bucket", "digest", "root", "blocks", "side"), "placed")
+
+
+def across(placed: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b of roots for the similar pairs that share a bucket in ``placed`` (see ``blocks_of``) and differ in root."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,10 +276,6 @@ def across(own: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) ->
             links = linked(sequences, np.array([number[r] for r in roots]), sides, similarity)
         return pa.table([pa.array([roots[x] for x, _ in links], pa.binary()), pa.array([roots[y] for _, y in links], pa.binary())], names=["a", "b"])
 
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("all")).where("r0 != r1")
-    blocks = mixed.select("bucket", F.ceil(F.col("all") / BLOCK).alias("blocks"))
-    placed = own.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    placed = staged(placed.select("bucket", "digest", "root", "blocks", "side"), "placed")
     wanted = placed.select("digest").distinct()
     known = bodies.join(wanted.hint("merge"), "digest").select("digest", "text").mapInArrow(cut, "digest binary, s array<long>")
     each = placed.join(known.hint("merge"), "digest").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -280,18 +298,29 @@ def sieve(ids: DataFrame, column: str, rows: int) -> np.ndarray:
 
 
 def sifted(docs: DataFrame, column: str, bloom: np.ndarray) -> DataFrame:
-    """Rows that may be among the filter's ids, before they are shuffled; the hashes are Spark's own."""
+    """Rows that may be among the filter's ids, before they are shuffled; the hashes are Spark's own.
+
+    A row that a task has met before, by ``column`` and mark, is left out, as far as it remembers them.
+    """
     bits = (len(bloom) * 32).bit_length() - 1
     places = [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(1 << bits)).alias(f"_{i}") for i in range(3)]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
             ok = np.ones(b.num_rows, bool)
             for i in range(3):
                 p = b.column(f"_{i}").to_numpy()
                 ok &= (bloom[p >> 5] >> (p & 31).astype(np.uint32)) & 1 > 0
-            yield b.select(names).filter(pa.array(ok))
+            part = b.select(names).filter(pa.array(ok))
+            keep = []
+            for i, key in enumerate(zip(part.column(column).to_pylist(), part.column("mark").to_pylist(), strict=True)):
+                if key not in seen:
+                    keep.append(i)
+                    if len(seen) < 1 << 19:
+                        seen.add(key)
+            yield part.take(pa.array(keep, pa.int64()))
 
     return docs.select("*", *places).mapInArrow(run, docs.schema)
 
@@ -300,8 +329,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id, class_id (the least doc_id of its class), kept (it is that document) for every row of ``docs``.
 
     Empty and null texts are classes of their own; so are rows without doc_id, whose class_id is null. Rows of equal
-    doc_id and text fall together. Repeated doc_ids with other texts are compared if their text is the one
-    that Spark finds for the id.
+    doc_id and text fall together; a doc_id with several texts has a row, and maybe a class, for each. Words, shingles
+    and keys are told apart by 64-bit hashes: two of m that differ are taken for equal with odds of about m * m / 2 ** 65,
+    and a clash of single shingles moves a similarity by one shingle only. Texts are equal by 128-bit digests.
     """
     sketches, known = _classes(docs, similarity)
     out = sketches.select("doc_id", "digest").join(known.select("digest", "class_id"), "digest", "left")
@@ -325,30 +355,53 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     sketches = staged(sketch(docs), "sketches")
     files = tasks_for(spark, sketches.count(), 200)
-    texts = staged(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("n").alias("n")), "texts", files=files)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")
+    texts = sketches.where("digest IS NOT NULL").groupBy("digest").agg(least, F.first("keys").alias("keys"), F.first("n").alias("n"))
+    texts = staged(texts.select("digest", F.col("x.doc_id").alias("first_id"), F.col("x.mark").alias("mark"), "keys", "n"), "texts", files=files)
     entries = texts.select("digest", "n", F.explode("keys").alias("bucket"))
     buckets = staged(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets", files=files)
     members = staged(entries.join(buckets, "bucket").select("bucket", "digest", "n", "size"), "members", files=files)
+    drop_staged(buckets)
     weights = staged(members.groupBy("digest").agg(F.sum("size").alias("weight")), "weights", files=files)
     heavy = members.join(weights, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("x"))
     leaders = staged(heavy.select("bucket", F.col("x.digest").alias("leader")), "leaders", files=files)
-    wanted = staged(weights.join(texts.select("digest", "first_id"), "digest").select("first_id", "digest"), "wanted", files=files)
-    found = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string"))
+    wanted = staged(weights.join(texts.select("digest", "first_id", "mark"), "digest").select("first_id", "mark", "digest"), "wanted", files=files)
+    drop_staged(weights)
+    found = docs.select(F.col("doc_id").cast("long").alias("first_id"), mark_of().alias("mark"), F.col("text").cast("string"))
     n = wanted.count()
     found = sifted(found.where("first_id IS NOT NULL"), "first_id", sieve(wanted, "first_id", n))
-    bodies = staged(found.join(wanted.hint("shuffle_hash"), "first_id").select("digest", "text"), "bodies", files=tasks_for(spark, n, 4096))
+    bodies = found.join(wanted.hint("shuffle_hash"), ["first_id", "mark"]).select("first_id", "mark", "digest", "text")
+    if sketches.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").limit(1).count():
+        bodies = bodies.dropDuplicates(["first_id", "mark"])  # by the join's own partitioning
+    bodies = staged(bodies.select("digest", "text"), "bodies", files=tasks_for(spark, n, 4096))
+    drop_staged(wanted)
 
     tried = staged(members.join(leaders, "bucket").where("digest != leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), "pairs", files=files)
-    labels = components(staged(verified(tried, bodies, similarity), "links", files=files), files)
+    drop_staged(leaders)
+    links = staged(verified(tried, bodies, similarity), "links", files=files)
+    labels = components(links, files)
+    drop_staged(tried)
+    drop_staged(links)
     of = labels.select(F.col("node").alias("digest"), "root")
     own = staged(members.join(of, "digest", "left").select("bucket", "digest", "n", F.coalesce("root", "digest").alias("root")), "own", files=files)
-    more = staged(across(own, bodies, similarity).distinct(), "links", files=files)
+    drop_staged(members)
+    placed = blocks_of(own)
+    more = staged(across(placed, bodies, similarity).distinct(), "links", files=files)
+    for table in (own, placed, bodies):
+        drop_staged(table)
     # Only the components' roots are linked anew, so the old links are not walked again.
     up = components(more, files)
     single = up.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti")
     above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    labels = staged(labels.unionByName(single).join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", files=files)
-    classes = texts.select("digest", "first_id").join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
+    top = staged(labels.unionByName(single).join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels", files=files)
+    for table in (more, up, labels):
+        drop_staged(table)
+    classes = texts.select("digest", "first_id").join(top.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root"))
     classes = staged(classes, "classes", files=files)
-    least = staged(classes.groupBy("root").agg(F.min("first_id").alias("class_id")), "least", files=files)
-    return sketches, staged(classes.join(least, "root").select("digest", "root", "class_id"), "classes", files=files)
+    drop_staged(texts)
+    drop_staged(top)
+    firsts = staged(classes.groupBy("root").agg(F.min("first_id").alias("class_id")), "least", files=files)
+    known = staged(classes.join(firsts, "root").select("digest", "root", "class_id"), "classes", files=files)
+    drop_staged(classes)
+    drop_staged(firsts)
+    return sketches, known

@@ -85,6 +85,42 @@ def test_no_link_of_a_large_group_is_lost(make_docs, monkeypatch, block):
     assert len(rows) == 600 and {r["class_id"] for r in rows} == {0}
 
 
+def test_banded_alignment_equals_the_whole_one():
+    """Random sequences around the limit: edits, moves, repeats and few symbols."""
+    rng = np.random.default_rng(11)
+    seen = {True: 0, False: 0}
+    for case in range(1500):
+        n, symbols = int(rng.integers(1, 60)), int(rng.choice([2, 5, 1000]))
+        a = rng.integers(0, symbols, n).astype(np.uint64)
+        b = a.copy()
+        for _ in range(int(rng.integers(0, max(2, n // 4)))):
+            at = int(rng.integers(0, len(b))) if len(b) else 0
+            kind = rng.integers(0, 4)
+            if kind == 0 and len(b):
+                b[at] = rng.integers(0, symbols)
+            elif kind == 1 and len(b) > 1:
+                b = np.delete(b, at)
+            elif kind == 2:
+                b = np.insert(b, at, rng.integers(0, symbols))
+            else:
+                b = np.roll(b, int(rng.integers(0, 3)))
+        m = lcs(a.tolist(), b.tolist())
+        for similarity in (0.5, 0.8, 0.95):
+            want = m / (len(a) + len(b) - m) >= similarity - 1e-12 if len(a) and len(b) else False
+            assert order_minhash.aligned(a, b, similarity) == want, (case, similarity)
+            seen[want] += 1
+    assert min(seen.values()) > 500
+
+
+def test_texts_of_one_id_and_repeated_rows(make_docs):
+    """Several texts under an id are compared each; rows that are there often are cut once."""
+    texts = near_copies()[:7]
+    near = [t + " tail" for t in texts]
+    docs = make_docs([*texts, *near, *([texts[0]] * 50)], [1] * 7 + list(range(10, 17)) + [1] * 50)
+    rows = order_minhash.near_duplicates(docs).collect()
+    assert len(rows) == 64 and all(r["class_id"] == 1 for r in rows)
+
+
 def test_near_duplicates_of_edge_cases(edge, make_docs):
     rows = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(edge).collect()}
     assert rows[3] == rows[4] == 3 and rows[5] == rows[6] == 5 and rows[0] == 0 and rows[1] == 1 and len(rows) == edge.count()
