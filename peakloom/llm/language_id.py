@@ -229,10 +229,12 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     return two.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language: any text with a letter, at any score.
+def keep_known(docs: DataFrame, model: ByteCnn | None, chance: float = 1.1) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language.
 
-    Without a model those are kept too, as nothing speaks against them.
+    A text goes if it has no letter, or if its score is under ``chance`` times that of a guess among the learned
+    languages: the network then says nothing of it. Without a model texts with letters are kept, as nothing speaks
+    against them.
     """
     packed = pickle.dumps(model)
 
@@ -242,6 +244,8 @@ def keep_known(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 text = part.column("text")
-                yield part.filter(pa.array(classify(text, own, tables)[0] != UNKNOWN if own else lettered(text)))
+                names, scores = classify(text, own, tables) if own else (None, None)
+                known = lettered(text) if own is None else (names != UNKNOWN) & (scores >= min(1.0, chance / len(own.langs)) - 1e-9)
+                yield part.filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)

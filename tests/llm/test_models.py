@@ -131,7 +131,16 @@ def test_language_of_edge_cases(edge, edge_texts):
         assert (rows[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
     assert {r["lang_pred"] for r in language_id.predict(edge, None).collect()} == {"und"}
     kept = language_id.keep_known(edge, model)
-    assert kept.columns == edge.columns and kept.count() == sum(r["lang_pred"] != "und" for r in rows.values())
+    assert kept.columns == edge.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["lang_pred"] != "und" and r["score"] >= 0.55}
+
+
+def test_texts_that_the_network_cannot_tell_are_rejected(edge, docs):
+    model = language_id.train(["abc def " * 80, "xyz uvw " * 80], ["a", "b"], epochs=1)
+    model.out[:], model.out_bias[:] = 0, 0
+    assert language_id.keep_known(edge, model).count() == 0
+    fitted = language_id.fit(docs.where(~fold()))
+    assert language_id.keep_known(docs, fitted).count() == docs.where("text RLIKE '[^\\\\W\\\\d_]'").count() == docs.count()
 
 
 def test_texts_with_letters_are_kept_without_a_model(edge, edge_texts):
