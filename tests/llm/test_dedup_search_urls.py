@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, connect
-from peakloom.llm import multi_index, order_minhash, queries, url_filters
+from peakloom.llm import language_id, multi_index, order_minhash, queries, toxicity, url_filters
+from peakloom.llm.common import fold
 from peakloom.llm.components import components
+from peakloom.llm.tokens import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -291,6 +293,58 @@ def test_url_query_equals_its_sql(spark):
     assert compare(spark, connect(SF), queries.queries()["op8_url_filters"], queries.oracle_sql()["op8_url_filters"], SF) == ""
 
 
+def similar_classes(texts):
+    """The least key of each text's class, from the alignment of all pairs of texts by key."""
+    keys = sorted(texts)
+    _, found = order_minhash.digests(pa.array([texts[k] for k in keys], pa.string()))
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for j, b in enumerate(keys[:i]):
+            if texts[a] and (texts[a] == texts[b] or order_minhash.aligned(found[i], found[j])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in keys}
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r["class_id"] for r in queries.queries()["op3_order_minhash"](spark, SF).collect()}
+    assert rows == similar_classes(texts)
+
+
+def test_the_pipeline_equals_plain_stages(spark):
+    """Every stage a text at a time: the score of each model, the alignment of all pairs, the library's ids."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = language_id.fit(docs.where(~fold()))
+    names, scores = language_id.classify(pa.array(list(texts.values())), model, model.tables())
+    texts = {d: t for (d, t), n, s in zip(texts.items(), names, scores, strict=True) if n != "und" and s >= 1.1 / len(model.langs)}
+    known = docs.join(spark.createDataFrame([(d,) for d in texts], "doc_id long"), "doc_id")
+    judge = toxicity.fit(known, labels.where(~fold()))
+    weights = dict(zip(judge.index.tolist(), judge.weights.tolist(), strict=True))
+    toxic = lambda t: 1 / (1 + np.exp(-(judge.bias + sum(weights.get(f, 0.0) for f in set(toxicity.features(pa.array([t]))[0].tolist()))))) >= 0.3
+    texts = {d: t for d, t in texts.items() if not toxic(t)}
+    texts = {d: texts[d] for d, c in similar_classes(texts).items() if c == d}
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = set()
+    for d, t in texts.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        want |= {(d, i // 4096, i, len(ids[i : i + 4096]), zlib.crc32(np.array(ids[i : i + 4096], "<u4").tobytes())) for i in range(0, len(ids), 4096)}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert 0 < len(texts) < len(names)
+
+
 @pytest.mark.parametrize("name", ["op3_order_minhash", "op4_quality_rules", "op5_language_id", "op6_toxicity"])
 def test_queries_give_a_row_for_each_document(spark, name):
     rows = queries.queries()[name](spark, SF)
