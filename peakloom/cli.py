@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 
-from .operators.adapters import EchoClient, HashModel, usable_model
+from .operators.adapters import EchoClient, HashModel, residue_ids, usable_model
 from .operators.interpretation import STRATA
 from .operators.training import TrainConfig
 from .plans import stages
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--no-internal", action="store_true")
     g.add_argument("--fragment-tol", type=float, default=20.0)
     g.add_argument("--fragment-tol-mode", choices=("ppm", "Da"), default="ppm")
+    g.add_argument("--ptm-table", help="JSON object of notations and UNIMOD ids or names")
     g = p.add_argument_group("train")
     g.add_argument("--d-dict", type=int, default=12288)
     g.add_argument("--k", type=int, default=32)
@@ -57,7 +59,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--other-layers", default="", help="comma-separated layers that have dictionaries")
     g.add_argument("--other-seeds", default="", help="comma-separated seeds that have reports")
     g.add_argument("--phase4-cache-dir")
-    g.add_argument("--force", action="store_true", help="evaluate anew where a report is there")
+    g.add_argument("--force", action="store_true", help="evaluate and interpret anew where results are there")
     g = p.add_argument_group("interpret")
     g.add_argument("--strata", nargs="+", default=list(STRATA), choices=STRATA)
     g.add_argument("--n-per-stratum", type=int, default=40)
@@ -92,7 +94,8 @@ def main(argv: list[str] | None = None, model: object = None, client: object = N
         stages.extract(spark, args.source, out, model, layers, args.chunk_size, args.batch_size, args.max_spectra, args.n_peaks, not args.no_baseline)
     if wanted("annotate"):
         LOG.info("annotate")
-        stages.label(out, args.fragment_tol, args.fragment_tol_mode, args.ion_types, not args.no_internal)
+        table = json.loads("\n".join(r["value"] for r in spark.read.text(args.ptm_table, wholetext=True).collect())) if args.ptm_table else {}
+        stages.label(out, args.fragment_tol, args.fragment_tol_mode, args.ion_types, not args.no_internal, residue_ids(table, getattr(model, "residues", None)) or None)
     for layer in layers:
         if wanted("train"):
             LOG.info("train layer %d", layer)
@@ -104,7 +107,7 @@ def main(argv: list[str] | None = None, model: object = None, client: object = N
             stages.evaluate(out, stages.EvaluationConfig(layer, args.seed, tuple(args.skip), args.fdr_q, ablation_spectra=args.ablation_spectra, ablation_top_n=args.ablation_top_n, ablation_singles=args.ablation_per_feature_top, cross_tokens=args.cross_layer_tokens, other_layers=others, other_seeds=tuple(x for x in _numbers(args.other_seeds) if x != args.seed), phase4_cache=args.phase4_cache_dir, force=args.force), model)
         if wanted("interpret"):
             LOG.info("interpret layer %d", layer)
-            stages.describe(out, layer, client or EchoClient(), args.n_per_stratum, args.n_sample_chunks, args.seed, args.dry_run, args.strata, args.include_concept_labels, args.seed)
+            stages.describe(out, layer, client or EchoClient(), args.n_per_stratum, args.n_sample_chunks, args.seed, args.dry_run, args.strata, args.include_concept_labels, args.seed, args.force)
     if wanted("summary"):
         stages.summary(out, layers, args.seed).show(len(layers), truncate=False)
     if args.drop_activations and args.stage == "all":

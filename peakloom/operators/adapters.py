@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -85,9 +86,17 @@ def usable_model(model: object) -> object:
     return model
 
 
-def residue_names(table: dict[str, str], known: dict[str, str] | None = None) -> dict[str, str]:
-    """Notations of the data set to the names of the model's vocabulary; what the model brings itself comes last."""
-    return {**table, **(known or {})}
+def residue_ids(notations: dict[str, str | int], known: dict[str, str | int] | None = None) -> dict[str, int]:
+    """UNIMOD ids of the data set's notations (``M(+15.99)``) by a table of ids or of names with them (``M[UNIMOD:35]``).
+
+    What the model brings itself overrides the table; names without an id are left out.
+    """
+    ids = {}
+    for notation, name in {**notations, **(known or {})}.items():
+        found = re.search(r"UNIMOD:(\d+)", name) if isinstance(name, str) else None
+        if isinstance(name, int) or found:
+            ids[notation] = name if isinstance(name, int) else int(found[1])
+    return ids
 
 
 class HashModel:

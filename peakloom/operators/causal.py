@@ -50,7 +50,8 @@ def ce_alignment(cached: DataFrame, fresh: DataFrame, key: str = "global_spectru
 def loss_recovered(losses: DataFrame) -> DataFrame:
     """Phase-7 row from (mode, mean_ce, correct, valid): token-weighted losses, share recovered, top-1 accuracy drop."""
     of = lambda mode, c: F.sum(F.when(F.col("mode") == mode, c))
-    mean = lambda mode: of(mode, F.col("mean_ce") * F.col("valid")) / F.greatest(of(mode, F.col("valid").cast("double")), d(1))
+    only = lambda mode, c: F.when(F.col("mode") == mode, F.col(c).cast("double"))
+    mean = lambda mode: weighted_mean(only(mode, "mean_ce"), only(mode, "valid"))
     accuracy = lambda mode: of(mode, F.col("correct").cast("double")) / F.greatest(of(mode, F.col("valid").cast("double")), d(1))
     modes = {f"ce_{m}": mean(m) for m in ("clean", "sae", "zero", "mean")}
     out = losses.agg(*[c.alias(n) for n, c in modes.items()], accuracy("clean").alias("top1_acc_clean"), accuracy("sae").alias("top1_acc_sae"), of("clean", F.col("valid")).alias("n_tokens"), F.count(F.when(F.col("mode") == "clean", 1)).alias("n_spectra"))

@@ -74,9 +74,11 @@ def extract(spark: SparkSession, source: str, out: Artefacts, model: ModelAdapte
     return out.extraction_manifest(spectra, tokens, {"chunk": chunk, "layers": list(layers), "source": source, "n_peaks": n_peaks, "max_spectra": most})
 
 
-def label(out: Artefacts, tolerance: float = 20.0, mode: str = "ppm", series: str = "byIp", internal: bool = True) -> dict:
+def label(out: Artefacts, tolerance: float = 20.0, mode: str = "ppm", series: str = "byIp", internal: bool = True, ptm_table: dict[str, int] | None = None) -> dict:
     """Concept bitmasks of every token, base rates, phi and a manifest.
 
+    ``ptm_table``: UNIMOD ids of notations such as ``M(+15.99)``, looked up before masses are.
+
     Chunks that have labels already are left as they are; statistics are of the whole table all the same.
     """
     tokens = out.read("tokens")
@@ -85,7 +87,7 @@ def label(out: Artefacts, tolerance: float = 20.0, mode: str = "ppm", series: st
         own = out.missing_chunks(tokens, "labels")
         masses = F.transform(modifications(exact_mass(F.col("proforma"))), lambda m: F.struct(m["position"].alias("position"), F.coalesce(delta_mass(m["mod_name"]), d(0)).alias("mass")))
         theory = spectra.select(*KEYS, "peptide", "precursor_charge", masses.alias("mods"))
-        names = spectra.select(*KEYS, "peptide", "precursor_charge", tracked_mods(F.col("modifications"), F.col("peptide")).alias("mods"))
+        names = spectra.select(*KEYS, "peptide", "precursor_charge", tracked_mods(F.col("modifications"), F.col("peptide"), ptm_table).alias("mods"))
         found = annotate(theory, own.where("position > 0").select(*KEYS, "position", "mz", "intensity"), KEYS, tolerance, mode, series, internal)
         out.write_chunks(label_tokens(found, names, KEYS).join(own.select(*KEYS, "position", "token_in_chunk", "global_spectrum"), [*KEYS, "position"]), "labels")
     labels = out.read("labels")
@@ -347,9 +349,15 @@ def summary_table(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in FORMATS], *[F.when(none(c), "-").otherwise(F.format_string(f, F.col(c))).alias(c) for c, f in FORMATS.items() if c in rows.columns])
 
 
-def describe(out: Artefacts, layer: int, client: CompletionClient, n: int = 40, chunks: int = 12, seed: int = 0, dry: bool = False, strata: Sequence[str] = STRATA, with_concepts: bool = False, dictionary_seed: int = 0) -> DataFrame:
-    """Descriptions of chosen features and how well they predict held-out activations."""
+def describe(out: Artefacts, layer: int, client: CompletionClient, n: int = 40, chunks: int = 12, seed: int = 0, dry: bool = False, strata: Sequence[str] = STRATA, with_concepts: bool = False, dictionary_seed: int = 0, force: bool = False) -> DataFrame:
+    """Descriptions of chosen features and how well they predict held-out activations.
+
+    Descriptions that are there already are returned as they are, unless ``force`` is set.
+    """
     here, to = evaluation_of(out, layer, dictionary_seed), out.sub(f"layer_{layer}/seed_{dictionary_seed}/interpretation")
+    if to.done("median_by_stratum") and not force:
+        LOG.info("%s has descriptions", to.root)
+        return to.read_csv("feature_descriptions")
     stats, causal, top = here.read_csv("per_feature_stats"), here.causal_records(), here.read_csv("top_activating_tokens")
     best = best_causal_record(causal)
     chosen = staged(select_strata(stats, best, n, seed, strata), "strata")

@@ -13,9 +13,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder of ours."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="peakloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

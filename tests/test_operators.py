@@ -223,7 +223,7 @@ def test_models_that_cannot_be_patched_are_refused():
     Model.use_flash_attention = True
     with pytest.raises(ValueError):
         adapters.usable_model(Model())
-    assert adapters.residue_names({"M(+15.99)": "M[UNIMOD:35]", "x": "y"}, {"x": "z"}) == {"M(+15.99)": "M[UNIMOD:35]", "x": "z"}
+    assert adapters.residue_ids({"M(+15.99)": "M[UNIMOD:35]", "x": "y", "(+42.01)": 1}, {"x": "z"}) == {"M(+15.99)": 35, "(+42.01)": 1}
 
 
 def test_full_ties_of_candidates_have_one_outcome(spark):
@@ -389,6 +389,17 @@ def test_streamed_increments(spark, tmp_path):
     assert tuple(merged_label_sums(spark, f"file://{tmp_path}/out").select("n", "c0", "c1").first()) == (6, 6, 3)
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from peakloom import staging
+
+    conf = SimpleNamespace(get=lambda key, default: None)
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")), "x")
+    assert staging.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x").startswith("file:///")
+
+
 def test_nothing_but_llm_imports_llm():
     import pathlib
     import re

@@ -224,7 +224,8 @@ def test_description(run):
     assert "matched_ion" in prompt and "concepts " in prompt and "nearby_mz" in prompt
     lines = [json.loads(r["value"]) for r in out.spark.read.text(to.path("feature_descriptions.json")).collect()]
     assert len(lines) == found.count() and all("description" in x and set(CSV_COLUMNS["feature_descriptions"]) <= set(x) for x in lines)
-    only = stages.describe(out, 2, EchoClient(), n=3, chunks=4, strata=("unlabelled",), dry=True)
+    assert stages.describe(out, 2, None, n=3, chunks=4).collect() == found.collect()
+    only = stages.describe(out, 2, EchoClient(), n=3, chunks=4, strata=("unlabelled",), dry=True, force=True)
     assert {r["stratum"] for r in only.collect()} <= {"unlabelled"}
 
 
@@ -246,7 +247,11 @@ def test_command_line(spark, run, tmp_path, monkeypatch):
     monkeypatch.setenv("PEAKLOOM_TEST_KEY", "kept")
     base = ["--out", f"file://{tmp_path}/out", "--layers", "1"]
     assert cli.main(["extract", *base, "--source", f"file://{run[3]}/in", "--chunk-size", "16", "--batch-size", "16", "--max-spectra", "32", "--env-file", f"file://{env}", "--model-path", "a/b.ckpt"], HashModel(4)) == 0
-    assert cli.main(["annotate", *base, "--ion-types", "abcxyzIp", "--no-internal", "--fragment-tol", "0.05", "--fragment-tol-mode", "Da"]) == 0
+    table = tmp_path / "ptms.json"
+    table.write_text(json.dumps({"C(+57.02)": 35}))  # another id than its mass has
+    assert cli.main(["annotate", *base, "--ion-types", "abcxyzIp", "--no-internal", "--fragment-tol", "0.05", "--fragment-tol-mode", "Da", "--ptm-table", f"file://{table}"]) == 0
+    labels = Artefacts(spark, f"file://{tmp_path}/out").read("labels")
+    assert labels.where(F.getbit("concepts", F.lit(BIT["spectrum_contains_cam_cys"])) == 1).count() == 0
     assert cli.main(["train", *base, "--d-dict", "8", "--k", "2", "--k-aux", "2", "--epochs", "1", "--train-batch", "64", "--warmup", "2", "--within-chunks", "--parts", "2", "--val-fraction", "0.4"]) == 0
     assert cli.main(["evaluate", *base, "--skip", "8", "5"], HashModel(4)) == 0
     assert cli.main(["summary", *base]) == 0
