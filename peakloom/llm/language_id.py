@@ -190,10 +190,10 @@ def lettered(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each text; ``und`` and 0 for null texts and those without a letter."""
+def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language and score of each text, and the largest mean probability of any language; ``und`` and 0 for null texts and those without a letter."""
     known = lettered(texts)
-    names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    names, scores, peaks = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
     if own and len(texts):
         x, owner, size = windows_of(texts)
         logs, probs = np.zeros((len(texts), len(own.langs))), np.zeros((len(texts), len(own.langs)))
@@ -205,7 +205,8 @@ def classify(texts: pa.Array, own: ByteCnn | None, tables: list) -> tuple[np.nda
         total = np.maximum(np.bincount(owner, size, len(texts)), 1)
         names[known] = np.array(own.langs, object)[best[known]]
         scores[known] = np.clip(probs[np.arange(len(texts)), best] / total, 0, 1)[known]
-    return names, scores
+        peaks[known] = (probs.max(1) / total)[known]
+    return names, scores, peaks
 
 
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
@@ -222,7 +223,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
         tables = own.tables() if own else []
         for batch in batches:
             for part in slices(batch, "text"):
-                names, scores = classify(part.column("text"), own, tables)
+                names, scores, _ = classify(part.column("text"), own, tables)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     two = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -232,8 +233,8 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 def keep_known(docs: DataFrame, model: ByteCnn | None, chance: float = 1.1) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language.
 
-    A text goes if it has no letter, or if its score is under ``chance`` times that of a guess among the learned
-    languages: the network then says nothing of it. Without a model texts with letters are kept, as nothing speaks
+    A text goes if it has no letter, or if the mean probability of no language reaches ``chance`` times that of a guess
+    among the learned ones: the network then says nothing of it. Without a model texts with letters are kept, as nothing speaks
     against them.
     """
     packed = pickle.dumps(model)
@@ -244,8 +245,11 @@ def keep_known(docs: DataFrame, model: ByteCnn | None, chance: float = 1.1) -> D
         for batch in batches:
             for part in slices(batch, "text"):
                 text = part.column("text")
-                names, scores = classify(text, own, tables) if own else (None, None)
-                known = lettered(text) if own is None else (names != UNKNOWN) & (scores >= min(1.0, chance / len(own.langs)) - 1e-9)
+                if own is None:
+                    known = lettered(text)
+                else:
+                    names, _, peaks = classify(text, own, tables)
+                    known = (names != UNKNOWN) & (peaks >= min(1.0, chance / len(own.langs)) - 1e-9)
                 yield part.filter(pa.array(known))
 
     return docs.mapInArrow(run, docs.schema)

@@ -327,8 +327,8 @@ def test_the_pipeline_equals_plain_stages(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = language_id.fit(docs.where(~fold()))
-    names, scores = language_id.classify(pa.array(list(texts.values())), model, model.tables())
-    texts = {d: t for (d, t), n, s in zip(texts.items(), names, scores, strict=True) if n != "und" and s >= 1.1 / len(model.langs)}
+    names, _, peaks = language_id.classify(pa.array(list(texts.values())), model, model.tables())
+    texts = {d: t for (d, t), n, s in zip(texts.items(), names, peaks, strict=True) if n != "und" and s >= 1.1 / len(model.langs)}
     known = docs.join(spark.createDataFrame([(d,) for d in texts], "doc_id long"), "doc_id")
     judge = toxicity.fit(known, labels.where(~fold()))
     weights = dict(zip(judge.index.tolist(), judge.weights.tolist(), strict=True))
