@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, quality, toxicity
+from . import language_id, quality, spelling, toxicity, vector_codes
 from .bpe import bpe_digests
 from .common import fold, shared_dir
 from .multi_index import search, usable
+from .ogg import media_query
 from .order_minhash import near_duplicates
 from .packing import pack
 from .token_counts import count_tokens
@@ -75,6 +76,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), shared_dir(spark, "count-cache"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_query(table(spark, sf_dir, "documents"))
+
+
+def op13_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -87,8 +100,11 @@ def queries() -> dict[str, Query]:
         "op8_url_filters": op8_url_filters,
         "op9_bpe": op9_bpe,
         "op10_token_counts": op10_token_counts,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_ogg_media": op13_ogg_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": QUERY_SQL}
+    return {"op8_url_filters": QUERY_SQL, "op11_vector_codes": vector_codes.oracle(vector_codes.CodeConfig(), 64), "op12_spelling_variants": spelling.oracle()}
