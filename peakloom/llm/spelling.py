@@ -1,11 +1,13 @@
 """Operator 12: spelling variants, grouped under the more frequent word next to each.
 
 Words are counted in the tasks, text by text, and added up by word. Then the full neighbourhood of every word is
-generated: each distinct deletion, replacement and insertion over the alphabet that the vocabulary holds, made for many
+generated: each distinct deletion, replacement and insertion over the alphabet that the vocabulary holds, for many
 words of a length at once in numpy. A repeat cannot arise, as a letter is deleted only where its neighbour before
-differs, and inserted only where it does not follow itself. What the hash join with the vocabulary finds is at
-distance one by construction. A word's form is its most frequent neighbour if that is frequent enough; forms are
-followed to their root by pointer doubling, which ends as counts grow along every step.
+differs, and inserted only where it does not follow itself. A neighbour's hash comes from its word's by one product, so
+a bounded Bloom filter of the vocabulary sifts the neighbourhood before any string is made; what is left goes into a
+hash join with the vocabulary, on the strings themselves, and what that finds is at distance one by construction. A
+word's form is its most frequent neighbour if that is frequent enough; forms are followed to their root by pointer
+doubling, which ends as counts grow along every step.
 
 Null and empty texts have no words; a null id counts as an empty one; repeated rows count each; an empty table gives no
 rows. Texts of any length are cut piece by piece.
@@ -17,34 +19,55 @@ import re
 import string
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import drop_staged, partitions, slices, staged
 
 #: Fixed values of the query: what a run is made of, how many ids and runs lose a letter, shortest and rarest word.
 RUN, DAMAGE, SHORTEST, RAREST, MARGIN = "[A-Za-zÀ-ÿ]+", 97, 5, 3, 2
-#: Distinct words that a task counts before it hands them on, and characters of a text that are cut at once.
-HELD, PIECE = 400_000, 1 << 20
+#: Distinct words that a task counts before it hands them on, and bytes of a text that are cut at once; a piece of more than ``LONG`` bytes is one run.
+HELD, PIECE, LONG = 400_000, 1 << 20, 1 << 23
 #: Words of a vocabulary that is broadcast (some 40 MB); beyond, candidates and words meet in a shuffled hash join.
 BROADCAST_WORDS = 300_000
-#: Candidates that a slice of words makes at most, so that a task holds a bounded matrix.
-CANDIDATES = 1 << 20
+#: Neighbours that are hashed at once; bits of the filter at most (16 MB), bits for each word, and places of each.
+BLOCK, MOST_BITS, BITS, PLACES = 1 << 18, 27, 24, 4
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LATIN_LEAD = 0xC3  # all of U+00C0 to U+00FF are this byte and one more
 
 
-def runs(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
-    """All runs of a text, in pieces; a piece ends where no run does."""
+def _letters() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[65:91] = out[97:123] = out[_LATIN_LEAD] = True
+    return out
+
+
+def _crc_table() -> np.ndarray:
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = x >> np.uint32(1) ^ np.where(x & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return x
+
+
+LETTER, CRC = _letters(), _crc_table()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that end where no run does."""
     at = 0
     while at < len(text):
         end = min(at + PIECE, len(text))
-        while end < len(text) and pattern.match(text[end]) and pattern.match(text[end - 1]):
+        while end < len(text) and (LETTER[text[end]] or text[end] >= 128):
             end += 1
-        yield pattern.findall(text, at, end)
+        yield text[at:end]
         at = end
 
 
@@ -54,10 +77,67 @@ def damaged(word: str, head: int) -> str:
     return word if h % DAMAGE else word[: h % len(word)] + word[h % len(word) + 1 :]
 
 
-def word_counts(docs: DataFrame, change: Callable[[str, int], str] | None = damaged, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, n over all texts: runs with A-Z lower-cased, passed through ``change``, of at least ``shortest`` letters.
-
-    ``change`` gets a run and the crc32 of the id and a colon; it must keep equal runs of a text equal.
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def checksums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """crc32 of many stretches of bytes, each carried on from its head, byte by byte of all at once."""
+    order = np.argsort(-lengths, kind="stable")
+    at, left = starts[order], lengths[order]
+    crc = heads[order] ^ np.uint32(0xFFFFFFFF)
+    active = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), side="right") if len(left) else []
+    for j, n in enumerate(active):
+        crc[:n] = CRC[(crc[:n] ^ data[at[:n] + j]) & 255] ^ crc[:n] >> np.uint32(8)
+    out = np.empty_like(crc)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+def counted(held: Counter, texts: list[bytes], heads: np.ndarray, shortest: int) -> None:
+    """Add the words of texts, none very long, whose ids have the checksums ``heads``."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    lead = raw == _LATIN_LEAD
+    letter = LETTER[raw]
+    letter[1:] |= lead[:-1]
+    change = np.flatnonzero(np.diff(letter, prepend=False))
+    starts, ends = change[::2], change[1::2]
+    leads = np.concatenate([[0], np.cumsum(lead)])
+    points = ends - starts - (leads[ends] - leads[starts])
+    keep = points >= shortest
+    starts, ends, points = starts[keep], ends[keep], points[keep]
+    if not len(starts):
+        return
+    low = np.where(lead | np.concatenate([[False], lead[:-1]]), raw, LOWER[raw])
+    rows = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    h = checksums(low, starts, ends - starts, heads[rows])
+    flat = low.tobytes()
+    hurt = h % np.uint32(DAMAGE) == 0
+    for a, b, n, x in zip(starts[hurt].tolist(), ends[hurt].tolist(), points[hurt].tolist(), h[hurt].tolist(), strict=True):
+        if n > shortest:
+            word = flat[a:b].decode()
+            held[word[: x % n] + word[x % n + 1 :]] += 1
+    starts, ends = starts[~hurt], ends[~hurt]
+    up = powers(len(low) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(low.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    keys = (sums[ends] - sums[starts]) * up[len(low) - starts]
+    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+    for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), counts.tolist(), strict=True):
+        held[flat[a:b].decode()] += n
+
+
+def word_counts(docs: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """word, n over all texts: runs of letters with A-Z lower-cased, some without a letter, of at least ``shortest``.
+
+    Equal runs of a slice of a megabyte are told by 64-bit hashes, from then on by themselves.
     """
     two = docs.select(F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
 
@@ -65,22 +145,27 @@ def word_counts(docs: DataFrame, change: Callable[[str, int], str] | None = dama
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, held = re.compile(RUN), Counter()
+        held: Counter = Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    head = zlib.crc32(key.encode() + b":")
-                    for found in runs(text, pattern):
-                        for word, n in Counter(found).items():
-                            if len(word) < shortest:
-                                continue
-                            word = word.translate(_LOWER)
-                            own = change(word, head) if change else word
-                            if len(own) >= shortest:
-                                held[own] += n
+                heads = [zlib.crc32(key.encode() + b":") for key in part.column("doc_id").to_pylist()]
+                short, own = [], []
+                for head, text in zip(heads, part.column("text").to_pylist(), strict=True):
+                    raw = text.encode()
+                    for piece in pieces(raw) if len(raw) > PIECE else (raw,):
+                        if len(piece) <= LONG and len(raw) <= PIECE:
+                            short.append(piece)
+                            own.append(head)
+                        elif len(piece) <= LONG:
+                            counted(held, [piece], np.array([head], np.uint32), shortest)
+                        else:
+                            for word in re.findall(RUN, piece.decode()):
+                                if len(word) >= shortest and len(done := damaged(word.translate(_LOWER), head)) >= shortest:
+                                    held[done] += 1
                         if len(held) > HELD:
                             yield batch_of(held)
                             held = Counter()
+                counted(held, short, np.array(own, np.uint32), shortest)
         if held:
             yield batch_of(held)
 
@@ -100,54 +185,122 @@ def _strings(points: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(points.astype("<u4")).view(f"<U{points.shape[1]}").ravel(), pa.string())
 
 
-def neighbourhood(points: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All strings at distance one from words of one length, each once: row of its word, code points.
+def hashed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the letters' values times powers of a base, over each word's first 0, 1, ... letters; and the values."""
+    values = mixed(points.astype(np.uint64) + np.uint64(1))
+    sums = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    np.cumsum(values * powers(points.shape[1]), axis=1, out=sums[:, 1:])
+    return sums, values
+
+
+def places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The filter's places of a hash, one after the other."""
+    h = mixed(hashes)
+    step = h >> np.uint64(32) | np.uint64(1)
+    for _ in range(PLACES):
+        yield h & np.uint64((1 << bits) - 1)
+        h = h + step
+
+
+def held_by(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Flat indices of the hashes that the filter may hold."""
+    bits = (64 * len(bloom)).bit_length() - 1
+    left, flat = None, hashes.ravel()
+    for i in range(PLACES):  # later places are looked up for what is left only
+        h = mixed(flat)
+        at = (h + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) & np.uint64((1 << bits) - 1)
+        on = np.flatnonzero(bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+        left, flat = on if left is None else left[on], flat[on]
+    return left
+
+
+def vocabulary_filter(words: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the words' hashes in 64-bit numbers; its bits are set in the tasks, and at most 2 ** 21 numbers come to the driver."""
+    bits = min(MOST_BITS, max(12, (BITS * rows).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(0).to_pylist()
+            marks = np.concatenate([np.concatenate(list(places(hashed(points)[0][:, -1], bits))) for _, points in by_length(text)])
+            at = np.unique(marks)
+            group, first = np.unique(at >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(value.view(np.int64))], names=["w", "v"])
+
+    got = words.select("word").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and code points of the words of each length."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        flat = "".join(words[i] for i in own).encode("utf-32-le")
+        yield own, np.frombuffer(flat, "<u4").reshape(len(own), length)
+
+
+def neighbourhood(points: np.ndarray, alphabet: np.ndarray, bloom: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strings at distance one from words of one length that a filter may hold, each once: row of its word, code points.
 
-    ``points``: (words, length). Strings may use the letters of ``alphabet`` and what the words hold themselves.
+    ``points``: (words, length). All deletions, replacements and insertions are hashed; strings may use the letters of
+    ``alphabet`` and what the words hold themselves.
     """
     n, length = points.shape
-    for i in range(length):
-        rows = np.arange(n) if i == 0 else np.flatnonzero(points[:, i] != points[:, i - 1])
-        yield rows, np.delete(points[rows], i, axis=1)
-    for i in range(length):
-        rows, letter = np.nonzero(points[:, i, None] != alphabet)
-        changed = points[rows]
-        changed[:, i] = alphabet[letter]
-        yield rows, changed
-    for i in range(length + 1):
-        rows, letter = np.nonzero(np.ones((n, len(alphabet)), bool) if i == 0 else points[:, i - 1, None] != alphabet)
-        yield rows, np.insert(points[rows], i, alphabet[letter], axis=1)
-
-
-def candidates(words: DataFrame, alphabet: np.ndarray) -> DataFrame:
-    """word, n, near: the full neighbourhood of every word."""
-    sent = words.sparkSession.sparkContext.broadcast(alphabet)
+    sums, values = hashed(points)
+    whole, up, letters = sums[:, -1:], powers(length + 1), mixed(alphabet.astype(np.uint64) + np.uint64(1))
+    if length:
+        rows, at = np.divmod(held_by(bloom, sums[:, :-1] + (whole - sums[:, 1:]) * _BACK), length)
+        first = (at == 0) | (points[rows, at] != points[rows, at - 1])
+        rows, at = rows[first], at[first]
+        rest = np.arange(length - 1)
+        yield rows, points[rows[:, None], rest + (rest >= at[:, None])]
+        found = held_by(bloom, whole[:, :, None] + (letters - values[:, :, None]) * up[:-1, None])
+        rows, at, letter = np.unravel_index(found, (n, length, len(letters)))
+        other = points[rows, at] != alphabet[letter]
+        rows, at, letter = rows[other], at[other], letter[other]
+        made = points[rows]
+        made[np.arange(len(rows)), at] = alphabet[letter]
+        yield rows, made
+    found = held_by(bloom, (sums + (whole - sums) * _BASE)[:, :, None] + letters * up[:, None])
+    rows, at, letter = np.unravel_index(found, (n, length + 1, len(letters)))
+    other = at == 0
+    other[~other] = points[rows[~other], at[~other] - 1] != alphabet[letter[~other]]
+    rows, at, letter = rows[other], at[other], letter[other]
+    rest = np.arange(length + 1)
+    made = np.concatenate([points, np.zeros((n, 1), points.dtype)], 1)[rows[:, None], rest - (rest > at[:, None])]
+    made[np.arange(len(rows)), at] = alphabet[letter]
+    yield rows, made
+
+
+def candidates(words: DataFrame, alphabet: np.ndarray, bloom: np.ndarray) -> DataFrame:
+    """word, n, near: of the full neighbourhood of every word what the filter may hold."""
+    sent = words.sparkSession.sparkContext.broadcast((alphabet, bloom))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = sent.value
+        letters, held = sent.value
         for batch in batches:
-            text, counts = batch.column(0).to_pylist(), batch.column(1)
-            lengths = np.array([len(t) for t in text])
-            for length in np.unique(lengths).tolist():
-                own = np.flatnonzero(lengths == length)
-                step = max(1, CANDIDATES // max(1, length * (len(letters) + 1)))
+            for own, points in by_length(batch.column(0).to_pylist()):
+                step = max(1, BLOCK // ((points.shape[1] + 1) * (len(letters) + 1)))
                 for at in range(0, len(own), step):
-                    rows = own[at : at + step]
-                    points = np.array([[ord(c) for c in text[i]] for i in rows], np.uint32).reshape(len(rows), length)
-                    for which, made in neighbourhood(points, letters):
-                        place = pa.array(rows[which])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(place), counts.take(place), _strings(made)], names=["word", "n", "near"])
+                    for which, made in neighbourhood(points[at : at + step], letters, held):
+                        if len(which):
+                            place = pa.array(own[at + which])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), _strings(made)], names=["word", "n", "near"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, near string")
 
 
 def near_words(words: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
     """word, n, near, near_n: all pairs of words of a vocabulary (word, n) at distance one, in both orders."""
-    few = words.limit(limit + 1).count() <= limit
-    parts = words.sparkSession.sparkContext.defaultParallelism
-    made = candidates(words.repartition(parts if few else max(parts, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "word"), alphabet_of(words))
+    rows = words.count()
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, partitions(words.sparkSession) if rows > limit else 1)
+    dealt = words.repartition(tasks, "word").sortWithinPartitions(F.length("word"))
+    made = candidates(dealt, alphabet_of(words), vocabulary_filter(words, rows))
     right = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return made.join(F.broadcast(right) if few else right.hint("shuffle_hash"), "near").select("word", "n", "near", "near_n")
+    return made.join(F.broadcast(right) if rows <= limit else right.hint("shuffle_hash"), "near").select("word", "n", "near", "near_n")
 
 
 def best_forms(pairs: DataFrame, margin: int = MARGIN) -> DataFrame:
@@ -169,7 +322,8 @@ def roots(forms: DataFrame) -> DataFrame:
         moving = now.where("root != word")
         ends = now.where("root != word").select(F.col("word").alias("root"), F.col("root").alias("further"))
         stepped = staged(moving.join(ends, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
-        now = staged(now.where("root = word").unionByName(stepped.select("word", "root")), "roots")
+        before, now = now, staged(now.where("root = word").unionByName(stepped.select("word", "root")), "roots")
+        drop_staged(before)
         if not stepped.where("moved").limit(1).count():
             return now
 

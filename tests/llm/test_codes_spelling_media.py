@@ -142,12 +142,33 @@ def test_groups_equal_all_pairs(spark):
                 w[at : at + rng.integers(2)] = ["", "a", "é", "t"][rng.integers(4)]
             words.append("".join(w))
         docs.append((i % 250, " ".join(words)))  # repeated ids
-    docs.append((7, "letters, " * 40_000))  # cut in pieces
+    docs.append((7, "letters, " * 40_000))
+    docs.append((8, "é, Banana straße× " * 90_000 + "ß" * 2000))  # cut in pieces
     got = sorted((tuple(r) for r in spelled(spark, docs).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=lambda r: r[0])
     want = plain_groups(docs)
     assert got == want and any(r[2] not in (r[0], r[1]) for r in want)
 
 
+def test_a_filter_holds_all_hashes_and_few_others(spark):
+    words = spark.createDataFrame([(f"word{i}é",) for i in range(3000)], "word string")
+    bloom = spelling.vocabulary_filter(words, 3000)
+    hashes = np.concatenate([spelling.hashed(p)[0][:, -1] for _, p in spelling.by_length([r[0] for r in words.collect()])])
+    assert len(spelling.held_by(bloom, hashes)) == 3000
+    assert len(spelling.held_by(bloom, spelling.mixed(np.arange(100_000, dtype=np.uint64)))) < 200
+
+
+def test_a_run_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "PIECE", 40)
+    monkeypatch.setattr(spelling, "LONG", 90)
+    docs = [(i, f"{'Abcde' * 9} letter  letter é {'xyz' * 60} ende") for i in range(4)]
+    got = sorted((tuple(r) for r in spelled(spark, docs).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=lambda r: r[0])
+    held = spelling.Counter()
+    for key, text in docs:
+        for piece in spelling.pieces(text.encode()):
+            spelling.counted(held, [piece], np.array([zlib.crc32(f"{key}:".encode())], np.uint32), 5)
+    assert got == plain_groups(docs) and {w: n for w, n in held.items() if n >= 3} == {r[0]: r[3] for r in got}
+
+
 def test_nothing_to_group(spark):
     assert spelled(spark, []).collect() == [] and spelled(spark, [(1, None), (2, "one two")]).collect() == []
 
@@ -156,7 +177,8 @@ def test_neighbourhood_is_full_and_without_repeats():
     alphabet = np.array([ord(c) for c in "abe"], np.uint32)
     for word in ("aab", "abba", "bbbb", "e"):
         points = np.array([[ord(c) for c in word]] * 2, np.uint32)
-        made = [("".join(map(chr, r)), w) for rows, strings in spelling.neighbourhood(points, alphabet) for w, r in zip(rows, strings, strict=True)]
+        everything = np.full(64, 2**64 - 1, np.uint64)
+        made = [("".join(map(chr, r)), w) for rows, strings in spelling.neighbourhood(points, alphabet, everything) for w, r in zip(rows, strings, strict=True)]
         want = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in "abe"} | {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in "abe"}
         for which in (0, 1):
             own = [s for s, w in made if w == which]
