@@ -25,7 +25,7 @@ def erfc(z: Column) -> Column:
 
 def chi2_p(chi2: Column) -> Column:
     """Upper tail of chi-squared with one degree of freedom."""
-    return erfc(F.sqrt(F.greatest(chi2, d(0)) / 2))
+    return F.least(d(1), erfc(F.sqrt(F.greatest(chi2, d(0)) / 2)))  # the fit is a little over 1 at 0
 
 
 def ratio(a: Column, b: Column, floor: float = 1e-12) -> Column:

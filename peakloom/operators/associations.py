@@ -23,16 +23,19 @@ def top_tokens(features: DataFrame, k: int = 20, keys: Sequence[str] = ("chunk_i
     return features.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("feature_idx", "rank", "activation", *keys)
 
 
-def contingency(features: DataFrame, labels: DataFrame, n_concepts: int, keys: Sequence[str], mask: str = "concepts") -> DataFrame:
-    """feature_idx, concept_idx, n11, mf, mc, n for all pairs of a firing feature and a concept.
+def contingency(features: DataFrame, labels: DataFrame, n_features: int, n_concepts: int, keys: Sequence[str], mask: str = "concepts") -> DataFrame:
+    """feature_idx, concept_idx, n11, mf, mc, n for all pairs of a feature and a concept, ``n_features`` times ``n_concepts``.
 
+    Features that never fire have counts of 0: they are part of the family that false discoveries are controlled in.
     Tokens meet once in an equi-join; the concepts stay bits of one number, and each task sums a counter for each, so
-    no row is made for a pair of a token's feature and concept.
+    no row is made for a pair of a token's feature and concept. A row without token for every feature goes into the
+    same sums. A feature that the dictionary lacks is left out.
     """
-    fired = features.where("activation > 0").select(*keys, "feature_idx")
-    joined = fired.join(labels.select(*keys, mask), list(keys))
+    fired = features.where((F.col("activation") > 0) & F.col("feature_idx").between(0, n_features - 1)).select(*keys, "feature_idx")
+    every = features.sparkSession.range(n_features).select(F.col("id").cast(features.schema["feature_idx"].dataType).alias("feature_idx"), F.lit(0).cast("long").alias(mask), F.lit(0).alias("_hit"))
+    joined = fired.join(labels.select(*keys, mask), list(keys)).select("feature_idx", mask, F.lit(1).alias("_hit")).unionByName(every)
     bits = [F.sum(F.when(has(F.col(mask), i), 1).otherwise(0)).alias(f"c{i}") for i in range(n_concepts)]
-    counted = joined.groupBy("feature_idx").agg(F.count("*").alias("mf"), *bits)
+    counted = joined.groupBy("feature_idx").agg(F.sum("_hit").alias("mf"), *bits)
     pair = F.explode(F.array(*[F.struct(F.lit(i).alias("concept_idx"), F.col(f"c{i}").alias("n11")) for i in range(n_concepts)]))
     pairs = counted.select("feature_idx", "mf", pair.alias("x")).select("feature_idx", "x.concept_idx", "x.n11", "mf")
     totals = labels.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.when(has(F.col(mask), i), 1).otherwise(0)), F.lit(0)).alias(f"c{i}") for i in range(n_concepts)])
@@ -40,13 +43,13 @@ def contingency(features: DataFrame, labels: DataFrame, n_concepts: int, keys: S
     return pairs.join(F.broadcast(marginals), "concept_idx").select("feature_idx", "concept_idx", "n11", "mf", "mc", "n")
 
 
-def associations(features: DataFrame, labels: DataFrame, n_concepts: int, keys: Sequence[str], q: float = 0.05) -> DataFrame:
-    """Contingency counts with metrics, p-values and the rejection flag.
+def associations(features: DataFrame, labels: DataFrame, n_features: int, n_concepts: int, keys: Sequence[str], q: float = 0.05) -> DataFrame:
+    """Contingency counts with metrics, p-values and the rejection flag, over the whole dictionary.
 
-    The pairs, at most one for each feature and concept, are written before they are ranked, as ranks and rows both
+    The pairs, one for each feature and concept, are written before they are ranked, as ranks and rows both
     need them and the tokens should meet only once.
     """
-    return bh_reject(staged(contingency_metrics(contingency(features, labels, n_concepts, keys)), "pairs"), q)
+    return bh_reject(staged(contingency_metrics(contingency(features, labels, n_features, n_concepts, keys)), "pairs"), q)
 
 
 def per_concept_top(pairs: DataFrame, k: int = 20) -> DataFrame:

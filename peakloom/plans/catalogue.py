@@ -253,7 +253,7 @@ def feature_topk(spark: SparkSession, d: str) -> DataFrame:
 
 # associations ------------------------------------------------------------------------------------------------------
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return A.associations(fx.fx_features(spark, d), fx.fx_labels(spark, d), N, KEY)
+    return A.associations(fx.fx_features(spark, d), fx.fx_labels(spark, d), fx.N_FEATURES, N, KEY)
 
 
 _CONCEPTS = "concepts(concept_idx, concept, family) AS (VALUES " + ", ".join(f"({i}, '{c}', '{'mass' if i < 3 else 'other'}')" for i, c in enumerate(fx.FX_CONCEPTS)) + ")"
@@ -261,7 +261,7 @@ _CONCEPTS = "concepts(concept_idx, concept, family) AS (VALUES " + ", ".join(f"(
 
 @query(sql(*PAIRS) + "SELECT feature_idx, concept_idx, CAST(n11 AS BIGINT) AS n11, CAST(mf AS BIGINT) AS mf, CAST(mc AS BIGINT) AS mc, CAST(n AS BIGINT) AS n FROM pairs")
 def contingency(spark: SparkSession, d: str) -> DataFrame:
-    return A.contingency(fx.fx_features(spark, d), fx.fx_labels(spark, d), N, KEY)
+    return A.contingency(fx.fx_features(spark, d), fx.fx_labels(spark, d), fx.N_FEATURES, N, KEY)
 
 
 @query(sql(*PAIRS) + "SELECT feature_idx, concept_idx, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(f1_dom, 6) AS f1_dom, round(lift, 6) AS lift, round(chi2, 3) AS chi2 FROM pairs")
@@ -285,7 +285,7 @@ def per_family_top(spark: SparkSession, d: str) -> DataFrame:
     return top.select("family", "rank", "feature_idx", F.when(F.col("f1_dom") > 0, F.col("best_concept_name")).alias("best_concept_name"), r6("f1_dom"))
 
 
-@query(sql(*PAIRS) + f", {_CONCEPTS} SELECT feature_idx, round(max(mf) / max(n), 6) AS firing_rate, round(max(f1_dom), 6) AS max_f1_dom, arg_max(concept, f1_dom) AS best_concept, count(CASE WHEN rejected THEN 1 END) AS n_significant_concepts FROM pairs JOIN concepts USING (concept_idx) GROUP BY 1")
+@query(sql(*PAIRS) + f", {_CONCEPTS} SELECT feature_idx, round(max(mf) / max(n), 6) AS firing_rate, round(max(f1_dom), 6) AS max_f1_dom, arg_max(concept, (f1_dom, -concept_idx)) AS best_concept, count(CASE WHEN rejected THEN 1 END) AS n_significant_concepts FROM pairs JOIN concepts USING (concept_idx) GROUP BY 1")
 def per_feature_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.per_feature_stats(_pairs(spark, d), fx.fx_concepts(spark)).select("feature_idx", r6("firing_rate"), r6("max_f1_dom"), "best_concept", "n_significant_concepts")
 
@@ -347,7 +347,7 @@ def ce_alignment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n", *[r6(c) for c in ("cached_mean", "fresh_mean", "mean_abs_diff", "max_abs_diff")], "aligned")
 
 
-@query(sql(*PAIRS) + ", f AS (SELECT feature_idx, log10(max(mf) / max(n)) AS x FROM pairs GROUP BY 1), e AS (SELECT quantile_cont(x, 0.0) AS e0, quantile_cont(x, 0.2) AS e1, quantile_cont(x, 0.4) AS e2, quantile_cont(x, 0.6) AS e3, quantile_cont(x, 0.8) AS e4, quantile_cont(x, 1.0) AS e5 FROM f) SELECT feature_idx, CAST(b AS INTEGER) AS bin FROM f, e, range(5) r(b) WHERE x >= [e0, e1, e2, e3, e4, e5][b + 1] AND x < [e0, e1, e2, e3, e4, e5][b + 2] + 1e-9")
+@query(sql(*PAIRS) + ", f AS (SELECT feature_idx, log10(greatest(max(mf) / max(n), 1e-12)) AS x FROM pairs GROUP BY 1), e AS (SELECT quantile_cont(x, 0.0) AS e0, quantile_cont(x, 0.2) AS e1, quantile_cont(x, 0.4) AS e2, quantile_cont(x, 0.6) AS e3, quantile_cont(x, 0.8) AS e4, quantile_cont(x, 1.0) AS e5 FROM f) SELECT feature_idx, CAST(b AS INTEGER) AS bin FROM f, e, range(5) r(b) WHERE x >= [e0, e1, e2, e3, e4, e5][b + 1] AND x < [e0, e1, e2, e3, e4, e5][b + 2] + 1e-9")
 def rate_bins(spark: SparkSession, d: str) -> DataFrame:
     rates = _pairs(spark, d).groupBy("feature_idx").agg((F.max("mf") / F.max("n")).alias("firing_rate"))
     return C.rate_bins(rates).select("feature_idx", F.col("bin").cast("int").alias("bin"))
@@ -358,7 +358,7 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RATED = sql(*PAIRS) + """, rated AS (SELECT feature_idx, max(mf) / max(n) AS firing_rate, max(f1_dom) AS f1_dom, bool_or(rejected) AS rejected FROM pairs GROUP BY 1),
- lr AS (SELECT *, log10(firing_rate) AS x FROM rated), e AS (SELECT [quantile_cont(x, 0.0), quantile_cont(x, 0.2), quantile_cont(x, 0.4), quantile_cont(x, 0.6), quantile_cont(x, 0.8), quantile_cont(x, 1.0)] AS e FROM lr WHERE rejected),"""
+ lr AS (SELECT *, log10(greatest(firing_rate, 1e-12)) AS x FROM rated), e AS (SELECT [quantile_cont(x, 0.0), quantile_cont(x, 0.2), quantile_cont(x, 0.4), quantile_cont(x, 0.6), quantile_cont(x, 0.8), quantile_cont(x, 1.0)] AS e FROM lr WHERE rejected),"""
 
 
 @query(_RATED + f""" b AS (SELECT feature_idx, firing_rate, f1_dom, bin FROM lr, e, range(5) r(bin) WHERE rejected AND x >= e[bin + 1] AND x < e[bin + 2] + 1e-9),

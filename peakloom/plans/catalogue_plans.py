@@ -24,7 +24,7 @@ from .stages import FORMATS, summary_table
 
 # targets and plans -------------------------------------------------------------------------------------------------
 _EDGES = "[" + ", ".join(f"quantile_cont(x, {i / 5})" for i in range(6)) + "]"
-_PLAN = sql(*PAIRS) + f""", rates AS (SELECT feature_idx, log10(max(mf) / max(n)) AS x FROM pairs GROUP BY 1), rej AS (SELECT concept_idx, feature_idx, f1_dom, lift, x FROM pairs JOIN rates USING (feature_idx) WHERE rejected),
+_PLAN = sql(*PAIRS) + f""", rates AS (SELECT feature_idx, log10(greatest(max(mf) / max(n), 1e-12)) AS x FROM pairs GROUP BY 1), rej AS (SELECT concept_idx, feature_idx, f1_dom, lift, x FROM pairs JOIN rates USING (feature_idx) WHERE rejected),
  e AS (SELECT concept_idx, {_EDGES} AS e FROM rej GROUP BY 1), b AS (SELECT rej.concept_idx, feature_idx, f1_dom, bin FROM rej JOIN e ON e.concept_idx = rej.concept_idx CROSS JOIN range(5) r(bin) WHERE x >= e[bin + 1] AND x < e[bin + 2] + 1e-9),
  k AS (SELECT *, row_number() OVER (PARTITION BY concept_idx, bin ORDER BY -ln({lcg_sql("feature_idx", "bin", 0)}) / greatest(f1_dom, 1e-6), feature_idx) AS place FROM b), o AS (SELECT *, row_number() OVER (PARTITION BY concept_idx ORDER BY bin, place) AS i FROM k WHERE place <= 2),
  grp AS (SELECT DISTINCT concept_idx, feature_idx FROM o WHERE i <= 10),
@@ -198,9 +198,9 @@ def epoch_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 # interpretation ----------------------------------------------------------------------------------------------------
-_STRATA = sql(*PAIRS) + f""", {base._CONCEPTS}, st AS (SELECT feature_idx, max(f1_dom) AS f, count(CASE WHEN rejected AND feature_idx % 4 <> 3 THEN 1 END) AS k FROM pairs GROUP BY 1), ca AS (SELECT feature_idx, max(f1_dom) AS s FROM pairs WHERE feature_idx % 5 = 0 GROUP BY 1),
+_STRATA = sql(*PAIRS) + f""", {base._CONCEPTS}, st AS (SELECT feature_idx, max(f1_dom) AS f, max(mf) AS mf, count(CASE WHEN rejected AND feature_idx % 4 <> 3 THEN 1 END) AS k FROM pairs GROUP BY 1), ca AS (SELECT feature_idx, max(f1_dom) AS s FROM pairs WHERE feature_idx % 5 = 0 GROUP BY 1),
  a AS (SELECT feature_idx FROM ca ORDER BY s DESC, feature_idx LIMIT 3), b AS (SELECT feature_idx FROM st WHERE feature_idx NOT IN (SELECT feature_idx FROM a) AND k > 0 ORDER BY f DESC, feature_idx LIMIT 3),
- c AS (SELECT feature_idx FROM st WHERE feature_idx NOT IN (SELECT feature_idx FROM a) AND k = 0 ORDER BY {lcg_sql("feature_idx", 0)}, feature_idx LIMIT 3)"""
+ c AS (SELECT feature_idx FROM st WHERE feature_idx NOT IN (SELECT feature_idx FROM a) AND k = 0 AND mf > 0 ORDER BY {lcg_sql("feature_idx", 0)}, feature_idx LIMIT 3)"""
 
 
 def _strata_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

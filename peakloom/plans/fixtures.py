@@ -15,6 +15,8 @@ from .registry import bitmask
 PEPTIDES = ("YGPHTM(+15.99)AGDDPTK", "DTFNTSSTSN(+.98)STSSSSSNSK", "PEPTIDE", "AC(+57.02)DEK", "M(+15.99)R", "LVNELTEFAK", "Q(+.98)WERTYK", "ELVISLIVESKINGR", "SAMPLER", "NC(+57.02)M(+15.99)PDK", "GFWYR", "HHHHHHPEPTIDEPEPTIDEK")
 FX_CONCEPTS = ("mz_low", "mz_mid", "mz_high", "qty_high", "returned", "open", "discounted", "latent", "urgent")
 N = len(FX_CONCEPTS)
+#: Features of the made-up dictionary: 17 of them fire.
+N_FEATURES = 40
 KEY = ["spectrum_idx", "position"]
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
 
@@ -118,15 +120,15 @@ SQL: dict[str, str] = {
     "long_labels": "long_labels AS (SELECT spectrum_idx, position, CAST(i AS INTEGER) AS concept_idx, [c0, c1, c2, c3, c4, c5, c6, c7, c8][i + 1] AS v FROM labels_, range(9) r(i))",
     "features": """features AS (SELECT spectrum_idx, position, CAST(floor(l_extendedprice / 10000) AS INTEGER) AS feature_idx, l_extendedprice / CAST(1000 AS DOUBLE) AS activation FROM peaks
       UNION ALL SELECT spectrum_idx, position, CAST(20 + floor(l_quantity / 10) AS INTEGER), l_quantity FROM peaks)""",
-    "pairs": """mf AS (SELECT feature_idx, count(*) AS mf FROM features WHERE activation > 0 GROUP BY 1), mc AS (SELECT concept_idx, sum(v) AS mc, count(*) AS n FROM long_labels GROUP BY 1),
+    "pairs": f"""mf AS (SELECT CAST(id AS INTEGER) AS feature_idx, count(f.feature_idx) AS mf FROM range({N_FEATURES}) x(id) LEFT JOIN (SELECT feature_idx FROM features WHERE activation > 0) f ON f.feature_idx = id GROUP BY 1), mc AS (SELECT concept_idx, sum(v) AS mc, count(*) AS n FROM long_labels GROUP BY 1),
     n11 AS (SELECT f.feature_idx, l.concept_idx, sum(l.v) AS n11 FROM features f JOIN long_labels l USING (spectrum_idx, position) WHERE f.activation > 0 GROUP BY 1, 2),
-    base AS (SELECT feature_idx, concept_idx, CAST(n11 AS DOUBLE) AS n11, CAST(mf AS DOUBLE) AS mf, CAST(mc AS DOUBLE) AS mc, CAST(n AS DOUBLE) AS n FROM n11 JOIN mf USING (feature_idx) JOIN mc USING (concept_idx)),
+    base AS (SELECT feature_idx, concept_idx, CAST(coalesce(n11, 0) AS DOUBLE) AS n11, CAST(mf AS DOUBLE) AS mf, CAST(mc AS DOUBLE) AS mc, CAST(n AS DOUBLE) AS n FROM mf CROSS JOIN mc LEFT JOIN n11 USING (feature_idx, concept_idx)),
     cells AS (SELECT *, mf - n11 AS n10, mc - n11 AS n01, n - mf - mc + n11 AS n00 FROM base),
     m1 AS (SELECT *, n11 / greatest(mf, 1e-12) AS precision, n11 / greatest(mc, 1e-12) AS recall, n11 * n / greatest(mf * mc, 1e-12) AS lift,
       n * pow(n11 * n00 - n10 * n01, 2) / greatest((n11 + n10) * (n00 + n01) * (n11 + n01) * (n00 + n10), 1e-12) AS chi2,
       greatest(0, 1 - (n10 / greatest(n10 + n00, 1e-12)) / greatest(n11 / greatest(n11 + n01, 1e-12), 1e-12)) AS dominance FROM cells),
     m2 AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1, sqrt(greatest(chi2, 0) / 2) AS z, 1 / (1 + sqrt(greatest(chi2, 0) / 2) / 2) AS t FROM m1),
-    m3 AS (SELECT *, f1 * dominance AS f1_dom, t * exp(-z * z + (-1.26551223) + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))) AS p_value FROM m2),
+    m3 AS (SELECT *, f1 * dominance AS f1_dom, least(1, t * exp(-z * z + (-1.26551223) + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))) AS p_value FROM m2),
     bh AS (SELECT *, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS r, count(*) OVER () AS m FROM m3),
     pairs AS (SELECT *, coalesce(p_value <= (SELECT max(p_value) FROM bh WHERE p_value <= r / CAST(m AS DOUBLE) * CAST(0.05 AS DOUBLE)), false) AS rejected FROM bh)""",
     "dictionary": """means AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),

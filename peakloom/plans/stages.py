@@ -179,7 +179,7 @@ def evaluate(out: Artefacts, config: EvaluationConfig, model: ModelAdapter | Non
         if config.runs("3"):
             here.write_csv(top_tokens(features, config.top_tokens), "top_activating_tokens")
         if config.runs("4"):
-            pairs = _associate(here, features, out.read("labels"), config, concepts, report)
+            pairs = _associate(here, features, out.read("labels"), dictionary.w_enc.shape[1], config, concepts, report)
     elif any(config.runs(p) for p in ("8", "cross_layer", "cross_seed")):
         pairs = _cached_pairs(here if config.phase4_cache is None else Artefacts(spark, config.phase4_cache), out, config, concepts, report)
     if pairs is None and config.runs("3") and not config.runs("4") and any(config.runs(p) for p in ("8", "cross_layer", "cross_seed")):
@@ -204,8 +204,8 @@ def _features(out: Artefacts, layer: int, seed: int) -> DataFrame:
     return out.read(name)
 
 
-def _associate(here: Artefacts, features: DataFrame, labels: DataFrame, config: EvaluationConfig, concepts: DataFrame, report: dict) -> DataFrame:
-    here.write(associations(features, labels, len(CONCEPTS), TOKEN, config.q), "pairs")
+def _associate(here: Artefacts, features: DataFrame, labels: DataFrame, n_features: int, config: EvaluationConfig, concepts: DataFrame, report: dict) -> DataFrame:
+    here.write(associations(features, labels, n_features, len(CONCEPTS), TOKEN, config.q), "pairs")
     pairs = here.read("pairs")
     here.write_csv(association_rows(pairs, concepts), "feature_label_associations")
     here.write_csv(per_feature_stats(pairs, concepts), "per_feature_stats")

@@ -408,3 +408,37 @@ def test_nothing_but_llm_imports_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", path.read_text()), path
+
+
+def plain_family(fired, masks, n_features, n_concepts, q=0.05):
+    """Rejected pairs by sorting all p-values of the family; ``fired``: tokens of each feature."""
+    n, p = len(masks), {}
+    for f in range(n_features):
+        for c in range(n_concepts):
+            own = fired.get(f, [])
+            n11, mf, mc = sum(masks[t] >> c & 1 for t in own), len(own), sum(m >> c & 1 for m in masks)
+            n10, n01, n00 = mf - n11, mc - n11, n - mf - mc + n11
+            chi2 = n * (n11 * n00 - n10 * n01) ** 2 / max(mf * (n00 + n01) * mc * (n00 + n10), 1e-12)
+            p[f, c] = math.erfc(math.sqrt(chi2 / 2))
+    cut = max((x for i, x in enumerate(sorted(p.values()), 1) if x <= i / len(p) * q), default=-1)
+    return {k for k, x in p.items() if x <= cut}
+
+
+def test_features_that_never_fire_belong_to_the_family(spark):
+    """Six features that fire and 194 that do not: fewer pairs are rejected than among those that fire alone."""
+    masks = [t % 8 if t % 8 < 3 else 0 for t in range(400)]
+    concept = [[t for t in range(400) if masks[t] >> c & 1] for c in (0, 1)]
+    other = [[t for t in range(400) if not masks[t] >> c & 1] for c in (0, 1)]
+    shares = [(40, 4), (30, 6), (20, 8), (6, 14), (7, 18), (2, 12)]  # of each feature: tokens with its concept, and without
+    fired = {f: concept[f % 2][:a] + other[f % 2][:b] for f, (a, b) in enumerate(shares)}
+    features = spark.createDataFrame([(t, f, 1.0) for f, own in fired.items() for t in own] + [(5, 900, 1.0), (6, 3, 0.0)], "token int, feature_idx int, activation double")
+    labels = spark.createDataFrame(list(enumerate(masks)), "token int, concepts long")
+    rows = associations.associations(features, labels, 200, 2, ["token"]).collect()
+    assert len(rows) == 400
+    got = {(r["feature_idx"], r["concept_idx"]) for r in rows if r["rejected"]}
+    assert got == plain_family(fired, masks, 200, 2) and 0 < len(got) < len(plain_family(fired, masks, 6, 2))
+    dead = [r for r in rows if r["feature_idx"] >= 6]
+    assert all((r["mf"], r["n11"], r["p_value"], r["f1_dom"], r["lift"], r["rejected"]) == (0, 0, 1.0, 0.0, 0.0, False) for r in dead)
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "concept_idx int, concept string")
+    stats = {r["feature_idx"]: r for r in associations.per_feature_stats(spark.createDataFrame(rows), names).collect()}
+    assert sorted(stats) == list(range(200)) and (stats[199]["firing_rate"], stats[199]["best_concept"], stats[199]["n_significant_concepts"]) == (0.0, "a", 0)
