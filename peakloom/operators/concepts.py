@@ -98,23 +98,31 @@ def with_decile_threshold(peaks: DataFrame, keys: Sequence[str], intensity: str
     return peaks.withColumn("threshold", F.percentile(F.col(intensity), F.lit(0.9)).over(W.partitionBy(*keys)))
 
 
-def label_tokens(tokens: DataFrame, spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Annotated tokens (peaks and latent, see ``annotate``) with their concepts bitmask and compact metadata.
+def spectrum_mask(peptide: Column, charge: Column, mods: Column) -> Column:
+    """Bits of the concepts of a whole spectrum; ``mods``: array of (position, ptm)."""
+    ptms = F.array_distinct(F.filter(F.transform(mods, lambda m: m["ptm"]), lambda p: p.isNotNull()))
+    return bitmask(spectrum_flags(peptide, ptms, charge))
+
+
+def label_tokens(tokens: DataFrame, spectra: DataFrame | None, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Annotated tokens (peaks and latent) with their concepts bitmask and compact metadata, and ``more`` of their columns.
 
     ``tokens``: keys, position, mz, intensity, threshold, and the candidate columns, null for noise.
-    ``spectra``: keys, peptide, precursor_charge, mods (position, ptm).
+    ``spectra``: keys, peptide, precursor_charge, mods (position, ptm); none if the tokens carry peptide, mods and
+    spectrum_mask themselves, which saves the join.
     """
-    ptms = F.array_distinct(F.filter(F.transform("mods", lambda m: m["ptm"]), lambda p: p.isNotNull()))
-    whole = spectra.withColumn("spectrum_mask", bitmask(spectrum_flags(F.col("peptide"), ptms, F.col("precursor_charge")))).select(*keys, "peptide", "mods", "spectrum_mask")
     latent = F.col("position") == 0
     ion = F.when(latent, "latent").otherwise(F.coalesce("ion_type", F.lit("noise")))
     charge = F.when(latent, 0).otherwise(F.coalesce("fragment_charge", F.lit(1)))
     loss = F.when(latent, "").otherwise(F.coalesce("neutral_loss", F.lit("")))
-    rows = tokens.join(whole, list(keys)).withColumns({"ion": ion, "charge": charge, "loss": loss})
+    if spectra is not None:
+        whole = spectra.withColumn("spectrum_mask", spectrum_mask(F.col("peptide"), F.col("precursor_charge"), F.col("mods")))
+        tokens = tokens.join(whole.select(*keys, "peptide", "mods", "spectrum_mask"), list(keys))
+    rows = tokens.withColumns({"ion": ion, "charge": charge, "loss": loss})
     peak = peak_flags(*[F.col(c) for c in ("peptide", "mods", "ion", "ion_index", "internal_end", "residue", "charge", "loss", "mz", "intensity", "threshold")])
     own = F.when(latent, bitmask(latent_flags(F.col("peptide"), F.col("mods")))).otherwise(bitmask(peak))
     return rows.select(
-        *keys, "position", own.bitwiseOR(F.col("spectrum_mask")).alias("concepts"),
+        *keys, "position", *more, own.bitwiseOR(F.col("spectrum_mask")).alias("concepts"),
         encode(F.col("ion"), ION_TYPES).cast("tinyint").alias("ion_type"), F.least(F.coalesce("ion_index", F.lit(-1)), F.lit(INDEX_CAP)).cast("smallint").alias("ion_index"),
         F.least("charge", F.lit(CHARGE_CAP)).cast("tinyint").alias("fragment_charge"), encode(F.col("loss"), LOSS_TYPES).cast("tinyint").alias("neutral_loss"),
         F.col("mz").cast("float").alias("peak_mz"), F.col("intensity").cast("float").alias("peak_intensity"),
@@ -122,9 +130,9 @@ def label_tokens(tokens: DataFrame, spectra: DataFrame, keys: Sequence[str]) ->
 
 
 def annotate(spectra: DataFrame, peaks: DataFrame, keys: Sequence[str], tolerance: float = 20.0, mode: str = "ppm", series: str = "byIp", internal: bool = True) -> DataFrame:
-    """Tokens with their best fragment: the band join, the choice of a candidate, and noise for the rest.
+    """Tokens with their best fragment where peaks are rows of their own: band join, choice of a candidate, noise for the rest.
 
-    ``spectra``: keys, peptide, precursor_charge, mods with mass; ``peaks``: keys, position, mz, intensity.
+    ``matching.match_spectra`` does the same without a join where each spectrum holds its peaks. ``spectra``: keys, peptide, precursor_charge, mods with mass; ``peaks``: keys, position, mz, intensity.
     """
     from .fragments import CANDIDATE, band_join, best_candidates, theoretical_ions
     from .tokens import with_latent

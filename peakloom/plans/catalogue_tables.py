@@ -13,10 +13,11 @@ from ..operators import crosscheck as X
 from ..operators import dictionary as D
 from ..operators import statistics as S
 from ..operators import tokens as T
+from ..operators.matching import match_spectra
 from ..sources.artefacts import Artefacts, misaligned
 from ..sources.spectra import loader_mismatches, merge_splits, normalised, numbered_spectra
 from ..session import table
-from ..staging import shared_dir
+from ..staging import shared_dir, staged
 from ..streaming.chunks import label_sums, merged_label_sums, stream_chunks, write_increments
 from . import catalogue as base
 from . import fixtures as fx
@@ -336,12 +337,14 @@ _MATCHED = f"""WITH {fx.SQL["peaks"]}, {_THEORY},
 
 @query(_MATCHED)
 def annotated_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks matched with the fragments of their peptides within 2.5 Da, the best one of each, noise and latent rows beside."""
+    """Peaks matched with the fragments of their peptides within 2.5 Da, the best one of each, noise and latent rows beside.
+
+    Spectra with their peaks as arrays are written first, as a file of spectra holds them; from there on no row moves.
+    """
     P = base.P
     mass = F.element_at(F.create_map(*[F.lit(x) for k, (_, m) in PTMS.items() for x in (k, m)]), F.lit(0))
     rows = fx.fx_spectra(spark, d).withColumn("proforma", P.to_proforma(F.col("modified_sequence")))
     exact = F.transform(P.modifications(P.exact_mass(F.col("proforma"))), lambda m: F.struct(m["position"].alias("position"), F.coalesce(P.delta_mass(m["mod_name"]), mass).alias("mass")))
-    peaks = fx.fx_peaks(spark, d).select(*KEY, "mz", "intensity")
-    spectra = rows.select("spectrum_idx", P.bare_sequence(F.col("proforma")).alias("peptide"), "precursor_charge", exact.alias("mods")).join(peaks.select("spectrum_idx").distinct(), "spectrum_idx")
-    found = K.annotate(spectra, peaks, ["spectrum_idx"], 2.5, "Da", "by", False)
+    spectra = rows.select("spectrum_idx", P.bare_sequence(F.col("proforma")).alias("peptide"), "precursor_charge", exact.alias("mods")).join(_arrays(spark, d), "spectrum_idx")
+    found = match_spectra(staged(spectra, "spectra", "snappy"), ["spectrum_idx"], 2.5, "Da", "by", False)
     return found.select(*KEY, "ion_type", "ion_index", "fragment_charge", "neutral_loss")

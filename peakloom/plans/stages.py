@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import d
@@ -16,10 +17,11 @@ from ..functions.proforma import bare_sequence, delta_mass, exact_mass, modifica
 from ..operators.adapters import CompletionClient, ModelAdapter, capture_activations, capture_baseline, interpret, spectrum_losses
 from ..operators.associations import anchors, association_rows, associations, per_concept_top, per_family_top, per_feature_stats, restored, significant_totals, top_tokens
 from ..operators.causal import ablation_plan, ablation_rows, best_causal_record, cached_clean_ce, causal_reports, ce_alignment, correlated_masks, loss_recovered, mean_selectivity_z, null_test, numbered_sets, prevalence, prevalence_rows
-from ..operators.concepts import annotate, label_tokens, tracked_mods
+from ..operators.concepts import label_tokens, spectrum_mask, tracked_mods
 from ..operators.crosscheck import feature_correlation, match_table, mean_jaccard, missing_layers, seed_overlap, shared_sample, top_matches
 from ..operators.dictionary import encode_sparse, geometry, layer_mean, reconstruction, threshold_sweep
 from ..operators.interpretation import STRATA, add_global_top, concept_names, description_prompt, description_scores, example_rows, feature_scale, half, intensity_rank, median_by_stratum, nearest_peaks, parse_description, parse_predictions, prediction_prompt, results, sample_examples, select_strata
+from ..operators.matching import match_spectra
 from ..operators.statistics import base_rates, phi_matrix
 from ..operators.tokens import cap_peaks, capped, chunked, first_tokens, peak_rows, token_in_chunk
 from ..operators.training import TrainConfig, split_chunks, train
@@ -84,12 +86,13 @@ def label(out: Artefacts, tolerance: float = 20.0, mode: str = "ppm", series: st
     tokens = out.read("tokens")
     spectra = out.missing_chunks(out.read("spectra"), "labels")
     if spectra.limit(1).count():
-        own = out.missing_chunks(tokens, "labels")
         masses = F.transform(modifications(exact_mass(F.col("proforma"))), lambda m: F.struct(m["position"].alias("position"), F.coalesce(delta_mass(m["mod_name"]), d(0)).alias("mass")))
-        theory = spectra.select(*KEYS, "peptide", "precursor_charge", masses.alias("mods"))
-        names = spectra.select(*KEYS, "peptide", "precursor_charge", tracked_mods(F.col("modifications"), F.col("peptide"), ptm_table).alias("mods"))
-        found = annotate(theory, own.where("position > 0").select(*KEYS, "position", "mz", "intensity"), KEYS, tolerance, mode, series, internal)
-        out.write_chunks(label_tokens(found, names, KEYS).join(own.select(*KEYS, "position", "token_in_chunk", "global_spectrum"), [*KEYS, "position"]), "labels")
+        before = F.sum("n").over(W.partitionBy("chunk_idx").orderBy("spectrum_idx").rowsBetween(W.unboundedPreceding, -1))
+        rows = spectra.withColumns({"names": tracked_mods(F.col("modifications"), F.col("peptide"), ptm_table), "mods": masses, "n": 1 + F.coalesce(F.greatest(F.size(F.arrays_zip("mz_array", "intensity_array")), F.lit(0)), F.lit(0))})
+        rows = rows.withColumns({"spectrum_mask": spectrum_mask(F.col("peptide"), F.col("precursor_charge"), F.col("names")), "first_token": F.coalesce(before, F.lit(0)).cast("int")})
+        found = match_spectra(rows, KEYS, tolerance, mode, series, internal, ["global_spectrum", "first_token", "peptide", "names", "spectrum_mask"])
+        found = found.withColumnRenamed("names", "mods").withColumn("token_in_chunk", F.col("first_token") + F.col("position"))
+        out.write_chunks(label_tokens(found, None, KEYS, ["token_in_chunk", "global_spectrum"]), "labels")
     labels = out.read("labels")
     check_alignment(labels.select("chunk_idx"), tokens.select("chunk_idx"))
     rates = base_rates(labels, len(CONCEPTS)).join(F.broadcast(concept_table(labels.sparkSession)), "concept_idx")
