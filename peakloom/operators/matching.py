@@ -137,50 +137,51 @@ class Matcher:
         ``keys``: peptide, charge and mods of each spectrum; ``ends``: where its peaks end in ``mz``.
         """
         tables: list[Ions] = []
-        base: dict[tuple, int] = {}
-        size, start = 0, 0
-        found_peaks, found_ions = [], []
-        low, high = windows(mz, self.tolerance, self.mode)
-        usable = mz > 0 if self.mode == "ppm" else ~np.isnan(mz)
-        for key, end in zip(keys, ends.tolist(), strict=True):
-            own = self.ions(key) if end > start else None
-            if own is not None:
-                if key not in base:
-                    base[key], size = size, size + len(own.mz)
+        known: dict[tuple, int] = {}
+        sizes = np.diff(ends, prepend=0)
+        for key, n in zip(keys, sizes.tolist(), strict=True):
+            if n and key not in known:
+                own = self.ions(key)
+                known[key] = -1 if own is None else len(tables)
+                if own is not None:
                     tables.append(own)
-                first = np.searchsorted(own.mz, low[start:end], "left")
-                n = np.where(usable[start:end], np.searchsorted(own.mz, high[start:end], "right") - first, 0)
-                hit = np.flatnonzero(n > 0)
-                n, first = n[hit], first[hit]
-                if len(hit):
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found_peaks.append(np.repeat(hit + start, n))
-                    found_ions.append(np.repeat(first + base[key], n) + at)
-            start = end
         out = np.full(len(mz), -1, np.int64)
-        if found_peaks:
-            peak, ion = np.concatenate(found_peaks), np.concatenate(found_ions)
-            theory, group, tie = (np.concatenate([getattr(t, c) for t in tables])[ion] for c in ("mz", "group", "tie"))
-            near = within(mz[peak], theory, self.tolerance, self.mode)
-            peak, ion, theory, group, tie = peak[near], ion[near], theory[near], group[near], tie[near]
-            order = np.lexsort((tie, np.round(np.abs(mz[peak] - theory), 9), group, peak))
-            own, first = np.unique(peak[order], return_index=True)
-            out[own] = ion[order][first]
+        if not tables:
+            return out, tables
+        table = np.repeat(np.array([known.get(key, -1) for key in keys], np.int64), sizes)
+        theory, group, tie = (np.concatenate([getattr(t, c) for t in tables]) for c in ("mz", "group", "tie"))
+        # every table has a stretch of one axis to itself, so that one binary search serves all spectra
+        width = 2 * float(np.abs(theory).max()) + 10 + 2 * self.tolerance
+        axis = theory + np.repeat(np.arange(len(tables)), [len(t.mz) for t in tables]) * width
+        slack = 1e-9 + 4 * np.spacing(width * len(tables))
+        low, high = windows(mz, self.tolerance, self.mode)
+        usable = np.flatnonzero((table >= 0) & (mz > 0 if self.mode == "ppm" else ~np.isnan(mz)))
+        inside = lambda x: np.clip(x[usable], -width / 4, width * 0.7) + table[usable] * width
+        first = np.searchsorted(axis, inside(low) - slack, "left")
+        n = np.searchsorted(axis, inside(high) + slack, "right") - first
+        peak = np.repeat(usable, n)
+        ion = np.arange(len(peak)) + np.repeat(first - (np.cumsum(n) - n), n)
+        near = within(mz[peak], theory[ion], self.tolerance, self.mode)
+        peak, ion = peak[near], ion[near]
+        order = np.lexsort((tie[ion], np.round(np.abs(mz[peak] - theory[ion]), 9), group[ion], peak))
+        own, at = np.unique(peak[order], return_index=True)
+        out[own] = ion[order][at]
         return out, tables
 
 
 def upper_decile(intensity: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Interpolated 90th percentile of each spectrum's intensities (nulls, as NaN, left out); NaN without any."""
-    out, start = np.full(len(ends), np.nan), 0
-    for i, end in enumerate(ends.tolist()):
-        x = intensity[start:end]
-        x = np.sort(x[~np.isnan(x)])
-        if len(x):
-            at = (len(x) - 1) * 0.9
-            a, b = int(np.floor(at)), int(np.ceil(at))
-            out[i] = x[a] if a == b else (b - at) * x[a] + (at - a) * x[b]
-        start = end
-    return out
+    spectrum = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    real = ~np.isnan(intensity)
+    spectrum, values = spectrum[real], intensity[real]
+    values = values[np.lexsort((values, spectrum))]
+    n = np.bincount(spectrum, minlength=len(ends))
+    at = np.maximum(n - 1, 0) * 0.9
+    low, high, start = np.floor(at), np.ceil(at), np.cumsum(n) - n
+    if not len(values):
+        return np.full(len(ends), np.nan)
+    a, b = (values[np.minimum(start + x.astype(np.int64), len(values) - 1)] for x in (low, high))
+    return np.where(n == 0, np.nan, np.where(low == high, a, (high - at) * a + (at - low) * b))
 
 
 def _named(codes: np.ndarray, names: Sequence[str], none: np.ndarray) -> pa.Array:
