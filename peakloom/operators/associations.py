@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import d
 from ..plans.registry import has
+from ..sources.bucketed import co_located
 from ..staging import staged
 from .statistics import bh_reject, contingency_metrics
 
@@ -33,7 +34,7 @@ def contingency(features: DataFrame, labels: DataFrame, n_features: int, n_conce
     """
     fired = features.where((F.col("activation") > 0) & F.col("feature_idx").between(0, n_features - 1)).select(*keys, "feature_idx")
     every = features.sparkSession.range(n_features).select(F.col("id").cast(features.schema["feature_idx"].dataType).alias("feature_idx"), F.lit(0).cast("long").alias(mask), F.lit(0).alias("_hit"))
-    joined = fired.join(labels.select(*keys, mask), list(keys)).select("feature_idx", mask, F.lit(1).alias("_hit")).unionByName(every)
+    joined = co_located(fired, labels.select(*keys, mask), keys).select("feature_idx", mask, F.lit(1).alias("_hit")).unionByName(every)
     bits = [F.sum(F.when(has(F.col(mask), i), 1).otherwise(0)).alias(f"c{i}") for i in range(n_concepts)]
     counted = joined.groupBy("feature_idx").agg(F.sum("_hit").alias("mf"), *bits)
     pair = F.explode(F.array(*[F.struct(F.lit(i).alias("concept_idx"), F.col(f"c{i}").alias("n11")) for i in range(n_concepts)]))

@@ -15,6 +15,7 @@ from ..operators import statistics as S
 from ..operators import tokens as T
 from ..operators.matching import match_spectra
 from ..sources.artefacts import Artefacts, misaligned
+from ..sources.bucketed import co_located, read_bucketed, write_bucketed
 from ..sources.spectra import loader_mismatches, merge_splits, normalised, numbered_spectra
 from ..session import table
 from ..staging import shared_dir, staged
@@ -23,7 +24,7 @@ from . import catalogue as base
 from . import fixtures as fx
 from .fixtures import KEY, LABELS, N, PAIRS, sql
 from .registered import oracle_sql, query, r6
-from .registry import CONCEPTS, COVERED, ION_TYPES, LOSS_TYPES, PTMS, concept_table
+from .registry import CONCEPTS, COVERED, ION_TYPES, LOSS_TYPES, PTMS, concept_table, has
 
 
 def _run(spark: SparkSession) -> Artefacts:
@@ -122,6 +123,21 @@ def extraction_chunks(spark: SparkSession, d: str) -> DataFrame:
     return out.read("chunks").select("chunk_idx", "n_tokens", "n_spectra")
 
 
+@query(sql(*LABELS, "features") + """SELECT t.spectrum_idx, t.position, round(t.mz, 6) AS mz, CAST(l.c3 AS BOOLEAN) AS qty_high, count(f.feature_idx) AS n_features, round(coalesce(sum(f.activation), 0), 6) AS total
+ FROM tokens t JOIN labels_ l USING (spectrum_idx, position) LEFT JOIN features f USING (spectrum_idx, position) GROUP BY ALL""")
+def co_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, labels and features stored in equal buckets of their keys, then joined and grouped where they lie."""
+    tables = {"tokens": fx.fx_tokens(spark, d).select(*KEY, "mz"), "labels": fx.fx_labels(spark, d), "features": fx.fx_features(spark, d)}
+    read = {}
+    for name, rows in tables.items():
+        path = shared_dir(spark, name)
+        write_bucketed(rows, path, KEY, 8)
+        read[name] = read_bucketed(spark, path)
+    rows = co_located(co_located(read["tokens"], read["labels"], KEY), read["features"], KEY, "left")
+    found = rows.groupBy(*KEY, "mz", "concepts").agg(F.count("feature_idx").alias("n_features"), F.coalesce(F.sum("activation"), F.lit(0.0)).alias("total"))
+    return found.select(*KEY, r6("mz"), has(F.col("concepts"), 3).alias("qty_high"), "n_features", r6("total"))
+
+
 @query("""WITH a AS (SELECT CAST(floor(o_orderkey / 100) AS INTEGER) AS chunk_idx, count(*) AS n_left FROM orders WHERE o_orderkey % 500 >= 100 GROUP BY 1), b AS (SELECT CAST(floor(o_orderkey / 100) AS INTEGER) AS chunk_idx, count(*) AS n_right FROM orders WHERE o_orderkey % 300 <> 7 AND o_orderkey % 700 < 600 GROUP BY 1)
  SELECT coalesce(a.chunk_idx, b.chunk_idx) AS chunk_idx, n_left, n_right FROM a FULL OUTER JOIN b ON a.chunk_idx = b.chunk_idx WHERE n_left IS DISTINCT FROM n_right""")
 def misaligned_chunks(spark: SparkSession, d: str) -> DataFrame:

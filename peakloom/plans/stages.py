@@ -27,12 +27,14 @@ from ..operators.tokens import cap_peaks, capped, chunked, first_tokens, peak_ro
 from ..operators.training import TrainConfig, split_chunks, train
 from ..plans.registry import CONCEPTS, FAMILIES, ION_TYPES, LOSS_TYPES, concept_table, decode
 from ..sources.artefacts import Artefacts, check_alignment
+from ..sources.bucketed import buckets_for, drop_bucketed, is_bucketed, read_bucketed, write_bucketed
 from ..sources.spectra import check_loader, normalised, numbered_spectra
 from ..staging import staged
 
 LOG = logging.getLogger("peakloom")
 KEYS = ["chunk_idx", "spectrum_idx"]
 TOKEN = ["chunk_idx", "token_in_chunk"]
+BY_TOKEN = "labels_by_token"
 PHASES = ("1", "2", "3", "4", "5", "6", "7", "8", "cross_layer", "cross_seed")
 
 
@@ -92,6 +94,7 @@ def label(out: Artefacts, tolerance: float = 20.0, mode: str = "ppm", series: st
         rows = rows.withColumns({"spectrum_mask": spectrum_mask(F.col("peptide"), F.col("precursor_charge"), F.col("names")), "first_token": F.coalesce(before, F.lit(0)).cast("int")})
         found = match_spectra(rows, KEYS, tolerance, mode, series, internal, ["global_spectrum", "first_token", "peptide", "names", "spectrum_mask"])
         found = found.withColumnRenamed("names", "mods").withColumn("token_in_chunk", F.col("first_token") + F.col("position"))
+        drop_bucketed(out.spark, out.path(BY_TOKEN))
         out.write_chunks(label_tokens(found, None, KEYS, ["token_in_chunk", "global_spectrum"]), "labels")
     labels = out.read("labels")
     check_alignment(labels.select("chunk_idx"), tokens.select("chunk_idx"))
@@ -182,7 +185,7 @@ def evaluate(out: Artefacts, config: EvaluationConfig, model: ModelAdapter | Non
         if config.runs("3"):
             here.write_csv(top_tokens(features, config.top_tokens), "top_activating_tokens")
         if config.runs("4"):
-            pairs = _associate(here, features, out.read("labels"), dictionary.w_enc.shape[1], config, concepts, report)
+            pairs = _associate(here, features, _labels_by_token(out), dictionary.w_enc.shape[1], config, concepts, report)
     elif any(config.runs(p) for p in ("8", "cross_layer", "cross_seed")):
         pairs = _cached_pairs(here if config.phase4_cache is None else Artefacts(spark, config.phase4_cache), out, config, concepts, report)
     if pairs is None and config.runs("3") and not config.runs("4") and any(config.runs(p) for p in ("8", "cross_layer", "cross_seed")):
@@ -200,11 +203,20 @@ def evaluate(out: Artefacts, config: EvaluationConfig, model: ModelAdapter | Non
 
 
 def _features(out: Artefacts, layer: int, seed: int) -> DataFrame:
-    """Sparse features of a layer under its dictionary, encoded once."""
-    name = f"layer_{layer}/seed_{seed}/features"
-    if not out.done(name):
-        out.write(encode_sparse(out.layer(layer), out.load_dictionary(f"dictionary_L{layer}_s{seed}"), TOKEN), name)
-    return out.read(name)
+    """Sparse features of a layer under its dictionary, encoded once, in buckets of their tokens."""
+    path = out.path(f"layer_{layer}/seed_{seed}/features")
+    if not is_bucketed(out.spark, path):
+        rows = encode_sparse(out.layer(layer), out.load_dictionary(f"dictionary_L{layer}_s{seed}"), TOKEN)
+        write_bucketed(rows, path, TOKEN, buckets_for(out.read("tokens").count()))
+    return read_bucketed(out.spark, path)
+
+
+def _labels_by_token(out: Artefacts) -> DataFrame:
+    """chunk_idx, token_in_chunk, concepts of all tokens, in the same buckets as the features of every layer."""
+    path = out.path(BY_TOKEN)
+    if not is_bucketed(out.spark, path):
+        write_bucketed(out.read("labels").select(*TOKEN, "concepts"), path, TOKEN, buckets_for(out.read("tokens").count()))
+    return read_bucketed(out.spark, path)
 
 
 def _associate(here: Artefacts, features: DataFrame, labels: DataFrame, n_features: int, config: EvaluationConfig, concepts: DataFrame, report: dict) -> DataFrame:
