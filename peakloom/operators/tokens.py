@@ -16,12 +16,8 @@ from ..staging import staged
 CHUNK = 1024
 
 
-def global_index(df: DataFrame, order: Sequence[str], name: str = "global_spectrum") -> DataFrame:
-    """Number the rows 0.. in ``order`` without one task seeing all of them.
-
-    Rows are range-partitioned and sorted, numbered within their partition and written; only a count for each
-    partition comes to the driver. Ties are numbered in any order, so ``order`` should be total.
-    """
+def locally_numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in range partitions and sorted by ``order``, with _part and _local: the partition and the place in it."""
     schema = StructType([*df.schema.fields, StructField("_part", IntegerType()), StructField("_local", LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +30,16 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "global_spectr
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=schema.names)
 
     ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    rows = staged(ranged.mapInArrow(number, schema), "indexed")
+    return ranged.mapInArrow(number, schema)
+
+
+def global_index(df: DataFrame, order: Sequence[str], name: str = "global_spectrum") -> DataFrame:
+    """Number the rows 0.. in ``order`` without one task seeing all of them.
+
+    Rows are range-partitioned and sorted, numbered within their partition and written; only a count for each
+    partition comes to the driver. Ties are numbered in any order, so ``order`` should be total.
+    """
+    rows = staged(locally_numbered(df, order), "indexed")
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     base, total = [0] * (max(counts, default=-1) + 1), 0
     for part in range(len(base)):

@@ -1,16 +1,18 @@
 """Training a sparse dictionary: batch top-k with an auxiliary loss on dead features, in numpy.
 
-An epoch's order is a hash of token, epoch and seed, by which the activations are dealt to parts and sorted in the
-tasks and written. Each part is one task that takes its batches in that order, with the weights and the optimiser's
-state of the last round; at the round's end the parts' weights and moments are averaged (local steps with averaging),
-again in tasks. One part is plain sequential training. The driver holds the weights, whose size is the dictionary's,
-and never an activation. Gradients are written out by hand; this does not rival a GPU.
+An epoch's order is a hash of token, epoch and seed, in which the activations are numbered and written. One part is
+plain sequential training: a task takes the batches of a stretch of steps in that order. With more parts as many tasks
+take every step together, each a share of the batch (see ``steps``), which gives the weights of one part. ``averaged``
+trades that for fewer exchanges: each part is one task that takes batches of its own for an epoch, then the parts'
+weights and moments are averaged. The driver holds the weights, whose size is the dictionary's, and never an
+activation. Gradients are written out by hand; this does not rival a GPU.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -22,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import delete_path, staged_parts
-from .dictionary import WEIGHT_BYTES, Dictionary, matrix
+from .dictionary import WEIGHT_BYTES, Dictionary, matrix, reconstruction
+from .steps import PIECES, NumberedEpoch, in_pieces, joined, numbered_epoch, synchronous_gradients
 
 
 @dataclass
@@ -46,10 +49,14 @@ class TrainConfig:
     tangent: bool = True
     across_chunks: bool = True
     parts: int = 1
+    averaged: bool = False
+    log_every: int = 100
+    val_every: int = 1000
+    quick_batches: int = 8
     seed: int = 0
 
     def validate(self) -> None:
-        if min(self.k, self.batch, self.epochs, self.parts) < 1 or not 0 < self.val_fraction < 1:
+        if min(self.k, self.batch, self.epochs, self.parts, self.log_every, self.val_every) < 1 or not 0 < self.val_fraction < 1:
             raise ValueError("k, batch, epochs and parts must be positive, val_fraction between 0 and 1")
 
 
@@ -87,13 +94,21 @@ def learning_rate(step: int, config: TrainConfig, total: int) -> float:
     return low + 0.5 * (config.lr - low) * (1 + math.cos(math.pi * p))
 
 
-def gradients(model: Dictionary, x: np.ndarray, config: TrainConfig) -> tuple[dict[str, np.ndarray], dict]:
-    """Gradients of mean squared error plus the auxiliary term, whose target is the residual as a constant."""
+def gradients(model: Dictionary, x: np.ndarray, config: TrainConfig, edge: float | None = None, rows: int | None = None) -> tuple[dict[str, np.ndarray], dict]:
+    """Gradients of mean squared error plus the auxiliary term, whose target is the residual as a constant.
+
+    For a share of a batch, ``rows`` is the batch's size and ``edge`` its boundary (None: all stay); the gradients and
+    losses of all shares add up to those of the batch.
+    """
     h = np.maximum(model.preactivations(x), 0)
-    mask, edge = batch_topk(h, config.k)
+    if rows is None:
+        mask, edge = batch_topk(h, config.k)
+    else:
+        mask = np.ones_like(h, bool) if edge is None else h >= edge
     f = h * mask
     error = model.decode(f) - x
-    scale = 2 / x.size
+    size = x.size if rows is None else rows * x.shape[1]
+    scale = 2 / size
     aux_mask = aux_topk(h, mask, config.k_aux)
     g = h * aux_mask
     aux_error = model.decode(g, bias=False) + error  # decode(g) - (x - decode(f))
@@ -101,7 +116,7 @@ def gradients(model: Dictionary, x: np.ndarray, config: TrainConfig) -> tuple[di
     back_aux = config.alpha * scale * aux_error
     df = (back @ model.w_dec.T) * mask * (h > 0) + (back_aux @ model.w_dec.T) * aux_mask * (h > 0)
     grads = {"w_dec": f.T @ back + g.T @ back_aux, "b_dec": back.sum(0) - (df @ model.w_enc.T).sum(0), "w_enc": (x - model.b_dec).T @ df, "b_enc": df.sum(0)}
-    return grads, {"recon_loss": float((error**2).mean()), "aux_loss": float((aux_error**2).mean()), "edge": edge, "fired": (f > 0).sum(0)}
+    return grads, {"recon_loss": float((error**2).sum() / size), "aux_loss": float((aux_error**2).sum() / size), "edge": edge, "fired": (f > 0).sum(0)}
 
 
 class AdamW:
@@ -171,9 +186,12 @@ class Trainer:
     rate: float = 0.0
 
     def step(self, x: np.ndarray) -> None:
+        self.apply(*gradients(self.model, x, self.config))
+
+    def apply(self, grads: dict[str, np.ndarray], seen: dict) -> None:
+        """Take a step with the gradients of a batch."""
         step = self.optimiser.step
         self.rate = learning_rate(step, self.config, self.total)
-        grads, seen = gradients(self.model, x, self.config)
         self.optimiser.update(self.model, grads, self.rate)
         self.model.firing_count = self.model.firing_count + seen["fired"]
         if seen["edge"] is not None:
@@ -190,45 +208,40 @@ class Trainer:
 
 #: In the order of the dictionary's fields.
 WEIGHTS = ("w_enc", "b_enc", "w_dec", "b_dec")
-#: Numbers of one array that travel in a row.
-PIECE = 1 << 18
 
 
-def batches_of(arrays: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
-    """Rows of a stream of matrices in batches of ``size``; the last one may be shorter."""
+def batches_of(arrays: Iterator[np.ndarray], size: int, sizes: Sequence[int] = ()) -> Iterator[np.ndarray]:
+    """Rows of a stream of matrices in batches of ``sizes``, then of ``size``; the last one may be shorter."""
     held: list[np.ndarray] = []
-    n = 0
+    wanted = iter(sizes)
+    n, size_now = 0, next(wanted, size)
     for x in arrays:
         while len(x):
-            part = x[: size - n]
+            part = x[: size_now - n]
             held.append(part)
             n, x = n + len(part), x[len(part) :]
-            if n == size:
+            if n == size_now:
                 yield np.concatenate(held)
-                held, n = [], 0
+                held, n, size_now = [], 0, next(wanted, size)
     if held:
         yield np.concatenate(held)
 
 
-def run_round(epoch: DataFrame, trainer: Trainer) -> Trainer:
-    """One pass over an ordered epoch: a task for each part, then the mean of their states."""
-    config, spark = trainer.config, epoch.sparkSession
+def run_round(parts: Sequence[DataFrame], trainer: Trainer, sizes: Sequence[int] = ()) -> Trainer:
+    """One pass over tables of one partition each, in their order, by a task each; then the mean of their states."""
+    config, spark = trainer.config, parts[0].sparkSession
     start = spark.sparkContext.broadcast(pickle.dumps(Trainer(trainer.model, config, trainer.total, trainer.optimiser)))
 
     def train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Trainer = pickle.loads(start.value)
         own.model.firing_count = np.zeros(config.d_dict, np.int64)
         tokens = 0
-        for x in batches_of((matrix(b.column("activation")) for b in batches if b.num_rows), config.batch):
+        for x in batches_of((matrix(b.column("activation")) for b in batches if b.num_rows), config.batch, sizes):
             tokens += len(x)
             own.step(x)
         means = np.mean(own.losses, axis=0) if own.losses else np.zeros(2)
         scalars = np.array([own.optimiser.step, own.model.threshold, *means, own.rate])
-        for name, values in {**own.arrays(), "fired": own.model.firing_count.astype(float), "scalars": scalars}.items():
-            flat = np.ascontiguousarray(values, "<f8").ravel()
-            for at in range(0, len(flat), PIECE):
-                row = [[name], [at], [tokens], [flat[at : at + PIECE].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["name", "at", "tokens", "piece"])
+        yield from in_pieces({**own.arrays(), "fired": own.model.firing_count.astype(float), "scalars": scalars}, tokens)
 
     def average(group: pa.Table) -> pa.Table:
         """Means weighted by tokens; firing counts are added up, and the step is the largest."""
@@ -240,10 +253,10 @@ def run_round(epoch: DataFrame, trainer: Trainer) -> Trainer:
             out[0] = stack[:, 0].max()
         return pa.table([pa.array([name]), group.column("at")[:1].combine_chunks(), pa.array([out.tobytes()], pa.binary())], names=["name", "at", "piece"])
 
-    one_each = [epoch.where(F.col("part") == p).select("activation").coalesce(1).mapInArrow(train_part, "name string, at long, tokens long, piece binary") for p in range(config.parts)]
+    one_each = [p.select("activation").mapInArrow(train_part, PIECES) for p in parts]
     merged = reduce(DataFrame.unionAll, one_each).groupBy("name", "at").applyInArrow(average, "name string, at long, piece binary").orderBy("name", "at").collect()
     start.destroy()
-    whole = {name: np.concatenate([np.frombuffer(r["piece"], "<f8") for r in merged if r["name"] == name]) for name in dict.fromkeys(r["name"] for r in merged)}
+    whole = joined(merged)
     shape = {n: getattr(trainer.model, n).shape for n in WEIGHTS}
     step, threshold, recon, aux, rate = whole["scalars"]
     model = Dictionary(*(whole[n].reshape(shape[n]) for n in WEIGHTS), float(threshold), whole["fired"].astype(np.int64), trainer.model.info)
@@ -253,6 +266,43 @@ def run_round(epoch: DataFrame, trainer: Trainer) -> Trainer:
     return Trainer(model, config, trainer.total, optimiser, [(float(recon), float(aux))], float(rate))
 
 
+def synchronous_step(epoch: NumberedEpoch, at: int, trainer: Trainer) -> None:
+    """One step of the trainer with the gradient of a whole batch, made by ``config.parts`` tasks together."""
+    config, (first, last) = trainer.config, epoch.bounds[at]
+
+    def local(model: Dictionary, x: np.ndarray, edge: float | None, rows: int) -> dict[str, np.ndarray]:
+        grads, seen = gradients(model, x, config, edge, rows)
+        scalars = np.array([seen["recon_loss"], seen["aux_loss"]])
+        # the boundary is the same in all tasks that have rows; the one with the batch's mean of it takes part by its share
+        return {**grads, "scalars": scalars, "fired": seen["fired"].astype(float), "edge": np.array([0.0 if edge is None else edge * len(x) / rows, float(edge is not None) * len(x) / rows])}
+
+    found = synchronous_gradients(epoch.between(first, last), trainer.model, last - first, config.parts, config.k, local)
+    grads = {n: found[n].reshape(getattr(trainer.model, n).shape) for n in WEIGHTS}
+    edge = float(found["edge"][0]) if found["edge"][1] > 0.5 else None
+    trainer.apply(grads, {"recon_loss": float(found["scalars"][0]), "aux_loss": float(found["scalars"][1]), "edge": edge, "fired": found["fired"].astype(np.int64)})
+
+
+def run_steps(epoch: NumberedEpoch, first: int, last: int, trainer: Trainer) -> Trainer:
+    """The steps ``first`` to ``last`` (without it) of an epoch, in order; firing counts go on from the trainer's."""
+    before = trainer.model.firing_count
+    if trainer.config.parts > 1:
+        trainer.losses = []
+        for at in range(first, last):
+            synchronous_step(epoch, at, trainer)
+        return trainer
+    bounds = epoch.bounds[first:last]
+    rows = epoch.between(bounds[0][0], bounds[-1][1]).coalesce(1).sortWithinPartitions("rank")
+    trainer = run_round([rows], trainer, [b - a for a, b in bounds])
+    trainer.model.firing_count = trainer.model.firing_count + before
+    return trainer
+
+
+def quick_sample(val: DataFrame, config: TrainConfig, key: str = "token_id") -> DataFrame:
+    """About ``quick_batches`` batches of the held-out tokens, the same at every validation."""
+    share = min(1.0, config.quick_batches * config.batch / max(val.count(), 1))
+    return val.where(F.pmod(F.xxhash64(key, F.lit(-3), F.lit(config.seed)), F.lit(1 << 30)) / (1 << 30) < share)
+
+
 def calibrate(model: Dictionary, activations: DataFrame, config: TrainConfig, n: int, key: str = "token_id", vector: str = "activation") -> float:
     """Threshold: mean over some batches of the smallest kept preactivation.
 
@@ -285,7 +335,7 @@ def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = N
     else:
         counts = [r["n"] for r in activations.groupBy("chunk_idx").agg(F.count("*").alias("n")).collect()]
     n, log = sum(counts), []
-    total = max(1, -(-steps_per_epoch(counts, config.batch, config.across_chunks) // config.parts)) * config.epochs
+    total = max(1, -(-steps_per_epoch(counts, config.batch, config.across_chunks) // (config.parts if config.averaged else 1))) * config.epochs
     if 16 * first[0] * config.d_dict > WEIGHT_BYTES:
         raise ValueError(f"the dictionary would take {16 * first[0] * config.d_dict} bytes")
     trainer = Trainer(init(first[0], config), config, total, AdamW(config))
@@ -294,20 +344,43 @@ def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = N
         log.append(row)
         record(row)
 
+    began = time.time()
+    sample = None if val is None else quick_sample(val, config)
+
+    def validation() -> dict:
+        """Of the sample, under the running threshold."""
+        row = reconstruction(sample, trainer.model).drop("firing_count").first() if sample is not None else None
+        return {f"val_{c}": row[c] for c in ("fve_uncentered", "fve_overall", "l0_mean", "strict_dead_pct")} if row else {}
+
     for epoch in range(config.epochs):
-        rows, path = ordered_epoch(activations, config, epoch)
-        trainer = run_round(rows, trainer)
-        delete_path(activations.sparkSession, path)
-        recon, aux = trainer.losses[0]
-        say({"epoch": epoch, "step": trainer.optimiser.step, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "dead": int((trainer.model.firing_count < config.dead_after).sum())})
+        trainer.model.firing_count = np.zeros(config.d_dict, np.int64)
+        sums, done = np.zeros(2), 0
+        if config.averaged:
+            rows, path = ordered_epoch(activations, config, epoch)
+            trainer = run_round([rows.where(F.col("part") == p).coalesce(1) for p in range(config.parts)], trainer)
+            delete_path(activations.sparkSession, path)
+            sums, done = np.array(trainer.losses[0]), 1
+        else:
+            numbered = numbered_epoch(activations, config.batch, epoch, config.seed, config.across_chunks)
+            steps = len(numbered.bounds)
+            while done < steps:
+                stop = min(steps, *[(trainer.optimiser.step // every + 1) * every - trainer.optimiser.step + done for every in (config.log_every, config.val_every)])
+                trainer = run_steps(numbered, done, stop, trainer)
+                recon, aux = np.mean(trainer.losses, axis=0)
+                sums += np.array([recon, aux]) * (stop - done)
+                done, at = stop, trainer.optimiser.step
+                if at % config.log_every == 0 or at % config.val_every == 0:
+                    extra = validation() if at % config.val_every == 0 else {}
+                    say({"at_step": at, "in_epoch": epoch, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "elapsed_s": time.time() - began, **extra})
+            numbered.drop()
+        recon, aux = sums / max(done, 1)
+        say({"epoch": epoch, "step": trainer.optimiser.step, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "dead": int((trainer.model.firing_count < config.dead_after).sum()), "elapsed_s": time.time() - began, **validation()})
     model = trainer.model
     model.threshold = calibrate(model, activations, config, n)
     norms = np.linalg.norm(model.w_dec, axis=1)
     if np.abs(norms - 1).max() > 1e-3:
         raise ValueError("decoder rows lost their unit length")
     if val is not None:
-        from .dictionary import reconstruction
-
         row = reconstruction(val, model).drop("firing_count").first()
         say({"validation": row.asDict() if row else None})
     return model, log

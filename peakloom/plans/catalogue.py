@@ -508,7 +508,8 @@ def effective_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def train_step(spark: SparkSession, d: str) -> DataFrame:
-    config = R.TrainConfig(d_dict=16, k=4, k_aux=4, epochs=1, batch=256, warmup=2, lr=1e-2)
+    """An epoch in which two tasks take every step together."""
+    config = R.TrainConfig(d_dict=16, k=4, k_aux=4, epochs=1, batch=256, warmup=2, lr=1e-2, parts=2)
     _, log = R.train(fx.fx_activations(spark, d), config)
     return spark.createDataFrame([(x["epoch"], x["step"], x["recon_loss"], x["dead"]) for x in log if "epoch" in x], "epoch int, step int, recon_loss double, dead int")
 

@@ -140,7 +140,7 @@ def test_a_round_in_a_task_equals_the_same_steps_in_memory(spark, across):
     config = training.TrainConfig(d_dict=9, k=2, k_aux=2, batch=48, warmup=2, lr=1e-2, across_chunks=across)
     start = lambda: training.Trainer(training.init(6, config), config, 8, training.AdamW(config))
     rows, _ = training.ordered_epoch(df, config, 0)
-    got = training.run_round(rows, start())
+    got = training.run_round([rows.coalesce(1)], start())
     x = np.array([r["activation"] for r in rows.coalesce(1).collect()], float)
     own = start()
     own.model.firing_count = np.zeros(9, np.int64)
@@ -159,7 +159,7 @@ def test_parts_are_averaged_and_train(spark):
     x = rng.random((900, 6)) * (rng.random((900, 6)) < 0.3) @ basis
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "token_id long, activation array<double>")
     seen = []
-    config = training.TrainConfig(d_dict=12, k=3, k_aux=3, epochs=5, batch=64, warmup=4, lr=2e-2, parts=3)
+    config = training.TrainConfig(d_dict=12, k=3, k_aux=3, epochs=5, batch=64, warmup=4, lr=2e-2, parts=3, averaged=True)
     model, log = training.train(df, config, record=seen.append)
     assert seen == log and log[-1]["recon_loss"] < 0.7 * log[0]["recon_loss"]
     h = np.maximum(model.preactivations(x.astype(np.float32).astype(float)), 0)
