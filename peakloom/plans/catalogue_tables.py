@@ -20,6 +20,7 @@ from ..sources.spectra import loader_mismatches, merge_splits, normalised, numbe
 from ..session import table
 from ..staging import shared_dir, staged
 from ..streaming.chunks import label_sums, merged_label_sums, stream_chunks, write_increments
+from ..streaming.state import contingency_of, keep_states, labelled, last_states, top_tokens_of
 from . import catalogue as base
 from . import fixtures as fx
 from .fixtures import KEY, LABELS, N, PAIRS, sql
@@ -263,6 +264,32 @@ def streamed_sums(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("n", each.alias("x")).select("x.concept_idx", F.col("x.marginal").cast("long").alias("marginal"), F.col("n").cast("long").alias("n"))
 
 
+def _kept_states(spark: SparkSession, d: str) -> DataFrame:
+    """Features and labels as a stream of chunks, stopped after one micro-batch and started again on the rest."""
+    source, target, progress = (shared_dir(spark, n) for n in ("stream", "states", "progress"))
+    chunk = F.floor(F.col("spectrum_idx") / 4096).cast("int").alias("chunk_idx")
+    token = (F.col("spectrum_idx") * 100 + F.col("position")).alias("token_in_chunk")
+    rows = labelled(fx.fx_features(spark, d).select(chunk, token, "feature_idx", "activation"), fx.fx_labels(spark, d).select(chunk, token, "concepts")).withColumn("half", F.col("chunk_idx") % 2)
+    rows = staged(rows, "labelled")
+    schema = rows.drop("half").schema
+    for half in (0, 1):
+        rows.where(F.col("half") == half).drop("half").coalesce(3).write.mode("append").parquet(source)
+        keep_states(stream_chunks(spark, source, schema, 2), target, progress, N).awaitTermination()
+    return last_states(spark, target)
+
+
+@query(sql("peaks", "features") + ", r AS (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY activation DESC, CAST(floor(spectrum_idx / 4096) AS INTEGER), spectrum_idx * 100 + position) - 1 AS rank FROM features) SELECT feature_idx, CAST(rank AS INTEGER) AS rank, round(activation, 6) AS activation, spectrum_idx * 100 + position AS token_in_chunk FROM r WHERE rank < 20")
+def streamed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest tokens of each feature, kept as chunks arrive, over a restart."""
+    return top_tokens_of(_kept_states(spark, d)).select("feature_idx", "rank", r6("activation"), "token_in_chunk")
+
+
+@query(oracle_sql()["contingency"])
+def streamed_contingency(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the whole family of features and concepts, kept as chunks arrive, over a restart."""
+    return contingency_of(_kept_states(spark, d), fx.N_FEATURES)
+
+
 # notation ----------------------------------------------------------------------------------------------------------
 _ION = "CASE CAST(o_orderkey % 6 AS INTEGER) WHEN 0 THEN 'b' || CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'z' || CAST(o_custkey AS VARCHAR) WHEN 2 THEN 'I' || substr('ACDEFGHIKL', CAST(o_custkey % 10 AS INTEGER) + 1, 1) WHEN 3 THEN 'm' || CAST(o_custkey AS VARCHAR) || ':' || CAST(o_custkey + 2 AS VARCHAR) WHEN 4 THEN 'p' ELSE 'q' || CAST(o_custkey AS VARCHAR) END"
 
