@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import d, dot
+from ..staging import staged
 
 WEIGHT_BYTES = 1 << 30
 #: Groups in which the sums of tasks meet first.
 FAN = 64
+#: Features of a dictionary that is joined in column expressions.
+FEW = 256
 MULTIPLIERS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)
 
 
@@ -44,7 +47,9 @@ class Dictionary:
         return features @ self.w_dec + (self.b_dec if bias else 0.0)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, self.w_enc[:, i].tolist(), float(self.b_enc[i]), self.w_dec[i].tolist()) for i in range(self.w_dec.shape[0])]
+        n = self.w_dec.shape[0]
+        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x, float).ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+        rows = pa.table({"feature_idx": pa.array(np.arange(n, dtype=np.int32)), "w_enc": listed(self.w_enc.T), "b_enc": pa.array(self.b_enc.astype(float)), "w_dec": listed(self.w_dec)})
         return spark.createDataFrame(rows, "feature_idx int, w_enc array<double>, b_enc double, w_dec array<double>")
 
 
@@ -53,9 +58,9 @@ def from_table(rows: DataFrame, threshold: float, b_dec: np.ndarray | None = Non
     size = rows.agg(F.sum(F.size("w_enc") + F.size("w_dec"))).first()[0] or 0
     if 8 * size > WEIGHT_BYTES:
         raise ValueError(f"the dictionary takes {8 * size} bytes; encode by blocks of features")
-    got = rows.orderBy("feature_idx").collect()
-    enc = np.array([r["w_enc"] for r in got], float).T
-    return Dictionary(enc, np.array([r["b_enc"] for r in got], float), np.array([r["w_dec"] for r in got], float), np.zeros(enc.shape[0]) if b_dec is None else b_dec, threshold)
+    got = rows.select("feature_idx", "w_enc", "b_enc", "w_dec").toArrow().sort_by("feature_idx")
+    enc, dec = (matrix(got.column(c).combine_chunks()) for c in ("w_enc", "w_dec"))
+    return Dictionary(enc.T.copy(), got.column("b_enc").to_numpy(), dec, np.zeros(enc.shape[1]) if b_dec is None else b_dec, threshold)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -80,7 +85,9 @@ def encode_sparse(activations: DataFrame, dictionary: Dictionary, keys: Sequence
 
 
 def encode_exact(activations: DataFrame, dictionary: DataFrame, threshold: float, keys: Sequence[str], vector: str = "activation") -> DataFrame:
-    """The same in column expressions, for dictionaries of a few features and no decoder bias."""
+    """The same in column expressions, for dictionaries of a few features (at most ``FEW``, checked) and no decoder bias."""
+    if dictionary.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} features; encode_sparse takes them")
     h = dot(F.col(vector), F.col("w_enc")) + F.col("b_enc")
     rows = activations.select(*keys, vector).join(F.broadcast(dictionary.select("feature_idx", "w_enc", "b_enc")))
     return rows.select(*keys, "feature_idx", h.alias("activation")).where(F.col("activation") > threshold)
@@ -176,19 +183,16 @@ def near_duplicate_directions(rows: DataFrame, cosine: float = 0.95, sample: int
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") > cosine)
 
 
-def effective_rank(w: np.ndarray) -> float:
-    s = np.linalg.svd(w, compute_uv=False)
-    p = s / max(s.sum(), 1e-12)
-    return float(np.exp(-(p * np.log(p + 1e-12)).sum()))
-
-
 def geometry(dictionary: Dictionary, spark: SparkSession, sample: int = 2000) -> dict:
-    """The report of the geometric phase."""
-    table = dictionary.table(spark)
+    """The report of the geometric phase: near-duplicates of a drawn sample, as reports have them, and of all directions."""
+    from .directions import effective_rank, near_duplicate_pairs
+
+    table = staged(dictionary.table(spark), "dictionary")
     return {
+        "near_duplicate_pairs": near_duplicate_pairs(table).count(),
         "encoder_decoder_alignment": encoder_decoder_alignment(table).first()[0],
         "near_duplicate_pairs_in_sample": near_duplicate_directions(table, sample=sample).count(),
         "near_duplicate_sample_size": min(sample, dictionary.w_dec.shape[0]),
         "near_duplicate_cosine_threshold": 0.95,
-        "effective_rank": effective_rank(dictionary.w_dec),
+        "effective_rank": effective_rank(table),
     }
