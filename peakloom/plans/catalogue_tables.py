@@ -16,7 +16,7 @@ from ..operators import tokens as T
 from ..operators.matching import match_spectra
 from ..sources.artefacts import Artefacts, misaligned
 from ..sources.bucketed import co_located, read_bucketed, write_bucketed
-from ..sources.spectra import loader_mismatches, merge_splits, normalised, numbered_spectra
+from ..sources.spectra import loader_mismatches, merge_splits, normalised, numbered_spectra, write_mzml
 from ..session import table
 from ..staging import shared_dir, staged
 from ..streaming.chunks import label_sums, merged_label_sums, stream_chunks, write_increments
@@ -139,6 +139,17 @@ def co_partitioned(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*KEY, r6("mz"), has(F.col("concepts"), 3).alias("qty_high"), "n_features", r6("total"))
 
 
+@query(sql("peaks") + "SELECT CAST(spectrum_idx AS VARCHAR) AS spectrum_id, row_number() OVER (ORDER BY spectrum_idx) - 1 AS global_spectrum, CAST(2 + spectrum_idx % 4 AS INTEGER) AS precursor_charge, round(spectrum_idx / CAST(7 AS DOUBLE), 6) AS precursor_mz, CAST(count(*) AS INTEGER) AS n_peaks, round(sum(mz), 4) AS mz, round(max(intensity), 4) AS intensity FROM peaks GROUP BY spectrum_idx")
+def mzml_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra written as one mzML file and read back from it, numbered by their place."""
+    key, path = F.col("spectrum_idx"), f"{shared_dir(spark, 'spectra')}.mzml"
+    rows = _arrays(spark, d).select(key, key.cast("string").alias("spectrum_id"), (key / 7.0).alias("precursor_mz"), (2 + key % 4).cast("int").alias("precursor_charge"), "mz_array", "intensity_array")
+    write_mzml(rows.coalesce(1).sortWithinPartitions("spectrum_idx"), path)
+    total = F.aggregate("mz_array", F.lit(0.0), lambda a, x: a + x)
+    found = numbered_spectra(spark, path)
+    return found.select("spectrum_id", "global_spectrum", "precursor_charge", r6("precursor_mz"), F.size("mz_array").alias("n_peaks"), F.round(total, 4).alias("mz"), F.round(F.array_max("intensity_array"), 4).alias("intensity"))
+
+
 @query("""WITH a AS (SELECT CAST(floor(o_orderkey / 100) AS INTEGER) AS chunk_idx, count(*) AS n_left FROM orders WHERE o_orderkey % 500 >= 100 GROUP BY 1), b AS (SELECT CAST(floor(o_orderkey / 100) AS INTEGER) AS chunk_idx, count(*) AS n_right FROM orders WHERE o_orderkey % 300 <> 7 AND o_orderkey % 700 < 600 GROUP BY 1)
  SELECT coalesce(a.chunk_idx, b.chunk_idx) AS chunk_idx, n_left, n_right FROM a FULL OUTER JOIN b ON a.chunk_idx = b.chunk_idx WHERE n_left IS DISTINCT FROM n_right""")
 def misaligned_chunks(spark: SparkSession, d: str) -> DataFrame:

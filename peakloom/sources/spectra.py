@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from xml.etree import ElementTree
+from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +35,13 @@ def numbered_spectra(spark: SparkSession, source: str, name: str = "global_spect
 
     Rows of Parquet files know their place, so only a count for each file is needed; others are sorted.
     """
-    if source.lower().endswith(".mzml"):
-        return global_index(read_mzml(spark, source, ordered=True), ["_file", "_row"], name).drop("_file", "_row")
-    if source.lower().endswith(".mgf"):
+    reader = next((r for ending, r in ((".mzml", read_mzml), (".mgf", read_mgf)) if source.lower().endswith(ending)), None)
+    if reader:
         # Rows of a task count up, so the low bits of their ids order those of one block of a file.
         place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
-        rows = read_mgf(spark, source, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place)
-        return global_index(rows, ["_file", "_block", "_row"], name).drop("_file", "_block", "_row")
+        rows = reader(spark, source, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place)
+        order = rows.columns[-3:]
+        return global_index(rows, order, name).drop(*order)
     rows = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     before = running_offset(rows.groupBy("_file").agg(F.count("*").alias("n")), "_file", "n").select("_file", "offset")
     return rows.join(before, "_file").withColumn(name, F.col("offset") + F.col("_row")).drop("_file", "_row", "offset")
@@ -66,30 +69,66 @@ def _values(node: ElementTree.Element, ns: str) -> tuple[str, list[float]]:
     return what, list(struct.unpack(f"<{len(raw) // size}{kind}", raw))
 
 
-def read_mzml(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """MS2 spectra of mzML files, a file to a task; the files' bytes come through Spark's readers.
+ARROW = pa.schema([("spectrum_id", pa.string()), ("sequence", pa.string()), ("modified_sequence", pa.string()), ("precursor_mz", pa.float64()), ("precursor_charge", pa.int32()), ("mz_array", pa.list_(pa.float64())), ("intensity_array", pa.list_(pa.float64()))])
+_OPEN, _EMPTY = re.compile(r"<spectrum(?:\s[^>]*[^/>]|\s)?>"), re.compile(r"<spectrum\s[^>]*/>")
+
+
+def _mzml_rows(block: str) -> Iterator[dict]:
+    """MS2 spectra of the text up to an end tag: elements without content, then the one that the tag closes."""
+    opened = [m.start() for m in _OPEN.finditer(block)]
+    texts = [m.group() for m in _EMPTY.finditer(block)] + ([block[opened[-1] :] + "</spectrum>"] if opened else [])
+    for text in texts:
+        node = ElementTree.fromstring(text)
+        values = {p.get("name"): p.get("value") for p in node.iter("cvParam")}
+        if values.get("ms level", "2") == "1":
+            continue
+        arrays = dict(_values(x, "") for x in node.iter("binaryDataArray"))
+        charge, mz = values.get("charge state"), values.get("selected ion m/z")
+        yield {"spectrum_id": node.get("id"), "sequence": None, "modified_sequence": None, "precursor_mz": float(mz) if mz else None, "precursor_charge": int(charge) if charge else None, "mz_array": arrays.get("mz", []), "intensity_array": arrays.get("intensity", [])}
 
-    With ``ordered``, _file and _row (place in the file) as well.
+
+def read_mzml(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """MS2 spectra of mzML files of any size, with ``more`` columns of the block that a spectrum lies in.
+
+    The text reader ends records at the end tag of a spectrum, so Spark splits a file by byte ranges as it splits lines,
+    and a task holds one spectrum's text at a time. Element names must be without a prefix, as usual.
     """
+    extra = [f"_m{i}" for i in range(len(more))]
+    blocks = spark.read.option("lineSep", "</spectrum>").text(path)
+    blocks = blocks.select("value", *[m.alias(n) for m, n in zip(more, extra, strict=True)]).where(F.col("value").contains("<spectrum"))
+    kinds = "".join(f", {n} {blocks.schema[n].dataType.simpleString()}" for n in extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at = [], []
+            for i, text in enumerate(b.column("value")):
+                own = list(_mzml_rows(text.as_py()))
+                rows += own
+                at += [i] * len(own)
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_pylist(rows, schema=ARROW).columns, *[b.column(n).take(place) for n in extra]], names=[*ARROW.names, *extra])
+
+    return blocks.mapInArrow(run, SCHEMA + kinds)
+
+
+def write_mzml(spectra: DataFrame, path: str, files: int | None = None) -> None:
+    """Spectra (the columns of ``SCHEMA``) as text files of mzML spectrum elements, arrays in 64 bits and zlib."""
+
+    def array(name: str, values: list[float] | None) -> str:
+        raw = zlib.compress(np.asarray(values or [], "<f8").tobytes())
+        return f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="zlib compression"/><cvParam name="{name}"/><binary>{base64.b64encode(raw).decode()}</binary></binaryDataArray>'
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content, file in zip(b.column("content"), b.column("path").to_pylist(), strict=True):
-                rows: list[dict] = []
-                for node in ElementTree.fromstring(content.as_py()).iter():
-                    if not node.tag.endswith("}spectrum") and node.tag != "spectrum":
-                        continue
-                    ns = node.tag[: -len("spectrum")]
-                    values = {p.get("name"): p.get("value") for p in node.iter(f"{ns}cvParam")}
-                    if values.get("ms level", "2") == "1":
-                        continue
-                    arrays = dict(_values(x, ns) for x in node.iter(f"{ns}binaryDataArray"))
-                    charge = values.get("charge state")
-                    rows.append({"spectrum_id": node.get("id"), "sequence": None, "modified_sequence": None, "precursor_mz": float(values["selected ion m/z"]) if values.get("selected ion m/z") else None, "precursor_charge": int(charge) if charge else None, "mz_array": arrays.get("mz", []), "intensity_array": arrays.get("intensity", []), "_file": file, "_row": len(rows)})
-                schema = pa.schema([("spectrum_id", pa.string()), ("sequence", pa.string()), ("modified_sequence", pa.string()), ("precursor_mz", pa.float64()), ("precursor_charge", pa.int32()), ("mz_array", pa.list_(pa.float64())), ("intensity_array", pa.list_(pa.float64())), *([("_file", pa.string()), ("_row", pa.int64())] if ordered else [])])
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(run, SCHEMA + (", _file string, _row long" if ordered else ""))
+            out = []
+            for r in b.to_pylist():
+                values = {"ms level": 2, "selected ion m/z": r["precursor_mz"], "charge state": r["precursor_charge"]}
+                params = "".join(f'<cvParam name="{k}" value="{v!r}"/>' for k, v in values.items() if v is not None)
+                out.append(f"<spectrum id={quoteattr(r['spectrum_id'] or '')}>{params}{array('m/z array', r['mz_array'])}{array('intensity array', r['intensity_array'])}</spectrum>")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    text = spectra.select("spectrum_id", "precursor_mz", "precursor_charge", "mz_array", "intensity_array").mapInArrow(run, "value string")
+    (text.coalesce(files) if files else text).write.mode("overwrite").text(path)
 
 
 def merge_splits(parts: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame:

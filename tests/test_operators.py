@@ -442,3 +442,29 @@ def test_features_that_never_fire_belong_to_the_family(spark):
     names = spark.createDataFrame([(0, "a"), (1, "b")], "concept_idx int, concept string")
     stats = {r["feature_idx"]: r for r in associations.per_feature_stats(spark.createDataFrame(rows), names).collect()}
     assert sorted(stats) == list(range(200)) and (stats[199]["firing_rate"], stats[199]["best_concept"], stats[199]["n_significant_concepts"]) == (0.0, "a", 0)
+
+
+def test_an_mzml_file_is_split_and_gives_the_rows_of_one_task(spark, tmp_path):
+    """Byte ranges cut inside elements; header, first-level spectra, empty elements, quotes and other lists stay out or whole."""
+    rng = np.random.default_rng(3)
+    made = [(f'scan="{i}" & <{i}>', None, None, 100.0 + i, 1 + i % 3, rng.random(20).tolist(), rng.random(20).tolist()) for i in range(120)]
+    spectra.write_mzml(spark.createDataFrame(made, spectra.SCHEMA).coalesce(1), f"file://{tmp_path}/parts")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    first = '<spectrum id="first"><cvParam name="ms level" value="1"/></spectrum>\n'
+    (tmp_path / "one.mzML").write_text(f'<?xml version="1.0"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList count="121">\n{first}<spectrum id="empty" index="0"/>{text}</spectrumList><chromatogramList><chromatogram id="tic"><binary>AAAA</binary></chromatogram></chromatogramList></run></mzML>')
+    path = f"file://{tmp_path}/one.mzML"
+    whole = spectra.numbered_spectra(spark, path)
+    assert spectra.read_mzml(spark, path).rdd.getNumPartitions() == 1
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        split = spectra.read_mzml(spark, path)
+        assert split.rdd.getNumPartitions() > 5
+        rows = spectra.numbered_spectra(spark, path).orderBy("global_spectrum").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in rows] == [tuple(r) for r in whole.orderBy("global_spectrum").collect()]
+    assert [tuple(r)[:7] for r in rows] == [("empty", None, None, None, None, [], []), *made]
+    assert [r["global_spectrum"] for r in rows] == list(range(121))
