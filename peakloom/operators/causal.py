@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import d
 from ..plans.registry import has
+from ..staging import staged
+from .statistics import exact_quantiles
 
 Draw = Callable[..., Column]
 LEAST_SPECTRA = 6
@@ -95,7 +97,8 @@ def orthogonal_selectivity(rows: DataFrame, keys: Sequence[str], others: Sequenc
 def rate_bins(features: DataFrame, bins: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """Adds bin by quantiles of log10 firing rate in each group; a feature within 1e-9 of an upper edge is in both bins."""
     rows = features.withColumn("log_rate", F.log10(F.greatest("firing_rate", d(1e-12))))
-    edges = rows.groupBy(*keys).agg(F.percentile("log_rate", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+    rows = staged(rows, "rates")
+    edges = exact_quantiles(rows, keys, "log_rate", [i / bins for i in range(bins + 1)]).withColumnRenamed("q", "e").drop("n")
     every = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.alias("bin"), F.element_at("e", b + 1).alias("low"), F.element_at("e", b + 2).alias("high")))
     binned = (rows.join(edges, list(keys)) if keys else rows.join(F.broadcast(edges))).withColumn("x", F.explode(every))
     return binned.where((F.col("log_rate") >= F.col("x.low")) & (F.col("log_rate") < F.col("x.high") + 1e-9)).withColumn("bin", F.col("x.bin")).drop("x", "e")

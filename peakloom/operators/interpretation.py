@@ -90,14 +90,26 @@ def intensity_rank(peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
 
 
-def nearest_peaks(peaks: DataFrame, wanted: DataFrame, keys: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
-    """keys, position, neighbour_mzs: the ``k`` peaks next in m/z, the peak itself left out by key, in stored order, 4 decimals."""
-    other = peaks.select(*keys, F.col("position").alias("_p"), F.col("mz").alias("_mz"))
-    pairs = wanted.select(*keys, "position", "mz").join(other, list(keys)).where("position != _p")
-    order = W.partitionBy(*keys, "position").orderBy(F.abs(F.col("mz") - F.col("_mz")), "_p")
-    near = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_mz"))), lambda x: F.round(x["_mz"], 4))
-    return near.groupBy(*keys, "position").agg(listed.alias("neighbour_mzs"))
+def nearest_peaks(peaks: DataFrame, wanted: DataFrame | None, keys: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
+    """keys, position, neighbour_mzs: the ``k`` peaks next in m/z (ties: the earlier one), the peak itself left out by key, in stored order, 4 decimals.
+
+    For all peaks, or those of ``wanted`` (keys, position). Peaks of a spectrum with equal m/z are one row, and the
+    ``k`` rows before and after it in order of m/z hold all that can be next to it; so the work grows with a spectrum's
+    peaks, not their square. A peak without others has an empty list, one without m/z no row.
+    """
+    own = peaks.where(F.col("mz").isNotNull()).select(*keys, "position", "mz")
+    if wanted is not None:
+        own = own.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    level = own.repartition(*keys).groupBy(*keys, "mz").agg(F.sort_array(F.collect_list("position")).alias("_p"))
+    frame = W.partitionBy(*keys).orderBy("mz").rowsBetween(-k, k)
+    around = level.withColumn("_near", F.collect_list(F.struct(F.slice("_p", 1, k + 1).alias("p"), F.col("mz").alias("m"))).over(frame))
+    rows = around.select(*keys, "mz", "_near", F.explode("_p").alias("position"))
+    if wanted is not None:
+        rows = rows.join(wanted.select(*keys, "position").distinct(), [*keys, "position"])
+    each = F.flatten(F.transform("_near", lambda x: F.transform(x["p"], lambda p: F.struct(F.abs(F.col("mz") - x["m"]).alias("d"), p.alias("p"), x["m"].alias("m")))))
+    best = F.slice(F.array_sort(F.filter(each, lambda x: x["p"] != F.col("position"))), 1, k)
+    listed = F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m")))), lambda x: F.round(x["m"], 4))
+    return rows.select(*keys, "position", listed.alias("neighbour_mzs"))
 
 
 def concept_names(mask: Column) -> Column:

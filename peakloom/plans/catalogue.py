@@ -236,6 +236,24 @@ def firing_gini(spark: SparkSession, d: str) -> DataFrame:
     return S.gini(fx.fx_peaks(spark, d), "l_quantity").select(r6("gini"))
 
 
+_DISTINCT = "ln(1 + intensity) + spectrum_idx / CAST(1000003 AS DOUBLE)"
+
+
+@query(sql("peaks") + f", v AS (SELECT {_DISTINCT} AS x FROM peaks), x AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM v) SELECT round((2 * sum(i * x) - (count(*) + 1) * sum(x)) / (count(*) * sum(x)), 6) AS gini FROM x")
+def gini_of_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Of a column with hardly an equal value."""
+    x = fx.fx_peaks(spark, d).withColumn("x", F.log1p("intensity") + F.col("spectrum_idx") / 1000003.0)
+    return S.gini(x, "x").select(r6("gini"))
+
+
+@query(sql("peaks") + f", v AS (SELECT l_returnflag AS flag, {_DISTINCT} AS x FROM peaks) SELECT flag, count(*) AS n, round(quantile_cont(x, 0.0), 6) AS q0, round(quantile_cont(x, 1.0 / 3.0), 6) AS q1, round(quantile_cont(x, 0.9), 6) AS q2, round(quantile_cont(x, 1.0), 6) AS q3 FROM v GROUP BY 1")
+def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Of groups too large for one task, by passes of counts."""
+    x = fx.fx_peaks(spark, d).select(F.col("l_returnflag").alias("flag"), (F.log1p("intensity") + F.col("spectrum_idx") / 1000003.0).alias("x"))
+    found = S.exact_quantiles(x, ["flag"], "x", (0.0, 1.0 / 3.0, 0.9, 1.0), 64)
+    return found.select("flag", "n", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(4)])
+
+
 @query(sql("dictionary") + "SELECT round(avg(abs(c)), 6) AS encoder_decoder_alignment FROM (SELECT feature_idx, sum(w * w) AS c FROM dictionary GROUP BY 1)")
 def enc_dec_alignment(spark: SparkSession, d: str) -> DataFrame:
     return D.encoder_decoder_alignment(fx.fx_dictionary(spark, d)[0]).select(r6("encoder_decoder_alignment"))
@@ -434,7 +452,7 @@ def peak_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("peaks") + ", j AS (SELECT a.spectrum_idx, a.position, b.position AS p, b.mz, row_number() OVER (PARTITION BY a.spectrum_idx, a.position ORDER BY abs(a.mz - b.mz), b.position) AS r FROM peaks a JOIN peaks b ON a.spectrum_idx = b.spectrum_idx AND a.position <> b.position) SELECT spectrum_idx, position, string_agg(printf('%.4f', mz), ' ' ORDER BY p) AS nearby FROM j WHERE r <= 6 GROUP BY 1, 2")
 def nearest_peaks(spark: SparkSession, d: str) -> DataFrame:
     peaks = fx.fx_peaks(spark, d)
-    near = I.nearest_peaks(peaks, peaks, ["spectrum_idx"])
+    near = I.nearest_peaks(peaks, None, ["spectrum_idx"]).where(F.size("neighbour_mzs") > 0)
     return near.select(*KEY, F.array_join(F.transform("neighbour_mzs", lambda m: F.format_string("%.4f", m)), " ").alias("nearby"))
 
 
