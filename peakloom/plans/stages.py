@@ -64,16 +64,17 @@ def extract(spark: SparkSession, source: str, out: Artefacts, model: ModelAdapte
     out.write_chunks(out.missing_chunks(tokens, "tokens"), "tokens")
     tokens = out.read("tokens")
     inputs = spectra.select("chunk_idx", "global_spectrum", "peptide", F.col("mz_array").alias("mz"))
-    todo = out.missing_chunks(inputs, "activations")
-    if todo.limit(1).count():
-        vectors = capture_activations(todo, model, layers, batch)
-        out.write_chunks(vectors.join(tokens.select("global_spectrum", "position", *TOKEN), ["global_spectrum", "position"]), "activations", layer=True)
+    wanted = [x for x in layers if out.missing_chunks(inputs.select("chunk_idx"), "activations", [x]).limit(1).count()]
+    if wanted:
+        vectors = capture_activations(out.missing_chunks(inputs, "activations", wanted), model, wanted, batch)
+        rows = vectors.join(tokens.select("global_spectrum", "position", *TOKEN), ["global_spectrum", "position"])
+        out.write_chunks(out.undone(rows, "activations", ["layer", "chunk_idx"]), "activations", layer=True)
     todo = out.missing_chunks(inputs, "baseline")
     if baseline and todo.limit(1).count():
         out.write_chunks(capture_baseline(todo, model, batch), "baseline")
     absent = [r["layer"] for r in missing_layers(layers, out.read("activations")).collect()]
     if absent:
-        raise ValueError(f"chunks were extracted before without layers {absent}")
+        raise ValueError(f"the model gave no activations of layers {absent}")
     check_alignment(out.layer(layers[0]).select("chunk_idx"), tokens.select("chunk_idx"))
     return out.extraction_manifest(spectra, tokens, {"chunk": chunk, "layers": list(layers), "source": source, "n_peaks": n_peaks, "max_spectra": most})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,7 +29,7 @@ CSV_TYPES = {
 
 
 class Artefacts:
-    """The folder of one run. Tables are Parquet; a table is complete if its ``_SUCCESS`` is there."""
+    """The folder of one run. Tables are Parquet; a table is complete if its ``_SUCCESS`` is there, a table of chunks as far as its manifest says."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -41,29 +42,62 @@ class Artefacts:
         return f"{self.root}/{name}"
 
     def done(self, name: str) -> bool:
-        return path_exists(self.spark, f"{self.path(name)}/_SUCCESS")
+        return any(path_exists(self.spark, f"{self.path(name)}{kind}/_SUCCESS") for kind in ("", ".manifest"))
 
     def write(self, df: DataFrame, name: str, partition: Sequence[str] = (), mode: str = "overwrite") -> None:
         df.withColumn("schema_version", F.lit(VERSION)).write.mode(mode).partitionBy(*partition).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
-        """A table without its version; another version is an error."""
+        """A table without its version; another version is an error. Of a table of chunks only what is committed."""
         rows = self.spark.read.parquet(self.path(name))
         odd = rows.where(F.col("schema_version") != VERSION).limit(1).count() if "schema_version" in rows.columns else 1
         if odd:
             raise ValueError(f"{name} has another schema version than {VERSION}")
+        if "write_id" in rows.columns:
+            done = self.committed(name)
+            keys = [c for c in done.columns if c not in ("n_rows", "n_files")]
+            rows = rows.join(F.broadcast(done.select(*keys)), keys, "left_semi").select(*[c for c in rows.columns if c != "write_id"])
         return rows.drop("schema_version")
 
     def write_chunks(self, df: DataFrame, name: str, layer: bool = False) -> None:
-        """Chunk metadata, labels or activations: one folder for each (layer and) chunk, appended for resumption."""
-        keys = [*(["layer"] if layer else []), "chunk_idx"]
-        self.write(df.repartition(*keys), name, keys, "append")
-
-    def missing_chunks(self, df: DataFrame, name: str) -> DataFrame:
-        """Rows of the chunks that a table does not hold yet."""
-        if not path_exists(self.spark, self.path(name)):
+        """Chunk metadata, labels or activations: a folder for each (layer and) chunk, then a row of the manifest for each.
+
+        A chunk counts from its row on, which names the write that its files come from. What a write that was cut short
+        has left is not read, and the next write of the chunk takes its place.
+        """
+        keys, write = [*(["layer"] if layer else []), "chunk_idx"], uuid.uuid4().hex
+        rows = df.withColumns({"schema_version": F.lit(VERSION), "write_id": F.lit(write)})
+        rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(name))
+        self.commit(name, keys, write)
+
+    def commit(self, name: str, keys: Sequence[str], write: str) -> None:
+        """Rows (keys, write_id, n_rows, n_files) for the chunks of one write, counted in the files themselves."""
+        files = F.countDistinct(F.col("_metadata.file_path")).alias("n_files")
+        own = self.spark.read.parquet(self.path(name)).where(F.col("write_id") == write).groupBy(*keys, "write_id").agg(F.count("*").alias("n_rows"), files)
+        own.coalesce(1).write.mode("append").parquet(self.path(f"{name}.manifest"))
+
+    def committed(self, name: str) -> DataFrame:
+        """The manifest of a table of chunks."""
+        path = self.path(f"{name}.manifest")
+        if path_exists(self.spark, f"{path}/_SUCCESS"):
+            return self.spark.read.parquet(path)
+        return self.spark.createDataFrame([], "chunk_idx int, write_id string, n_rows long, n_files long")
+
+    def missing_chunks(self, df: DataFrame, name: str, layers: Sequence[int] | None = None) -> DataFrame:
+        """Rows of the chunks that a table does not hold yet (for one of ``layers`` at least)."""
+        done = self.committed(name)
+        if layers is None:
+            whole = done.select("chunk_idx").distinct()
+        elif "layer" not in done.columns:
             return df
-        return df.join(self.spark.read.parquet(self.path(name)).select("chunk_idx").distinct(), "chunk_idx", "left_anti")
+        else:
+            whole = done.where(F.col("layer").isin([int(x) for x in layers])).groupBy("chunk_idx").agg(F.countDistinct("layer").alias("n")).where(F.col("n") == len(set(layers))).select("chunk_idx")
+        return df.join(F.broadcast(whole), "chunk_idx", "left_anti")
+
+    def undone(self, df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+        """Rows whose ``keys`` are not committed yet."""
+        done = self.committed(name)
+        return df.join(F.broadcast(done.select(*keys)), list(keys), "left_anti") if set(keys) <= set(done.columns) else df
 
     def layer(self, layer: int, name: str = "activations") -> DataFrame:
         """Activations of one layer by partition pruning; an absent layer is an error."""
@@ -147,6 +181,7 @@ class Artefacts:
         return self.spark.createDataFrame(rows, "feature_idx int, concept string, selectivity double, selectivity_z double, mean_delta_ce double, source string")
 
     def clear(self, name: str) -> bool:
+        delete_path(self.spark, self.path(f"{name}.manifest"))
         return delete_path(self.spark, self.path(name))
 
     def size(self) -> int:

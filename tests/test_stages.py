@@ -51,8 +51,10 @@ def test_extraction_counts_order_and_resume(spark, run):
     assert {k: again[k] for k in ("n_chunks", "n_tokens")} == {k: manifest[k] for k in ("n_chunks", "n_tokens")}
     chunks = {r["chunk_idx"]: (r["n_spectra"], r["n_tokens"]) for r in out.read("chunks").collect()}
     assert chunks == {i: (8, 8 * 13) for i in range(6)}
-    with pytest.raises(ValueError, match="layers"):
-        stages.extract(spark, f"file://{root}/in", out, model, [2, 8], chunk=8, batch=8)
+    before = {tuple(r) for r in out.committed("activations").collect()}
+    stages.extract(spark, f"file://{root}/in", out, model, [2, 4, 6], chunk=8, batch=8)  # one more layer goes into the chunks
+    after = {tuple(r) for r in out.committed("activations").collect()}
+    assert before < after and len(after) == 18 and out.layer(6).count() == out.layer(2).count() == 48 * 13
     spectra(spark, seed=1).coalesce(1).write.parquet(f"file://{root}/other")
     with pytest.raises(ValueError, match="differ"):
         stages.extract(spark, f"file://{root}/other", out, model, [2, 4], chunk=8, batch=8)
@@ -255,3 +257,42 @@ def test_command_line(spark, run, tmp_path, monkeypatch):
     assert cli.main(["train", *base, "--d-dict", "8", "--k", "2", "--k-aux", "2", "--epochs", "1", "--train-batch", "64", "--warmup", "2", "--within-chunks", "--parts", "2", "--val-fraction", "0.4"]) == 0
     assert cli.main(["evaluate", *base, "--skip", "8", "5"], HashModel(4)) == 0
     assert cli.main(["summary", *base]) == 0
+
+
+def test_a_write_that_is_cut_short_is_done_again(spark, tmp_path):
+    """Killed in a task, killed between data and manifest, then resumed: the table is that of one write."""
+    out = Artefacts(spark, f"file://{tmp_path}/run")
+    rows = spark.range(60).select((F.col("id") % 6).cast("int").alias("chunk_idx"), F.col("id").alias("x"))
+    out.write_chunks(rows.where("chunk_idx < 2"), "tokens")
+    broken = rows.where("chunk_idx >= 2").withColumn("x", F.when(F.col("chunk_idx") == 5, F.raise_error(F.lit("killed"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="killed"):
+        out.write_chunks(broken, "tokens")
+    assert sorted(r[0] for r in out.read("tokens").select("chunk_idx").distinct().collect()) == [0, 1]
+    half = Artefacts(spark, out.root)
+    half.commit = lambda *_: (_ for _ in ()).throw(RuntimeError("killed before the manifest"))
+    with pytest.raises(RuntimeError, match="before the manifest"):
+        half.write_chunks(rows.where("chunk_idx in (2, 3)").withColumn("x", F.col("x") + 1000), "tokens")
+    assert spark.read.parquet(out.path("tokens")).count() == 40 and out.read("tokens").count() == 20
+    left = out.missing_chunks(rows, "tokens")
+    assert sorted(r[0] for r in left.select("chunk_idx").distinct().collect()) == [2, 3, 4, 5]
+    out.write_chunks(left.where("chunk_idx != 4"), "tokens")
+    out.write_chunks(out.missing_chunks(rows, "tokens"), "tokens")
+    assert out.read("tokens").select(rows.columns).exceptAll(rows).count() == 0 and out.read("tokens").count() == 60
+    manifest = {r["chunk_idx"]: (r["n_rows"], r["n_files"]) for r in out.committed("tokens").collect()}
+    assert manifest == {c: (10, 1) for c in range(6)} and out.missing_chunks(rows, "tokens").count() == 0
+
+
+def test_one_more_layer_goes_into_chunks_that_are_there(spark, run, tmp_path):
+    source = run[0]
+    out = Artefacts(spark, f"file://{tmp_path}/run")
+    for name in ("spectra", "tokens"):
+        out.write_chunks(source.read(name), name)
+    first = source.read("activations")
+    out.write_chunks(first.where("layer = 2"), "activations", layer=True)
+    out.write_chunks(first.where("layer = 4 AND chunk_idx = 0"), "activations", layer=True)
+    chunks = sorted(r[0] for r in out.missing_chunks(out.read("spectra"), "activations", [2, 4]).select("chunk_idx").distinct().collect())
+    assert chunks == [r[0] for r in source.read("spectra").select("chunk_idx").distinct().orderBy("chunk_idx").collect()][1:]
+    assert out.missing_chunks(out.read("spectra"), "activations", [2]).count() == 0
+    rest = out.undone(first.where("layer = 4"), "activations", ["layer", "chunk_idx"])
+    out.write_chunks(rest, "activations", layer=True)
+    assert out.read("activations").count() == first.count() and out.missing_chunks(out.read("spectra"), "activations", [2, 4]).count() == 0
