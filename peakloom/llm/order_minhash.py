@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, slices, staged, tasks_for
@@ -328,15 +328,21 @@ def sifted(docs: DataFrame, column: str, bloom: np.ndarray) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), kept (it is that document) for every row of ``docs``.
 
-    Empty and null texts are classes of their own; so are rows without doc_id, whose class_id is null. Rows of equal
-    doc_id and text fall together; a doc_id with several texts has a row, and maybe a class, for each. Words, shingles
+    Empty and null texts are classes of their own. Rows without doc_id are linked by their text as all others; a class
+    that has no doc_id at all has a null class_id, and one of its rows is kept. Rows of equal doc_id and text fall
+    together; a doc_id with several texts has a row, and maybe a class, for each. Words, shingles
     and keys are told apart by 64-bit hashes: two of m that differ are taken for equal with odds of about m * m / 2 ** 65,
     and a clash of single shingles moves a similarity by one shingle only. Texts are equal by 128-bit digests.
     """
     sketches, known = _classes(docs, similarity)
-    out = sketches.select("doc_id", "digest").join(known.select("digest", "class_id"), "digest", "left")
-    own_class = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", own_class.alias("class_id"), F.coalesce(own_class == F.col("doc_id"), F.lit(True)).alias("kept"))
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row")
+    out = sketches.select("doc_id", "digest", row).join(known.select("digest", "root", "class_id"), "digest", "left")
+    named = out.where("class_id IS NOT NULL OR digest IS NULL").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    unnamed = out.where("class_id IS NULL AND digest IS NOT NULL")
+    first = staged(unnamed.groupBy("root").agg(F.min("row").alias("first")), "nameless")
+    rest = unnamed.join(first, "root").select("doc_id", "class_id", (F.col("row") == F.col("first")).alias("kept"))
+    kept = F.col("class_id").eqNullSafe(F.col("doc_id"))  # null for both: an empty text without id, a class of its own
+    return named.select("doc_id", "class_id", kept.alias("kept")).unionByName(rest)
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -350,6 +356,11 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return rows.join(known.select("digest", "root"), "digest").groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.mark", "x.n")
 
 
+def _whose(doc_id: Column) -> tuple[Column, Column, Column]:
+    """first_id, nameless, mark: where a text lies. One that has no row with an id goes by a hash of its mark."""
+    return F.coalesce(doc_id, F.xxhash64("mark")).alias("first_id"), doc_id.isNull().alias("nameless"), F.col("mark")
+
+
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The sketches of ``docs``, and digest, root and class_id of each distinct text."""
     spark = docs.sparkSession
@@ -365,14 +376,15 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     weights = staged(members.groupBy("digest").agg(F.sum("size").alias("weight")), "weights", files=files)
     heavy = members.join(weights, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("x"))
     leaders = staged(heavy.select("bucket", F.col("x.digest").alias("leader")), "leaders", files=files)
-    wanted = staged(weights.join(texts.select("digest", "first_id", "mark"), "digest").select("first_id", "mark", "digest"), "wanted", files=files)
+    wanted = staged(weights.join(texts.select("digest", "first_id", "mark"), "digest").select(*_whose(F.col("first_id")), "digest"), "wanted", files=files)
     drop_staged(weights)
-    found = docs.select(F.col("doc_id").cast("long").alias("first_id"), mark_of().alias("mark"), F.col("text").cast("string"))
+    found = docs.withColumn("mark", mark_of()).select(*_whose(F.col("doc_id").cast("long")), F.col("text").cast("string"))
     n = wanted.count()
-    found = sifted(found.where("first_id IS NOT NULL"), "first_id", sieve(wanted, "first_id", n))
-    bodies = found.join(wanted.hint("shuffle_hash"), ["first_id", "mark"]).select("first_id", "mark", "digest", "text")
-    if sketches.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").limit(1).count():
-        bodies = bodies.dropDuplicates(["first_id", "mark"])  # by the join's own partitioning
+    found = sifted(found, "first_id", sieve(wanted, "first_id", n))
+    by = ["first_id", "nameless", "mark"]
+    bodies = found.join(wanted.hint("shuffle_hash"), by).select(*by, "digest", "text")
+    if sketches.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        bodies = bodies.dropDuplicates(by)  # by the join's own partitioning
     bodies = staged(bodies.select("digest", "text"), "bodies", files=tasks_for(spark, n, 4096))
     drop_staged(wanted)
 

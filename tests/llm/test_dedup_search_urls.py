@@ -127,10 +127,44 @@ def test_near_duplicates_of_edge_cases(edge, make_docs):
     rows = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(edge).collect()}
     assert rows[3] == rows[4] == 3 and rows[5] == rows[6] == 5 and rows[0] == 0 and rows[1] == 1 and len(rows) == edge.count()
     odd = order_minhash.near_duplicates(make_docs(["a b c d e f", "a b c d e f", "a b c d e f"], [None, 4, 4])).collect()
-    assert sorted((r["doc_id"] is None, r["class_id"]) for r in odd if r["doc_id"]) == [(False, 4), (False, 4)] and sum(r["class_id"] is None for r in odd) == 1
+    assert {(r["doc_id"], r["class_id"], r["kept"]) for r in odd} == {(4, 4, True), (None, 4, False)} and len(odd) == 3
     assert order_minhash.near_duplicates(edge.where("false")).count() == 0
 
 
+def test_rows_without_id_lose_no_link(make_docs):
+    """Brute force over all pairs, ids for some rows only; a class without any id keeps one of its rows, copies included."""
+    texts = near_copies()
+    rng = np.random.default_rng(2)
+    ids = [None if rng.random() < 0.5 else 10 + i for i in range(len(texts))]
+    ids[:5] = [None] * 5  # a class of near copies without any id
+    texts, ids = [*texts, texts[1], texts[1], texts[7], texts[7]], [*ids, None, None, None, None]
+    keys = list(range(len(texts)))
+    groups = {}
+    for i, c in brute_classes(texts, keys).items():
+        groups.setdefault(c, []).append(i)
+    want = {}
+    for own in groups.values():
+        named = [ids[i] for i in own if ids[i] is not None]
+        for i in own:
+            alone = not texts[i]  # empty and null texts stand alone
+            c = ids[i] if alone else min(named, default=None)
+            want.setdefault((texts[i], ids[i], c), []).append(i)
+    rows = order_minhash.near_duplicates(make_docs(texts, ids)).collect()
+    assert len(rows) == len(texts)
+    got = {}
+    for r in rows:
+        got[r["doc_id"], r["class_id"]] = got.get((r["doc_id"], r["class_id"]), 0) + 1
+    expected = {}
+    for (_, i, c), own in want.items():
+        expected[i, c] = expected.get((i, c), 0) + len(own)
+    assert got == expected
+    full = [own for own in groups.values() if texts[own[0]]]
+    empty = sum(not t for t in texts)
+    assert sum(r["kept"] for r in rows) == len(full) + empty
+    picked = order_minhash.representatives(make_docs(texts, ids)).collect()
+    assert len(picked) == len(full)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components(links, 4).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
