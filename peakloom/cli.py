@@ -20,12 +20,13 @@ LOG = logging.getLogger("peakloom")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="peakloom")
     p.add_argument("stage", choices=("extract", "annotate", "train", "evaluate", "interpret", "summary", "all"))
-    p.add_argument("--out", required=True)
-    p.add_argument("--layers", default="2", help="comma-separated")
+    # The names of options, here and below.
+    p.add_argument("--out", "--output-dir", required=True)
+    p.add_argument("--layers", "--target-layer", default="2", help="comma-separated")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--log-level", default="INFO")
     g = p.add_argument_group("extract")
-    g.add_argument("--source", help="Parquet file, folder or glob, .mgf or .mzML")
+    g.add_argument("--source", "--spectra-path", "--dataset-path", help="Parquet file, folder or glob, .mgf or .mzML")
     g.add_argument("--model-path", help="checkpoint or id, handed to the model that code injects")
     g.add_argument("--chunk-size", type=int, default=1024)
     g.add_argument("--batch-size", type=int, default=32)
@@ -42,13 +43,20 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--d-dict", type=int, default=12288)
     g.add_argument("--k", type=int, default=32)
     g.add_argument("--k-aux", type=int, default=512)
-    g.add_argument("--epochs", type=int, default=3)
+    g.add_argument("--epochs", "--n-epochs", type=int, default=3)
     g.add_argument("--train-batch", type=int, default=8192)
     g.add_argument("--lr", type=float, default=2e-4)
-    g.add_argument("--warmup", type=int, default=1000)
+    g.add_argument("--warmup", "--warmup-steps", type=int, default=1000)
+    g.add_argument("--lr-min-ratio", type=float, default=0.1, help="rate at the end, as a share of --lr")
+    g.add_argument("--alpha-aux", type=float, default=1 / 32, help="weight of the loss on dead features")
+    g.add_argument("--grad-clip-norm", type=float, default=1.0)
+    g.add_argument("--tangent-grad-projection", action=argparse.BooleanOptionalAction, default=True, help="take from decoder gradients what would change a row's length")
+    g.add_argument("--log-every", type=int, default=100, help="steps between rows of the log")
+    g.add_argument("--val-every", type=int, default=1000, help="steps between validations on a sample of the held-out tokens")
     g.add_argument("--val-fraction", type=float, default=0.02)
     g.add_argument("--within-chunks", action="store_true", help="shuffle chunks and tokens within them, not all tokens together")
-    g.add_argument("--parts", type=int, default=1, help="tasks that train side by side, averaged after each epoch")
+    g.add_argument("--parts", type=int, default=1, help="tasks that take every step together")
+    g.add_argument("--averaged", action="store_true", help="let parts train apart for an epoch and average their weights")
     g = p.add_argument_group("evaluate")
     g.add_argument("--skip", nargs="*", default=[], choices=stages.PHASES)
     g.add_argument("--fdr-q", type=float, default=0.05)
@@ -99,7 +107,7 @@ def main(argv: list[str] | None = None, model: object = None, client: object = N
     for layer in layers:
         if wanted("train"):
             LOG.info("train layer %d", layer)
-            stages.train_layer(out, layer, TrainConfig(d_dict=args.d_dict, k=args.k, k_aux=args.k_aux, lr=args.lr, warmup=args.warmup, epochs=args.epochs, batch=args.train_batch, val_fraction=args.val_fraction, across_chunks=not args.within_chunks, parts=args.parts, seed=args.seed))
+            stages.train_layer(out, layer, TrainConfig(d_dict=args.d_dict, k=args.k, k_aux=args.k_aux, lr=args.lr, warmup=args.warmup, epochs=args.epochs, batch=args.train_batch, val_fraction=args.val_fraction, across_chunks=not args.within_chunks, parts=args.parts, averaged=args.averaged, lr_floor=args.lr_min_ratio, alpha=args.alpha_aux, clip=args.grad_clip_norm, tangent=args.tangent_grad_projection, log_every=args.log_every, val_every=args.val_every, seed=args.seed))
     for layer in layers:
         if wanted("evaluate"):
             LOG.info("evaluate layer %d", layer)

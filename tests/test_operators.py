@@ -468,3 +468,10 @@ def test_an_mzml_file_is_split_and_gives_the_rows_of_one_task(spark, tmp_path):
     assert [tuple(r) for r in rows] == [tuple(r) for r in whole.orderBy("global_spectrum").collect()]
     assert [tuple(r)[:7] for r in rows] == [("empty", None, None, None, None, [], []), *made]
     assert [r["global_spectrum"] for r in rows] == list(range(121))
+
+
+def test_option_names():
+    from peakloom.cli import parser
+
+    args = parser().parse_args("train --output-dir o --target-layer 4 --n-epochs 2 --warmup-steps 7 --lr-min-ratio 0.2 --alpha-aux 0.5 --grad-clip-norm 2 --no-tangent-grad-projection --val-every 9 --log-every 3 --spectra-path s --averaged".split())
+    assert (args.out, args.layers, args.epochs, args.warmup, args.lr_min_ratio, args.alpha_aux, args.grad_clip_norm, args.tangent_grad_projection, args.val_every, args.log_every, args.source, args.averaged) == ("o", "4", 2, 7, 0.2, 0.5, 2.0, False, 9, 3, "s", True)
