@@ -21,6 +21,7 @@ from ..operators import statistics as S
 from ..operators import tokens as T
 from ..operators import training as R
 from ..session import table
+from ..staging import staged
 from ..streaming.chunks import event_windows
 from . import fixtures as fx
 from .fixtures import KEY, LABELS, N, PAIRS, sql
@@ -410,8 +411,9 @@ _TWO = sql(*PAIRS) + """, a AS (SELECT spectrum_idx, position, feature_idx AS an
 
 @query(_TWO + ", t AS (SELECT *, row_number() OVER (PARTITION BY anchor, layer ORDER BY r DESC, feature_idx) AS rank FROM r) SELECT anchor, layer, feature_idx, round(r, 6) AS r, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 5")
 def anchor_correlation(spark: SparkSession, d: str) -> DataFrame:
-    f = fx.fx_features(spark, d)
-    mine = f.join(F.broadcast(A.anchors(_pairs(spark, d)).select("feature_idx")), "feature_idx", "left_semi")
+    f = staged(fx.fx_features(spark, d), "features", "snappy")  # as runs store them
+    pairs = A.associations(f, fx.fx_labels(spark, d), fx.N_FEATURES, N, KEY)
+    mine = f.join(F.broadcast(A.anchors(pairs).select("feature_idx")), "feature_idx", "left_semi")
     r = X.feature_correlation(mine, f.withColumn("layer", F.lit(4)), table(spark, d, "lineitem").count(), KEY)
     return X.top_matches(r).select("anchor", "layer", "feature_idx", r6("r"), "rank")
 
