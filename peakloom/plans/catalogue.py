@@ -413,7 +413,7 @@ _TWO = sql(*PAIRS) + """, a AS (SELECT spectrum_idx, position, feature_idx AS an
 def anchor_correlation(spark: SparkSession, d: str) -> DataFrame:
     f = staged(fx.fx_features(spark, d), "features", "snappy")  # as runs store them
     pairs = A.associations(f, fx.fx_labels(spark, d), fx.N_FEATURES, N, KEY)
-    mine = f.join(F.broadcast(A.anchors(pairs).select("feature_idx")), "feature_idx", "left_semi")
+    mine = f.join(F.broadcast(staged(A.anchors(pairs).select("feature_idx"), "anchors")), "feature_idx", "left_semi")
     r = X.feature_correlation(mine, f.withColumn("layer", F.lit(4)), table(spark, d, "lineitem").count(), KEY)
     return X.top_matches(r).select("anchor", "layer", "feature_idx", r6("r"), "rank")
 
