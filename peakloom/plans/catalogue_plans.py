@@ -65,11 +65,11 @@ def spectrum_losses(spark: SparkSession, d: str) -> DataFrame:
     return C.spectrum_ce(rows).select("global_spectrum", r6("mean_ce"), "correct", "valid")
 
 
-@query("SELECT l_orderkey AS global_spectrum, round(avg(l_tax), 6) AS mean_ce FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("SELECT l_orderkey AS global_spectrum, round(avg(l_tax), 6) AS mean_ce FROM lineitem GROUP BY 1")
 def cached_losses(spark: SparkSession, d: str) -> DataFrame:
     """Stored losses where every chunk has them."""
     chunk = F.floor(F.col("l_orderkey") / 100).alias("chunk_idx")
-    rows = table(spark, d, "lineitem").where("l_orderkey < 500").select(chunk, F.col("l_orderkey").alias("global_spectrum"), F.col("l_tax").alias("ce"), (F.col("l_returnflag") == "R").alias("hit"))
+    rows = table(spark, d, "lineitem").select(chunk, F.col("l_orderkey").alias("global_spectrum"), F.col("l_tax").alias("ce"), (F.col("l_returnflag") == "R").alias("hit"))
     found = C.cached_clean_ce(rows.select("chunk_idx").distinct(), rows)
     assert found is not None and C.cached_clean_ce(rows.select("chunk_idx").distinct(), rows.where("chunk_idx > 1")) is None
     return found.select("global_spectrum", r6("mean_ce"))
@@ -216,17 +216,16 @@ def strata(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOKEN = "spectrum_idx, position"
-_EXAMPLES = sql("peaks", "features") + f""", acts AS (SELECT * FROM features WHERE spectrum_idx < 1000 AND activation > 0), top AS (SELECT feature_idx, max(activation) AS m FROM features GROUP BY 1), sc AS (SELECT a.feature_idx, greatest(max(a.activation), any_value(m)) AS peak, count(*) AS active FROM acts a JOIN top ON top.feature_idx = a.feature_idx GROUP BY 1),
+_EXAMPLES = sql("peaks", "features") + f""", acts AS (SELECT * FROM features WHERE activation > 0), top AS (SELECT feature_idx, max(activation) AS m FROM features GROUP BY 1), sc AS (SELECT a.feature_idx, greatest(max(a.activation), any_value(m)) AS peak, count(*) AS active FROM acts a JOIN top ON top.feature_idx = a.feature_idx GROUP BY 1),
  x AS (SELECT a.feature_idx, {_TOKEN}, activation / peak AS x FROM acts a JOIN sc ON sc.feature_idx = a.feature_idx WHERE active >= 12), bn AS (SELECT *, CAST(b AS INTEGER) AS bin FROM x, range(10) r(b) WHERE x > b / CAST(10 AS DOUBLE) AND x <= (b + 1) / CAST(10 AS DOUBLE)),
  pl AS (SELECT *, row_number() OVER (PARTITION BY feature_idx, bin ORDER BY {lcg_sql("feature_idx", "spectrum_idx", "position", 0)}, {_TOKEN}) AS r FROM bn), pos AS (SELECT feature_idx, {_TOKEN}, x FROM pl WHERE r <= CASE WHEN bin = 9 THEN 6 ELSE 2 END),
- pool AS (SELECT {_TOKEN}, {lcg_sql("spectrum_idx", "position", 0)} AS u FROM peaks WHERE spectrum_idx < 1000), free AS (SELECT sc.feature_idx, pool.spectrum_idx, pool.position, row_number() OVER (PARTITION BY sc.feature_idx ORDER BY u, pool.spectrum_idx, pool.position) AS r FROM sc CROSS JOIN pool LEFT JOIN acts a ON a.feature_idx = sc.feature_idx AND a.spectrum_idx = pool.spectrum_idx AND a.position = pool.position WHERE a.feature_idx IS NULL AND active >= 12),
+ pool AS (SELECT {_TOKEN}, {lcg_sql("spectrum_idx", "position", 0)} AS u FROM peaks), free AS (SELECT sc.feature_idx, pool.spectrum_idx, pool.position, row_number() OVER (PARTITION BY sc.feature_idx ORDER BY u, pool.spectrum_idx, pool.position) AS r FROM sc CROSS JOIN pool LEFT JOIN acts a ON a.feature_idx = sc.feature_idx AND a.spectrum_idx = pool.spectrum_idx AND a.position = pool.position WHERE a.feature_idx IS NULL AND active >= 12),
  ex AS (SELECT * FROM pos UNION ALL SELECT feature_idx, {_TOKEN}, CAST(0 AS DOUBLE) FROM free WHERE r <= 8), ids AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature_idx ORDER BY {lcg_sql("feature_idx", "spectrum_idx", "position", 1)}, {_TOKEN}) - 1 AS INTEGER) AS example_id FROM ex)"""
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     f = fx.fx_features(spark, d)
-    acts = f.where("spectrum_idx < 1000")
-    return I.sample_examples(acts, I.feature_scale(acts, A.top_tokens(f, 20, KEY)), fx.fx_peaks(spark, d).where("spectrum_idx < 1000").select(*KEY), KEY, draw=lcg)
+    return I.sample_examples(f, I.feature_scale(f, A.top_tokens(f, 20, KEY)), fx.fx_peaks(spark, d).select(*KEY), KEY, draw=lcg)
 
 
 @query(_EXAMPLES + f" SELECT feature_idx, {_TOKEN}, round(x, 6) AS activation, example_id FROM ids")
@@ -241,11 +240,13 @@ def example_halves(spark: SparkSession, d: str) -> DataFrame:
     return I.half(_examples(spark, d), KEY, draw=lcg).select("feature_idx", *KEY, "describe")
 
 
-@query(sql("peaks", "features") + "SELECT feature_idx, round(max(activation), 6) AS peak FROM features WHERE spectrum_idx < 100 OR feature_idx < 5 GROUP BY 1")
+@query(sql("peaks", "features") + "SELECT feature_idx, round(max(activation) * CASE WHEN feature_idx % 2 = 0 THEN 2 ELSE 1 END, 6) AS peak FROM features GROUP BY 1")
 def feature_scales(spark: SparkSession, d: str) -> DataFrame:
-    """The larger of the sampled maximum and that of the stored top tokens."""
+    """The larger of the examples' maximum and that of the stored top tokens, which is twice as large for even features and half as large for others."""
     f = fx.fx_features(spark, d)
-    return I.feature_scale(f.where("spectrum_idx < 100"), A.top_tokens(f.where("feature_idx < 5"), 20, KEY)).select("feature_idx", r6("peak"))
+    factor = F.when(F.col("feature_idx") % 2 == 0, 2.0).otherwise(0.5)
+    stored = A.top_tokens(f.withColumn("activation", F.col("activation") * factor), 20, KEY)
+    return I.feature_scale(f, stored).select("feature_idx", r6("peak"))
 
 
 @query(sql("peaks", "features") + """, t AS (SELECT spectrum_idx % 16 AS chunk_idx, spectrum_idx * 100 + position AS token_in_chunk, feature_idx, activation FROM features), r AS (SELECT *, row_number() OVER (PARTITION BY feature_idx ORDER BY activation DESC, chunk_idx, token_in_chunk) AS r FROM t),
@@ -263,7 +264,7 @@ def global_top_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HEAD = "example_id,activation,peak_mz,rel_intensity,intensity_rank,n_peaks,matched_ion,peptide_proforma,precursor_mz,precursor_z,nearby_mz,concepts"
-_ROWS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS e FROM lineitem WHERE l_orderkey < 400),
+_ROWS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS e FROM lineitem),
  t AS (SELECT l_orderkey AS feature_idx, e, printf('%.3f', l_quantity / 50) AS a, printf('%.4f', l_extendedprice) AS mz, printf('%.3f', l_tax) AS rel, CASE WHEN l_linenumber = 1 THEN 'LATENT_SUMMARY_TOKEN' ELSE l_returnflag || ';' || l_linestatus END AS ion, printf('%.4f', l_discount) AS pmz, printf('%.2f', l_quantity) || ' ' || printf('%.2f', l_tax) AS near, l_linenumber, l_partkey, l_suppkey FROM l)"""
 _LINE = "CAST(e AS VARCHAR) || ',' || a || ',' || mz || ',' || rel || ',' || CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_partkey AS VARCHAR) || ',' || ion || ',PEP[+1; 2],' || pmz || ',' || CAST(l_suppkey AS VARCHAR) || ',' || near || ',is_b_ion mz_low'"
 
@@ -272,7 +273,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
-    rows = table(spark, d, "lineitem").where("l_orderkey < 400").select(
+    rows = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("feature_idx"), place.alias("example_id"), (F.col("l_quantity") / 50).alias("activation"), (F.col("l_linenumber") == 1).alias("is_latent"), F.col("l_extendedprice").alias("peak_mz"), F.col("l_tax").alias("rel_intensity"), F.col("l_linenumber").alias("peak_rank"), F.col("l_partkey").alias("n_peaks"),
         F.concat("l_returnflag", F.lit(","), "l_linestatus").alias("ion_type"), F.lit("PEP[+1, 2]").alias("peptide"), F.col("l_discount").alias("precursor_mz"), F.col("l_suppkey").alias("precursor_charge"), F.array("l_quantity", "l_tax").alias("neighbour_mzs"), F.array(F.lit("is_b_ion"), F.lit("mz_low")).alias("concepts"),
     )
@@ -295,13 +296,13 @@ def description_prompts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("feature_idx", I.description_prompt(F.col("table_text"), True).alias("prompt"))
 
 
-@query("""WITH s AS (SELECT CAST(o_orderkey AS INTEGER) AS feature_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'causal' ELSE 'concept' END AS stratum FROM orders WHERE o_orderkey < 300), r AS (SELECT l_orderkey AS f, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(l_quantity) >= 1e-12 AND stddev_pop(l_tax) >= 1e-12 THEN corr(l_quantity, l_tax) END AS r FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey AS f, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH s AS (SELECT CAST(o_orderkey AS INTEGER) AS feature_idx, CASE WHEN o_orderkey % 2 = 0 THEN 'causal' ELSE 'concept' END AS stratum FROM orders), r AS (SELECT l_orderkey AS f, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(l_quantity) >= 1e-12 AND stddev_pop(l_tax) >= 1e-12 THEN corr(l_quantity, l_tax) END AS r FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey AS f, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0)
  SELECT feature_idx, stratum, round(r, 6) AS pearson_r, n AS n_predicted, round(v, 4) AS causal_selectivity, CASE WHEN feature_idx % 5 = 0 THEN NULL ELSE 'fires on ' || CAST(feature_idx AS VARCHAR) END AS summary FROM s LEFT JOIN r ON r.f = feature_idx LEFT JOIN c ON c.f = feature_idx""")
 def description_results(spark: SparkSession, d: str) -> DataFrame:
     """Scores, statistics, causal records and summaries joined to the chosen features; what a feature lacks stays null."""
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
     f = F.col("o_orderkey").cast("int").alias("feature_idx")
-    chosen = o.where("o_orderkey < 300").select(f, F.when(F.col("o_orderkey") % 2 == 0, "causal").otherwise("concept").alias("stratum"))
+    chosen = o.select(f, F.when(F.col("o_orderkey") % 2 == 0, "causal").otherwise("concept").alias("stratum"))
     numbered = line.select(F.col("l_orderkey").cast("int").alias("feature_idx"), F.monotonically_increasing_id().alias("example_id"), "l_quantity", "l_tax")
     predicted = numbered.select("feature_idx", "example_id", F.col("l_quantity").alias("predicted"))
     scores = I.description_scores(predicted, numbered.select("feature_idx", "example_id", F.col("l_tax").alias("activation")))

@@ -211,10 +211,10 @@ def top_tokens_csv(spark: SparkSession, d: str) -> DataFrame:
     return out.read_csv("top_activating_tokens").select("feature_idx", "rank", r6("activation"), "chunk_idx")
 
 
-@query("WITH r AS (SELECT o_custkey AS feature_idx, 'c' || CAST(o_orderkey % 5 AS VARCHAR) AS concept, max(o_totalprice) AS s FROM orders WHERE o_custkey <= 200 GROUP BY 1, 2) SELECT CAST(feature_idx AS INTEGER) AS feature_idx, arg_max(concept, (s, concept)) AS concept, round(max(s), 4) AS selectivity FROM r GROUP BY 1")
+@query("WITH r AS (SELECT o_custkey % 64 AS feature_idx, 'c' || CAST(o_orderkey % 5 AS VARCHAR) AS concept, max(o_totalprice) AS s FROM orders GROUP BY 1, 2) SELECT CAST(feature_idx AS INTEGER) AS feature_idx, arg_max(concept, (s, concept)) AS concept, round(max(s), 4) AS selectivity FROM r GROUP BY 1")
 def report_records(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest record of each feature, from single ablations and groups in a report."""
-    rows = table(spark, d, "orders").where("o_custkey <= 200").groupBy(F.col("o_custkey").alias("f"), F.concat(F.lit("c"), (F.col("o_orderkey") % 5).cast("string")).alias("c")).agg(F.max("o_totalprice").alias("s")).collect()
+    """The strongest record of each feature, from single ablations and groups in a report (64 features, 5 concepts)."""
+    rows = table(spark, d, "orders").groupBy((F.col("o_custkey") % 64).alias("f"), F.concat(F.lit("c"), (F.col("o_orderkey") % 5).cast("string")).alias("c")).agg(F.max("o_totalprice").alias("s")).collect()
     per: dict = {}
     for r in rows:
         x = per.setdefault(r["c"], {"causal": {"selectivity": 0.5, "selectivity_z": 1.0, "mean_delta_ce": 0.1}, "top_n_features": [], "per_feature_ablation": []})
@@ -235,12 +235,12 @@ def saved_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return D.encode_sparse(fx.fx_activations(spark, d), out.load_dictionary("dictionary"), ["token_id"]).select("token_id", "feature_idx", r6("activation"))
 
 
-@query("SELECT CAST(o_orderkey AS INTEGER) AS epoch, round(o_totalprice, 2) AS recon_loss FROM orders WHERE o_orderkey < 5")
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS epoch, round(avg(o_totalprice), 2) AS recon_loss FROM orders GROUP BY 1")
 def training_log(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a log that is added to as training goes on."""
+    """Lines of a log that is added to as training goes on: an epoch for each year of the orders."""
     out = _run(spark)
-    for r in table(spark, d, "orders").where("o_orderkey < 5").select("o_orderkey", "o_totalprice").collect():
-        out.append_log({"epoch": r["o_orderkey"], "recon_loss": r["o_totalprice"]}, "log.jsonl")
+    for r in table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("epoch")).agg(F.avg("o_totalprice").alias("loss")).orderBy("epoch").collect():
+        out.append_log({"epoch": r["epoch"], "recon_loss": r["loss"]}, "log.jsonl")
     return spark.read.schema("epoch int, recon_loss double").json(out.path("log.jsonl")).select("epoch", F.round("recon_loss", 2).alias("recon_loss"))
 
 
