@@ -9,9 +9,10 @@ of 20 with less than 1e-6.
 
 Texts of equal words are one node. First every text of a bucket is verified against one leader, the text that shares
 most buckets with others, as an original does with its copies. Then every pair of texts that share a bucket and are
-still in different components is settled, with no bound on partners: the mixed buckets are cut into blocks, and each
-pair of blocks is a group that counts the shingles common to its texts and aligns those pairs that have enough. So a
-pair that shares a key is either in one component or found not to be similar.
+still in different components is settled, with no bound on partners: the mixed buckets are cut into blocks of texts of
+like length, and each pair of blocks whose lengths allow a link is a group that counts the shingles common to its texts
+and aligns those pairs that have enough. A pair that shares several keys is settled in the bucket of the least of them.
+So a pair that shares a key is either in one component or found not to be similar.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .units import _VALUES, LOWER, _powers
 WORDS, HASHES, TAKE, SIMILARITY = 5, 20, 3, 0.8
 #: Shingles in a block of a mixed bucket; a pair of blocks is held in memory at once.
 BLOCK = 1 << 18
+#: Texts of a group from which on their keys are made again to settle a pair in one bucket only; fewer cost less than that.
+MANY = 64
 _RNG = np.random.default_rng(33)
 _ODD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,11 +213,12 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def linked(sequences: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+def linked(sequences: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, similarity: float = SIMILARITY, bucket: int | None = None) -> list[tuple[int, int]]:
     """Links (places of two texts) that join the components ``roots`` as all similar pairs of different components do.
 
     With two ``sides`` only pairs across them count. Lengths and the number of common labelled shingles rule out pairs
-    that no alignment could link; a pair already joined by links found here needs none.
+    that no alignment could link; a pair already joined by links found here needs none. Of ``MANY`` texts or more of a
+    ``bucket``, pairs that share a lesser key as well are left to the bucket of that key.
     """
     lengths = np.array([len(s) for s in sequences])
     by = np.argsort(lengths, kind="stable")
@@ -224,31 +228,62 @@ def linked(sequences: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, si
     starts = ends - lengths
     has = np.zeros(len(values), np.int32)
     two = side.min() != side.max()
+    keys = np.stack([keys_of(sequences[i]) for i in by]).view(np.int64) if bucket is not None and len(by) >= MANY else None
     out = []
     for t in range(len(by) - 1):
         last = int(np.searchsorted(lengths, lengths[t] / similarity + 1e-6, "right"))
         open_ = root[t + 1 : last] != root[t]
         if two:
             open_ &= side[t + 1 : last] != side[t]
-        if not open_.any():
+        if keys is not None and open_.any():
+            others = keys[t + 1 : last]
+            open_ &= ~((others == keys[t]) & (others < bucket)).any(1)
+        near = np.flatnonzero(open_) + t + 1
+        if not len(near):
             continue
+        theirs = np.concatenate([flat[starts[u] : ends[u]] for u in near.tolist()]) if 4 * len(near) < last - t - 1 else None
+        if theirs is None:
+            near, theirs = np.arange(t + 1, last), flat[ends[t] : ends[last - 1]]
         has[flat[starts[t] : ends[t]]] = 1
-        common = np.add.reduceat(has[flat[ends[t] : ends[last - 1]]], starts[t + 1 : last] - ends[t])
+        common = np.add.reduceat(has[theirs], np.cumsum(lengths[near]) - lengths[near])
         has[flat[starts[t] : ends[t]]] = 0
-        need = np.ceil((lengths[t] + lengths[t + 1 : last]) * similarity / (1 + similarity) - 1e-9)
-        for u in (np.flatnonzero(open_ & (common >= need)) + t + 1).tolist():
+        need = np.ceil((lengths[t] + lengths[near]) * similarity / (1 + similarity) - 1e-9)
+        for u in near[open_[near - t - 1] & (common >= need)].tolist():
             if root[u] != root[t] and aligned(sequences[by[t]], sequences[by[u]], similarity):
                 out.append((int(by[t]), int(by[u])))
                 root[root == root[u]] = root[t]
     return out
 
 
-def blocks_of(own: DataFrame) -> DataFrame:
-    """bucket, digest, root, blocks, side of the members of mixed buckets in ``own`` (bucket, digest, n, root): blocks of about BLOCK shingles."""
+def blocks_of(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """bucket, digest, root, side, others of the members of mixed buckets in ``own`` (bucket, digest, n, root).
+
+    A bucket of more than BLOCK shingles is cut by classes of length, so wide that similar texts lie in one class or in
+    neighbouring ones, and each class into blocks of about BLOCK shingles. ``side``: a text's block; ``others``: those of
+    its own and the neighbouring classes.
+    """
     mixed = own.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum("n").alias("all")).where("r0 != r1")
-    blocks = mixed.select("bucket", F.ceil(F.col("all") / BLOCK).alias("blocks"))
-    placed = own.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    return staged(placed.select("bucket", "digest", "root", "blocks", "side"), "placed")
+    mixed = staged(mixed.select("bucket", (F.col("all") > BLOCK).alias("wide")), "mixed")
+    step = max(float(np.log(1 / similarity)), 0.01) * (1 + 1e-6)  # over the rounding of lengths at the very limit
+    classed = own.withColumn("class", F.floor(F.log("n") / step))
+    parts = classed.join(mixed.where("wide").select("bucket"), "bucket").groupBy("bucket", "class").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    parts = parts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts"))  # at most 100 classes
+    placed = classed.join(mixed.select("bucket"), "bucket").join(parts, "bucket", "left")
+
+    def block(at: Column, place: Column) -> Column:
+        return F.shiftleft(at, 32) + place
+
+    def blocks(at: Column) -> Column:
+        n = F.coalesce(F.element_at("parts", at), F.lit(0).cast("long"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: block(at, i))).otherwise(F.array().cast("array<long>"))
+
+    near = F.concat(*[blocks(F.col("class") + i) for i in (-1, 0, 1)])
+    whole = F.col("parts").isNull()
+    side = F.when(whole, F.lit(0).cast("long")).otherwise(block(F.col("class"), F.pmod(F.xxhash64("digest"), F.element_at("parts", F.col("class")))))
+    others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(near)
+    placed = staged(placed.select("bucket", "digest", "root", side.alias("side"), others.alias("others")), "placed")
+    drop_staged(mixed)
+    return placed
 
 
 def across(placed: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -273,12 +308,12 @@ def across(placed: DataFrame, bodies: DataFrame, similarity: float = SIMILARITY)
             lists = group.column("s").combine_chunks()
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             sequences = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            links = linked(sequences, np.array([number[r] for r in roots]), sides, similarity)
+            links = linked(sequences, np.array([number[r] for r in roots]), sides, similarity, group.column("bucket")[0].as_py())
         return pa.table([pa.array([roots[x] for x, _ in links], pa.binary()), pa.array([roots[y] for _, y in links], pa.binary())], names=["a", "b"])
 
     wanted = placed.select("digest").distinct()
     known = bodies.join(wanted.hint("merge"), "digest").select("digest", "text").mapInArrow(cut, "digest binary, s array<long>")
-    each = placed.join(known.hint("merge"), "digest").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = placed.join(known.hint("merge"), "digest").withColumn("other", F.explode("others"))
     each = each.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "root", "s")
     return each.groupBy("bucket", "i", "j").applyInArrow(settle, "a binary, b binary")
 
@@ -397,7 +432,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     of = labels.select(F.col("node").alias("digest"), "root")
     own = staged(members.join(of, "digest", "left").select("bucket", "digest", "n", F.coalesce("root", "digest").alias("root")), "own", files=files)
     drop_staged(members)
-    placed = blocks_of(own)
+    placed = blocks_of(own, similarity)
     more = staged(across(placed, bodies, similarity).distinct(), "links", files=files)
     for table in (own, placed, bodies):
         drop_staged(table)

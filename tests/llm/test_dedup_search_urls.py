@@ -87,6 +87,50 @@ def test_no_link_of_a_large_group_is_lost(make_docs, monkeypatch, block):
     assert len(rows) == 600 and {r["class_id"] for r in rows} == {0}
 
 
+@pytest.mark.parametrize("many", [2, 64])
+def test_lengths_at_the_limit_meet(make_docs, monkeypatch, many):
+    """Heads of a few texts, in chains of lengths at 0.8 of the next and just under, in blocks of a few texts each."""
+    texts = []
+    for b in range(4):
+        words = [f"b{b}w{i % 150 if b == 3 else i}" for i in range(260)]
+        texts += [" ".join(words[: n + 4]) for n in (1, 2, 4, 5, 8, 10, 16, 20, 25, 32, 40, 51, 64, 80, 101, 127, 160, 200, 250)]
+        texts += [" ".join(words[at : at + 104]) for at in range(0, 60, 6)]
+    ids = [(11 * i) % 211 for i in range(len(texts))]
+    monkeypatch.setattr(order_minhash, "BLOCK", 64)
+    monkeypatch.setattr(order_minhash, "MANY", many)
+    rows = order_minhash.near_duplicates(make_docs(texts, ids)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == brute_classes(texts, ids)
+
+
+def test_blocks_of_like_lengths(spark, monkeypatch):
+    """Every pair that could be similar meets in one pair of blocks; lengths that are far apart do not meet."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 300)
+    rows = [(1, bytes([i]), n, bytes([i])) for i, n in enumerate([1, 4, 5, 8, 10, 64, 80, 81, 100, 100, 100, 125, 156, 500, 625, 626] * 2)]
+    rows += [(2, b"x", 5, b"x"), (2, b"y", 500, b"y"), (3, b"p", 5, b"same"), (3, b"q", 5, b"same")]
+    own = spark.createDataFrame(rows, "bucket long, digest binary, n long, root binary")
+    length = {(r[0], bytes(r[1])): r[2] for r in rows}
+    groups = {}
+    placed = order_minhash.blocks_of(own).collect()
+    assert len(placed) == 34 and {r["bucket"] for r in placed} == {1, 2}  # bucket 3 has one component only
+    for r in placed:
+        assert r["side"] in r["others"] and len(set(r["others"])) == len(r["others"])
+        for other in r["others"]:
+            groups.setdefault((r["bucket"], min(r["side"], other), max(r["side"], other)), []).append((bytes(r["digest"]), r["side"]))
+    met = {}
+    for (bucket, i, j), group in groups.items():
+        for x, (a, s) in enumerate(group):
+            for b, t in group[:x]:
+                if i == j or s != t:
+                    met[bucket, min(a, b), max(a, b)] = met.get((bucket, min(a, b), max(a, b)), 0) + 1
+    assert set(met.values()) == {1}
+    for a in range(32):
+        for b in range(a):
+            low, high = sorted((length[1, bytes([a])], length[1, bytes([b])]))
+            there = (1, bytes([b]), bytes([a])) in met
+            assert there or low < 0.8 * high
+            assert not there or low > 0.63 * high
+
+
 def test_banded_alignment_equals_the_whole_one():
     """Random sequences around the limit: edits, moves, repeats and few symbols."""
     rng = np.random.default_rng(11)
