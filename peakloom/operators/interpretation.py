@@ -122,8 +122,7 @@ def csv_safe(text: Column) -> Column:
 
 def example_rows(examples: DataFrame, with_activation: bool, with_concepts: bool) -> DataFrame:
     """feature_idx, table_text: one text table for each feature, a line for each example in order of its id."""
-    # The columns of the table.
-    head = ["example_id", "peak_mz", "rel_intensity", "intensity_rank", "n_peaks", "matched_ion", "peptide_proforma", "precursor_mz", "precursor_z", "nearby_mz"]
+    head = ["example_id", *COLUMNS]
     cells = [
         F.col("example_id").cast("string"), F.format_string("%.4f", "peak_mz"), F.format_string("%.3f", "rel_intensity"), F.col("peak_rank").cast("string"), F.col("n_peaks").cast("string"),
         csv_safe(F.when(F.col("is_latent"), "LATENT_SUMMARY_TOKEN").otherwise(F.col("ion_type"))), csv_safe(F.col("peptide")), F.format_string("%.4f", "precursor_mz"), F.col("precursor_charge").cast("string"),
@@ -137,21 +136,22 @@ def example_rows(examples: DataFrame, with_activation: bool, with_concepts: bool
     return examples.groupBy("feature_idx").agg(F.concat(F.lit(",".join(head) + "\n"), lines).alias("table_text"))
 
 
-LEGEND = """The table lists tokens of tandem mass spectra as a sequencing model's encoder sees them. A token is one peak, or
-the summary token that stands before the peaks of each spectrum (LATENT_SUMMARY_TOKEN). What the columns hold:
-
-  peak_mz           m/z of the peak
-  rel_intensity     its intensity, 1 for the base peak of its spectrum
-  intensity_rank    its place by intensity, from 1
-  n_peaks           peaks of the spectrum
-  matched_ion       the fragment series that the peak fits (b, y, I, internal, precursor), or noise: about 60 percent
-                    of peaks fit none, and can matter all the same
-  peptide_proforma  the peptide, with the masses of modifications in brackets
-  precursor_mz, precursor_z   m/z and charge of the whole peptide
-  nearby_mz         m/z of the peaks next to it
-"""
-CONCEPTS_LEGEND = "  concepts          names of what is known to hold for the token\n"
-ACTIVATION_LEGEND = "  activation        how strongly one learned feature responds, 1 at its strongest, 0 where it is silent\n"
+# The columns of the table, in order; ours: how each is made.
+COLUMNS = {
+    "peak_mz": "m/z, 4 decimals",
+    "rel_intensity": "intensity over the largest one of the spectrum",
+    "intensity_rank": "place among the spectrum's peaks sorted by falling intensity, from 1",
+    "n_peaks": "number of peaks that the spectrum keeps",
+    "matched_ion": "series of the best fragment within the tolerance, or noise if none fits; LATENT_SUMMARY_TOKEN in a row that stands for its whole spectrum",
+    "peptide_proforma": "annotated sequence; a bracket holds the mass added to the residue before it",
+    "precursor_mz": "m/z of the unbroken peptide",
+    "precursor_z": "its charge",
+    "nearby_mz": "m/z of the nearest other peaks, ascending, 2 decimals",
+}
+_LINE = "{} = {}\n".format
+LEGEND = "Each line of the table is a peak of the fragment spectrum of a peptide. Its values:\n" + "".join(_LINE(*c) for c in COLUMNS.items())
+CONCEPTS_LEGEND = _LINE("concepts", "labels that hold for the row")
+ACTIVATION_LEGEND = _LINE("activation", "the feature's response over its largest one; 0: none")
 DESCRIBE_END = """
 Find what tells the activations apart: the region of m/z, intensity and charge, a series or a loss, a residue or a
 modification, a distance between peaks (with its mass), the peak itself or its surroundings. Others will predict the
