@@ -1,0 +1,30 @@
+"""Queries against their SQL, digit by digit, on tables on which they once differed."""
+
+from collections import Counter
+
+import pytest
+
+from oracle import connect
+from peakloom.plans import catalogue
+
+
+def exact(spark, name, folder):
+    df = catalogue.queries()[name](spark, folder)
+    names = sorted(df.columns)
+    mine = Counter(tuple(r[c] for c in names) for r in df.collect())
+    cur = connect(folder).execute(catalogue.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    return mine, Counter(tuple(r[cols.index(c)] for c in names) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["seed_jaccard"])
+def test_seeds_without_a_common_feature(spark, tmp_path, name):
+    """Concept A: its first other seed has other features only. B: lists of fewer than ten. C: no seed shares any."""
+    rows = [("A", seed, f + (20 if seed == 1 else 0)) for seed in (0, 1, 2, 3) for f in range(12)]
+    rows += [("B", seed, f + seed) for seed in (0, 1, 2) for f in range(4)]
+    rows += [("C", seed, f + 13 * (seed % 3)) for seed in (0, 1, 2) for f in range(10)]
+    step = 3 if name == "seed_jaccard" else 4
+    made = [(c, step * i + seed % step, f) for i, (c, seed, f) in enumerate(rows) if seed < step]
+    spark.createDataFrame(made, "o_orderpriority string, o_orderkey long, o_custkey long").toPandas().to_parquet(f"{tmp_path}/orders.parquet")
+    mine, theirs = exact(spark, name, str(tmp_path))
+    assert theirs and mine == theirs and {r[0] for r in theirs} == {"A", "B"}
