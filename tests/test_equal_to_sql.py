@@ -17,7 +17,7 @@ def exact(spark, name, folder):
     return mine, Counter(tuple(r[cols.index(c)] for c in names) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["seed_jaccard"])
+@pytest.mark.parametrize("name", ["seed_jaccard", "mean_jaccard"])
 def test_seeds_without_a_common_feature(spark, tmp_path, name):
     """Concept A: its first other seed has other features only. B: lists of fewer than ten. C: no seed shares any."""
     rows = [("A", seed, f + (20 if seed == 1 else 0)) for seed in (0, 1, 2, 3) for f in range(12)]
