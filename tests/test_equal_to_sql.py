@@ -36,3 +36,8 @@ def test_spectra_of_more_than_fifteen_peaks(spark, tmp_path):
     spark.createDataFrame(rows, names).toPandas().to_parquet(f"{tmp_path}/lineitem.parquet")
     mine, theirs = exact(spark, "padded_arrays", str(tmp_path))
     assert len(theirs) == 30 and mine == theirs
+
+
+def test_turned_vectors_to_the_last_digit(spark):
+    mine, theirs = exact(spark, "near_duplicate_pairs", "/root/testdata/sf0.01")
+    assert len(theirs) == 500 and mine == theirs
