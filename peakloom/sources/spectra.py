@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tokens import global_index, running_offset
+from ..staging import staged
 
 SCHEMA = "spectrum_id string, sequence string, modified_sequence string, precursor_mz double, precursor_charge int, mz_array array<double>, intensity_array array<double>"
 
@@ -33,15 +34,19 @@ def read_spectra(spark: SparkSession, source: str) -> DataFrame:
 def numbered_spectra(spark: SparkSession, source: str, name: str = "global_spectrum") -> DataFrame:
     """Spectra with their number in the order of files and rows, which does not hang on how files are split for tasks.
 
-    Rows of Parquet files know their place, so only a count for each file is needed; others are sorted.
+    Rows of Parquet files know their place, so only a count for each file is needed. Others are parsed once, written in
+    the order that they are read in, and numbered by the counts of the blocks of files that tasks read.
     """
     reader = next((r for ending, r in ((".mzml", read_mzml), (".mgf", read_mgf)) if source.lower().endswith(ending)), None)
     if reader:
-        # Rows of a task count up, so the low bits of their ids order those of one block of a file.
-        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
-        rows = reader(spark, source, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place)
-        order = rows.columns[-3:]
-        return global_index(rows, order, name).drop(*order)
+        block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        read = reader(spark, source, block)
+        # Rows of a task count up one by one, and those of one block of a file follow each other.
+        read = read.withColumnsRenamed({read.columns[-1]: "_block"}).withColumn("_row", F.monotonically_increasing_id())
+        rows = staged(read, "parsed")
+        blocks = running_offset(rows.groupBy("_block").agg(F.count("*").alias("n"), F.min("_row").alias("first")), "_block", "n")
+        before = blocks.select("_block", (F.col("offset") - F.col("first")).alias("offset"))  # one row for each block
+        return rows.join(F.broadcast(before), "_block").withColumn(name, F.col("offset") + F.col("_row")).drop("_block", "_row", "offset")
     rows = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     before = running_offset(rows.groupBy("_file").agg(F.count("*").alias("n")), "_file", "n").select("_file", "offset")
     return rows.join(before, "_file").withColumn(name, F.col("offset") + F.col("_row")).drop("_file", "_row", "offset")
@@ -106,7 +111,7 @@ def read_mzml(spark: SparkSession, path: str, *more: Column) -> DataFrame:
                 rows += own
                 at += [i] * len(own)
             place = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_pylist(rows, schema=ARROW).columns, *[b.column(n).take(place) for n in extra]], names=[*ARROW.names, *extra])
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[f.name] for r in rows], f.type) for f in ARROW], *[b.column(n).take(place) for n in extra]], names=[*ARROW.names, *extra])
 
     return blocks.mapInArrow(run, SCHEMA + kinds)
 

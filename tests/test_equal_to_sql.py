@@ -41,3 +41,17 @@ def test_spectra_of_more_than_fifteen_peaks(spark, tmp_path):
 def test_turned_vectors_to_the_last_digit(spark):
     mine, theirs = exact(spark, "near_duplicate_pairs", "/root/testdata/sf0.01")
     assert len(theirs) == 500 and mine == theirs
+
+
+def test_mzml_files_are_written_by_many_tasks(spark, monkeypatch):
+    from peakloom.plans import catalogue_tables
+
+    seen = []
+    write = catalogue_tables.write_mzml
+    monkeypatch.setattr(catalogue_tables, "write_mzml", lambda rows, path: (seen.append(rows.rdd.getNumPartitions()), write(rows, path)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mine, theirs = exact(spark, "mzml_spectra", "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen == [4] and mine == theirs
