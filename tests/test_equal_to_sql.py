@@ -55,3 +55,16 @@ def test_mzml_files_are_written_by_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert seen == [4] and mine == theirs
+
+
+def test_ablation_rows_meet_by_the_spectrum_alone(spark):
+    """No exchange by concept: rows for each planned set are made where the spectrum lies."""
+    from peakloom.plans import catalogue_plans
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue_plans._moved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "concept_idx" not in "".join(x for x in plan.splitlines() if " Exchange hashpartitioning" in x)
