@@ -68,3 +68,11 @@ def test_ablation_rows_meet_by_the_spectrum_alone(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "concept_idx" not in "".join(x for x in plan.splitlines() if " Exchange hashpartitioning" in x)
+
+
+def test_strata_take_the_pairs_once(spark, monkeypatch):
+    calls = []
+    pairs = catalogue._pairs
+    monkeypatch.setattr(catalogue, "_pairs", lambda *a: (calls.append(1), pairs(*a))[1])
+    mine, theirs = exact(spark, "strata", "/root/testdata/sf0.001")
+    assert len(calls) == 1 and mine == theirs
