@@ -76,3 +76,15 @@ def test_strata_take_the_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_pairs", lambda *a: (calls.append(1), pairs(*a))[1])
     mine, theirs = exact(spark, "strata", "/root/testdata/sf0.001")
     assert len(calls) == 1 and mine == theirs
+
+
+def test_only_pairs_with_near_sketches_meet_their_vectors(spark):
+    import math
+
+    from peakloom.operators import directions
+
+    limit, p = directions.sketch_limit(0.95, 1e-6), math.acos(0.95) / math.pi
+    tail = lambda most: sum(math.comb(128, i) * p**i * (1 - p) ** (128 - i) for i in range(most + 1, 129))
+    assert tail(limit) <= 1e-6 < tail(limit - 1)
+    found = catalogue.queries()["near_duplicate_pairs"](spark, "/root/testdata/sf0.001")
+    assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
