@@ -3,17 +3,23 @@
 An epoch is written once in hashed order, in range partitions whose rows are numbered, so a step is an interval of
 numbers and reads only the folders that hold it. In a synchronous step the rows of a batch are dealt to barrier tasks.
 They agree on the boundary of the batch's top-k by one ``allGather`` of their own largest values, as the boundary is
-the batch's and not a task's, and each gives a partial gradient in pieces; pieces meet in a shuffle by name and place,
-so no task holds the gradients of all others, and one summed gradient, as large as the dictionary, comes to the driver.
+the batch's and not a task's. Where the partial gradients of all tasks take at most ``GATHERED`` bytes, the tasks hold
+the weights and take the steps of a stretch in one stage, telling each other boundary and gradients over connections of
+their own, as ``allGather`` takes about a second each time. Larger ones are given in pieces, a job for each step; pieces meet in a shuffle by name and place, so no task holds the gradients of all others, and one
+summed gradient, as large as the dictionary, comes to the driver.
 Summed over tasks it is the gradient of the whole batch: any number of tasks takes the steps that one task would.
 """
 
 from __future__ import annotations
 
 import base64
+import hmac
+import socket
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
+from typing import TYPE_CHECKING, TextIO
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +30,14 @@ from ..staging import delete_path, staged_parts
 from .dictionary import Dictionary, matrix
 from .tokens import locally_numbered
 
+if TYPE_CHECKING:
+    from pyspark import BarrierTaskContext
+
 #: Numbers of one array that travel in a row.
 PIECE = 1 << 18
 PIECES = "name string, at long, tokens long, piece binary"
+#: Bytes of the gradients of all tasks that one task takes in a step.
+GATHERED = 1 << 24
 
 
 @dataclass
@@ -42,7 +53,10 @@ class NumberedEpoch:
         """The tokens with numbers of at least ``first`` and below ``last``, from the folders that hold any."""
         low, high = bisect_right(self.bases, first) - 1, bisect_right(self.bases, last - 1) - 1
         rank = F.element_at(F.lit(self.bases), F.col("_part") + 1).cast("long") + F.col("_local")
-        rows = self.rows.where(F.col("_part").between(low, high)).select(rank.alias("rank"), "activation")
+        rows = self.rows.where(F.col("_part").between(low, high))
+        if low == high:  # so that a reader skips the rest of the folder, whose rows are in order
+            rows = rows.where((F.col("_local") >= first - self.bases[low]) & (F.col("_local") < last - self.bases[low]))
+        rows = rows.select(rank.alias("rank"), "activation")
         return rows.where((F.col("rank") >= first) & (F.col("rank") < last))
 
     def drop(self) -> None:
@@ -75,6 +89,76 @@ def numbered_epoch(activations: DataFrame, batch: int, epoch: int, seed: int, ac
     return NumberedEpoch(rows, path, bases, bounds_of(groups, batch))
 
 
+def gathered(own: np.ndarray, gather: Callable[[str], list[str]]) -> list[np.ndarray]:
+    """The arrays of all tasks, in their order."""
+    return [np.frombuffer(base64.b64decode(s), "<f8") for s in gather(base64.b64encode(own.astype("<f8").tobytes()).decode())]
+
+
+@contextmanager
+def connected(context: BarrierTaskContext, key: str) -> Iterator[Callable[[str], list[str]]]:
+    """``allGather`` of texts without line breaks and spaces, over connections of all tasks with the first.
+
+    Where the first listens goes round by one real ``allGather``; ``key`` keeps strangers out. A task that ends early
+    closes its connection, which ends the others, and the stage is run again as a whole.
+    """
+    own, hosts = context.partitionId(), [i.address.rsplit(":", 1)[0] for i in context.getTaskInfos()]
+    with ExitStack() as stack:
+        opened = lambda s: s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1) or stack.enter_context(stack.enter_context(s).makefile("rw", encoding="ascii", newline="\n"))
+        if own:
+            peer = opened(socket.create_connection((hosts[0], int(context.allGather("")[0]))))
+            say(peer, f"{key} {own}")
+        else:
+            listener = stack.enter_context(socket.create_server((hosts[0], 0), backlog=len(hosts)))
+            context.allGather(str(listener.getsockname()[1]))
+            peers = {}
+            while len(peers) < len(hosts) - 1:
+                stream = opened(listener.accept()[0])
+                told, _, number = stream.readline().strip().partition(" ")
+                if hmac.compare_digest(told, key):
+                    peers[int(number)] = stream
+
+        def gather(text: str) -> list[str]:
+            if own:
+                say(peer, text)
+                return heard(peer).split(" ")
+            texts = [text, *[heard(peers[i]) for i in range(1, len(hosts))]]
+            for i in peers:
+                say(peers[i], " ".join(texts))
+            return texts
+
+        yield gather
+
+
+def say(stream: TextIO, text: str) -> None:
+    stream.write(f"{text}\n")
+    stream.flush()
+
+
+def heard(stream: TextIO) -> str:
+    line = stream.readline()
+    if not line.endswith("\n"):
+        raise ConnectionError("another task of the step has ended")
+    return line[:-1]
+
+
+def shares(batches: Iterator[pa.RecordBatch], bounds: Sequence[tuple[int, int]], width: int) -> Iterator[np.ndarray]:
+    """Of each interval the rows that a task holds, which may be none; ``batches`` have (rank, activation) in order of rank."""
+    ends = iter([b for _, b in bounds])
+    end, held = next(ends), [np.zeros((0, width))]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rank, x = b.column("rank").to_numpy(), matrix(b.column("activation"))
+        while rank[-1] >= end:
+            cut = int(np.searchsorted(rank, end))
+            yield np.concatenate([*held, x[:cut]])
+            rank, x, end, held = rank[cut:], x[cut:], next(ends), [np.zeros((0, width))]
+        held.append(x)
+    yield np.concatenate(held)
+    for _ in ends:
+        yield np.zeros((0, width))
+
+
 def boundary(local: np.ndarray, keep: int, size: int, gather: Callable[[str], list[str]]) -> float | None:
     """The ``keep``-th largest of the values of all tasks, ``size`` in all; None if all are kept.
 
@@ -84,8 +168,7 @@ def boundary(local: np.ndarray, keep: int, size: int, gather: Callable[[str], li
         return None
     own = local.ravel()
     own = own[np.argpartition(own, len(own) - keep)[len(own) - keep :]] if len(own) > keep else own
-    sent = gather(base64.b64encode(own.astype("<f8").tobytes()).decode())
-    every = np.concatenate([np.frombuffer(base64.b64decode(s), "<f8") for s in sent])
+    every = np.concatenate(gathered(own, gather))
     return float(np.partition(every, len(every) - keep)[len(every) - keep])
 
 

@@ -2,7 +2,8 @@
 
 An epoch's order is a hash of token, epoch and seed, in which the activations are numbered and written. One part is
 plain sequential training: a task takes the batches of a stretch of steps in that order. With more parts as many tasks
-take every step together, each a share of the batch (see ``steps``), which gives the weights of one part. ``averaged``
+take every step together, each a share of the batch (see ``steps``), which gives the weights of one part; a small
+dictionary's steps of a stretch are one stage, a large one's a job each. ``averaged``
 trades that for fewer exchanges: each part is one task that takes batches of its own for an epoch, then the parts'
 weights and moments are averaged. The driver holds the weights, whose size is the dictionary's, and never an
 activation. Gradients are written out by hand; this does not rival a GPU.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import secrets
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,8 +26,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import delete_path, staged_parts
+from . import steps as S
 from .dictionary import WEIGHT_BYTES, Dictionary, matrix, reconstruction
-from .steps import PIECES, NumberedEpoch, in_pieces, joined, numbered_epoch, synchronous_gradients
+from .steps import PIECES, NumberedEpoch, boundary, connected, gathered, in_pieces, joined, numbered_epoch, shares, synchronous_gradients
 
 
 @dataclass
@@ -184,6 +187,7 @@ class Trainer:
     optimiser: AdamW
     losses: list[tuple[float, float]] = field(default_factory=list)
     rate: float = 0.0
+    times: list[float] = field(default_factory=list)
 
     def step(self, x: np.ndarray) -> None:
         self.apply(*gradients(self.model, x, self.config))
@@ -197,6 +201,7 @@ class Trainer:
         if seen["edge"] is not None:
             self.model.threshold = seen["edge"] if step == 0 else self.config.ema * self.model.threshold + (1 - self.config.ema) * seen["edge"]
         self.losses.append((seen["recon_loss"], seen["aux_loss"]))
+        self.times.append(time.time())
 
     def arrays(self) -> dict[str, np.ndarray]:
         """All state that averages over parts."""
@@ -282,11 +287,58 @@ def synchronous_step(epoch: NumberedEpoch, at: int, trainer: Trainer) -> None:
     trainer.apply(grads, {"recon_loss": float(found["scalars"][0]), "aux_loss": float(found["scalars"][1]), "edge": edge, "fired": found["fired"].astype(np.int64)})
 
 
+def synchronous_steps(epoch: NumberedEpoch, first: int, last: int, trainer: Trainer) -> Trainer:
+    """The same steps ``first`` to ``last`` (without it) in one stage, whose tasks all hold the weights.
+
+    A task reads its share of the stretch once, in order. Each step the tasks gather boundary and gradients and add the
+    latter up in the same order, so their weights stay equal to the bit; the first task gives them back.
+    """
+    config, bounds, width = trainer.config, epoch.bounds[first:last], len(trainer.model.b_dec)
+    start = epoch.rows.sparkSession.sparkContext.broadcast(pickle.dumps(Trainer(trainer.model, config, trainer.total, trainer.optimiser)))
+    key = secrets.token_hex(32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        own: Trainer = pickle.loads(start.value)
+        shapes = [getattr(own.model, n).shape for n in WEIGHTS]
+        at = np.cumsum([math.prod(s) for s in shapes])
+        with connected(context, key) as gather:
+            for x, (a, b) in zip(shares(batches, bounds, width), bounds, strict=True):
+                rows = b - a
+                edge = boundary(np.maximum(own.model.preactivations(x), 0), config.k * rows, rows * config.d_dict, gather)
+                grads, seen = gradients(own.model, x, config, edge, rows)
+                flat = np.concatenate([*[grads[n].ravel() for n in WEIGHTS], seen["fired"].astype(float), [seen["recon_loss"], seen["aux_loss"]]])
+                *parts, rest = np.split(sum(gathered(flat, gather)), at)
+                found = {n: p.reshape(s) for n, p, s in zip(WEIGHTS, parts, shapes, strict=True)}
+                own.apply(found, {"recon_loss": rest[-2], "aux_loss": rest[-1], "edge": edge, "fired": rest[:-2].astype(np.int64)})
+        if context.partitionId() == 0:
+            yield from in_pieces({**own.arrays(), "fired": own.model.firing_count.astype(float), "losses": np.array(own.losses), "times": np.array(own.times), "scalars": np.array([own.optimiser.step, own.model.threshold, own.rate])}, bounds[-1][1] - bounds[0][0])
+
+    rows = epoch.between(bounds[0][0], bounds[-1][1]).repartition(config.parts).sortWithinPartitions("rank")
+    whole = joined(sorted(rows.mapInArrow(run, PIECES, barrier=True).collect(), key=lambda r: (r["name"], r["at"])))
+    start.destroy()
+    step, threshold, rate = whole["scalars"]
+    shape = {n: getattr(trainer.model, n).shape for n in WEIGHTS}
+    model = Dictionary(*(whole[n].reshape(shape[n]) for n in WEIGHTS), float(threshold), whole["fired"].astype(np.int64), trainer.model.info)
+    optimiser = AdamW(config)
+    optimiser.step, optimiser.state = int(step), {n: tuple(whole[f"{k}:{n}"].reshape(shape[n]) for k in "mv") for n in WEIGHTS}
+    return Trainer(model, config, trainer.total, optimiser, [(float(r), float(a)) for r, a in whole["losses"].reshape(-1, 2)], float(rate), whole["times"].tolist())
+
+
+def in_one_stage(trainer: Trainer) -> bool:
+    """Whether the tasks of synchronous steps hold the weights: they send each other few bytes."""
+    return trainer.config.parts > 1 and 8 * sum(getattr(trainer.model, n).size for n in WEIGHTS) * trainer.config.parts <= S.GATHERED
+
+
 def run_steps(epoch: NumberedEpoch, first: int, last: int, trainer: Trainer) -> Trainer:
     """The steps ``first`` to ``last`` (without it) of an epoch, in order; firing counts go on from the trainer's."""
     before = trainer.model.firing_count
     if trainer.config.parts > 1:
-        trainer.losses = []
+        if in_one_stage(trainer):
+            return synchronous_steps(epoch, first, last, trainer)
+        trainer.losses, trainer.times = [], []
         for at in range(first, last):
             synchronous_step(epoch, at, trainer)
         return trainer
@@ -364,14 +416,20 @@ def train(activations: DataFrame, config: TrainConfig, val: DataFrame | None = N
             numbered = numbered_epoch(activations, config.batch, epoch, config.seed, config.across_chunks)
             steps = len(numbered.bounds)
             while done < steps:
-                stop = min(steps, *[(trainer.optimiser.step // every + 1) * every - trainer.optimiser.step + done for every in (config.log_every, config.val_every)])
+                at, marked = trainer.optimiser.step, lambda step: step % config.log_every == 0 or step % config.val_every == 0
+                # steps that are one stage go on to the next validation; what is logged on the way is known when it ends
+                stop = min(steps, *[(at // every + 1) * every - at + done for every in ((config.val_every,) if in_one_stage(trainer) else (config.log_every, config.val_every))])
                 trainer = run_steps(numbered, done, stop, trainer)
-                recon, aux = np.mean(trainer.losses, axis=0)
-                sums += np.array([recon, aux]) * (stop - done)
-                done, at = stop, trainer.optimiser.step
-                if at % config.log_every == 0 or at % config.val_every == 0:
-                    extra = validation() if at % config.val_every == 0 else {}
-                    say({"at_step": at, "in_epoch": epoch, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "elapsed_s": time.time() - began, **extra})
+                since, last, now = at, at + stop - done, time.time()
+                for mark in [s for s in range(at + 1, last) if marked(s)] + [last]:
+                    recon, aux = np.mean(trainer.losses[since - at : mark - at], axis=0)
+                    sums += np.array([recon, aux]) * (mark - since)
+                    if marked(mark):
+                        extra = validation() if mark % config.val_every == 0 else {}
+                        ended = time.time() if mark == last else now - (trainer.times[-1] - trainer.times[mark - at - 1])
+                        say({"at_step": mark, "in_epoch": epoch, "lr": learning_rate(mark - 1, config, total), "recon_loss": float(recon), "aux_loss": float(aux), "elapsed_s": ended - began, **extra})
+                    since = mark
+                done = stop
             numbered.drop()
         recon, aux = sums / max(done, 1)
         say({"epoch": epoch, "step": trainer.optimiser.step, "lr": trainer.rate, "recon_loss": float(recon), "aux_loss": float(aux), "dead": int((trainer.model.firing_count < config.dead_after).sum()), "elapsed_s": time.time() - began, **validation()})
