@@ -103,7 +103,7 @@ def connected(context: BarrierTaskContext, key: str) -> Iterator[Callable[[str],
     """
     own, hosts = context.partitionId(), [i.address.rsplit(":", 1)[0] for i in context.getTaskInfos()]
     with ExitStack() as stack:
-        opened = lambda s: s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1) or stack.enter_context(stack.enter_context(s).makefile("rw", encoding="ascii", newline="\n"))
+        opened = lambda s: s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1) or stack.enter_context(stack.enter_context(s).makefile("rw", encoding="latin-1", newline="\n"))
         if own:
             peer = opened(socket.create_connection((hosts[0], int(context.allGather("")[0]))))
             say(peer, f"{key} {own}")
@@ -114,7 +114,7 @@ def connected(context: BarrierTaskContext, key: str) -> Iterator[Callable[[str],
             while len(peers) < len(hosts) - 1:
                 stream = opened(listener.accept()[0])
                 told, _, number = stream.readline().strip().partition(" ")
-                if hmac.compare_digest(told, key):
+                if hmac.compare_digest(told.encode(), key.encode()):
                     peers[int(number)] = stream
 
         def gather(text: str) -> list[str]:

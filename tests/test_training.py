@@ -104,7 +104,7 @@ def test_tasks_gather_over_their_own_connections():
         if text:
             port.append(text)
             with socket.create_connection(("127.0.0.1", int(text))) as stranger:
-                stranger.sendall(b"wrong 1\n")
+                stranger.sendall(b"\xff\xe9 1\n")
             told.set()
         told.wait(10)
         return [*port, "", ""]
