@@ -55,6 +55,30 @@ def test_copies_are_members_and_counted(spark):
         directions.near_duplicate_pairs(table_of(spark, []), cosine=1.0)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_every_pair_in_blocks_of_any_size(spark, monkeypatch, clustered):
+    """All pairs of brute force, none twice, over many blocks, some of which planes prove to be apart."""
+    monkeypatch.setattr(directions, "BLOCK_ROWS", 64)
+    x = planted(3000, 32, 600, 6)
+    if clustered:
+        x = np.repeat(x[:30], 100, axis=0) + 0.05 * np.random.default_rng(1).normal(size=x.shape) / np.sqrt(32)
+    x = np.concatenate([x, x[:100]])  # copies
+    rows = directions.unit_rows(table_of(spark, [(i, v.tolist(), "c", 0, 0, 0) for i, v in enumerate(x)]).repartition(5))
+    found = directions.pairs_over(rows, 0.95)
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(x, 0.95)
+    assert directions.pairs_over(rows.where("false"), 0.95).collect() == []
+
+
+def test_products_are_exact_at_the_limit_and_for_large_components():
+    one = lambda *x: np.array([x], float)
+    met = lambda a, b, over: [t.tolist() for *_, t in directions.products_over(np.array([1]), a, np.array([0]), b, over, False)]
+    just = np.nextafter(0.95, 1)
+    assert met(one(1.0, 0.0), one(just, 0.0), 0.95) == [[just]] and met(one(1.0, 0.0), one(0.95, 0.0), 0.95) == []
+    assert met(one(-1e39, 2.0), one(1e-40, 1.0), 0.95) == [[-1e39 * 1e-40 + 2.0]]
+    assert np.isnan(met(one(np.nan, 0.0), one(1.0, 0.0), 0.95)[0][0])
+
+
 @pytest.mark.parametrize("shape", [(300, 12), (5, 9)])
 def test_ranks_equal_those_of_a_decomposition(spark, shape):
     x = np.random.default_rng(3).normal(size=shape) * np.linspace(0.1, 3, shape[1])

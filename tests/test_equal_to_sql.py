@@ -88,3 +88,25 @@ def test_only_pairs_with_near_sketches_meet_their_vectors(spark):
     assert tail(limit) <= 1e-6 < tail(limit - 1)
     found = catalogue.queries()["near_duplicate_pairs"](spark, "/root/testdata/sf0.001")
     assert "bit_count" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("odd", ["copies", "parts missing", "no length", "repeated keys"])
+def test_every_pair_over_the_limit_is_there(spark, tmp_path, odd):
+    """Copies, vectors with null or missing components, of length 0, and keys that several rows have."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    v = np.random.default_rng(5).normal(size=(60, 64)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    if odd == "copies":
+        rows += [(100 + i, rows[i % 2][1]) for i in range(40)] + [(200 + i, (3 * v[2]).tolist()) for i in range(3)]
+    elif odd == "parts missing":
+        rows += [(100, [None, *rows[0][1][1:]]), (101, [*rows[1][1][:63], None]), (102, rows[2][1][:63]), (103, [*rows[3][1], 0.1]), (104, []), (105, [None] * 64), (106, None), (None, rows[4][1])]
+    elif odd == "no length":
+        rows += [(100, [0.0] * 64), (101, [0.0] * 64)]
+    else:
+        rows += [(0, (v[0] + v[1]).tolist()), (1, rows[1][1]), (1, rows[2][1]), (5, (-v[5]).tolist())]
+    pq.write_table(pa.table({"vec_id": pa.array([k for k, _ in rows], pa.int64()), "embedding": pa.array([x for _, x in rows], pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    mine, theirs = (Counter(tuple(str(round(x, 5)) for x in r) for r in found.elements()) for found in exact(spark, "near_duplicate_pairs", str(tmp_path)))
+    assert len(theirs) > 60 and mine == theirs
